@@ -8,23 +8,46 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberlog.llm import exact_dedup, langid, minhash, packing, secrets
+from emberlog.llm import ann, exact_dedup, langid, line_dedup, lm, minhash, packing, pieces, secrets, suffix
 from emberlog.llm.common import read_table
 
-#: The tokenizer of the packing query.
+#: The vocabularies of the packing and the piece query.
 PACK_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 #: Documents of this remainder of crc32(doc_id), by divisor, are held out.
 LANG_HELD, LM_HELD = (4, 2), (7, 2)
 
 
+def op1_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read_table(spark, sf_dir, "documents"), PACK_TOKENIZER)
 
 
+def op3_sampled_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sampled ids of every text and the digest of what they decode to."""
+    encoded = pieces.encode(read_table(spark, sf_dir, "documents"), PIECE_MODEL)
+    decoded = pieces.decode(encoded, PIECE_MODEL)
+    return decoded.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids", F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
+
+
+def op4_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = langid.remainder("doc_id", LM_HELD[0]) == LM_HELD[1]
+    scores, _ = lm.lm_scores(read_table(spark, sf_dir, "documents"), ~held)
+    return scores.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_scan(read_table(spark, sf_dir, "documents"))
 
 
+def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = suffix.remove_repeats(read_table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_bytes", suffix.removed_bytes().alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(read_table(spark, sf_dir, "documents"), width=4, percent=80)
 
@@ -33,6 +56,10 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(read_table(spark, sf_dir, "documents"))
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_dedup(read_table(spark, sf_dir, "documents"))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     held = langid.remainder("doc_id", LANG_HELD[0]) == LANG_HELD[1]
@@ -42,7 +69,19 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_best_fit_packing, op5_secret_scan, op7_minhash_near_dedup, op8_exact_dedup, op10_language_id)}
+    every = (
+        op1_learned_partitions,
+        op2_best_fit_packing,
+        op3_sampled_pieces,
+        op4_deleted_interpolation,
+        op5_secret_scan,
+        op6_suffix_array_dedup,
+        op7_minhash_near_dedup,
+        op8_exact_dedup,
+        op9_line_dedup,
+        op10_language_id,
+    )
+    return {f.__name__: f for f in every}
 
 
 OP8_SQL = """
