@@ -117,7 +117,7 @@ def suffix_array(t: np.ndarray, sigma: int = 256) -> np.ndarray:
     if n <= 1:
         return np.arange(n, dtype=np.int64)
     t = t.astype(np.int64)
-    induce = _induce_buckets if n > 16 * sigma else _induce_items
+    induce = _induce_buckets if n > 1000 * sigma else _induce_items
     small = _types(t)
     is_lms = small.copy()
     is_lms[0] = False
