@@ -73,9 +73,10 @@ def match_iocs(events: DataFrame, iocs: DataFrame, fields: tuple[str, ...] = SEA
     """
     text = F.lower(F.concat_ws(" ", *(F.coalesce(c, F.lit("")) for c in fields)))
     base = events.withColumn("searched", text)
+    iocs = iocs.groupBy("value", "kind").agg(F.min("label").alias("label"))
     ips = iocs.where("kind = 'ip'").select(F.lower("value").alias("ip"), "value", "kind", "label")
     found = F.array_distinct(F.array_compact(F.concat(F.array("src_ip", "dst_ip"), F.regexp_extract_all("searched", F.lit(r"(?<![0-9a-z_.-])(\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3})(?![0-9a-z_.-])"), 1))))
-    by_ip = base.withColumn("ip", F.explode(found)).join(ips, "ip").drop("ip")
+    by_ip = base.withColumn("ip", F.explode(found)).join(ips, "ip").select(*base.columns, "value", "kind", "label")
     rest = iocs.where("kind <> 'ip'")
     if rest.limit(most + 1).count() > most:
         raise ValueError(f"more than {most} indicators to search for; match them in parts")
@@ -83,7 +84,7 @@ def match_iocs(events: DataFrame, iocs: DataFrame, fields: tuple[str, ...] = SEA
     alone = (F.col("kind") == "literal") & (F.instr("searched", needle) > 0) & F.expr(r"regexp_like(searched, concat('(?<![a-z0-9_.-])\\Q', lower(value), '\\E(?![a-z0-9_.-])'))")
     inside = (F.col("kind") != "literal") & (F.instr("searched", needle) > 0)
     by_text = base.join(F.broadcast(rest), alone | inside)
-    return by_ip.unionByName(by_text).drop("searched").distinct()
+    return by_ip.unionByName(by_text).drop("searched")
 
 
 def token_hits(text: Column, tokens: tuple[str, ...]) -> Column:

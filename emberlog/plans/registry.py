@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from emberlog.plans import bindings, core_queries, evidence_queries, parser_queries  # noqa: F401
 
-from pyspark.sql import DataFrame, SparkSession
 
-
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, bindings.Query]:
+    return dict(bindings.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(bindings.ORACLES)
