@@ -91,19 +91,22 @@ def account_lifecycle(events: DataFrame) -> DataFrame:
     return used.groupBy("kind", "user").agg(F.count("*").alias("n")).groupBy("kind").agg(F.count("user").alias("users"), F.sum("n").alias("events"))
 
 
-def indexed(events: DataFrame, partitions: int = 200) -> DataFrame:
+def indexed(events: DataFrame, partitions: int = 64) -> DataFrame:
     """Add ``position``, the place in order of time, without a sort in one task.
 
-    Rows are dealt out by time and numbered in each part; the parts' sizes, one number each, are summed.
+    Times are cut at approximate quantiles, a list of ``partitions`` numbers that is the same
+    whenever a part is computed again; rows are numbered in each part, and the parts' sizes summed.
     """
-    dealt = events.repartitionByRange(partitions, "timestamp", "event_id").withColumn("part", F.spark_partition_id())
-    inside = dealt.withColumn("k", F.row_number().over(Window.partitionBy("part").orderBy("timestamp", "event_id")))
-    sizes = inside.groupBy("part").agg(F.max("k").alias("n"))
+    timed = events.withColumn("us", micros(F.col("timestamp")).cast("double"))
+    cuts = sorted(set(timed.approxQuantile("us", [k / partitions for k in range(1, partitions)], 0.2 / partitions)))
+    part = F.size(F.filter(F.array(*map(F.lit, cuts)).cast("array<double>"), lambda c: c <= F.col("us"))) if cuts else F.lit(0)
+    inside = timed.withColumn("part", part).drop("us").withColumn("k", F.row_number().over(Window.partitionBy("part").orderBy("timestamp", "event_id")))
+    sizes = timed.groupBy(part.alias("part")).agg(F.count("*").alias("n"))
     before = sizes.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
     return inside.join(F.broadcast(before), "part").withColumn("position", F.col("k") + F.col("before")).drop("part", "k", "before")
 
 
-def initial_access_storylines(events: DataFrame, frame: int = 25, anchors: tuple[str, ...] = ("ssh_login_success", "http_request"), download: str = "download_execute_chain", cron: str = "cron_modified", chmod: str = "chmod_executable", miner: str = "miner_execution", partitions: int = 200) -> DataFrame:
+def initial_access_storylines(events: DataFrame, frame: int = 25, anchors: tuple[str, ...] = ("ssh_login_success", "http_request"), download: str = "download_execute_chain", cron: str = "cron_modified", chmod: str = "chmod_executable", miner: str = "miner_execution", partitions: int = 64) -> DataFrame:
     """Logins or requests that a chain of execution follows within the next ``frame`` dated events.
 
     Events are numbered in order of time; the few that carry a signal meet the anchors by blocks of

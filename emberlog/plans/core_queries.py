@@ -153,7 +153,7 @@ def initial_access_storylines(spark, d):
     cmd = F.coalesce("command", F.lit(""))
     signal = F.when(cmd.startswith("curl"), "download_execute_chain").when(cmd == "crontab -e", "cron_modified").when(cmd.startswith("chmod"), "chmod_executable").when(cmd.startswith("xmrig"), "miner_execution")
     tl = timeline(spark, d).withColumn("detection_names", F.array_compact(F.array(signal)))
-    found = b.initial_access_storylines(tl, partitions=int(spark.conf.get("spark.sql.shuffle.partitions")))
+    found = b.initial_access_storylines(tl)
     return found.select("event_id", at("start").alias("start_at"), at("end").alias("end_at"), csv("signals").alias("signals"))
 
 
