@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import re
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,22 +13,74 @@ from pyspark.sql.window import Window
 
 from emberlog.llm.common import materialise
 
-_GAP = re.compile(r"[ \t\n\r]+")
+@functools.cache
+def _ids(tokenizer_file: str) -> _Ids:
+    """The parts that this worker knows, kept from one task to the next."""
+    return _Ids(tokenizer_file)
 
 
 class _Ids(dict):
-    """Ids, as little-endian bytes, of each part of a text between white space."""
+    """Ids, as little-endian bytes, of the parts of texts between white space."""
 
-    def __init__(self, tokenizer, most: int = 400_000) -> None:
-        super().__init__()
-        self.tokenizer, self.most = tokenizer, most
+    def __init__(self, tokenizer_file: str, most: int = 1_000_000) -> None:
+        from tokenizers import Tokenizer
+
+        super().__init__({"": b""})
+        self.tokenizer, self.most = Tokenizer.from_file(tokenizer_file), most
+        vocabulary = self.tokenizer.get_vocab()
+        self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.closes[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
 
-    def __missing__(self, part: str) -> bytes:
-        ids = np.asarray(self.tokenizer.encode(part, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        if len(self) >= self.most:
+    def learn(self, parts: set[str]) -> None:
+        """Tokenise new parts, many in one call; a mark at the end and upper-case ASCII make no part of their own."""
+        if len(self) + len(parts) > self.most:
             self.clear()
-        self[part] = ids
-        return ids
+            self[""] = b""
+        cores = {part: _core(part) for part in parts}
+        new = {core for core, _ in cores.values()} | {tail for _, tail in cores.values()}
+        new = [core for core in new if core not in self]
+        self._words([core for core in new if core.isalpha()])
+        self._mixed([core for core in new if not core.isalpha()])
+        for part, (core, tail) in cores.items():
+            self[part] = self[core] + self[tail]
+
+    def _words(self, words: list[str]) -> None:
+        """Parts of letters alone are one token run each, which ends with a word end."""
+        for a in range(0, len(words), 5000):
+            some = words[a : a + 5000]
+            ids = np.asarray(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, dtype="<u4")
+            ends = np.flatnonzero(self.closes[ids]) + 1
+            if len(ends) == len(some):
+                self._cut(some, ids, ends)
+            else:
+                self._mixed(some)
+
+    def _mixed(self, parts: list[str]) -> None:
+        for a in range(0, len(parts), 5000):
+            some = parts[a : a + 5000]
+            got = self.tokenizer.encode(some, is_pretokenized=True, add_special_tokens=False)
+            # ids of one part stand together, in the order of the parts
+            self._cut(some, np.asarray(got.ids, dtype="<u4"), np.cumsum(np.bincount(np.asarray(got.word_ids, dtype=np.int64), minlength=len(some))))
+
+    def _cut(self, parts: list[str], ids: np.ndarray, ends: np.ndarray) -> None:
+        raw, start = ids.tobytes(), 0
+        for part, end in zip(parts, (4 * ends).tolist(), strict=True):
+            self[part] = raw[start:end]
+            start = end
+
+    def of(self, text: str) -> bytes:
+        parts = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
+        return b"".join([self[part] for part in parts])
+
+
+def _core(part: str) -> tuple[str, str]:
+    """A part without the mark after its last letter, lower-cased if ASCII, and the mark: they are tokens apart."""
+    core, tail = (part[:-1], part[-1]) if len(part) > 1 and part[-1] in ".,;:!?" and part[-2].isalpha() else (part, "")
+    return (core.lower() if core.isascii() else core), tail
+
+
+def _parts(text: str) -> set[str]:
+    return set(text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" "))
 
 
 def tokenise(docs: DataFrame, tokenizer_file: str, end_id: int = 1, length: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -43,9 +95,7 @@ def tokenise(docs: DataFrame, tokenizer_file: str, end_id: int = 1, length: int
         raise ValueError("length must be positive")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from tokenizers import Tokenizer
-
-        known, end = _Ids(Tokenizer.from_file(tokenizer_file)), np.asarray([end_id], dtype="<u4").tobytes()
+        known, end = _ids(tokenizer_file), np.asarray([end_id], dtype="<u4").tobytes()
         for batch in batches:
             ids_of, piece, start, size, ids, waiting = [], [], [], [], [], 0
             keys = batch.column("id")
@@ -53,8 +103,13 @@ def tokenise(docs: DataFrame, tokenizer_file: str, end_id: int = 1, length: int
             def flush():
                 return pa.RecordBatch.from_arrays([keys.take(pa.array(ids_of, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(size, pa.int64()), pa.array(ids, pa.binary())], ["id", "piece", "start", "length", "ids"])
 
-            for row, text in enumerate(batch.column("text")):
-                whole = b"".join([known[part] for part in _GAP.split(text.as_py() or "") if part]) + end
+            texts = [t or "" for t in batch.column("text").to_pylist()]
+            for row, text in enumerate(texts):
+                if row % 256 == 0:
+                    new = set().union(*map(_parts, texts[row : row + 256]))
+                    if len(known) + len(new) > known.most or not new <= known.keys():
+                        known.learn(new if len(known) + len(new) > known.most else new - known.keys())
+                whole = known.of(text) + end
                 for k, at in enumerate(range(0, len(whole), 4 * length)):
                     cut = whole[at : at + 4 * length]
                     ids_of.append(row)
