@@ -41,7 +41,7 @@ def joined(array: Column, sep: str = ",") -> Column:
 
 
 def slug(name: Column, length: int = 36) -> Column:
-    return F.substring(F.trim(F.regexp_replace(F.lower(name), "[^a-z0-9]+", "-"), F.lit("-")), 1, length)
+    return F.substring(F.coalesce(F.nullif(F.trim(F.regexp_replace(F.lower(F.trim(name)), "[^a-z0-9_.-]+", "-"), F.lit("-._")), F.lit("")), F.lit("collection")), 1, length)
 
 
 def digest(*columns: Column) -> Column:

@@ -65,7 +65,7 @@ def policy_findings(events: DataFrame, policies: tuple[str, ...] = FINDING_POLIC
     )
 
 
-def bruteforce_campaigns(events: DataFrame, least: int = 20, failures: tuple[str, ...] = ("ssh_login_failure", "ssh_invalid_user")) -> DataFrame:
+def bruteforce_campaigns(events: DataFrame, least: int = 20, failures: tuple[str, ...] = ("ssh_login_failure",)) -> DataFrame:
     """Addresses (none is one of them) with ``least`` failures or more: users, first and last time, first ten users."""
     used = events.where(F.col("event_action").isin(*failures))
     per_user = used.groupBy("src_ip", "user").agg(F.count("*").alias("n"), F.min("timestamp").alias("first"), F.max("timestamp").alias("last"))
@@ -76,18 +76,19 @@ def bruteforce_campaigns(events: DataFrame, least: int = 20, failures: tuple[str
 
 def account_lifecycle(events: DataFrame) -> DataFrame:
     """Distinct users and events for each kind of change of accounts."""
-    # Actions by kind.
+    # Actions of accounts, and those of each kind.
+    logged = ("user_created", "user_deleted", "user_modified", "password_changed", "account_unlocked", "account_locked")
     kinds = {
-        "created": ("user_created", "account_created_since_backup"),
-        "deleted": ("user_deleted", "account_deleted_since_backup"),
-        "password": ("password_changed", "password_changed_since_backup", "root_password_changed"),
-        "group": ("group_created", "privileged_group_member_added", "group_member_added"),
+        "created": ("account_created_since_backup", "user_created", "password_set_new_account"),
+        "deleted": ("account_deleted_since_backup", "user_deleted"),
+        "password": ("password_changed", "account_unlocked"),
+        "group": ("group_member_added", "group_member_removed"),
     }
     kind = None
     for name, actions in kinds.items():
         test = F.col("event_action").isin(*actions)
         kind = F.when(test, name) if kind is None else kind.when(test, name)
-    used = events.withColumn("kind", kind).where("kind is not null")
+    used = events.where((F.col("source_type") == "account_diff") | F.col("event_action").isin(*logged)).withColumn("kind", kind).where("kind is not null")
     return used.groupBy("kind", "user").agg(F.count("*").alias("n")).groupBy("kind").agg(F.count("user").alias("users"), F.sum("n").alias("events"))
 
 
@@ -128,35 +129,38 @@ def initial_access_storylines(events: DataFrame, frame: int = 25, anchors: tuple
     return kept.join(ends, "end_position").select("event_id", F.col("timestamp").alias("start"), "end", F.array_sort("signals").alias("signals"))
 
 
-def bruteforce_storylines(events: DataFrame, least: int = 10, prior: int = 5, later: int = 10, follow: tuple[str, ...] = ("sudo_command", "user_created", "password_changed", "su_session_opened")) -> DataFrame:
-    """Per address with ``least`` failures: its first success after ``prior`` of them, the three failures before, and the next events of note by anyone.
+# Actions of note after a login.
+FOLLOWING = ("sudo_command", "shell_command", "password_changed", "user_created", "user_modified", "account_unlocked")
 
-    There is one anchor an address at most. Events of note meet anchors by a broadcast only of the
-    anchors' times cut to the first ``later`` events per anchor.
+
+def bruteforce_storylines(events: DataFrame, least: int = 10, prior: int = 5) -> DataFrame:
+    """Per address with ``least`` failures: its first success with ``prior`` of them until then, and the three failures before.
+
+    ``following_events`` finds what anyone did next.
     """
     failed, won = F.col("event_action") == "ssh_login_failure", F.col("event_action") == "ssh_login_success"
     used = events.where((failed | won) & F.col("timestamp").isNotNull()).select("event_id", "src_ip", "user", "timestamp", "event_action")
-    order = Window.partitionBy("src_ip").orderBy("timestamp", "event_id").rowsBetween(Window.unboundedPreceding, -1)
+    order = Window.partitionBy("src_ip").orderBy(micros(F.col("timestamp"))).rangeBetween(Window.unboundedPreceding, 0)
     whole = Window.partitionBy("src_ip")
     counted = used.withColumns({"before": F.count_if(failed).over(order), "all_failures": F.count_if(failed).over(whole)})
     first = counted.where(won & (F.col("before") >= prior) & (F.col("all_failures") >= least)).groupBy("src_ip").agg(F.min_by(F.struct("event_id", "user", "timestamp", "before", "all_failures"), F.struct("timestamp", "event_id")).alias("s"))
     anchors = first.select("src_ip", "s.*")
     fails = used.where(failed).select(F.col("src_ip").alias("ip"), F.col("event_id").alias("failure_id"), F.col("timestamp").alias("failed_at"))
-    near = anchors.join(fails, F.col("src_ip").eqNullSafe(F.col("ip")) & (F.struct("failed_at", "failure_id") < F.struct("timestamp", "event_id")))
+    near = anchors.join(fails, F.col("src_ip").eqNullSafe(F.col("ip")) & (F.col("failed_at") <= F.col("timestamp")))
     three = first_ids(near, ["event_id"], [F.desc("failed_at"), F.desc("failure_id")], 3, "failure_id", "failure_ids")
     return anchors.join(three, "event_id").select("src_ip", "event_id", "user", F.col("timestamp").alias("start"), F.col("before").alias("failures_before"), "all_failures", F.array_sort("failure_ids").alias("failure_ids"))
 
 
-def following_events(events: DataFrame, anchors: DataFrame, follow: tuple[str, ...], n: int = 10, bucket_seconds: int = 86_400, reach: int = 7) -> DataFrame:
-    """The first ``n`` events of the actions ``follow`` after each anchor (``event_id``, ``start``), within ``reach`` buckets of time."""
+def following_events(events: DataFrame, anchors: DataFrame, follow: tuple[str, ...] = FOLLOWING, n: int = 10, bucket_seconds: int = 86_400, reach: int = 7) -> DataFrame:
+    """The first ``n`` events of the actions ``follow`` from each anchor on (``event_id``, ``start``), within ``reach`` buckets of time."""
     bucket = lambda c: F.floor(F.unix_seconds(c) / bucket_seconds)
     marks = events.where(F.col("event_action").isin(*follow) & F.col("timestamp").isNotNull()).select(F.col("event_id").alias("next_id"), F.col("timestamp").alias("next_at"), bucket(F.col("timestamp")).alias("bucket"))
     open_ = anchors.select("event_id", "start", F.explode(F.sequence(bucket(F.col("start")), bucket(F.col("start")) + reach)).alias("bucket"))
-    met = open_.join(marks, "bucket").where(F.col("next_at") > F.col("start"))
+    met = open_.join(marks, "bucket").where(F.col("next_at") >= F.col("start"))
     return first_ids(met, ["event_id"], [F.col("next_at"), F.col("next_id")], n, "next_id", "next_ids")
 
 
-def credential_storyline(events: DataFrame, actions: tuple[str, ...] = ("password_changed", "user_created", "account_unlocked"), detection: str = "credential_material_access") -> DataFrame:
+def credential_storyline(events: DataFrame, actions: tuple[str, ...] = ("password_changed", "account_unlocked", "password_set_new_account"), detection: str = "root_password_changed") -> DataFrame:
     """One row over all changes of credentials: first, last, number of users, first 15 ids."""
     used = events.where((F.col("event_action").isin(*actions) | F.array_contains("detection_names", detection)) & F.col("timestamp").isNotNull())
     top = used.orderBy("timestamp", "event_id").limit(15).agg(F.transform(F.array_sort(F.collect_list(F.struct("timestamp", "event_id"))), lambda s: s["event_id"]).alias("event_ids"))
@@ -184,3 +188,27 @@ def actor_similarity(events: DataFrame, indicators: DataFrame, least_total: int
 
 def high_signal(events: DataFrame) -> DataFrame:
     return events.where(severity_rank(F.col("severity")) >= 3)
+
+
+# Evidence of movement to other hosts, and the sources that would show it.
+OUTBOUND = ("outbound_ssh_command", "outbound_file_transfer_command", "outbound_ssh_connection")
+MOVEMENT_SOURCES = {"command history": ("shell_history",), "network state": ("ss_output", "netstat_output", "network_state"), "SSH host history": ("known_hosts",)}
+
+
+def lateral_movement_findings(events: DataFrame, sources: DataFrame | None = None) -> DataFrame:
+    """One finding with counts if there is evidence; else known hosts as context, and whether the sources would have shown any.
+
+    Sources are those given (``source_type``), or those of the events.
+    """
+    hit = [F.array_contains("detection_names", d) for d in OUTBOUND]
+    any_hit = hit[0] | hit[1] | hit[2]
+    totals = events.agg(*(F.count_if(h).alias(d) for h, d in zip(hit, OUTBOUND, strict=True)), F.count_if(F.col("event_action") == "known_host_observed").alias("known_hosts"), F.array_sort(F.collect_set(F.when(any_hit, F.col("dst_ip")))).alias("destinations"))
+    types = (events if sources is None else sources).agg(F.collect_set("source_type").alias("types"))
+    missing = F.array_compact(F.array(*(F.when(~F.arrays_overlap("types", F.array(*map(F.lit, t)).cast("array<string>")), F.lit(g)) for g, t in MOVEMENT_SOURCES.items())))
+    df = totals.crossJoin(types).withColumn("missing", F.array_sort(missing)).withColumn("n", sum((F.col(d) for d in OUTBOUND), F.lit(0)))
+    row = lambda title, severity, sure, count, gaps: F.struct(F.lit(title).alias("title"), F.lit(severity).alias("severity"), F.lit(sure).alias("confidence"), count.alias("indicators"), F.array_join(gaps, ",").alias("missing"))
+    none = F.array().cast("array<string>")
+    found = row("Outbound Lateral Movement Evidence", "high", "medium", F.col("n"), none)
+    context = F.when(F.col("known_hosts") > 0, row("Known SSH Destination Observed", "low", "low", F.col("known_hosts"), none))
+    gaps = F.when(F.size("missing") > 0, row("Lateral Movement Assessment Has Coverage Gaps", "informational", "low", F.lit(0).cast("long"), F.col("missing"))).otherwise(row("No Outbound Lateral Movement Evidence Observed", "informational", "medium", F.lit(0).cast("long"), none))
+    return df.select(F.explode(F.when(F.col("n") > 0, F.array(found)).otherwise(F.array_compact(F.array(context, gaps)))).alias("f")).select("f.*")

@@ -6,16 +6,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from emberlog.functions.text import SEVERITIES, has_token, severity_rank
-from emberlog.operators.timeline import first_ids
+from emberlog.operators.timeline import assign_event_ids, dedupe_events, first_ids, union_sources
 
 # Tools looked for across hosts, and those of high severity.
-SHARED_TOOLS = ("rclone", "megacmd", "chisel", "frp", "ngrok", "cloudflared", "socat", "xmrig", "kinsing", "nmap", "masscan", "mimipenguin", "linpeas", "pspy", "kubectl", "docker")
-HIGH_TOOLS = ("rclone", "chisel", "ngrok", "xmrig", "kinsing", "mimipenguin")
-SENSITIVE_PREFIXES = ("/tmp/", "/var/tmp/", "/dev/shm/", "/etc/cron", "/etc/systemd/", "/root/.ssh/", "/usr/local/bin/")
+SHARED_TOOLS = ("rclone", "anydesk", "teamviewer", "rustdesk", "screenconnect", "logmein", "chisel", "frp", "ngrok", "cloudflared", "xmrig", "kubectl", "docker", "aws", "gsutil", "azcopy")
+HIGH_TOOLS = ("rclone", "anydesk", "xmrig", "chisel", "frp", "ngrok")
+SENSITIVE_PATHS = r"^(/tmp|/var/tmp|/dev/shm|/run|/etc/ssh|/root/.ssh|/home/.+/.ssh)"
+SHARED_ACTIONS = ("ssh_login_success", "sudo_command", "password_changed", "user_created", "user_modified", "account_unlocked")
 
 
 def collection_of() -> Column:
-    return F.coalesce("collection_id", "collection_host", "host")
+    return F.coalesce(*(F.nullif(c, F.lit("")) for c in ("collection_id", "collection_host", "host")))
 
 
 def shared(events: DataFrame, kind: str, value: Column, high: Column | None = None, least: int = 2, ids: int = 20) -> DataFrame:
@@ -23,7 +24,7 @@ def shared(events: DataFrame, kind: str, value: Column, high: Column | None = No
 
     Collections of a value are counted from partial groups of (value, collection); ids are cut before they meet.
     """
-    used = events.withColumn("value", value).where("value is not null").withColumn("collection", collection_of())
+    used = events.withColumn("value", value).where("value <> ''").withColumn("collection", collection_of())
     each = used.groupBy("value", "collection").agg(F.count("*").alias("n"), F.max(F.coalesce(high, F.lit(False)) if high is not None else F.lit(False)).alias("high"))
     found = each.groupBy("value").agg(F.count("*").alias("collections"), F.sum("n").alias("events"), F.bool_or("high").alias("high"), F.array_sort(F.collect_set("collection")).alias("names")).where(F.col("collections") >= least)
     first = first_ids(used, ["value"], [F.col("timestamp").asc_nulls_last(), F.col("event_id")], ids)
@@ -31,12 +32,12 @@ def shared(events: DataFrame, kind: str, value: Column, high: Column | None = No
 
 
 def shared_source_ip(events: DataFrame) -> DataFrame:
-    used = events.where((F.col("event_category") == "authentication") | F.array_contains("tags", "bruteforce"))
+    used = events.where((F.col("event_category") == "authentication") | F.array_join("tags", ",").contains("bruteforce"))
     return shared(used, "shared_source_ip", F.col("src_ip"), F.col("event_action") == "ssh_login_success")
 
 
-def shared_user(events: DataFrame, actions: tuple[str, ...] = ("ssh_login_success", "ssh_login_failure", "sudo_command", "user_created", "password_changed", "su_session_opened")) -> DataFrame:
-    return shared(events.where(F.col("event_action").isin(*actions)), "shared_user", F.col("user"))
+def shared_user(events: DataFrame, actions: tuple[str, ...] = SHARED_ACTIONS) -> DataFrame:
+    return shared(events.where(F.col("event_action").isin(*actions)), "shared_user_activity", F.col("user"))
 
 
 def shared_tool(events: DataFrame, tools: tuple[str, ...] = SHARED_TOOLS, high: tuple[str, ...] = HIGH_TOOLS) -> DataFrame:
@@ -44,17 +45,14 @@ def shared_tool(events: DataFrame, tools: tuple[str, ...] = SHARED_TOOLS, high:
     text = F.lower(F.concat_ws(" ", "command", "file_path", "summary", "raw"))
     found = F.array_compact(F.array(*(F.when(has_token(text, t), F.lit(t)) for t in tools)))
     used = events.withColumn("tool", F.explode(found))
-    return shared(used, "shared_tool", F.col("tool"), F.col("tool").isin(*high))
+    return shared(used, "shared_tooling", F.col("tool"), F.col("tool").isin(*high))
 
 
-def shared_path(events: DataFrame, prefixes: tuple[str, ...] = SENSITIVE_PREFIXES) -> DataFrame:
+def shared_path(events: DataFrame, sensitive: str = SENSITIVE_PATHS) -> DataFrame:
     """Sensitive paths: the event's own, else the first one under a temporary folder in its text."""
     text = F.concat_ws(" ", "command", "summary", "raw")
-    path = F.coalesce(F.nullif("file_path", F.lit("")), F.nullif(F.regexp_extract(text, r"((?:/tmp|/var/tmp|/dev/shm)/[^\s;|&'\"]+)", 1), F.lit("")))
-    sensitive = F.lit(False)
-    for p in prefixes:
-        sensitive = sensitive | path.startswith(p)
-    return shared(events, "shared_path", F.when(sensitive, path))
+    path = F.coalesce(F.nullif("file_path", F.lit("")), F.nullif(F.regexp_extract(text, r"((?:/tmp|/var/tmp|/dev/shm|/run)/[^\s;|&]+)", 1), F.lit("")))
+    return shared(events, "shared_suspicious_path", F.when(path.rlike(sensitive), path))
 
 
 def cross_host_high_signal(events: DataFrame, ids: int = 30) -> DataFrame:
@@ -66,7 +64,7 @@ def cross_host_high_signal(events: DataFrame, ids: int = 30) -> DataFrame:
 
 
 def correlations_to_findings(correlations: DataFrame) -> DataFrame:
-    return correlations.select(F.concat_ws(" ", F.initcap(F.translate("type", "_", " ")), F.col("value")).alias("title"), "severity", F.lit("medium").alias("confidence"), "event_ids", F.array(F.lit("cross_collection"), F.col("type")).alias("tags"))
+    return correlations.select(F.concat_ws(" ", F.initcap(F.translate("type", "_", " ")), F.col("value")).alias("title"), "severity", F.lit("medium").alias("confidence"), "event_ids", F.array(F.lit("case_correlation"), F.col("type")).alias("tags"))
 
 
 def case_source_index(events: DataFrame, sources: DataFrame) -> DataFrame:
@@ -118,3 +116,21 @@ def account_summary(changes: DataFrame, n: int = 10) -> DataFrame:
     """Per kind of change: how many users, and the first of them."""
     each = changes.select("change", "user").distinct()
     return each.groupBy("change").agg(F.count("*").alias("users")).join(first_ids(each, ["change"], [F.col("user")], n, "user", "first_users"), "change")
+
+
+def case_timeline(*collections: DataFrame) -> DataFrame:
+    """The timelines of all collections as one: united, without duplicates, with ids."""
+    united = union_sources(*collections).withColumn("event_id", F.lit(None).cast("string"))
+    return assign_event_ids(dedupe_events(united))
+
+
+def network_state_summary(events: DataFrame, n: int = 10) -> DataFrame:
+    """One row on socket snapshots: listeners, connections by direction, undated rows, first suspicious ones."""
+    used = events.where(F.col("source_type") == "network_state")
+    totals = used.agg(F.count_if(F.col("event_action") == "listening_port").alias("listeners"), F.count_if(F.col("event_action").contains("inbound")).alias("inbound"), F.count_if(F.col("event_action").contains("outbound")).alias("outbound"), F.count_if(F.col("timestamp").isNull()).alias("untimed"), F.count_if(severity_rank(F.col("severity")) >= 2).alias("suspicious"))
+    first = used.where(severity_rank(F.col("severity")) >= 2).orderBy("summary").limit(n).agg(F.array_sort(F.collect_list("summary")).alias("first_suspicious"))
+    return totals.crossJoin(first)
+
+
+def exchange_fingerprint(inventory: DataFrame, header: str = "exchange-v1\n") -> DataFrame:
+    return collection_fingerprint(inventory, header, ("relative", "sha256", "size"))

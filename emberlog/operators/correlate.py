@@ -6,18 +6,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from emberlog.functions.text import has_token
+from emberlog.functions.text import has_token, sorted_set
 
 # Kinds of time, the best first; types of state whose time may be found.
-TIME_ORDER = ("file_mtime", "file_ctime", "file_birth", "log_time", "file_atime")
-STATE_TYPES = ("cron_file", "systemd_unit", "shell_profile", "ld_preload", "pam_config", "authorized_keys", "sudoers", "sshd_config", "capabilities", "suid_listing")
+TIME_ORDER = ("mtime", "ctime", "birthtime", "log_time", "atime")
+STATE_TYPES = ("authorized_keys", "cron_file", "ld_preload", "pam_config", "profile", "rc_local", "shell_profile", "sshd_config", "sudoers", "systemd_unit")
+DATED_TYPES = ("bodyfile", "auditd")
 
 
 def normalise_path(path: Column) -> Column:
-    """Trimmed, without a leading ``./``, with a leading ``/``, double slashes made single once."""
-    bare = F.regexp_replace(F.trim(path), r"^\./", "")
-    rooted = F.when(bare.startswith("/"), bare).otherwise(F.concat(F.lit("/"), bare))
-    return F.when(F.coalesce(bare, F.lit("")) != "", F.replace(rooted, F.lit("//"), F.lit("/")))
+    """Trimmed, a leading ``./`` as ``/``, well-known folders rooted, double slashes made single once; null for nothing."""
+    bare = F.regexp_replace(F.trim(path), r"^\./", "/")
+    rooted = F.when(bare.rlike("^(root|etc|home|var)/"), F.concat(F.lit("/"), bare)).otherwise(bare)
+    return F.nullif(F.replace(rooted, F.lit("//"), F.lit("/")), F.lit(""))
 
 
 def correlate_state_times(events: DataFrame, state_types: tuple[str, ...] = STATE_TYPES, order: tuple[str, ...] = TIME_ORDER) -> DataFrame:
@@ -27,10 +28,11 @@ def correlate_state_times(events: DataFrame, state_types: tuple[str, ...] = STAT
     first, so a path that many events share sends one row.
     """
     state = F.col("timestamp").isNull() & F.col("source_type").isin(*state_types)
-    kind = F.array_position(F.array(*map(F.lit, order)), F.col("timestamp_type"))
-    dated = events.where(F.col("timestamp").isNotNull() & (kind > 0)).select("collection_id", normalise_path(F.col("file_path")).alias("path"), kind.alias("kind"), "timestamp", "timestamp_type", "event_id")
+    kind = F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, order)), F.col("timestamp_type")).cast("int"), F.lit(0)), F.lit(99))
+    dated = events.where(F.col("timestamp").isNotNull() & F.col("source_type").isin(*DATED_TYPES)).select("collection_id", normalise_path(F.col("file_path")).alias("path"), kind.alias("kind"), "timestamp", "timestamp_type", "event_id")
     best = dated.where("path is not null").groupBy("collection_id", "path").agg(F.min(F.struct("kind", "timestamp", "event_id", "timestamp_type")).alias("b"))
-    paths = F.array_distinct(F.array_compact(F.array(normalise_path(F.col("file_path")), normalise_path(F.col("source_path")))))
+    rooted = lambda c: F.when(~F.col(c).startswith("/"), F.concat(F.lit("/"), c))
+    paths = F.array_distinct(F.array_compact(F.array(*(normalise_path(p) for c in ("file_path", "source_path") for p in (F.col(c), rooted(c))))))
     wanted = events.where(state).select("event_id", "collection_id", F.posexplode(paths).alias("at", "path"))
     met = wanted.join(best, ["collection_id", "path"]).groupBy("event_id").agg(F.min(F.struct("b.kind", "b.timestamp", "b.event_id", "b.timestamp_type")).alias("b"))
     found = met.select(F.col("event_id").alias("state_id"), F.col("b.timestamp").alias("found_at"), F.col("b.timestamp_type").alias("found_type"), F.col("b.event_id").alias("found_id"))
@@ -41,6 +43,13 @@ def correlate_state_times(events: DataFrame, state_types: tuple[str, ...] = STAT
         "timestamp_type": F.when(hit, F.concat(F.lit("correlated_"), F.col("found_type"))).otherwise(F.col("timestamp_type")),
         "evidence_role": F.when(hit, "inference").otherwise(F.col("evidence_role")),
         "timestamp_confidence": F.when(hit, "low").otherwise(F.col("timestamp_confidence")),
+        "timezone_confidence": F.when(hit, "correlated").otherwise(F.col("timezone_confidence")),
+        "time_start": F.when(hit, F.col("found_at")).otherwise(F.col("time_start")),
+        "time_end": F.when(hit, F.coalesce("time_end", "found_at")).otherwise(F.col("time_end")),
+        "confidence": F.when(hit & (F.col("confidence") == "high"), "medium").otherwise(F.col("confidence")),
+        "tags": F.when(hit, sorted_set(F.col("tags"), F.array(F.lit("correlated_time")))).otherwise(F.col("tags")),
+        "detection_names": F.when(hit, sorted_set(F.col("detection_names"), F.array(F.lit("state_time_correlated")))).otherwise(F.col("detection_names")),
+        "ttp_flags": F.when(hit, sorted_set(F.col("ttp_flags"), F.array(F.lit("state_time_correlated")))).otherwise(F.col("ttp_flags")),
         "related_event_ids": F.when(hit, F.array_distinct(F.concat("related_event_ids", F.array("found_id")))).otherwise(F.col("related_event_ids")),
     }
     return joined.select(*(new[c].alias(c) if c in new else F.col(c) for c in events.columns))
@@ -52,7 +61,7 @@ def read_ioc_lines(lines: DataFrame) -> DataFrame:
     value = F.trim(F.get(part, 0))
     given = F.lower(F.trim(F.get(part, 1)))
     guess = (
-        F.when(value.rlike(r"^\d{1,3}(\.\d{1,3}){3}$"), "ip").when(value.rlike(r"^([0-9a-fA-F]{32}|[0-9a-fA-F]{40}|[0-9a-fA-F]{64})$"), "hash").when(value.startswith("/"), "path").when(value.rlike(r"^[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+$"), "domain").otherwise("literal")
+        F.when(value.rlike(r"^\d{1,3}(\.\d{1,3}){3}$"), "ip").when(value.rlike(r"^([0-9a-fA-F]{32}|[0-9a-fA-F]{40}|[0-9a-fA-F]{64})$"), "hash").when(value.rlike(r"[/\\]"), "path").when(value.rlike(r"^[A-Za-z0-9_.-]+(\.[A-Za-z0-9_.-]+)+$"), "domain").otherwise("literal")
     )
     kind = F.when(F.coalesce(given, F.lit("")) != "", given).otherwise(guess)
     rows = lines.where(~F.trim("raw").startswith("#") & (value != "")).select("line_no", value.alias("value"), kind.alias("kind"), F.trim(F.coalesce(F.get(part, 2), F.lit(""))).alias("label"))
@@ -75,13 +84,13 @@ def match_iocs(events: DataFrame, iocs: DataFrame, fields: tuple[str, ...] = SEA
     base = events.withColumn("searched", text)
     iocs = iocs.groupBy("value", "kind").agg(F.min("label").alias("label"))
     ips = iocs.where("kind = 'ip'").select(F.lower("value").alias("ip"), "value", "kind", "label")
-    found = F.array_distinct(F.array_compact(F.concat(F.array("src_ip", "dst_ip"), F.regexp_extract_all("searched", F.lit(r"(?<![0-9a-z_.-])(\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3})(?![0-9a-z_.-])"), 1))))
+    found = F.array_distinct(F.array_compact(F.concat(F.array("src_ip", "dst_ip"), F.regexp_extract_all("searched", F.lit(r"(?<![0-9a-z_.:-])(\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3})(?![0-9a-z_.:-])"), 1))))
     by_ip = base.withColumn("ip", F.explode(found)).join(ips, "ip").select(*base.columns, "value", "kind", "label")
     rest = iocs.where("kind <> 'ip'")
     if rest.limit(most + 1).count() > most:
         raise ValueError(f"more than {most} indicators to search for; match them in parts")
     needle = F.lower("value")
-    alone = (F.col("kind") == "literal") & (F.instr("searched", needle) > 0) & F.expr(r"regexp_like(searched, concat('(?<![a-z0-9_.-])\\Q', lower(value), '\\E(?![a-z0-9_.-])'))")
+    alone = (F.col("kind") == "literal") & (F.instr("searched", needle) > 0) & F.expr(r"regexp_like(searched, concat('(?<![a-z0-9_.:-])\\Q', lower(value), '\\E(?![a-z0-9_.:-])'))")
     inside = (F.col("kind") != "literal") & (F.instr("searched", needle) > 0)
     by_text = base.join(F.broadcast(rest), alone | inside)
     return by_ip.unionByName(by_text).drop("searched")

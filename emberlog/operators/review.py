@@ -11,13 +11,13 @@ from emberlog.operators.correlate import resolve_source_member
 from emberlog.operators.timeline import first_ids, order_columns
 
 # Columns in which a search looks; dispositions of annotations.
-SEARCH_COLUMNS = ("event_id", "host", "collection_name", "source_path", "source_type", "event_category", "event_action", "user", "src_ip", "dst_ip", "port", "process", "pid", "command", "file_path", "severity", "summary", "raw")
-SEARCH_ARRAYS = ("mitre", "attack_phases", "detection_names", "tags")
-DISPOSITIONS = ("unreviewed", "relevant", "benign", "suspicious", "malicious")
+SEARCH_COLUMNS = ("timestamp", "host", "collection_host", "collection_name", "source_path", "source_type", "event_category", "event_action", "user", "src_ip", "dst_ip", "process", "command", "file_path", "summary", "raw", "severity")
+SEARCH_ARRAYS = ("attack_phases", "attack_phase_candidates", "tags", "mitre", "detection_names")
+DISPOSITIONS = ("unreviewed", "suspicious", "malicious", "benign", "needs_context")
 
 
 def search_text() -> Column:
-    parts = [F.coalesce(c, F.lit("")) for c in SEARCH_COLUMNS] + [F.array_join(F.coalesce(c, F.array().cast("array<string>")), ",") for c in SEARCH_ARRAYS]
+    parts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in SEARCH_COLUMNS] + [F.array_join(F.coalesce(c, F.array().cast("array<string>")), ",") for c in SEARCH_ARRAYS]
     return F.lower(F.concat_ws(" ", *parts))
 
 
@@ -53,7 +53,7 @@ def timeline_page(timeline: DataFrame, offset: int = 0, limit: int = 50) -> Data
 
 def latest_annotations(log: DataFrame) -> DataFrame:
     """The last annotation of each event, made regular; one with nothing in it deletes."""
-    clean = F.slice(F.array_distinct(F.filter(F.transform(F.coalesce("tags", F.array().cast("array<string>")), lambda t: F.substring(F.regexp_replace(F.lower(F.trim(t)), "[^a-z0-9_.-]+", "-"), 1, 40)), lambda t: t != "")), 1, 10)
+    clean = F.slice(F.array_distinct(F.filter(F.transform(F.coalesce("tags", F.array().cast("array<string>")), lambda t: F.regexp_replace(F.substring(F.regexp_replace(F.lower(F.trim(t)), r"\s+", "_"), 1, 40), "[^a-z0-9_.-]", "")), lambda t: t != "")), 1, 10)
     last = log.groupBy("event_id").agg(F.max_by(F.struct("tags", "note", "disposition", "include_in_summary", "updated_at"), F.struct("updated_at", F.coalesce("note", F.lit("")))).alias("a")).select("event_id", "a.*")
     df = last.withColumns({"tags": clean, "note": F.substring(F.coalesce("note", F.lit("")), 1, 2000), "disposition": F.when(F.col("disposition").isin(*DISPOSITIONS), F.col("disposition")).otherwise("unreviewed"), "include_in_summary": F.coalesce("include_in_summary", F.lit(False))})
     return df.where((F.size("tags") > 0) | (F.col("note") != "") | (F.col("disposition") != "unreviewed") | F.col("include_in_summary"))
@@ -99,7 +99,10 @@ def select_scope(full: DataFrame, mini: DataFrame | None, scope: str) -> tuple[D
 
 
 # Source types of each class of evidence.
-EVIDENCE_CLASSES = {"authentication": ("auth_log", "login_history"), "execution": ("shell_history", "auditd", "process_list"), "filesystem": ("bodyfile",), "network": ("network_state", "web_log"), "persistence": ("cron_file", "systemd_unit", "shell_profile"), "accounts": ("passwd", "shadow", "group")}
+EVIDENCE_CLASSES = {
+    "Authentication": ("auth_log", "login_history"), "Audit": ("auditd",), "Command history": ("shell_history",), "Network state": ("ss_output", "netstat_output"), "Processes": ("ps_output",), "Accounts": ("passwd", "shadow", "group"),
+    "Persistence": ("cron_file", "systemd_unit", "authorized_keys", "pam_config"), "Filesystem": ("bodyfile",),
+}
 
 
 def evidence_readiness(sources: DataFrame, classes: dict[str, tuple[str, ...]] = EVIDENCE_CLASSES) -> DataFrame:
@@ -140,16 +143,16 @@ def focus_signals(events: DataFrame, focus: tuple[str, ...], n: int = 20) -> Dat
 
 
 # Numbers of confidence labels, assessments of severities.
-CONFIDENCE = {"high": 0.9, "medium": 0.6, "low": 0.3}
-ASSESSMENT = {"critical": "confirmed_malicious", "high": "likely_malicious", "medium": "suspicious", "low": "contextual", "informational": "contextual"}
+CONFIDENCE = {"none": 0.1, "low": 0.35, "medium": 0.6, "high": 0.85}
+ASSESSMENT = {"medium": "suspicious", "high": "suspicious", "critical": "suspicious"}
 
 
 def confidence_score(label: Column) -> Column:
-    return F.coalesce(*(F.when(label == k, F.lit(v)) for k, v in CONFIDENCE.items()), F.lit(0.5))
+    return F.coalesce(*(F.when(F.lower(label) == k, F.lit(v)) for k, v in CONFIDENCE.items()), F.lit(0.5))
 
 
 def assessment(severity: Column) -> Column:
-    return F.coalesce(*(F.when(severity == k, F.lit(v)) for k, v in ASSESSMENT.items()), F.lit("contextual"))
+    return F.coalesce(*(F.when(F.lower(severity) == k, F.lit(v)) for k, v in ASSESSMENT.items()), F.lit("informational"))
 
 
 def canonical_ids(events: DataFrame) -> DataFrame:
@@ -166,9 +169,9 @@ def omission_ledger(events: DataFrame) -> DataFrame:
 
 
 def timeline_candidates(events: DataFrame, inventory: DataFrame) -> DataFrame:
-    """Events of medium severity or with a tag or phase, and with a member of the evidence."""
+    """Events of medium severity or with a detection or phase, and with a member of the evidence."""
     some = lambda c: F.coalesce(F.size(c), F.lit(0)) > 0
-    used = events.where((severity_rank(F.col("severity")) >= 2) | some("tags") | some("attack_phases"))
+    used = events.where((severity_rank(F.col("severity")) >= 2) | some("detection_names") | some("ttp_flags") | some("attack_phases") | some("attack_phase_candidates"))
     return resolve_source_member(used, inventory).where("member_id is not null").select("event_id", "timestamp", "member_id", confidence_score(F.col("confidence")).alias("confidence"), assessment(F.col("severity")).alias("assessment"))
 
 

@@ -13,11 +13,11 @@ from emberlog.schemas import TIMELINE_SCHEMA
 
 #: The fields that make an event what it is, for its id.
 IDENTITY = (
-    *("timestamp", "time_start", "time_end", "timestamp_raw", "timestamp_type", "host", "collection_id", "source_path", "source_sha256", "source_type", "parser", "evidence_role"),
-    *("event_category", "event_action", "user", "uid", "gid", "src_ip", "dst_ip", "port", "process", "pid", "command", "file_path", "raw"),
+    *("collection_id", "timestamp", "timestamp_raw", "time_start", "time_end", "evidence_role", "source_path", "source_sha256", "source_type", "parser", "event_action", "host"),
+    *("user", "uid", "gid", "src_ip", "dst_ip", "port", "process", "pid", "command", "file_path", "raw", "extra"),
 )
 #: The fields in which duplicates agree; null is empty.
-SAME = ("timestamp", "time_start", "time_end", "host", "collection_id", "source_path", "source_type", "event_category", "event_action", "user", "src_ip", "port", "command", "file_path", "raw")
+SAME = ("collection_id", "timestamp", "time_start", "time_end", "evidence_role", "source_path", "source_sha256", "event_action", "host", "user", "src_ip", "dst_ip", "command", "file_path", "raw")
 _DEFAULTS = {"schema_version": "1.2", "timezone": "UTC", "timezone_confidence": "assumed", "evidence_role": "behavior", "severity": "informational", "confidence": "medium"}
 
 
@@ -95,7 +95,8 @@ def assign_event_ids(events: DataFrame, length: int = 20) -> DataFrame:
     A prefix that different identities share grows by four digits. Only colliding prefixes are
     looked at again: they are found by partial counts of distinct hashes.
     """
-    whole = digest(*(F.col(c) for c in IDENTITY))
+    extra = F.to_json(F.map_from_entries(F.array_sort(F.map_entries(F.map_filter("extra", lambda k, _: k != "previous_event_id")))))
+    whole = digest(*(extra if c == "extra" else F.col(c) for c in IDENTITY))
     hashed = events.withColumn("identity", whole).withColumn("prefix", F.substring("identity", 1, length))
     clash = hashed.where(F.coalesce("event_id", F.lit("")) == "").select("prefix", "identity").distinct().groupBy("prefix").agg(F.count("*").alias("n")).where("n > 1").select("prefix", F.lit(True).alias("clash"))
     grown = hashed.join(clash, "prefix", "left")

@@ -111,4 +111,4 @@ def annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").where("event_type = 'purchase'")
     n = F.col("event_id")
     twice = e.select(n.alias("n"), F.explode(F.array(F.lit(0), F.lit(1))).alias("k"), F.date_trunc("second", F.col("ts").cast("timestamp")).alias("ts"))
-    return twice.select(F.concat(F.lit("e"), F.col("n").cast("string")).alias("event_id"), F.array(F.concat(F.lit("Tag "), (F.col("n") % 5).cast("string")), F.concat(F.lit("tag "), (F.col("n") % 5).cast("string"))).alias("tags"), F.when(F.col("k") == 1, F.concat(F.lit("note "), F.col("n").cast("string"))).otherwise("first").alias("note"), F.when(F.col("n") % 3 == 0, "relevant").otherwise("odd").alias("disposition"), (F.col("n") % 2 == 0).alias("include_in_summary"), (F.col("ts") + F.make_interval(days=F.col("k"))).alias("updated_at"))
+    return twice.select(F.concat(F.lit("e"), F.col("n").cast("string")).alias("event_id"), F.array(F.concat(F.lit("Tag "), (F.col("n") % 5).cast("string")), F.concat(F.lit("tag "), (F.col("n") % 5).cast("string"))).alias("tags"), F.when(F.col("k") == 1, F.concat(F.lit("note "), F.col("n").cast("string"))).otherwise("first").alias("note"), F.when(F.col("n") % 3 == 0, "benign").otherwise("odd").alias("disposition"), (F.col("n") % 2 == 0).alias("include_in_summary"), (F.col("ts") + F.make_interval(days=F.col("k"))).alias("updated_at"))

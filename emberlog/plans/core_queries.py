@@ -43,14 +43,14 @@ def union_sources(spark, d):
 
 
 @query(
-    f"WITH {TL} SELECT event_id AS old_id, 'evt_' || substr(sha256(concat_ws(chr(31), at_text, '', '', '', 'log_time', host, collection_id, source_path, '', source_type, 'events', evidence_role, event_category, event_action, usr, '', '', src_ip, '', port, '', '', coalesce(command, ''), '', raw)), 1, 20) AS event_id FROM tl"
+    f"WITH {TL} SELECT event_id AS old_id, 'evt_' || substr(sha256(concat_ws(chr(31), collection_id, at_text, '', '', '', evidence_role, source_path, '', source_type, 'events', event_action, host, usr, '', '', src_ip, '', port, '', '', coalesce(command, ''), '', raw, '{{}}')), 1, 20) AS event_id FROM tl"
 )
 def assign_event_ids(spark, d):
     tl = timeline(spark, d)
-    return t.assign_event_ids(tl.withColumn("extra", F.create_map(F.lit("old"), F.col("event_id"))).withColumn("event_id", F.lit(None).cast("string"))).select(F.col("extra.old").alias("old_id"), "event_id")
+    return t.assign_event_ids(tl.withColumn("summary", F.col("event_id")).withColumn("event_id", F.lit(None).cast("string"))).select(F.col("summary").alias("old_id"), "event_id")
 
 
-@query(f"WITH {TL}, ids AS (SELECT event_id, 'evt_' || substr(sha256(concat_ws(chr(31), at_text, '', '', '', 'log_time', host, collection_id, source_path, '', source_type, 'events', evidence_role, event_category, event_action, usr, '', '', src_ip, '', port, '', '', coalesce(command, ''), '', raw)), 1, 20) AS new_id, 'e' || (n // 2) AS related FROM tl) SELECT a.new_id AS event_id, a.event_id AS previous, coalesce(b.new_id, a.related) AS related FROM ids a LEFT JOIN ids b ON a.related = b.event_id")
+@query(f"WITH {TL}, ids AS (SELECT event_id, 'evt_' || substr(sha256(concat_ws(chr(31), collection_id, at_text, '', '', '', evidence_role, source_path, '', source_type, 'events', event_action, host, usr, '', '', src_ip, '', port, '', '', coalesce(command, ''), '', raw, '{{}}')), 1, 20) AS new_id, 'e' || (n // 2) AS related FROM tl) SELECT a.new_id AS event_id, a.event_id AS previous, coalesce(b.new_id, a.related) AS related FROM ids a LEFT JOIN ids b ON a.related = b.event_id")
 def reassign_ids(spark, d):
     half = F.floor(F.substring("event_id", 2, 20).cast("long") / 2).cast("string")
     tl = timeline(spark, d).withColumn("related_event_ids", F.array(F.concat(F.lit("e"), half)))
@@ -87,7 +87,7 @@ def collection_hosts(spark, d):
     return t.collection_hosts(tl, tl.select("collection_id", F.concat(F.lit("name "), "collection_id").alias("collection_name")).distinct())
 
 
-@query("SELECT s_suppkey, 'supplier-' || s_suppkey || '-x-' || substr(sha256(s_suppkey::VARCHAR), 1, 12) AS collection_id FROM supplier")
+@query("SELECT s_suppkey, 'supplier-' || s_suppkey || '__x-' || substr(sha256(s_suppkey::VARCHAR), 1, 12) AS collection_id FROM supplier")
 def collection_id(spark, d):
     s = table(spark, d, "supplier")
     return s.select("s_suppkey", t.collection_id(F.concat(F.lit("Supplier "), F.col("s_suppkey").cast("string"), F.lit("__X!")), F.col("s_suppkey").cast("string")).alias("collection_id"))
@@ -158,9 +158,9 @@ def initial_access_storylines(spark, d):
 
 
 @query(
-    f"""WITH {TL}, u AS (SELECT * FROM tl WHERE event_type IN ('error', 'signup')), c AS (SELECT *, count(*) FILTER (event_type = 'error') OVER (PARTITION BY src_ip ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b, count(*) FILTER (event_type = 'error') OVER (PARTITION BY src_ip) AS a FROM u),
+    f"""WITH {TL}, u AS (SELECT * FROM tl WHERE event_type IN ('error', 'signup')), c AS (SELECT *, count(*) FILTER (event_type = 'error') OVER (PARTITION BY src_ip ORDER BY ts RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS b, count(*) FILTER (event_type = 'error') OVER (PARTITION BY src_ip) AS a FROM u),
     s AS (SELECT *, row_number() OVER (PARTITION BY src_ip ORDER BY ts, event_id) AS r FROM c WHERE event_type = 'signup' AND b >= 5 AND a >= 10), f AS (SELECT * FROM s WHERE r = 1),
-    m AS (SELECT f.src_ip, f.event_id, f.usr, f.at_text, f.b, f.a, e.event_id AS fid, row_number() OVER (PARTITION BY f.event_id ORDER BY e.ts DESC, e.event_id DESC) AS k FROM f JOIN u e ON e.event_type = 'error' AND e.src_ip = f.src_ip AND (e.ts, e.event_id) < (f.ts, f.event_id))
+    m AS (SELECT f.src_ip, f.event_id, f.usr, f.at_text, f.b, f.a, e.event_id AS fid, row_number() OVER (PARTITION BY f.event_id ORDER BY e.ts DESC, e.event_id DESC) AS k FROM f JOIN u e ON e.event_type = 'error' AND e.src_ip = f.src_ip AND e.ts <= f.ts)
     SELECT src_ip, event_id, usr AS user_name, at_text AS start_at, b AS failures_before, a AS all_failures, string_agg(fid, ',' ORDER BY fid) FILTER (k <= 3) AS failure_ids FROM m GROUP BY ALL"""
 )
 def bruteforce_storylines(spark, d):
@@ -168,7 +168,7 @@ def bruteforce_storylines(spark, d):
 
 
 @query(
-    f"""WITH {TL}, a AS (SELECT event_id, ts FROM tl WHERE event_type = 'signup'), m AS (SELECT a.event_id, t.event_id AS nid, row_number() OVER (PARTITION BY a.event_id ORDER BY t.ts, t.event_id) AS k FROM a JOIN tl t ON t.event_type = 'purchase' AND t.ts > a.ts AND floor(epoch(t.ts) / 86400) <= floor(epoch(a.ts) / 86400) + 1)
+    f"""WITH {TL}, a AS (SELECT event_id, ts FROM tl WHERE event_type = 'signup'), m AS (SELECT a.event_id, t.event_id AS nid, row_number() OVER (PARTITION BY a.event_id ORDER BY t.ts, t.event_id) AS k FROM a JOIN tl t ON t.event_type = 'purchase' AND t.ts >= a.ts AND floor(epoch(t.ts) / 86400) <= floor(epoch(a.ts) / 86400) + 1)
     SELECT event_id, string_agg(nid, ',' ORDER BY k) AS next_ids FROM m WHERE k <= 10 GROUP BY event_id"""
 )
 def following_events(spark, d):
@@ -207,17 +207,17 @@ def shared_source_ip(spark, d):
     return _texts(c.shared_source_ip(timeline(spark, d)))
 
 
-@query(_shared("shared_user", "host", "event_type IN ('signup', 'error', 'purchase')", "false"))
+@query(_shared("shared_user_activity", "host", "event_type IN ('signup', 'purchase')", "false"))
 def shared_user(spark, d):
     return _texts(c.shared_user(timeline(spark, d).withColumn("user", F.col("host"))))
 
 
-@query(_shared("shared_tool", "CASE WHEN command LIKE 'nmap%' THEN 'nmap' WHEN command LIKE 'xmrig%' THEN 'xmrig' WHEN command LIKE 'rclone%' THEN 'rclone' END", "true", "command NOT LIKE 'nmap%'"))
+@query(_shared("shared_tooling", "CASE WHEN command LIKE 'xmrig%' THEN 'xmrig' WHEN command LIKE 'rclone%' THEN 'rclone' END", "true", "true"))
 def shared_tool(spark, d):
     return _texts(c.shared_tool(timeline(spark, d)))
 
 
-@query(_shared("shared_path", "CASE WHEN command LIKE 'chmod%' THEN '/tmp/run' WHEN command LIKE 'tar%' THEN '/tmp/b.tgz' END", "true", "false"))
+@query(_shared("shared_suspicious_path", "CASE WHEN command LIKE 'chmod%' THEN '/tmp/run' WHEN command LIKE 'tar%' THEN '/tmp/b.tgz' END", "true", "false"))
 def shared_path(spark, d):
     return _texts(c.shared_path(timeline(spark, d)))
 
@@ -227,7 +227,7 @@ def cross_host_high_signal(spark, d):
     return c.cross_host_high_signal(timeline(spark, d)).withColumns({"first_seen": at("first_seen"), "last_seen": at("last_seen"), "event_ids": csv("event_ids")})
 
 
-@query(f"WITH {TL} SELECT 'Shared Source Ip ' || src_ip AS title, CASE WHEN bool_or(event_type = 'signup') THEN 'high' ELSE 'medium' END AS severity, 'medium' AS confidence, 'cross_collection,shared_source_ip' AS tags FROM tl WHERE event_category = 'authentication' GROUP BY src_ip HAVING count(DISTINCT collection_id) >= 2")
+@query(f"WITH {TL} SELECT 'Shared Source Ip ' || src_ip AS title, CASE WHEN bool_or(event_type = 'signup') THEN 'high' ELSE 'medium' END AS severity, 'medium' AS confidence, 'case_correlation,shared_source_ip' AS tags FROM tl WHERE event_category = 'authentication' GROUP BY src_ip HAVING count(DISTINCT collection_id) >= 2")
 def correlations_to_findings(spark, d):
     return c.correlations_to_findings(c.shared_source_ip(timeline(spark, d))).select("title", "severity", "confidence", csv("tags").alias("tags"))
 
@@ -290,3 +290,55 @@ def merge_severity(spark, d):
     return timeline(spark, d).select("event_id", text.merge_severity(F.col("severity"), other).alias("severity"))
 
 
+
+
+@query(f"WITH {TL} SELECT event_id, coalesce(host, '') AS host, 'name ' || collection_id AS collection_name, 'in ' || collection_id AS collection_input FROM tl")
+def attach_collection(spark, d):
+    tl = timeline(spark, d)
+    names = tl.select("collection_id").distinct().select("collection_id", *(F.concat(F.lit(p), "collection_id").alias(c) for p, c in (("name ", "collection_name"), ("in ", "collection_input"), ("h ", "collection_host"))))
+    return t.attach_collection(tl, names).select("event_id", "host", "collection_name", "collection_input")
+
+
+@query(f"WITH {TL} SELECT event_id, CASE WHEN source_type = 'web_log' THEN '[masked]' ELSE raw END AS raw FROM tl")
+def mask_secrets(spark, d):
+    return t.mask_secrets(timeline(spark, d), ("web_log",)).select("event_id", "raw")
+
+
+@query(f"WITH {TL} SELECT event_id, at_text FROM tl")
+def sort_events(spark, d):
+    return t.sort_events(timeline(spark, d)).select("event_id", at("timestamp").alias("at_text"))
+
+
+@query(f"WITH {TL} SELECT event_action, count(*) AS n FROM tl GROUP BY 1")
+def case_timeline(spark, d):
+    tl = timeline(spark, d)
+    return c.case_timeline(tl, tl).groupBy("event_action").agg(F.count_distinct("event_id").alias("n"))
+
+
+@query(f"WITH {INV}, l AS (SELECT DISTINCT collection_id, relative || '|' || sha256 || '|' || size AS line FROM inv) SELECT collection_id, sha256('exchange-v1' || chr(10) || string_agg(line, chr(10) ORDER BY line)) AS fingerprint FROM l GROUP BY 1")
+def exchange_fingerprint(spark, d):
+    return c.exchange_fingerprint(inventory(spark, d))
+
+
+@query(f"WITH {TL} SELECT 'spray' AS profile_id, 1 AS strong, 1 AS supporting, count(*)::BIGINT AS matches FROM tl WHERE event_type IN ('error', 'signup')")
+def actor_similarity(spark, d):
+    indicators = spark.createDataFrame([("spray", "ssh_login_failure", True), ("spray", "ssh_login_success", False), ("other", "sudo_command", True)], "profile_id string, indicator string, strong boolean")
+    return b.actor_similarity(timeline(spark, d), indicators)
+
+
+@query(f"WITH {TL} SELECT 'Outbound Lateral Movement Evidence' AS title, 'high' AS severity, 'medium' AS confidence, count(*)::BIGINT AS indicators, '' AS missing FROM tl WHERE event_type = 'error'")
+def lateral_movement(spark, d):
+    tl = timeline(spark, d).withColumn("detection_names", F.array_compact(F.array(F.when(F.col("event_action") == "ssh_login_failure", F.lit("outbound_ssh_command")))))
+    return b.lateral_movement_findings(tl)
+
+
+@query(f"WITH {TL} SELECT 'Lateral Movement Assessment Has Coverage Gaps' AS title, 'informational' AS severity, 'low' AS confidence, 0::BIGINT AS indicators, 'SSH host history,network state' AS missing FROM (SELECT count(*) FROM tl)")
+def lateral_movement_gaps(spark, d):
+    return b.lateral_movement_findings(timeline(spark, d))
+
+
+@query(f"WITH {TL} SELECT count(*) FILTER (event_type = 'view') AS listeners, count(*) FILTER (event_type = 'click') AS inbound, count(*) FILTER (event_type = 'error') AS outbound, 0 AS untimed, count(*) FILTER (severity IN ('medium', 'high')) AS suspicious FROM tl")
+def network_state_summary(spark, d):
+    a = F.col("event_action")
+    tl = timeline(spark, d).withColumns({"source_type": F.lit("network_state"), "event_action": F.when(a == "http_request", "listening_port").when(a == "shell_command", "inbound_connection").when(a == "ssh_login_failure", "outbound_connection").otherwise("connection_observed")})
+    return c.network_state_summary(tl).drop("first_suspicious")

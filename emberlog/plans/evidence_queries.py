@@ -159,12 +159,12 @@ def assign_stable_refs(spark, d):
 
 @query(
     f"""WITH {TL}, s AS (SELECT n % 500 AS p, ts, at_text, event_id, CASE WHEN n % 2 = 0 THEN 1 ELSE 5 END AS kind FROM tl WHERE event_type = 'click'), b AS (SELECT p, at_text, event_id AS eid, kind, row_number() OVER (PARTITION BY p ORDER BY kind, ts, event_id) AS r FROM s)
-    SELECT 's' || o_orderkey AS event_id, at_text AS found_at, CASE kind WHEN 1 THEN 'correlated_file_mtime' ELSE 'correlated_file_atime' END AS timestamp_type, 'inference' AS evidence_role, eid AS related FROM orders JOIN b ON o_orderkey % 700 = b.p AND r = 1"""
+    SELECT 's' || o_orderkey AS event_id, at_text AS found_at, CASE kind WHEN 1 THEN 'correlated_mtime' ELSE 'correlated_atime' END AS timestamp_type, 'inference' AS evidence_role, eid AS related FROM orders JOIN b ON o_orderkey % 700 = b.p AND r = 1"""
 )
 def correlate_state_times(spark, d):
     tl = timeline(spark, d).where("event_action = 'shell_command'")
     n = F.substring("event_id", 2, 20).cast("long")
-    files = tl.withColumns({"collection_id": F.lit("c"), "file_path": F.concat(F.lit("./p//"), (n % 500).cast("string")), "timestamp_type": F.when(n % 2 == 0, "file_mtime").otherwise("file_atime")})
+    files = tl.withColumns({"collection_id": F.lit("c"), "file_path": F.concat(F.lit("./p//"), (n % 500).cast("string")), "timestamp_type": F.when(n % 2 == 0, "mtime").otherwise("atime"), "source_type": F.lit("bodyfile")})
     o = table(spark, d, "orders")
     key = F.col("o_orderkey")
     state = t.to_timeline(o, {"event_id": F.concat(F.lit("s"), key.cast("string")), "collection_id": F.lit("c"), "file_path": F.concat(F.lit("/p/"), (key % 700).cast("string")), "source_type": F.lit("cron_file"), "evidence_role": F.lit("state_observation")})
@@ -240,7 +240,7 @@ def timeline_page(spark, d):
     return r.timeline_page(timeline(spark, d), 150, 1000).select("event_id")
 
 
-_ANN = "ann AS (SELECT 'e' || event_id AS event_id, event_id AS n, 'tag-' || (event_id % 5) AS tags, 'note ' || event_id AS note, CASE WHEN event_id % 3 = 0 THEN 'relevant' ELSE 'unreviewed' END AS disposition, event_id % 2 = 0 AS include_in_summary FROM events WHERE event_type = 'purchase')"
+_ANN = "ann AS (SELECT 'e' || event_id AS event_id, event_id AS n, 'tag_' || (event_id % 5) AS tags, 'note ' || event_id AS note, CASE WHEN event_id % 3 = 0 THEN 'benign' ELSE 'unreviewed' END AS disposition, event_id % 2 = 0 AS include_in_summary FROM events WHERE event_type = 'purchase')"
 
 
 @query(f"WITH {_ANN} SELECT event_id, tags, note, disposition, include_in_summary FROM ann")
@@ -278,7 +278,7 @@ def executive_rollup(spark, d):
     return r.executive_rollup(s).withColumn("milestones", csv("milestones"))
 
 
-@query(f"WITH {SRC} SELECT unnest(['authentication', 'execution', 'filesystem', 'network', 'persistence', 'accounts']) AS evidence_class, unnest([true, true, false, true, false, true]) AS present FROM (SELECT count(*) FROM src)")
+@query(f"WITH {SRC} SELECT unnest(['Authentication', 'Audit', 'Command history', 'Network state', 'Processes', 'Accounts', 'Persistence', 'Filesystem']) AS evidence_class, unnest([true, true, false, false, false, true, false, false]) AS present FROM (SELECT count(*) FROM src)")
 def evidence_readiness(spark, d):
     return r.evidence_readiness(sources(spark, d))
 
@@ -315,7 +315,7 @@ def omission_ledger(spark, d):
     return r.omission_ledger(tl).select("event_id", "reason")
 
 
-@query(f"WITH {TL}, {INV} SELECT event_id, substr(sha256(collection_id || chr(0) || source_path), 1, 24) AS member_id, CASE confidence WHEN 'high' THEN 0.9 ELSE 0.6 END::DOUBLE AS confidence, CASE severity WHEN 'high' THEN 'likely_malicious' ELSE 'suspicious' END AS assessment FROM tl WHERE severity IN ('high', 'medium') AND event_type <> 'signup'")
+@query(f"WITH {TL}, {INV} SELECT event_id, substr(sha256(collection_id || chr(0) || source_path), 1, 24) AS member_id, CASE confidence WHEN 'high' THEN 0.85 ELSE 0.6 END::DOUBLE AS confidence, 'suspicious' AS assessment FROM tl WHERE severity IN ('high', 'medium') AND event_type <> 'signup'")
 def timeline_candidates(spark, d):
     tl = timeline(spark, d).withColumn("source_sha256", F.sha2("source_path", 256))
     files = tl.where("event_action <> 'ssh_login_success'").select("collection_id", F.col("source_path").alias("relative"), F.col("source_sha256").alias("sha256")).distinct()
