@@ -18,6 +18,7 @@ U64 = np.uint64
 SPACE = "▁"
 #: Units of more characters are drawn one by one, the others together by their length.
 LONG = 48
+SLOT_BITS = 20
 _SPREAD = U64(0xD6E8FEB86659FD93)
 
 
@@ -55,6 +56,20 @@ class Lattice:
         self.hashes = hashes[order]
         self.ids = np.array([i for i, _ in self.weight.values()], np.int32)[order]
         self.logs = np.array([w for _, w in self.weight.values()])[order]
+        # two tables of places by parts of the hash; the second holds pieces whose place in the first is taken
+        self.slots = np.full((2, 1 << SLOT_BITS), -1, np.int32)
+        low = (self.hashes & U64((1 << SLOT_BITS) - 1)).astype(np.int64)
+        self.slots[0, low] = np.arange(len(low))
+        rest = np.flatnonzero(self.slots[0, low] != np.arange(len(low)))
+        self.slots[1, (self.hashes[rest] >> U64(SLOT_BITS) & U64((1 << SLOT_BITS) - 1)).astype(np.int64)] = rest
+        if (self.find(self.hashes) != np.arange(len(low))).any():
+            raise ValueError("the vocabulary does not fit the tables of its hashes")
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """Place of each hash in ``hashes``, -1 for none."""
+        at = self.slots[0, (hashes & U64((1 << SLOT_BITS) - 1)).astype(np.int64)]
+        at = np.where((at >= 0) & (self.hashes[at] == hashes), at, self.slots[1, (hashes >> U64(SLOT_BITS) & U64((1 << SLOT_BITS) - 1)).astype(np.int64)])
+        return np.where((at >= 0) & (self.hashes[at] == hashes), at, -1)
 
     def edges(self, unit: str) -> tuple[list[list[tuple[int, tuple[int, ...], float]]], list[float]]:
         """Edges into each place of one unit, shortest first, as (from, ids, log weight), and the forward log sums."""
@@ -106,8 +121,8 @@ class Lattice:
             for size in range(1, min(j, most) + 1):
                 i = j - size
                 h = mix((sums[:, j] - sums[:, i]) * down[i] + U64(size))
-                at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-                known = self.hashes[at] == h
+                at = self.find(h)
+                known = at >= 0
                 if i:
                     known &= codes[:, i] != ord(SPACE)
                 ids[known, j, size - 1] = self.ids[at[known]]
