@@ -51,16 +51,16 @@ def _case(values: dict[str, str]) -> Column:
     return F.coalesce(*(F.when(F.col("event_type") == k, F.lit(v)) for k, v in values.items()))
 
 
-def timeline(spark: SparkSession, sf_dir: str, **more: Column) -> DataFrame:
-    """``events`` as a timeline of three collections."""
-    e = table(spark, sf_dir, "events").withColumn("n", F.col("event_id"))
+def timeline(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:
+    """``events``, or a stream of its rows, as a timeline of three collections."""
+    e = (table(spark, sf_dir, "events") if events is None else events).withColumn("n", F.col("event_id"))
     user, ts = F.col("user_id"), F.date_trunc("second", F.col("ts").cast("timestamp"))
     command = F.when(F.col("event_type").isin("click", "purchase"), F.element_at(F.array(*map(F.lit, COMMANDS)), (F.col("n") % len(COMMANDS) + 1).cast("int")))
     text = lambda *p: F.concat(*(F.lit(x) if isinstance(x, str) else x.cast("string") for x in p))
     mapping = {
         "event_id": text("e", F.col("n")), "timestamp": ts, "event_action": _case(ACTIONS), "event_category": _case(CATEGORIES), "severity": _case(SEVERITY), "user": text("u", user), "src_ip": text("10.0.", user % 7, ".", user % 50), "collection_id": text("c", user % 3), "host": text("h", user % 5), "port": text(F.col("n") % 1000 + 1),
         "command": command, "evidence_role": F.when(F.col("event_type") == "view", "state_observation").otherwise("behavior"), "source_path": text("var/log/", F.col("event_type")), "source_type": F.when(F.col("event_type") == "click", "shell_history").when(F.col("event_type") == "view", "web_log").otherwise("auth_log"), "timestamp_type": F.lit("log_time"), "confidence": F.when(F.col("n") % 4 == 0, "high").otherwise("medium"), "raw": text(F.col("event_type"), " ", F.col("n")), "parser": F.lit("events"),
-    } | more
+    }
     return to_timeline(e, mapping)
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import SparkSession
 
 #: UTC for all timestamps; the last of repeated map keys wins, as in audit records.
@@ -12,3 +14,12 @@ def prepare(spark: SparkSession) -> SparkSession:
     for key, value in SETTINGS.items():
         spark.conf.set(key, value)
     return spark
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, as ``spark.checkpoint.dir`` names it; a temporary one only where it is unset."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if path is None:
+        path = "file://" + tempfile.mkdtemp(prefix="emberlog-")
+        spark.conf.set("spark.checkpoint.dir", path)
+    return path

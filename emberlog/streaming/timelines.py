@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberlog.operators.timeline import SAME
+from emberlog.session import shared_folder
 
 
 def stream_dedupe(events: DataFrame, late: str = "10 minutes") -> DataFrame:
@@ -25,3 +28,17 @@ def stream_audit_groups(records: DataFrame, late: str = "1 minute") -> DataFrame
     """Audit records (``timestamp``, ``node``, ``audit_id``, ``type``, ``body``) gathered per id once the watermark passes them."""
     grouped = records.withWatermark("timestamp", late).groupBy(F.window("timestamp", late), "node", "audit_id")
     return grouped.agg(F.min("timestamp").alias("timestamp"), F.array_sort(F.collect_set("type")).alias("types"), F.collect_list("body").alias("bodies")).drop("window")
+
+
+def read_stream(spark: SparkSession, path: str) -> DataFrame:
+    """A Parquet file or folder as a stream, with the schema it has now."""
+    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(path + "*")
+
+
+def run_available(stream: DataFrame) -> DataFrame:
+    """Run a stream over all that is there, append its rows to a table in the shared folder, and read that."""
+    spark = stream.sparkSession
+    folder = f"{shared_folder(spark)}/emberlog-stream-{uuid.uuid4().hex}"
+    query = stream.writeStream.format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/state").outputMode("append").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{folder}/rows")
