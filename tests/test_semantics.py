@@ -26,7 +26,7 @@ def events(spark, rows, schema):
         ("-1", times.parse_epoch, None), ("12.9", times.parse_epoch, datetime(1970, 1, 1, 0, 0, 12)), ("Feb 30 00:00:00", lambda c: times.parse_syslog(c, 2024), None), ("Foo 3 00:00:00", lambda c: times.parse_syslog(c, 2024), None),
         ("Mar  3 04:05:06 h", lambda c: times.parse_syslog(c, 2024, "Europe/Berlin"), datetime(2024, 3, 3, 3, 5, 6)), ("Mar  3 04:05:06 h", lambda c: times.parse_syslog(c, 2024, "No/Zone"), datetime(2024, 3, 3, 4, 5, 6)),
         ("1700000000000000000", lambda c: times.parse_numeric_or_text(c, 2024), datetime(2023, 11, 14, 22, 13, 20)), ("5", lambda c: times.parse_numeric_or_text(c, 2024), None), ("2024-01-01 12:00:00", lambda c: times.parse_numeric_or_text(c, 2024, "Europe/Berlin"), datetime(2024, 1, 1, 11)),
-        ("uac-host-20240131235958.tar", times.acquisition_time, datetime(2024, 1, 31, 23, 59, 58)), ("120240131235958", times.acquisition_time, None), ("0", times.shadow_days, None),
+        ("host-20240131235958.tar", times.acquisition_time, datetime(2024, 1, 31, 23, 59, 58)), ("120240131235958", times.acquisition_time, None), ("0", times.shadow_days, None),
     ],
 )
 def test_times(spark, text, function, want):
