@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -85,34 +84,55 @@ def _induce_items(t: np.ndarray, small: np.ndarray, sigma: int, lms: np.ndarray)
     """Induced sorting, one suffix after another, for alphabets with few suffixes in a bucket."""
     n, size = len(t), np.bincount(t, minlength=sigma)
     end = np.cumsum(size)
-    tl, sl = t.tolist(), small.tolist()
+    as_l, as_s = np.where(small, -1, t).tolist(), np.where(small, t, -1).tolist()
     sa, at = [-1] * n, (end - 1).tolist()
-    for i in lms[::-1].tolist():
-        c = tl[i]
+    for i, c in zip(lms[::-1].tolist(), t[lms[::-1]].tolist(), strict=True):
         sa[at[c]] = i
         at[c] -= 1
     at = (end - size).tolist()
-    c = tl[n - 1]
+    c = int(t[n - 1])
     sa[at[c]] = n - 1
     at[c] += 1
-    for i in range(n):
-        j = sa[i] - 1
-        if j >= 0 and not sl[j]:
-            c = tl[j]
-            sa[at[c]] = j
-            at[c] += 1
+    # a list that is walked shows what is put into it further on
+    for i in sa:
+        if i > 0:
+            c = as_l[i - 1]
+            if c >= 0:
+                k = at[c]
+                sa[k] = i - 1
+                at[c] = k + 1
     at = (end - 1).tolist()
-    for i in range(n - 1, -1, -1):
-        j = sa[i] - 1
-        if j >= 0 and sl[j]:
-            c = tl[j]
-            sa[at[c]] = j
-            at[c] -= 1
+    for i in reversed(sa):
+        if i > 0:
+            c = as_s[i - 1]
+            if c >= 0:
+                k = at[c]
+                sa[k] = i - 1
+                at[c] = k - 1
     return np.array(sa, np.int64)
 
 
+def _doubled(names: np.ndarray) -> np.ndarray:
+    """Suffix array of names by doubling: ranks by pairs of ranks, one, two, four and more places apart."""
+    n, rank, step = len(names), names, 1
+    while True:
+        after = np.zeros(n, np.int64)
+        after[:-step] = rank[step:] + 1
+        key = rank * (n + 1) + after
+        order = np.argsort(key, kind="stable")
+        rank = np.empty(n, np.int64)
+        rank[order] = np.concatenate([[0], np.cumsum(np.diff(key[order]) != 0)])
+        if rank[order[-1]] == n - 1:
+            return order
+        step *= 2
+
+
 def suffix_array(t: np.ndarray, sigma: int = 256) -> np.ndarray:
-    """Suffix array by induced sorting: classify, sort and name leftmost-smaller substrings, recurse on the names, induce."""
+    """Suffix array by induced sorting: classify, sort and name leftmost-smaller substrings, sort the string of names, induce.
+
+    The string of names is sorted the same way while its alphabet is small beside it. With few
+    suffixes in a bucket induction has nothing to move at once, and doubling sorts the names sooner.
+    """
     n = len(t)
     if n <= 1:
         return np.arange(n, dtype=np.int64)
@@ -144,7 +164,8 @@ def suffix_array(t: np.ndarray, sigma: int = 256) -> np.ndarray:
     if names[-1] + 1 < len(lms):
         reduced = np.empty(len(lms), np.int64)
         reduced[number[rough]] = names
-        rough = lms[suffix_array(reduced, int(names[-1]) + 1)]
+        few = int(names[-1]) + 1
+        rough = lms[suffix_array(reduced, few) if len(reduced) > 1000 * few else _doubled(reduced)]
     return induce(t, small, sigma, rough)
 
 
@@ -154,15 +175,18 @@ def permuted_common_prefix(t: np.ndarray, sa: np.ndarray, most: int) -> np.ndarr
     before = np.full(n, -1, np.int64)
     before[sa[1:]] = sa[:-1]
     padded = np.concatenate([t.astype(np.uint8), np.zeros(most + 8, np.uint8)])
-    word = np.lib.stride_tricks.sliding_window_view(padded, 8)
+    word = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(padded, 8)).view("<u8").ravel()
     out = np.zeros(n, np.int64)
     live = np.flatnonzero(before >= 0)
+    other = before[live]
     for step in range(0, most, 8):
-        x = np.ascontiguousarray(word[live + step]).view("<u8").ravel() ^ np.ascontiguousarray(word[before[live] + step]).view("<u8").ravel()
-        low = x & (~x + U64(1))
-        equal = np.where(x == 0, 8, np.floor(np.log2(np.where(x == 0, 1, low).astype(float))).astype(np.int64) >> 3)
-        out[live] += equal
-        live = live[x == 0]
+        x = word[live + step] ^ word[other + step]
+        same = x == 0
+        last = x[~same]
+        # the lowest bit that differs is in the first byte that does
+        out[live[~same]] += np.log2((last & (~last + U64(1))).astype(float)).astype(np.int64) >> 3
+        live, other = live[same], other[same]
+        out[live] += 8
         if len(live) == 0:
             break
     room = n - np.maximum(np.arange(n), before)
@@ -237,10 +261,15 @@ def _ship(width: int, bits: int):
         for row in docs.to_pylist():
             counts = in_key_order(answers).get(0, np.zeros(0, np.int64))
             data, offsets, start, size, key, stands = _fragments(row, counts, width)
-            mine = np.flatnonzero(stands == np.arange(len(start)))
+            alone = stands == np.arange(len(start))
+            mine = np.flatnonzero(alone)
             shard = (key[mine] >> U64(64 - bits)).astype(np.int64)
             mine = mine[np.argsort(shard, kind="stable")]
             shard = np.sort(shard)
+            if not alone.all():
+                # repeats of a fragment within the chunk are known now; they pass through a group of their own
+                empty = pack_counts(np.zeros(0, np.int64))
+                out.append((-1 - row["chunk"] % (1 << bits), row["chunk"], empty, pack_counts(start[~alone]), pack_counts(size[~alone]), empty, empty, b""))
             ids = np.array([np.iinfo(np.int64).max if i is None else i for i in row["ids"]], np.int64)
             raw = data.tobytes()
             cut = np.searchsorted(shard, np.arange((1 << bits) + 1))
@@ -248,10 +277,10 @@ def _ship(width: int, bits: int):
                 own = mine[cut[s] : cut[s + 1]]
                 doc = np.searchsorted(offsets, start[own], "right") - 1
                 text = squeeze(b"".join(raw[int(a) : int(a) + int(n) + width - 1] for a, n in zip(start[own], size[own], strict=True)))
-                out.append((s, row["chunk"], pack_counts(ids[doc]), pack_counts(start[own] - offsets[doc]), pack_counts(size[own]), pack_counts(key[own].view(np.int64)), text))
-        kinds = (pa.int32(), pa.int64(), *[pa.binary()] * 5)
-        columns = list(zip(*out, strict=True)) or [()] * 7
-        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["shard", "chunk", "ids", "starts", "sizes", "keys", "text"])
+                out.append((s, row["chunk"], pack_counts(ids[doc]), pack_counts(start[own]), pack_counts(size[own]), pack_counts(start[own] - offsets[doc]), pack_counts(key[own].view(np.int64)), text))
+        kinds = (pa.int32(), pa.int64(), *[pa.binary()] * 6)
+        columns = list(zip(*out, strict=True)) or [()] * 8
+        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["shard", "chunk", "ids", "places", "sizes", "starts", "keys", "text"])
 
     return run
 
@@ -296,45 +325,49 @@ def repeated_windows(ids: np.ndarray, starts: np.ndarray, sizes: np.ndarray, key
 
 def _sort_shard(width: int):
     def run(table: pa.Table) -> pa.Table:
-        rows = table.to_pylist()
-        parts = [[unpack_counts(r[c]) for r in rows] for c in ("ids", "starts", "sizes", "keys")]
-        again = repeated_windows(*(np.concatenate(p) for p in parts), b"".join(expand(r["text"]) for r in rows), width)
-        cut = np.cumsum([0, *(int(p.sum()) for p in parts[2])])
-        flags = [squeeze(np.packbits(again[a:b]).tobytes()) for a, b in zip(cut[:-1], cut[1:], strict=True)]
-        return pa.Table.from_arrays([pa.array([r["chunk"] for r in rows], pa.int64()), pa.array([1] * len(rows), pa.int32()), pa.array([r["shard"] for r in rows], pa.int32()), pa.array(flags, pa.binary())], ["chunk", "kind", "range", "counts"])
+        rows, out = table.to_pylist(), []
+        if rows and rows[0]["shard"] < 0:
+            out = [(r["chunk"], np.concatenate([unpack_counts(r["places"]), unpack_counts(r["sizes"])])) for r in rows]
+        elif rows:
+            parts = [[unpack_counts(r[c]) for r in rows] for c in ("ids", "starts", "sizes", "keys")]
+            again = repeated_windows(*(np.concatenate(p) for p in parts), b"".join(expand(r["text"]) for r in rows), width)
+            a = 0
+            for r, size in zip(rows, parts[2], strict=True):
+                own = np.flatnonzero(again[a : a + size.sum()])
+                first = np.cumsum(size) - size
+                fragment = np.searchsorted(first, own, "right") - 1
+                at = unpack_counts(r["places"])[fragment] + own - first[fragment]
+                new = np.ones(len(own), bool)
+                new[1:] = (np.diff(own) != 1) | (np.diff(fragment) != 0)
+                begin = np.flatnonzero(new)
+                out.append((r["chunk"], np.concatenate([at[begin], np.diff(np.append(begin, len(own)))])))
+                a += int(size.sum())
+        return pa.Table.from_arrays([pa.array([c for c, _ in out], pa.int64()), pa.array([pack_counts(v) for _, v in out], pa.binary())], ["chunk", "runs"])
 
     return run
 
 
-def _cut_out(width: int, bits: int):
-    def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
+def _cut_out(width: int):
+    def run(docs: pa.Table, runs: pa.Table) -> pa.Table:
         out = []
         for row in docs.to_pylist():
-            counts = in_key_order(answers.filter(pc.equal(answers.column("kind"), 0))).get(0, np.zeros(0, np.int64))
-            data, offsets, start, size, key, stands = _fragments(row, counts, width)
-            mine = np.flatnonzero(stands == np.arange(len(start)))
-            mine = mine[np.argsort((key[mine] >> U64(64 - bits)).astype(np.int64), kind="stable")]
-            shard = (key[mine] >> U64(64 - bits)).astype(np.int64)
-            flags = {r["range"]: np.unpackbits(np.frombuffer(expand(r["counts"]), np.uint8)).astype(bool) for r in answers.to_pylist() if r["kind"] == 1}
+            data, offsets = texts(row)
             change = np.zeros(len(data) + 1, np.int32)
-            others = stands != np.arange(len(start))
-            np.add.at(change, start[others], 1)
-            np.add.at(change, start[others] + size[others] + width - 1, -1)
-            for s in np.unique(shard).tolist():
-                own = mine[shard == s]
-                first = np.cumsum(size[own]) - size[own]
-                at = np.repeat(start[own] - first, size[own]) + np.arange(size[own].sum())
-                at = at[flags[s][: len(at)]]
-                np.add.at(change, at, 1)
-                np.add.at(change, at + width, -1)
+            for packed in runs.column("runs").to_pylist():
+                start, size = unpack_counts(packed).reshape(2, -1)
+                np.add.at(change, start, 1)
+                np.add.at(change, start + size + width - 1, -1)
             gone = np.cumsum(change[:-1]) > 0
             raw, kept = data.tobytes(), data[~gone].tobytes()
             left = np.concatenate([[0], np.cumsum(~gone)])
             for i, doc in enumerate(row["ids"]):
                 a, b = int(offsets[i]), int(offsets[i + 1])
+                if left[b] - left[a] == b - a:
+                    out.append({"id": doc, "n_bytes": b - a, "removed": [], "kept": raw[a:b]})
+                    continue
                 own = np.diff(np.concatenate([[0], gone[a:b].astype(np.int8), [0]]))
                 spans = [{"start": int(x), "end": int(y)} for x, y in zip(np.flatnonzero(own == 1), np.flatnonzero(own == -1), strict=True)]
-                out.append({"id": doc, "n_bytes": b - a, "removed": spans, "kept": kept[left[a] : left[b]] if spans else raw[a:b]})
+                out.append({"id": doc, "n_bytes": b - a, "removed": spans, "kept": kept[left[a] : left[b]]})
         return pa.Table.from_pylist(out, schema=pa.schema([("id", pa.int64()), ("n_bytes", pa.int64()), ("removed", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("kept", pa.binary())]))
 
     return run
@@ -364,10 +397,9 @@ def remove_repeats(docs: DataFrame, width: int = 100, id_col: str = "doc_id", te
 
     counts = materialise(answer(ask(chunks, keys, range_bits(chunks))), "counts")
     bits = range_bits(chunks, 1) + 2
-    parts = chunks.groupBy("chunk").cogroup(counts.groupBy("chunk")).applyInArrow(_ship(width, bits), "shard int, chunk long, ids binary, starts binary, sizes binary, keys binary, text binary")
-    flags = materialise(parts.groupBy("shard").applyInArrow(_sort_shard(width), "chunk long, kind int, range int, counts binary"), "flags")
-    both = counts.unionByName(flags)
-    out = chunks.groupBy("chunk").cogroup(both.groupBy("chunk")).applyInArrow(_cut_out(width, bits), "id long, n_bytes long, removed array<struct<start:long,end:long>>, kept binary")
+    parts = chunks.groupBy("chunk").cogroup(counts.groupBy("chunk")).applyInArrow(_ship(width, bits), "shard int, chunk long, ids binary, places binary, sizes binary, starts binary, keys binary, text binary")
+    runs = materialise(parts.groupBy("shard").applyInArrow(_sort_shard(width), "chunk long, runs binary"), "runs")
+    out = chunks.groupBy("chunk").cogroup(runs.groupBy("chunk")).applyInArrow(_cut_out(width), "id long, n_bytes long, removed array<struct<start:long,end:long>>, kept binary")
     return out.withColumnRenamed("id", id_col)
 
 
