@@ -68,9 +68,8 @@ class _Ids(dict):
             self[part] = raw[start:end]
             start = end
 
-    def of(self, text: str) -> bytes:
-        parts = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-        return b"".join([self[part] for part in parts])
+    def of(self, parts: list[str]) -> bytes:
+        return b"".join(map(self.__getitem__, parts))
 
 
 def _core(part: str) -> tuple[str, str]:
@@ -79,8 +78,8 @@ def _core(part: str) -> tuple[str, str]:
     return (core.lower() if core.isascii() else core), tail
 
 
-def _parts(text: str) -> set[str]:
-    return set(text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" "))
+def _parts(text: str | None) -> list[str]:
+    return (text or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
 
 
 def tokenise(docs: DataFrame, tokenizer_file: str, end_id: int = 1, length: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -103,24 +102,23 @@ def tokenise(docs: DataFrame, tokenizer_file: str, end_id: int = 1, length: int
             def flush():
                 return pa.RecordBatch.from_arrays([keys.take(pa.array(ids_of, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(size, pa.int64()), pa.array(ids, pa.binary())], ["id", "piece", "start", "length", "ids"])
 
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            for row, text in enumerate(texts):
-                if row % 256 == 0:
-                    new = set().union(*map(_parts, texts[row : row + 256]))
-                    if len(known) + len(new) > known.most or not new <= known.keys():
-                        known.learn(new if len(known) + len(new) > known.most else new - known.keys())
-                whole = known.of(text) + end
-                for k, at in enumerate(range(0, len(whole), 4 * length)):
-                    cut = whole[at : at + 4 * length]
-                    ids_of.append(row)
-                    piece.append(k)
-                    start.append(at // 4)
-                    size.append(len(cut) // 4)
-                    ids.append(cut)
-                waiting += len(whole)
-                if waiting > 8 << 20:
-                    yield flush()
-                    ids_of, piece, start, size, ids, waiting = [], [], [], [], [], 0
+            for first in range(0, batch.num_rows, 256):
+                texts = [_parts(t) for t in batch.column("text").slice(first, 256).to_pylist()]
+                new = set().union(*texts)
+                known.learn(new if len(known) + len(new) > known.most else new - known.keys())
+                for row, parts in enumerate(texts, first):
+                    whole = known.of(parts) + end
+                    for k, at in enumerate(range(0, len(whole), 4 * length)):
+                        cut = whole[at : at + 4 * length]
+                        ids_of.append(row)
+                        piece.append(k)
+                        start.append(at // 4)
+                        size.append(len(cut) // 4)
+                        ids.append(cut)
+                    waiting += len(whole)
+                    if waiting > 8 << 20:
+                        yield flush()
+                        ids_of, piece, start, size, ids, waiting = [], [], [], [], [], 0
             if ids_of:
                 yield flush()
 
