@@ -19,6 +19,8 @@ SPACE = "▁"
 #: Units of more characters are drawn one by one, the others together by their length.
 LONG = 48
 SLOT_BITS = 20
+#: Lattice edges held at once, 12 bytes each and a few copies.
+CELLS = 2_000_000
 _SPREAD = U64(0xD6E8FEB86659FD93)
 
 
@@ -159,8 +161,9 @@ class Lattice:
                     count[r] = len(slow[r])
                 continue
             kinds = by_length[np.searchsorted(length[by_length], n) : np.searchsorted(length[by_length], n, "right")]
-            for a in range(0, len(kinds), 20_000):
-                part = kinds[a : a + 20_000]
+            many = max(64, CELLS // ((n + 1) * min(n, self.longest)))
+            for a in range(0, len(kinds), many):
+                part = kinds[a : a + many]
                 place[:] = -1
                 place[part] = np.arange(len(part))
                 codes = np.array([names[k] for k in part.tolist()], f"<U{n}").view("<u4").reshape(len(part), n).astype(U64)
@@ -219,7 +222,7 @@ def encode(docs: DataFrame, model_file: str, heat: float = 1.0, seed: int = 0, i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = Lattice(model_file, heat)
         for batch in batches:
-            for part in slices(batch, "text", 6 << 20):
+            for part in slices(batch, "text", 4 << 20):
                 texts = part.column("text").to_pylist()
                 got = lattice.encode([t or "" for t in texts], part.column("key").to_pylist())
                 none = [t is None for t in texts]
