@@ -87,8 +87,20 @@ def _distinct(words: np.ndarray, cut: np.ndarray, least_words: int) -> tuple[np.
 
 
 def _shared(own: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """All keys of a chunk, shortened to 48 bits: they only tell which lines are worth a look."""
-    return np.concatenate([own, keys]) & ~U64(0xFFFF)
+    """All keys of a chunk, shortened to 47 bits and one that tells variants (1) from whole lines (0)."""
+    return np.concatenate([own & ~U64(0x1FFFF), keys & ~U64(0x1FFFF) | U64(0x10000)])
+
+
+#: Answers are counts of 15 bits, the last of which is "as many or more"; the highest bit tells of keys of the other kind.
+MANY = 0x7FFF
+
+
+def _answers(distinct: np.ndarray, number: np.ndarray) -> np.ndarray:
+    """For sorted distinct keys and their counts: what chunks are told of each."""
+    pair = np.flatnonzero((distinct[1:] ^ distinct[:-1]) == 1)
+    other = np.zeros(len(distinct), bool)
+    other[pair] = other[pair + 1] = True
+    return (np.minimum(number, MANY) | (other << 15)).astype("<u2")
 
 
 _ROWS = "chunk long, row int, doc long, line int, key long, near array<long>, body string"
@@ -101,7 +113,8 @@ def line_dedup(docs: DataFrame, least_words: int = 5, id_col: str = "doc_id", te
     for word or, with ``least_words`` words or more on both sides, differs by one word: inserted,
     deleted or replaced. Words ignore the case of A-Z. All variants of a line with one word
     deleted are hashed; variants that no other line shares are dropped first, by counts that chunks
-    of documents ask for. Rows of one variant meet in a partial minimum, never as pairs, since
+    of documents ask for, of whole lines and variants apart. Rows of one variant meet in a partial
+    minimum, never as pairs, since
     all lines of a variant with its place are within the bound of the earliest; that one is then
     verified by its words.
 
@@ -129,11 +142,12 @@ def line_dedup(docs: DataFrame, least_words: int = 5, id_col: str = "doc_id", te
         keys = [unpack_keys(expand(k)) for k in table.column("keys").to_pylist()]
         every = np.sort(np.concatenate(keys)) if keys else np.zeros(0, U64)
         start = np.flatnonzero(np.append(True, every[1:] != every[:-1])) if len(every) else np.zeros(0, np.int64)
-        distinct, number = every[start], np.diff(np.append(start, len(every)))
+        distinct = every[start]
+        told = _answers(distinct, np.diff(np.append(start, len(every))))
         out = []
         for k in keys:
             own = k[np.append(True, k[1:] != k[:-1])]
-            out.append(squeeze(np.minimum(number[np.searchsorted(distinct, own)], 65535).astype("<u2").view(np.uint8).reshape(-1, 2).T.tobytes()))
+            out.append(squeeze(told[np.searchsorted(distinct, own)].view(np.uint8).reshape(-1, 2).T.tobytes()))
         return pa.Table.from_arrays([pa.array([r["chunk"] for r in rows], pa.int64()), pa.array([r["range"] for r in rows], pa.int32()), pa.array(out, pa.binary())], ["chunk", "range", "counts"])
 
     requests = chunks.mapInArrow(asked, "range int, chunk long, keys binary")
@@ -153,19 +167,23 @@ def line_dedup(docs: DataFrame, least_words: int = 5, id_col: str = "doc_id", te
             seen = np.concatenate([np.ascontiguousarray(np.frombuffer(expand(c), np.uint8).reshape(2, -1).T).view("<u2").ravel() for _, c in told])
             count = np.empty(len(every), np.int64)
             count[order] = seen[np.cumsum(new) - 1]
-            c_own, c_key = count[: len(own)], count[len(own) :]
-            # a key that more lines have than the line itself has copies, or that has too many to tell
-            use = (c_key > c_own[line]) | (c_key == 65535)
-            line, keys, place = line[use], keys[use], place[use]
+            c_own, c_key = (count & MANY)[: len(own)], (count & MANY)[len(own) :]
+            met = count > MANY
             sizes = np.diff(cut)[chosen]
-            shrunk = sizes[line] > least_words
-            line, keys = np.concatenate([line, line[shrunk]]), np.concatenate([keyed_by_place(keys, place), keys[shrunk]])
+            # variants that other lines have: more of them than this line has copies, each with the word at so many places
+            new = np.ones(len(keys), bool)
+            new[1:] = (line[1:] != line[:-1]) | (keys[1:] != keys[:-1])
+            times = np.diff(np.append(np.flatnonzero(new), len(keys)))[np.cumsum(new) - 1]
+            use = (c_key > c_own[line] * times) | (c_key == MANY)
+            # variants that are whole lines
+            short = met[len(own) :] & (sizes[line] > least_words) & new
+            copies = np.bincount(which[which >= 0], minlength=len(own))
+            need = (c_own > 1) | (copies > 1) | (met[: len(own)] & (sizes >= least_words))
+            need[line[use | short]] = True
+            line, keys = np.concatenate([line[use], line[short]]), np.concatenate([keyed_by_place(keys[use], place[use]), keys[short]])
             order = np.argsort(line, kind="stable")
             line, keys = line[order], keys[order]
             at = np.searchsorted(line, np.arange(len(own) + 1))
-            copies = np.bincount(which[which >= 0], minlength=len(own))
-            need = (c_own > 1) | (copies > 1)
-            need[line] = True
             data = texts(row)[0]
             for k in np.flatnonzero((which >= 0) & need[which]).tolist():
                 i = which[k]

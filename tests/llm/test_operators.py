@@ -235,6 +235,15 @@ def test_lines(docs):
     assert not seen and not ends
 
 
+def removed_lines(spark, texts):
+    found = line_dedup.line_dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    return {r["doc_id"]: r["removed"] for r in found.collect() if r["removed"]}
+
+
+def test_lines_with_longer_forms(spark):
+    assert removed_lines(spark, ["one two three four five six", "one two three four five nine", "one two three four five six seven"]) == {1: [0], 2: [0]}
+
+
 def test_pieces(docs):
     path = public_tokenizers.path("piece_bpe_32k.model")
     a = pieces.encode(docs, path, heat=0.5, seed=3)
