@@ -103,7 +103,17 @@ def _answers(distinct: np.ndarray, number: np.ndarray) -> np.ndarray:
     return (np.minimum(number, MANY) | (other << 15)).astype("<u2")
 
 
-_ROWS = "chunk long, row int, doc long, line int, key long, near array<long>, body string"
+_ROWS = "chunk long, row int, doc long, line int, key long, near array<long>, shrunk array<long>, body string"
+
+#: What a row has a key for: a variant with its place, a variant that is a whole line, the whole line.
+PLACED, SHRUNK, WHOLE = 0, 1, 2
+
+
+def by_line(line: np.ndarray, keys: np.ndarray, lines: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys in order of their lines, signed, and where those of each line start."""
+    order = np.argsort(line, kind="stable")
+    return keys[order].astype(np.int64), np.searchsorted(line[order], np.arange(lines + 1))
+
 
 
 def line_dedup(docs: DataFrame, least_words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -114,9 +124,9 @@ def line_dedup(docs: DataFrame, least_words: int = 5, id_col: str = "doc_id", te
     deleted or replaced. Words ignore the case of A-Z. All variants of a line with one word
     deleted are hashed; variants that no other line shares are dropped first, by counts that chunks
     of documents ask for, of whole lines and variants apart. Rows of one variant meet in a partial
-    minimum, never as pairs, since
-    all lines of a variant with its place are within the bound of the earliest; that one is then
-    verified by its words.
+    minimum, never as pairs, since all lines of a variant with its place are within the bound of the
+    earliest; so are a whole line and all that shrink to it. One candidate for each key of a line is
+    then verified by its words.
 
     Lines without words stay. Null text has no lines, empty text one. Null ids are no earlier than
     any other. Repeated rows repeat lines. Other columns are ignored; an empty table gives no rows.
@@ -180,34 +190,31 @@ def line_dedup(docs: DataFrame, least_words: int = 5, id_col: str = "doc_id", te
             copies = np.bincount(which[which >= 0], minlength=len(own))
             need = (c_own > 1) | (copies > 1) | (met[: len(own)] & (sizes >= least_words))
             need[line[use | short]] = True
-            line, keys = np.concatenate([line[use], line[short]]), np.concatenate([keyed_by_place(keys[use], place[use]), keys[short]])
-            order = np.argsort(line, kind="stable")
-            line, keys = line[order], keys[order]
-            at = np.searchsorted(line, np.arange(len(own) + 1))
+            placed, at = by_line(line[use], keyed_by_place(keys[use], place[use]), len(own))
+            shrunk, cut_at = by_line(line[short], keys[short], len(own))
             data = texts(row)[0]
             for k in np.flatnonzero((which >= 0) & need[which]).tolist():
                 i = which[k]
                 body = data[starts[k] : starts[k + 1]].tobytes().decode("utf-8", "replace")
-                out.append((row["chunk"], int(doc[k]), row["ids"][doc[k]], int(number[k]), int(own[i].astype(np.int64)), keys[at[i] : at[i + 1]].astype(np.int64).tolist(), body))
-        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.string())
-        columns = list(zip(*out, strict=True)) or [()] * 7
-        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["chunk", "row", "doc", "line", "key", "near", "body"])
+                out.append((row["chunk"], int(doc[k]), row["ids"][doc[k]], int(number[k]), int(own[i].astype(np.int64)), placed[at[i] : at[i + 1]].tolist(), shrunk[cut_at[i] : cut_at[i + 1]].tolist(), body))
+        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.string())
+        columns = list(zip(*out, strict=True)) or [()] * 8
+        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["chunk", "row", "doc", "line", "key", "near", "shrunk", "body"])
 
     rows = materialise(chunks.groupBy("chunk").cogroup(counts.groupBy("chunk")).applyInArrow(flagged, _ROWS), "lines")
     place = F.struct(F.col("doc").isNull().alias("none"), "doc", "line", "chunk", "row").alias("place")
-    placed = rows.select("key", "near", place, "body")
-    distinct = materialise(placed.groupBy("key").agg(F.min(F.struct("place", "body", "near")).alias("m")).select("key", "m.*"), "distinct")
-
-    # The key with a place links all of its lines; the key of a whole line links it with those that shrink to it.
-    shared = distinct.select(F.explode("near").alias("near"), "key", "place", F.lit(False).alias("whole")).unionByName(distinct.select(F.col("key").alias("near"), "key", "place", F.lit(True).alias("whole")))
-    first = shared.groupBy("near").agg(
-        F.min(F.when(~F.col("whole"), F.struct("place", "key"))).alias("part"), F.min(F.when(F.col("whole"), F.struct("place", "key"))).alias("full"), F.count("*").alias("n")
-    ).where("n > 1").drop("n")
-    met = shared.join(first, "near")
-    # Lines that shrink to one key at different places are not linked with each other, only with the whole line.
-    other = F.when(F.col("whole"), F.col("part")).when(F.col("full").isNotNull(), F.col("full")).otherwise(F.col("part"))
-    links = met.select("key", "place", other.alias("other")).where("other.place < place").groupBy("key").agg(F.min("other").alias("other"))
-    pairs = links.select("key", F.col("other.key").alias("other_key"), F.col("other.place").alias("near_place"))
+    placed = rows.select("key", "near", "shrunk", place, "body")
+    distinct = materialise(placed.groupBy("key").agg(F.min(F.struct("place", "body", "near", "shrunk")).alias("m")).select("key", "m.*"), "distinct")
+
+    # The key with a place links all of its lines; the key of a whole line links it with those that shrink to it, which are not linked with each other.
+    kinds = {PLACED: F.explode("near"), SHRUNK: F.explode("shrunk"), WHOLE: F.col("key")}
+    sides = [distinct.select(near.alias("near"), "key", "place", F.lit(kind).alias("kind")) for kind, near in kinds.items()]
+    shared = sides[0].unionByName(sides[1]).unionByName(sides[2])
+    least = lambda *of: F.min(F.when(F.col("kind").isin(*of), F.struct("place", "key")))
+    first = shared.groupBy("near").agg(least(PLACED).alias("same"), least(SHRUNK).alias("longer"), least(WHOLE).alias("full"), F.count("*").alias("n")).where("n > 1").drop("n")
+    other = F.when(F.col("kind") == PLACED, F.col("same")).when(F.col("kind") == SHRUNK, F.col("full")).otherwise(F.col("longer"))
+    met = shared.join(first, "near").select("key", "place", other.alias("other")).where("other.place < place")
+    pairs = met.select("key", F.col("other.key").alias("other_key"), F.col("other.place").alias("near_place")).distinct()
     pairs = pairs.join(distinct.select("key", "body"), "key").join(distinct.select(F.col("key").alias("other_key"), F.col("body").alias("other_body")), "other_key")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -217,7 +224,7 @@ def line_dedup(docs: DataFrame, least_words: int = 5, id_col: str = "doc_id", te
 
     near_schema = distinct.schema["place"].dataType.simpleString()
     near = pairs.select("key", "near_place", "body", "other_body").mapInArrow(verify, f"key long, near_place {near_schema}")
-    earliest = distinct.select("key", F.col("place").alias("first_place")).join(near, "key", "left").select("key", F.least("first_place", F.coalesce("near_place", "first_place")).alias("earliest"))
+    earliest = distinct.select("key", F.col("place").alias("first_place")).join(near.groupBy("key").agg(F.min("near_place").alias("near_place")), "key", "left").select("key", F.least("first_place", F.coalesce("near_place", "first_place")).alias("earliest"))
     gone = placed.join(earliest, "key").where("earliest < place").groupBy(F.col("place.chunk").alias("chunk"), F.col("place.row").alias("row")).agg(F.sort_array(F.collect_set("place.line")).alias("removed"))
 
     def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -242,6 +242,18 @@ def removed_lines(spark, texts):
 
 def test_lines_with_longer_forms(spark):
     assert removed_lines(spark, ["one two three four five six", "one two three four five nine", "one two three four five six seven"]) == {1: [0], 2: [0]}
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice("ab") for _ in range(rng.randint(4, 10))) for _ in range(150)] + [" ".join(rng.choice("abcdefgh") for _ in range(rng.randint(5, 7))) for _ in range(250)]
+    rng.shuffle(texts)
+    want = {}
+    for i, t in enumerate(texts):
+        if any(t == u or min(len(t.split()), len(u.split())) >= 5 and line_dedup.within_one(t, u) for u in texts[:i]):
+            want[i] = [0]
+    assert removed_lines(spark, texts) == want and 0 < len(want) < len(texts)
+
+
+def test_lines_with_moved_words(spark):
+    assert removed_lines(spark, ["b c d e f a", "a b c d e g", "a b c d e f"]) == {2: [0]}
 
 
 def test_pieces(docs):
