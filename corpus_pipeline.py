@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir), works on all rows that the one before kept, and returns a
 DataFrame; ``run`` writes each result as Parquet in the shared folder and reads it again. All but
-the last return the columns of ``documents``.
+the last return the columns of ``documents``. Decisions belong to rows, not ids: a stage gives each
+row a key first, so that rows with a null or repeated doc_id are judged like any other.
 """
 
 from __future__ import annotations
@@ -17,29 +18,40 @@ from emberlog.llm.queries import PACK_TOKENIZER
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """Documents with ``row``, a key of each row, written so that it stays the same."""
+    return materialise(docs.select(*COLUMNS).withColumn("row", F.monotonically_increasing_id()), "rows")
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents in no language: null text or no letters. The model is learned from all labelled rows."""
     model = langid.fit(docs, F.lit(True))
-    found = langid.language_id(docs, model).where("lang_pred <> 'und'").select("doc_id")
-    return docs.join(found.distinct(), "doc_id", "left_semi").select(*COLUMNS)
+    rows = keyed(docs)
+    found = langid.language_id(rows, model, id_col="row").where("lang_pred <> 'und'").select("row")
+    return rows.join(found, "row", "left_semi").select(*COLUMNS)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the row with the largest doc_id of each group of equal texts."""
-    kept = exact_dedup.exact_dedup(docs).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*COLUMNS)
+    """Keep one row of each group of equal texts: with the largest doc_id, null only if all are."""
+    rows = keyed(docs)
+    ranked = rows.select(F.struct("doc_id", "row").alias("key"), "text")
+    kept = exact_dedup.exact_dedup(ranked, id_col="key").where("kept").select("key.row")
+    return rows.join(kept, "row", "left_semi").select(*COLUMNS)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each near-duplicate group: five words, similarity of 0.8 or more."""
-    kept = minhash.near_duplicates(docs, width=5, percent=80).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*COLUMNS)
+    """Keep one row of each near-duplicate group (five words, similarity of 0.8 or more): with the smallest doc_id, null only if all are."""
+    rows = keyed(docs)
+    found = minhash.near_duplicates(rows, width=5, percent=80, id_col="row").select("row", "component_id")
+    ranked = found.join(rows.select("row", "doc_id"), "row").groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first"))
+    return rows.join(ranked.select("first.row"), "row", "left_semi").select(*COLUMNS)
 
 
 def secret(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Mask live-looking secrets that few owners share; all documents stay, and n_chars follows the text."""
-    found = secrets.secret_scan(docs).select("doc_id", "secrets").where(F.exists("secrets", lambda s: s["verdict"] == "live")).dropDuplicates(["doc_id"])
-    joined = docs.join(found, "doc_id", "left")
+    rows = keyed(docs)
+    found = secrets.secret_scan(rows, id_col="row", repository=F.col("doc_id")).select("row", "secrets").where(F.exists("secrets", lambda s: s["verdict"] == "live"))
+    joined = rows.join(found, "row", "left")
     text = F.when(F.col("secrets").isNull(), F.col("text")).otherwise(secrets.redact(F.col("text"), F.col("secrets")))
     return joined.select("doc_id", text.alias("text"), "lang", "source", F.when(F.col("secrets").isNull(), F.col("n_chars")).otherwise(F.length(text).cast("long")).alias("n_chars"))
 

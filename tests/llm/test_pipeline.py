@@ -27,3 +27,20 @@ def test_stages(spark, tmp_path):
             assert masked["text"] == "a quite different text [secret]" and masked["n_chars"] == len(masked["text"])
     assert seen == [[1, 2, 3, 6], [2, 3, 6], [2, 6], [2, 6], [2, 6]]
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 2
+
+
+def test_null_and_repeated_ids(spark, tmp_path):
+    base = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen"
+    clean, live = "nothing of note in a clean text", "here a password = Kq92LmPx0z of someone"
+    rows = [(None, base, "en", "a", 9), (1, base, "en", "a", 9), (1, base, "en", "a", 9), (None, base + " more", "en", "a", 9), (None, "quite another text without an id", "en", "a", 9), (7, live, "en", "a", 9), (7, clean, "en", "a", 9), (8, "12 34", "en", "a", 9), (8, "words that share an id with numbers", "en", "a", 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    seen = []
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        docs = corpus_pipeline.materialise(stage(spark, docs, str(tmp_path)), "stage")
+        seen.append({(r["doc_id"], r["text"]) for r in docs.collect()})
+        assert docs.count() == (8 if len(seen) == 1 else len(seen[-1]))
+    alone = {(None, "quite another text without an id"), (7, clean), (8, "words that share an id with numbers")}
+    assert seen[0] == {(r[0], r[1]) for r in rows} - {(8, "12 34")}
+    assert seen[1] == alone | {(1, base), (None, base + " more"), (7, live)}
+    assert seen[2] == alone | {(1, base), (7, live)}
+    assert seen[3] == alone | {(1, base), (7, "here a [secret] of someone")}
