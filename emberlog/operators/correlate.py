@@ -76,9 +76,8 @@ def match_iocs(events: DataFrame, iocs: DataFrame, fields: tuple[str, ...] = SEA
 
     Addresses are equal to a column or stand alone in the text; domains, paths and hashes are
     substrings in any case; literals stand alone. Addresses in text are taken out of it and joined
-    on equality. The other kinds need a comparison with each indicator: the list is counted, and
-    up to ``most`` it is broadcast; beyond, words of the text are joined on equality first and
-    indicators that are no words meet the events in a shuffled product of the smaller list.
+    on equality. The other kinds need a comparison with each indicator: the list is counted and
+    dealt by hash into parts of about ``most``, each of which is broadcast to all events.
     """
     text = F.lower(F.concat_ws(" ", *(F.coalesce(c, F.lit("")) for c in fields)))
     base = events.withColumn("searched", text)
@@ -87,13 +86,15 @@ def match_iocs(events: DataFrame, iocs: DataFrame, fields: tuple[str, ...] = SEA
     found = F.array_distinct(F.array_compact(F.concat(F.array("src_ip", "dst_ip"), F.regexp_extract_all("searched", F.lit(r"(?<![0-9a-z_.:-])(\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3})(?![0-9a-z_.:-])"), 1))))
     by_ip = base.withColumn("ip", F.explode(found)).join(ips, "ip").select(*base.columns, "value", "kind", "label")
     rest = iocs.where("kind <> 'ip'")
-    if rest.limit(most + 1).count() > most:
-        raise ValueError(f"more than {most} indicators to search for; match them in parts")
+    parts = max(1, -(-rest.count() // most))
     needle = F.lower("value")
     alone = (F.col("kind") == "literal") & (F.instr("searched", needle) > 0) & F.expr(r"regexp_like(searched, concat('(?<![a-z0-9_.:-])\\Q', lower(value), '\\E(?![a-z0-9_.:-])'))")
     inside = (F.col("kind") != "literal") & (F.instr("searched", needle) > 0)
-    by_text = base.join(F.broadcast(rest), alone | inside)
-    return by_ip.unionByName(by_text).drop("searched")
+    out = by_ip
+    for k in range(parts):
+        part = rest.where(F.pmod(F.xxhash64("value", "kind"), F.lit(parts)) == k)
+        out = out.unionByName(base.join(F.broadcast(part), alone | inside))
+    return out.drop("searched")
 
 
 def token_hits(text: Column, tokens: tuple[str, ...]) -> Column:

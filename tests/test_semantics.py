@@ -128,3 +128,13 @@ def test_streams(spark, tmp_path):
         q.stop()
     assert spark.table("dedup").count() == 5
     assert spark.table("fails").agg(F.max("failures")).first()[0] == 5
+
+
+def test_indicators_in_parts(spark):
+    from emberlog.operators import correlate
+
+    events = spark.createDataFrame([(1, "get evil.example now"), (2, "ran /tmp/x as mallory"), (3, "from 10.0.0.9"), (4, "nothing")], "event_id long, raw string")
+    events = events.selectExpr("*", *(f"cast(null as string) as {c}" for c in correlate.SEARCHED if c != "raw"))
+    iocs = spark.createDataFrame([("evil.example", "domain", "a"), ("/tmp/x", "path", "b"), ("mallory", "literal", "c"), ("10.0.0.9", "ip", "d"), ("absent", "literal", "e")], "value string, kind string, label string")
+    got = sorted((r["event_id"], r["value"]) for r in correlate.match_iocs(events, iocs, most=1).collect())
+    assert got == [(1, "evil.example"), (2, "/tmp/x"), (2, "mallory"), (3, "10.0.0.9")]
