@@ -19,7 +19,9 @@ def prepare(spark: SparkSession) -> SparkSession:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share, as ``spark.checkpoint.dir`` names it; a temporary one only where it is unset."""
     path = spark.conf.get("spark.checkpoint.dir", None)
-    if path is None:
-        path = "file://" + tempfile.mkdtemp(prefix="emberlog-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path
+    if path:
+        return path
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="emberlog-"))
+    return context.getCheckpointDir()
