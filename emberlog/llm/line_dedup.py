@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from emberlog.llm import kernels
 from emberlog.llm.chunks import chunked, expand, range_bits, squeeze, texts
-from emberlog.llm.common import materialise
+from emberlog.llm.common import discard, materialise
 from emberlog.llm.kernels import pack_keys, unpack_keys
 
 U64 = np.uint64
@@ -202,6 +202,7 @@ def line_dedup(docs: DataFrame, least_words: int = 5, id_col: str = "doc_id", te
         return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["chunk", "row", "doc", "line", "key", "near", "shrunk", "body"])
 
     rows = materialise(chunks.groupBy("chunk").cogroup(counts.groupBy("chunk")).applyInArrow(flagged, _ROWS), "lines")
+    discard(counts)
     place = F.struct(F.col("doc").isNull().alias("none"), "doc", "line", "chunk", "row").alias("place")
     placed = rows.select("key", "near", "shrunk", place, "body")
     distinct = materialise(placed.groupBy("key").agg(F.min(F.struct("place", "body", "near", "shrunk")).alias("m")).select("key", "m.*"), "distinct")
@@ -226,6 +227,8 @@ def line_dedup(docs: DataFrame, least_words: int = 5, id_col: str = "doc_id", te
     near = pairs.select("key", "near_place", "body", "other_body").mapInArrow(verify, f"key long, near_place {near_schema}")
     earliest = distinct.select("key", F.col("place").alias("first_place")).join(near.groupBy("key").agg(F.min("near_place").alias("near_place")), "key", "left").select("key", F.least("first_place", F.coalesce("near_place", "first_place")).alias("earliest"))
     gone = placed.join(earliest, "key").where("earliest < place").groupBy(F.col("place.chunk").alias("chunk"), F.col("place.row").alias("row")).agg(F.sort_array(F.collect_set("place.line")).alias("removed"))
+    gone = materialise(gone, "gone")
+    discard(rows, distinct)
 
     def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
