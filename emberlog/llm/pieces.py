@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -53,7 +55,13 @@ class Lattice:
             self.text[i] = piece.replace(SPACE, " ").encode()
         for b, i in self.byte.items():
             self.text[i] = bytes([b])
-        hashes = np.array([int(_hash(np.array([[ord(c) for c in p]], U64))[0]) for p in self.weight], U64)
+        names = list(self.weight)
+        lengths, raw = np.array([len(p) for p in names]), np.zeros(len(names), U64)
+        for n in np.unique(lengths).tolist():
+            same = np.flatnonzero(lengths == n)
+            codes = _codes([names[k] for k in same.tolist()], n)
+            raw[same] = ((codes + U64(1)) * _SPREAD * _powers(n)[0][:n]).sum(1, dtype=U64) + U64(n)
+        hashes = mix(raw)
         order = np.argsort(hashes)
         self.hashes = hashes[order]
         self.ids = np.array([i for i, _ in self.weight.values()], np.int32)[order]
@@ -66,6 +74,9 @@ class Lattice:
         self.slots[1, (self.hashes[rest] >> U64(SLOT_BITS) & U64((1 << SLOT_BITS) - 1)).astype(np.int64)] = rest
         if (self.find(self.hashes) != np.arange(len(low))).any():
             raise ValueError("the vocabulary does not fit the tables of its hashes")
+        # most substrings are no pieces: a byte for each place, by the hash before it is mixed, tells of those that may be
+        self.maybe = np.zeros(1 << SLOT_BITS, bool)
+        self.maybe[_slot(raw)] = True
 
     def find(self, hashes: np.ndarray) -> np.ndarray:
         """Place of each hash in ``hashes``, -1 for none."""
@@ -112,82 +123,91 @@ class Lattice:
         units, n = codes.shape
         most = min(n, self.longest)
         up, down = _powers(n)
-        sums = np.zeros((units, n + 1), U64)
-        np.cumsum((codes + U64(1)) * _SPREAD * up[:n], axis=1, out=sums[:, 1:])
+        sums = np.zeros((n + 1, units), U64)
+        np.cumsum(((codes + U64(1)) * _SPREAD * up[:n]).T, axis=0, out=sums[1:])
         ids = np.full((units, n + 1, most), -2, np.int32)
         share = np.full((units, n + 1, most), -np.inf)
-        forward = np.zeros((units, n + 1))
+        for size in range(1, most + 1):
+            raw = ((sums[size:] - sums[:-size]) * down[: n + 1 - size, None] + U64(size)).ravel()
+            near = np.flatnonzero(self.maybe[_slot(raw)])
+            at = self.find(mix(raw[near]))
+            near, at = near[at >= 0], at[at >= 0]
+            i, unit = near // units, near % units
+            plain = (i == 0) | (codes[unit, i] != ord(SPACE))
+            i, unit, at = i[plain], unit[plain], at[plain]
+            ids[unit, i + size, size - 1] = self.ids[at]
+            share[unit, i + size, size - 1] = self.logs[at]
+        lone = ids[:, 1:, 0] == -2
         width = np.where(codes < 0x80, 1, np.where(codes < 0x800, 2, np.where(codes < 0x10000, 3, 4)))
         width[:, 0] = 1
+        ids[:, 1:, 0][lone] = -1
+        share[:, 1:, 0][lone] = self.rare * width[lone]
+        forward = np.zeros((units, n + 1))
         for j in range(1, n + 1):
-            for size in range(1, min(j, most) + 1):
-                i = j - size
-                h = mix((sums[:, j] - sums[:, i]) * down[i] + U64(size))
-                at = self.find(h)
-                known = at >= 0
-                if i:
-                    known &= codes[:, i] != ord(SPACE)
-                ids[known, j, size - 1] = self.ids[at[known]]
-                share[known, j, size - 1] = self.logs[at[known]] + forward[known, i]
-            lone = ids[:, j, 0] == -2
-            ids[lone, j, 0] = -1
-            share[lone, j, 0] = self.rare * width[lone, j - 1] + forward[lone, j - 1]
-            top = share[:, j].max(1)
-            total = np.exp(share[:, j] - top[:, None])
-            forward[:, j] = top + np.log(total.sum(1))
-            share[:, j] = np.cumsum(total / total.sum(1, keepdims=True), axis=1)
+            m = min(j, most)
+            log = share[:, j, :m] + forward[:, j - m : j][:, ::-1]
+            top = log.max(1)
+            total = np.cumsum(np.exp(log - top[:, None]), axis=1)
+            forward[:, j] = top + np.log(total[:, -1])
+            share[:, j, :m] = total / total[:, -1:]
+            share[:, j, m:] = 1
         return ids, share
 
-    def encode(self, texts: list[str], keys: list[int]) -> list[np.ndarray]:
-        """Ids of a segmentation of each text drawn by its key: equal keys and texts give equal ids."""
-        number: dict[str, int] = {}
-        units = [[number.setdefault(SPACE + u, len(number)) for u in t.split(" ")] for t in texts]
-        sizes = np.array([len(u) for u in units])
-        which = np.array([w for u in units for w in u], np.int64)
+    def encode(self, texts: list[str] | pa.Array, keys: list[int], long: int = LONG) -> list[np.ndarray]:
+        """Ids of a segmentation of each text drawn by its key: equal keys and texts give equal ids. Units of over ``long`` characters are drawn one by one."""
+        split = pc.split_pattern(pa.array(texts, pa.string()), " ")
+        sizes = split.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        coded = split.flatten().dictionary_encode()
+        names, which = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False)
         into = np.arange(len(which)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
         seed = np.array([k & 0xFFFFFFFFFFFFFFFF for k in keys], U64)
         bits = mix(mix(np.repeat(seed, sizes)) + into.astype(U64) * U64(0x9E3779B97F4A7C15))
-        names, length = list(number), np.array([len(u) for u in number])
+        length = np.array([len(u) + 1 for u in names], np.int32)
+        rank = np.empty(len(names), np.int32)
         by_length = np.argsort(length, kind="stable")
-        place = np.empty(len(names), np.int64)
+        rank[by_length] = np.arange(len(names))
+        # occurrences by the length of their unit, those of one unit together
+        order = np.argsort(rank[which], kind="stable").astype(np.int32)
+        ordered = rank[which][order]
         steps, count, slow = [], np.zeros(len(which), np.int64), {}
-        own_length = length[which]
         for n in np.unique(length).tolist():
-            rows = np.flatnonzero(own_length == n)
-            if n > LONG:
-                for r in rows.tolist():
+            lo, hi = np.searchsorted(length[by_length], [n, n + 1]).tolist()
+            if n > long:
+                for r in order[slice(*np.searchsorted(ordered, [lo, hi]))].tolist():
                     draws = (float(mix(bits[r : r + 1] + U64(k))[0] >> U64(11)) * 2.0**-53 for k in range(1 << 62))
-                    slow[r] = self.backward(*self.edges(names[which[r]]), draws)
+                    slow[r] = self.backward(*self.edges(SPACE + names[which[r]]), draws)
                     count[r] = len(slow[r])
                 continue
-            kinds = by_length[np.searchsorted(length[by_length], n) : np.searchsorted(length[by_length], n, "right")]
             many = max(64, CELLS // ((n + 1) * min(n, self.longest)))
-            for a in range(0, len(kinds), many):
-                part = kinds[a : a + many]
-                place[:] = -1
-                place[part] = np.arange(len(part))
-                codes = np.array([names[k] for k in part.tolist()], f"<U{n}").view("<u4").reshape(len(part), n).astype(U64)
+            for a in range(lo, hi, many):
+                part = by_length[a : min(hi, a + many)]
+                codes = np.full((len(part), n), ord(SPACE), U64)
+                if n > 1:
+                    codes[:, 1:] = _codes([names[k] for k in part.tolist()], n - 1)
                 ids, share = self.filtered(codes)
-                live = rows[place[which[rows]] >= 0]
-                kind, at, step = place[which[live]], np.full(len(live), n), 0
+                begin, stop = np.searchsorted(ordered, [a, a + len(part)])
+                live, kind = order[begin:stop], ordered[begin:stop] - a
+                at, step = np.full(len(live), n, np.int32), 0
                 while len(live):
                     draw = (mix(bits[live] + U64(step)) >> U64(11)) * 2.0**-53
-                    size = np.minimum((share[kind, at] <= draw[:, None]).sum(1), np.minimum(at, share.shape[2]) - 1)
+                    size = np.minimum((share[kind, at] <= draw[:, None]).sum(1, dtype=np.int32), np.minimum(at, share.shape[2]) - 1)
                     got = ids[kind, at, size]
-                    char = np.where(at == 1, U64(32), codes[kind, at - 1]).astype(np.int64)
-                    wide = np.where(got >= 0, 1, np.where(char < 0x80, 1, np.where(char < 0x800, 2, np.where(char < 0x10000, 3, 4))))
+                    lone = np.flatnonzero(got < 0)
+                    char = np.where(at[lone] == 1, U64(32), codes[kind[lone], at[lone] - 1])
+                    wide = np.ones(len(live), np.int8)
+                    wide[lone] += (char >= 0x80).astype(np.int8) + (char >= 0x800) + (char >= 0x10000)
                     count[live] += wide
-                    steps.append((live, got, char, wide))
+                    steps.append((live, got, lone, char, wide))
                     at = at - size - 1
-                    more = at > 0
+                    more = np.flatnonzero(at)
                     live, kind, at, step = live[more], kind[more], at[more], step + 1
         end = np.cumsum(count)
         out, free = np.zeros(int(end[-1]) if len(end) else 0, np.int32), end.copy()
-        for live, got, char, wide in steps:
+        for live, got, lone, char, wide in steps:
             free[live] -= wide
-            plain = got >= 0
+            plain = np.flatnonzero(got >= 0) if len(lone) else slice(None)
             out[free[live[plain]]] = got[plain]
-            for r, c, at in zip(live[~plain].tolist(), char[~plain].tolist(), free[live[~plain]].tolist(), strict=True):
+            for c, at in zip(char.tolist(), free[live[lone]].tolist(), strict=True):
                 raw = chr(c).encode()
                 out[at : at + len(raw)] = self.byte_ids[np.frombuffer(raw, np.uint8)]
         for r, own in slow.items():
@@ -199,35 +219,50 @@ class Lattice:
         return b"".join([self.text[i] for i in ids.tolist()])[1:].decode("utf-8", "replace")
 
 
+@functools.cache
+def _lattice(model_file: str, heat: float = 1.0) -> Lattice:
+    """The lattice of a vocabulary, kept by the worker from one task to the next."""
+    return Lattice(model_file, heat)
+
+
+def _codes(words: list[str], n: int) -> np.ndarray:
+    """Code points of words of ``n`` characters, a row each."""
+    return np.array(words, f"<U{n}").view("<u4").reshape(len(words), n).astype(U64)
+
+
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     base = 0x9E3779B97F4A7C15
     inverse = pow(base, -1, 1 << 64)
     return np.array([pow(base, k, 1 << 64) for k in range(n + 1)], U64), np.array([pow(inverse, k, 1 << 64) for k in range(n + 1)], U64)
 
 
-def _hash(codes: np.ndarray) -> np.ndarray:
-    up, _ = _powers(codes.shape[1])
-    return mix(((codes + U64(1)) * _SPREAD * up[: codes.shape[1]]).sum(1, dtype=U64) + U64(codes.shape[1]))
+def _slot(raw: np.ndarray) -> np.ndarray:
+    return (raw * _SPREAD >> U64(64 - SLOT_BITS)).astype(np.int64)
 
 
 def encode(docs: DataFrame, model_file: str, heat: float = 1.0, seed: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id and ``ids``, a segmentation drawn by forward filtering and backward sampling.
 
     The draw depends on the row's id, ``seed`` and the text only. Forward sums are made once for each
-    distinct unit of a few MB of text, all units of one length together, and so are the draws. Null text gives null ids, empty text the one unit of a space; a null id is a
-    key of its own. Repeated rows repeat their ids, an empty table gives no rows, texts are never
-    cut, other columns are ignored.
+    distinct unit of a few MB of text, all units of one length together, and so are the draws. Pieces
+    are found by 64-bit hashes; each text's ids are decoded again, and a text that does not come
+    back is drawn with pieces looked up by name, so nothing is lost. Null text gives null ids, empty
+    text the one unit of a space; a null id is a key of its own. Repeated rows repeat their ids, an
+    empty table gives no rows, texts are never cut, other columns are ignored.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattice = Lattice(model_file, heat)
+        lattice = _lattice(model_file, heat)
         for batch in batches:
-            for part in slices(batch, "text", 4 << 20):
-                texts = part.column("text").to_pylist()
-                got = lattice.encode([t or "" for t in texts], part.column("key").to_pylist())
-                none = [t is None for t in texts]
+            for part in slices(batch, "text", 5 << 20):
+                texts = part.column("text")
+                got = lattice.encode(texts.fill_null(""), part.column("key").to_pylist())
+                none = texts.is_null()
+                for k, (text, key) in enumerate(zip(texts.to_pylist(), part.column("key").to_pylist(), strict=True)):
+                    if lattice.decode(got[k]) != (text or ""):  # a hash met another substring's: look pieces up by name
+                        got[k] = lattice.encode([text], [key], long=0)[0]
                 offsets = pa.array(np.concatenate([[0], np.cumsum([len(g) for g in got])]).astype(np.int32))
-                ids = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(got)), mask=pa.array(none, pa.bool_()))
+                ids = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(got)), mask=none)
                 yield pa.RecordBatch.from_arrays([part.column("id"), ids], ["id", "ids"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.xxhash64(F.col(id_col), F.lit(seed)).alias("key"))
@@ -238,7 +273,7 @@ def decode(encoded: DataFrame, model_file: str, id_col: str = "doc_id", ids_col:
     """Per row: id, the ids and ``text``, exactly what was encoded; null ids give null text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattice = Lattice(model_file)
+        lattice = _lattice(model_file)
         for batch in batches:
             for part in (batch.slice(a, 512) for a in range(0, batch.num_rows, 512)):
                 texts = [None if not x.is_valid else lattice.decode(x.values.to_numpy()) for x in part.column("ids")]
