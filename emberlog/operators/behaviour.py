@@ -2,21 +2,24 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from emberlog.functions.text import severity_rank, sorted_set
-from emberlog.operators.timeline import first_ids
+from emberlog.operators.correlate import ioc_finding
+from emberlog.operators.timeline import first_ids, first_n
 
 # Names of actions and detections that make a finding.
 FINDING_POLICIES = (
-    *("download_execute_chain", "credential_material_access", "log_or_history_tampering", "cloud_metadata_access", "docker_socket_access", "exfil_tool_usage", "miner_execution", "destructive_command"),
-    *("reverse_shell_or_tunnel_pattern", "uid0_non_root_account", "container_group_privilege_risk", "nopasswd_sudo_rule", "broad_nopasswd_sudo_rule", "dangerous_sudo_rule_candidate", "suspicious_cron_entry"),
-    *("suspicious_systemd_execstart", "ld_so_preload_modified", "pam_backdoor_candidate", "dangerous_file_capability", "suid_file_observed", "sgid_file_observed", "audit_exec_from_tmp", "audit_credential_access"),
-    *("audit_ssh_key_tampering", "audit_kernel_module_load", "world_writable_sensitive_file", "failed_login_history", "audit_authentication_failure", "audit_anomaly", "plaintext_password_in_history"),
-    *("outbound_ssh_command", "outbound_file_transfer_command", "outbound_ssh_connection", "account_created_since_backup", "account_deleted_since_backup", "account_unlocked_since_backup", "root_password_changed"),
-    *("privileged_group_member_added", "password_changed_since_backup", "auth_user_created", "auth_user_deleted", "auth_password_changed"),
+    "download_execute_chain", "credential_material_access", "log_or_history_tampering", "cloud_metadata_access", "docker_socket_access", "exfil_tool_usage", "miner_execution", "destructive_command",
+    "reverse_shell_or_tunnel_pattern", "uid0_non_root_account", "container_group_privilege_risk", "nopasswd_sudo_rule", "broad_nopasswd_sudo_rule", "dangerous_sudo_rule_candidate", "suspicious_cron_entry",
+    "suspicious_systemd_execstart", "ld_so_preload_modified", "pam_backdoor_candidate", "dangerous_file_capability", "suid_file_observed", "sgid_file_observed", "audit_exec_from_tmp", "audit_credential_access",
+    "audit_ssh_key_tampering", "audit_kernel_module_load", "world_writable_sensitive_file", "failed_login_history", "audit_authentication_failure", "audit_anomaly", "plaintext_password_in_history",
+    "outbound_ssh_command", "outbound_file_transfer_command", "outbound_ssh_connection", "account_created_since_backup", "account_deleted_since_backup", "account_unlocked_since_backup", "root_password_changed",
+    "privileged_group_member_added", "password_changed_since_backup", "auth_user_created", "auth_user_deleted", "auth_password_changed",
 )
 # Those of them that are of medium severity.
 MEDIUM_POLICIES = ("suid_file_observed", "sgid_file_observed", "container_group_privilege_risk", "failed_login_history", "audit_authentication_failure", "audit_anomaly")
@@ -27,33 +30,41 @@ def micros(ts: Column) -> Column:
 
 
 def success_after_failures(events: DataFrame, window_seconds: int = 1800, least: int = 5, failure: str = "ssh_login_failure", success: str = "ssh_login_success", last: int = 5) -> DataFrame:
-    """Successes with ``least`` failures or more of the same user and address in the time before, both ends included.
+    """Successes with ``least`` failures or more of the same user and address in the time before, both ends included; null keys are equal.
 
-    One window over (user, address) in order of time, with null keys equal; no join. The failures'
-    ids are the ``last`` ones. A frame by range holds the failures of that time only.
+    Time is cut into buckets of the window's length, and failures go to their own and the next one,
+    so a bucket holds all that its successes need and a hot pair of user and address is many groups.
+    Failures are numbered in each, and a success asks for the ``last`` numbers before it: an
+    equi-join of a few rows a hit.
     """
-    used = events.where(F.col("event_action").isin(failure, success) & F.col("timestamp").isNotNull())
-    span = Window.partitionBy("user", "src_ip").orderBy(micros(F.col("timestamp"))).rangeBetween(-window_seconds * 1_000_000, 0)
     failed = F.col("event_action") == failure
-    counted = used.withColumn("failures", F.count_if(failed).over(span))
-    hits = counted.where(~failed & (F.col("failures") >= least)).select("event_id", "user", "src_ip", "timestamp", "failures")
-    fails = used.where(failed).select(F.col("event_id").alias("failure_id"), F.col("timestamp").alias("failed_at"), F.col("user").alias("u"), F.col("src_ip").alias("s"))
-    near = hits.join(fails, F.col("user").eqNullSafe(F.col("u")) & F.col("src_ip").eqNullSafe(F.col("s")) & (F.col("failed_at") <= F.col("timestamp")) & (F.col("failed_at") >= F.col("timestamp") - F.expr(f"INTERVAL {int(window_seconds)} SECONDS")))
-    ids = first_ids(near, ["event_id"], [F.desc("failed_at"), F.desc("failure_id")], last, "failure_id", "failure_ids")
-    return hits.join(ids, "event_id").select("event_id", "user", "src_ip", "timestamp", "failures", F.array_sort("failure_ids").alias("failure_ids"))
+    bucket = F.floor(F.unix_seconds("timestamp") / window_seconds)
+    timed = events.where(F.col("event_action").isin(failure, success) & F.col("timestamp").isNotNull())
+    used = timed.select("event_id", "user", "src_ip", "timestamp", failed.alias("failed"), F.explode(F.when(failed, F.array(bucket, bucket + 1)).otherwise(F.array(bucket))).alias("bucket"))
+    group = Window.partitionBy("user", "src_ip", "bucket")
+    by_time = group.orderBy(micros(F.col("timestamp")))
+    counted = used.withColumns({"failures": F.count_if("failed").over(by_time.rangeBetween(-window_seconds * 1_000_000, 0)), "until": F.count_if("failed").over(by_time.rangeBetween(Window.unboundedPreceding, 0))})
+    hits = counted.where(~F.col("failed") & (F.col("failures") >= least)).drop("failed")
+    wanted = hits.withColumn("number", F.explode(F.sequence(F.col("until") - F.least(F.col("failures"), F.lit(last)) + 1, F.col("until"))))
+    number = F.row_number().over(group.orderBy("timestamp", "event_id")).cast("long")
+    fails = used.where("failed").select(F.col("user").alias("u"), F.col("src_ip").alias("s"), F.col("bucket").alias("k"), number.alias("n"), F.col("event_id").alias("failure_id"))
+    met = wanted.join(fails, F.col("user").eqNullSafe(F.col("u")) & F.col("src_ip").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("k")) & (F.col("number") == F.col("n")))
+    return met.groupBy("event_id", "user", "src_ip", "timestamp", "failures").agg(F.array_sort(F.collect_list("failure_id")).alias("failure_ids"))
 
 
 def policy_findings(events: DataFrame, policies: tuple[str, ...] = FINDING_POLICIES, medium: tuple[str, ...] = MEDIUM_POLICIES) -> DataFrame:
     """One finding for each policy that an action or a detection names.
 
     The count takes both, so an event can count twice; its id is listed once. Evidence of state
-    alone makes the severity medium and the confidence low.
+    alone makes the severity medium and the confidence low. Events without an id count each.
     """
-    names = F.filter(F.concat(F.array("event_action"), F.coalesce("detection_names", F.array().cast("array<string>"))), lambda n: n.isin(*policies))
-    hits = events.withColumn("policy", F.explode(names))
-    each = hits.groupBy("policy", "event_id").agg(F.count("*").alias("n"), F.first("evidence_role").alias("evidence_role"), F.first("confidence").alias("confidence"), F.first("timestamp").alias("timestamp"))
-    totals = each.groupBy("policy").agg(F.sum("n").alias("hits"), F.bool_and(F.col("evidence_role") != "behavior").alias("state_only"), F.bool_and(F.col("confidence") == "high").alias("sure"), F.collect_set("evidence_role").alias("roles"))
+    none = F.array().cast("array<string>")
+    names = F.filter(F.concat(F.array("event_action"), F.coalesce("detection_names", none)), lambda n: n.isin(*policies))
+    used = events.select("event_id", "timestamp", "evidence_role", "confidence", names.alias("names")).where(F.size("names") > 0)
+    each = used.withColumn("policy", F.explode(F.array_distinct("names"))).withColumn("n", F.size(F.filter("names", lambda x: x == F.col("policy"))))
+    totals = each.groupBy("policy").agg(F.sum("n").alias("hits"), F.bool_and(~F.col("evidence_role").eqNullSafe(F.lit("behavior"))).alias("state_only"), F.bool_and(F.col("confidence").eqNullSafe(F.lit("high"))).alias("sure"), F.collect_set("evidence_role").alias("roles"))
     ids = first_ids(each, ["policy"], [F.col("timestamp").asc_nulls_last(), F.col("event_id")], 10)
+    text = F.concat(F.lit("Observed "), F.col("hits").cast("string"), F.when(F.col("state_only"), " state or inferred").otherwise(""), F.lit(" event(s) matching "), F.col("policy"), F.when(F.col("state_only"), "; this shows no execution or action of an attacker without corroboration.").otherwise("."))
     return totals.join(ids, "policy").select(
         F.initcap(F.translate("policy", "_", " ")).alias("title"),
         F.when(F.col("state_only") | F.col("policy").isin(*medium), "medium").otherwise("high").alias("severity"),
@@ -62,16 +73,19 @@ def policy_findings(events: DataFrame, policies: tuple[str, ...] = FINDING_POLIC
         "event_ids",
         F.when(F.col("state_only"), F.array(F.col("policy"), F.lit("contextual_evidence"), F.lit("requires_corroboration"))).otherwise(F.array("policy")).alias("tags"),
         F.array_sort("roles").alias("evidence_roles"),
+        text.alias("summary"),
     )
 
 
 def bruteforce_campaigns(events: DataFrame, least: int = 20, failures: tuple[str, ...] = ("ssh_login_failure",)) -> DataFrame:
-    """Addresses (none is one of them) with ``least`` failures or more: users, first and last time, first ten users."""
+    """Addresses (none is one of them) with ``least`` failures or more: users, first and last time, first ten users, first five ids."""
     used = events.where(F.col("event_action").isin(*failures))
     per_user = used.groupBy("src_ip", "user").agg(F.count("*").alias("n"), F.min("timestamp").alias("first"), F.max("timestamp").alias("last"))
-    totals = per_user.groupBy("src_ip").agg(F.sum("n").alias("failures"), F.count("user").alias("users"), F.min("first").alias("first_seen"), F.max("last").alias("last_seen")).where(F.col("failures") >= least)
-    names = first_ids(per_user.where("user is not null"), ["src_ip"], [F.col("user")], 10, "user", "first_users")
-    return totals.join(names.withColumnRenamed("src_ip", "s"), F.col("src_ip").eqNullSafe(F.col("s")), "left").drop("s")
+    totals = per_user.groupBy("src_ip").agg(F.sum("n").alias("failures"), F.count(F.nullif("user", F.lit(""))).alias("users"), F.min("first").alias("first_seen"), F.max("last").alias("last_seen")).where(F.col("failures") >= least)
+    names = first_ids(per_user.where("user <> ''"), ["src_ip"], [F.col("user")], 10, "user", "first_users").withColumnRenamed("src_ip", "s")
+    ids = first_ids(used, ["src_ip"], [F.col("timestamp").asc_nulls_last(), F.col("event_id")], 5).withColumnRenamed("src_ip", "i")
+    same = lambda c: F.col("src_ip").eqNullSafe(F.col(c))
+    return totals.join(names, same("s"), "left").join(ids, same("i"), "left").drop("s", "i")
 
 
 def account_lifecycle(events: DataFrame) -> DataFrame:
@@ -92,23 +106,24 @@ def account_lifecycle(events: DataFrame) -> DataFrame:
     return used.groupBy("kind", "user").agg(F.count("*").alias("n")).groupBy("kind").agg(F.count("user").alias("users"), F.sum("n").alias("events"))
 
 
-def indexed(events: DataFrame, partitions: int = 64) -> DataFrame:
-    """Add ``position``, the place in order of time, without a sort in one task.
+def indexed(events: DataFrame, partitions: int = 64, order: tuple[str, ...] = ("timestamp", "event_id"), weight: Column | None = None) -> DataFrame:
+    """Add ``position``, the place in order of time or the sum of ``weight`` until there, without a sort in one task.
 
     Times are cut at approximate quantiles, a list of ``partitions`` numbers that is the same
     whenever a part is computed again; rows are numbered in each part, and the parts' sizes summed.
     """
+    one = F.lit(1) if weight is None else weight
     timed = events.withColumn("us", micros(F.col("timestamp")).cast("double"))
     cuts = sorted(set(timed.approxQuantile("us", [k / partitions for k in range(1, partitions)], 0.2 / partitions)))
     part = F.size(F.filter(F.array(*map(F.lit, cuts)).cast("array<double>"), lambda c: c <= F.col("us"))) if cuts else F.lit(0)
-    inside = timed.withColumn("part", part).drop("us").withColumn("k", F.row_number().over(Window.partitionBy("part").orderBy("timestamp", "event_id")))
-    sizes = timed.groupBy(part.alias("part")).agg(F.count("*").alias("n"))
+    inside = timed.withColumn("part", part).drop("us").withColumn("k", F.sum(one).over(Window.partitionBy("part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
+    sizes = timed.groupBy(part.alias("part")).agg(F.sum(one).alias("n"))
     before = sizes.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
     return inside.join(F.broadcast(before), "part").withColumn("position", F.col("k") + F.col("before")).drop("part", "k", "before")
 
 
 def initial_access_storylines(events: DataFrame, frame: int = 25, anchors: tuple[str, ...] = ("ssh_login_success", "http_request"), download: str = "download_execute_chain", cron: str = "cron_modified", chmod: str = "chmod_executable", miner: str = "miner_execution", partitions: int = 64) -> DataFrame:
-    """Logins or requests that a chain of execution follows within the next ``frame`` dated events.
+    """Logins or requests that a chain of execution follows within the next ``frame`` dated events, with the first 15 ids of medium severity or more among them.
 
     Events are numbered in order of time; the few that carry a signal meet the anchors by blocks of
     ``frame`` positions, an equi-join, so no window runs over the whole timeline in one task.
@@ -126,38 +141,60 @@ def initial_access_storylines(events: DataFrame, frame: int = 25, anchors: tuple
     ends = placed.select(F.col("position").alias("end_position"), F.col("timestamp").alias("end"))
     last = placed.agg(F.max("position").alias("top"))
     kept = kept.crossJoin(F.broadcast(last)).withColumn("end_position", F.least(F.col("position") + frame - 1, F.col("top")))
-    return kept.join(ends, "end_position").select("event_id", F.col("timestamp").alias("start"), "end", F.array_sort("signals").alias("signals"))
+    grave = placed.where(severity_rank(F.col("severity")) >= 2).select(F.col("position").alias("at"), F.col("event_id").alias("grave_id"), block.alias("block"))
+    near = kept.select("event_id", "position", F.explode(F.array(block, block + 1)).alias("block")).join(grave, "block").where((F.col("at") >= F.col("position")) & (F.col("at") < F.col("position") + frame))
+    ids = first_ids(near, ["event_id"], [F.col("at")], 15, "grave_id", "event_ids")
+    return kept.join(ends, "end_position").join(ids, "event_id", "left").select(
+        "event_id", F.lit("Initial access followed by suspicious execution or persistence").alias("title"), F.col("timestamp").alias("start"), "end", F.lit("medium").alias("confidence"), F.array_sort("signals").alias("signals"), F.coalesce("event_ids", F.array().cast("array<string>")).alias("event_ids")
+    )
 
 
 # Actions of note after a login.
 FOLLOWING = ("sudo_command", "shell_command", "password_changed", "user_created", "user_modified", "account_unlocked")
 
 
-def bruteforce_storylines(events: DataFrame, least: int = 10, prior: int = 5) -> DataFrame:
-    """Per address with ``least`` failures: its first success with ``prior`` of them until then, and the three failures before.
+def bruteforce_storylines(events: DataFrame, least: int = 10, prior: int = 5, follow: tuple[str, ...] = FOLLOWING, partitions: int = 64) -> DataFrame:
+    """Per address (none is one of them) with ``least`` failures: its first success with ``prior`` of them until then.
 
-    ``following_events`` finds what anyone did next.
+    A line goes from the address's first failure to the last event of the story: the three failures
+    before the success, the success, and the first ten events of ``follow`` by anyone from then on.
+    The time of an address's ``prior``-th failure decides which success counts, so no window holds
+    all events of an address.
     """
     failed, won = F.col("event_action") == "ssh_login_failure", F.col("event_action") == "ssh_login_success"
-    used = events.where((failed | won) & F.col("timestamp").isNotNull()).select("event_id", "src_ip", "user", "timestamp", "event_action")
-    order = Window.partitionBy("src_ip").orderBy(micros(F.col("timestamp"))).rangeBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy("src_ip")
-    counted = used.withColumns({"before": F.count_if(failed).over(order), "all_failures": F.count_if(failed).over(whole)})
-    first = counted.where(won & (F.col("before") >= prior) & (F.col("all_failures") >= least)).groupBy("src_ip").agg(F.min_by(F.struct("event_id", "user", "timestamp", "before", "all_failures"), F.struct("timestamp", "event_id")).alias("s"))
-    anchors = first.select("src_ip", "s.*")
-    fails = used.where(failed).select(F.col("src_ip").alias("ip"), F.col("event_id").alias("failure_id"), F.col("timestamp").alias("failed_at"))
-    near = anchors.join(fails, F.col("src_ip").eqNullSafe(F.col("ip")) & (F.col("failed_at") <= F.col("timestamp")))
-    three = first_ids(near, ["event_id"], [F.desc("failed_at"), F.desc("failure_id")], 3, "failure_id", "failure_ids")
-    return anchors.join(three, "event_id").select("src_ip", "event_id", "user", F.col("timestamp").alias("start"), F.col("before").alias("failures_before"), "all_failures", F.array_sort("failure_ids").alias("failure_ids"))
-
-
-def following_events(events: DataFrame, anchors: DataFrame, follow: tuple[str, ...] = FOLLOWING, n: int = 10, bucket_seconds: int = 86_400, reach: int = 7) -> DataFrame:
-    """The first ``n`` events of the actions ``follow`` from each anchor on (``event_id``, ``start``), within ``reach`` buckets of time."""
-    bucket = lambda c: F.floor(F.unix_seconds(c) / bucket_seconds)
-    marks = events.where(F.col("event_action").isin(*follow) & F.col("timestamp").isNotNull()).select(F.col("event_id").alias("next_id"), F.col("timestamp").alias("next_at"), bucket(F.col("timestamp")).alias("bucket"))
-    open_ = anchors.select("event_id", "start", F.explode(F.sequence(bucket(F.col("start")), bucket(F.col("start")) + reach)).alias("bucket"))
-    met = open_.join(marks, "bucket").where(F.col("next_at") >= F.col("start"))
-    return first_ids(met, ["event_id"], [F.col("next_at"), F.col("next_id")], n, "next_id", "next_ids")
+    timed = events.where(F.col("timestamp").isNotNull()).withColumn("address", F.coalesce("src_ip", F.lit("\x00")))
+    fails = timed.where(failed).select("address", F.col("event_id").alias("failure_id"), F.col("timestamp").alias("failed_at"))
+    totals = fails.groupBy("address").agg(F.count("*").alias("all_failures"), F.min("failed_at").alias("start")).where(F.col("all_failures") >= least)
+    enough = first_n(fails, ["address"], [F.col("failed_at"), F.col("failure_id")], prior).where(F.col("place") == prior).select("address", F.col("failed_at").alias("enough_at"))
+    wins = timed.where(won).select("address", "event_id", "src_ip", "user", "timestamp")
+    first = wins.join(enough, "address").where("timestamp >= enough_at").groupBy("address").agg(F.min_by(F.struct("event_id", "src_ip", "user", "timestamp"), F.struct("timestamp", "event_id")).alias("s"))
+    anchors = first.select("address", "s.*").join(totals, "address")
+    near = anchors.join(fails, "address").where("failed_at <= timestamp")
+    counts = near.groupBy("address").agg(F.count("*").alias("failures_before"))
+    three = first_ids(near, ["address"], [F.desc("failed_at"), F.desc("failure_id")], 3, "failure_id", "failure_ids")
+    after = following_events(events, anchors.select("event_id", F.col("timestamp").alias("start")), follow, 10, partitions)
+    story = anchors.join(counts, "address").join(three, "address").join(after, "event_id", "left")
+    none = F.array().cast("array<string>")
+    title = F.concat(F.lit("Brute-force from "), F.coalesce("src_ip", F.lit("an unknown address")), F.lit(" followed by successful login as "), F.coalesce("user", F.lit("an unknown user")))
+    return story.select(
+        "src_ip", "event_id", "user", title.alias("title"), "start", F.greatest("timestamp", "last_at").alias("end"), F.lit("high").alias("confidence"), "failures_before", "all_failures", F.array_sort("failure_ids").alias("failure_ids"), F.coalesce("next_ids", none).alias("next_ids"),
+        F.slice(F.concat(F.reverse("failure_ids"), F.array("event_id"), F.coalesce("next_ids", none)), 1, 15).alias("event_ids"),
+    )
+
+
+def following_events(events: DataFrame, anchors: DataFrame, follow: tuple[str, ...] = FOLLOWING, n: int = 10, partitions: int = 64) -> DataFrame:
+    """The first ``n`` events of the actions ``follow`` from each anchor on (``event_id``, ``start``), however much later, and the time of the last of them.
+
+    Marks and anchors are put in one order of time; a mark's number is the count of marks until it,
+    and an anchor asks for the ``n`` numbers after its own count: an equi-join, without a horizon.
+    """
+    marks = events.where(F.col("event_action").isin(*follow) & F.col("timestamp").isNotNull()).select("event_id", "timestamp", F.lit(1).alias("mark"))
+    both = marks.unionByName(anchors.select("event_id", F.col("start").alias("timestamp"), F.lit(0).alias("mark")))
+    counted = indexed(both, partitions, ("timestamp", "mark", "event_id"), F.col("mark"))
+    asked = counted.where("mark = 0").select("event_id", F.explode(F.sequence(F.col("position") + 1, F.col("position") + n)).alias("number"))
+    numbered = counted.where("mark = 1").select(F.col("position").alias("number"), F.col("event_id").alias("next_id"), F.col("timestamp").alias("next_at"))
+    met = asked.join(numbered, "number").groupBy("event_id").agg(F.array_sort(F.collect_list(F.struct("number", "next_id"))).alias("found"), F.max("next_at").alias("last_at"))
+    return met.select("event_id", F.transform("found", lambda s: s["next_id"]).alias("next_ids"), "last_at")
 
 
 def credential_storyline(events: DataFrame, actions: tuple[str, ...] = ("password_changed", "account_unlocked", "password_set_new_account"), detection: str = "root_password_changed") -> DataFrame:
@@ -175,15 +212,34 @@ def lag_gap(events: DataFrame, keys: tuple[str, ...] = ("user",)) -> DataFrame:
     return events.where("timestamp is not null").select("event_id", *keys, "timestamp", (F.unix_seconds("timestamp") - F.unix_seconds(before)).alias("gap_seconds"))
 
 
-def actor_similarity(events: DataFrame, indicators: DataFrame, least_total: int = 2) -> DataFrame:
-    """Profiles whose indicators (``profile_id``, ``indicator``, ``strong``) occur among an event's signals; likeness, not attribution.
+def actor_similarity(events: DataFrame, profiles: dict[str, dict]) -> DataFrame:
+    """Profiles of a rule pack that the events are like; likeness, not attribution.
 
-    Signals are tags, detections, flags and the action. ``indicators`` is a rule table, broadcast.
+    Signals are tags, detections, flags, the action, and detections and flags as ``ttp.*``, of events
+    with an id. Rules have ``strong_indicators``, ``supporting_indicators``,
+    ``required_any_indicators``, ``required_evidence_count`` (2), ``minimum_strong_indicators`` (2),
+    ``minimum_supporting_indicators`` (1), ``minimum_event_count`` (2), ``confidence_cap`` (low) and
+    ``display_name``. A pack is of bounded size and broadcast.
     """
-    signals = events.select("event_id", F.explode(sorted_set(F.col("tags"), F.col("detection_names"), F.col("ttp_flags"), F.array("event_action"))).alias("indicator"))
-    met = signals.join(F.broadcast(indicators), "indicator")
-    each = met.groupBy("profile_id", "indicator", "strong").agg(F.count_distinct("event_id").alias("n"))
-    return each.groupBy("profile_id").agg(F.count_if("strong").alias("strong"), F.count_if(~F.col("strong")).alias("supporting"), F.sum("n").alias("matches")).where(F.col("strong") + F.col("supporting") >= least_total)
+    spark = events.sparkSession
+    # Minimums of a profile that names none.
+    minimum = {"required_evidence_count": 2, "minimum_strong_indicators": 2, "minimum_supporting_indicators": 1, "minimum_event_count": 2}
+    rows = [(p, i, kind) for p, r in profiles.items() for kind, field in enumerate(("strong_indicators", "supporting_indicators", "required_any_indicators")) for i in r.get(field, [])]
+    indicators = spark.createDataFrame(rows, "profile_id string, signal string, kind int")
+    heads = spark.createDataFrame([(p, r.get("display_name", p), r.get("confidence_cap", "low"), bool(r.get("required_any_indicators")), *(int(r.get(k, v)) for k, v in minimum.items())) for p, r in profiles.items()], "profile_id string, title string, cap string, some_required boolean, n_all int, n_strong int, n_supporting int, n_events int")
+    none = F.array().cast("array<string>")
+    named = sorted_set(F.col("detection_names"), F.col("ttp_flags"))
+    signals = sorted_set(F.col("tags"), named, F.array("event_action"), F.transform(named, lambda n: F.concat(F.lit("ttp."), n)))
+    met = events.where("event_id <> ''").select("event_id", "timestamp", F.explode(signals).alias("signal")).join(F.broadcast(indicators), "signal")
+    seen = lambda kind: F.array_sort(F.collect_set(F.when(F.col("kind") == kind, F.col("signal"))))
+    found = met.groupBy("profile_id").agg(seen(0).alias("matched_strong"), seen(1).alias("matched_supporting"), F.count_if(F.col("kind") == 2).alias("required_seen"))
+    listed = met.where("kind < 2").groupBy("profile_id", "event_id").agg(F.min(F.struct("kind", "signal", "timestamp")).alias("place"))
+    counts = listed.groupBy("profile_id").agg(F.count("*").alias("events"))
+    ids = first_ids(listed, ["profile_id"], [F.col("place"), F.col("event_id")], 15)
+    out = found.join(F.broadcast(heads), "profile_id").join(counts, "profile_id").join(ids, "profile_id")
+    enough = (F.size("matched_strong") >= F.col("n_strong")) & (F.size("matched_supporting") >= F.col("n_supporting")) & (F.size(F.array_union("matched_strong", "matched_supporting")) >= F.col("n_all")) & (F.col("events") >= F.col("n_events")) & (~F.col("some_required") | (F.col("required_seen") > 0))
+    tags = F.concat(F.array(F.lit("actor_relevant_ttp"), F.lit("not_attribution"), F.concat(F.lit("actor_similarity."), "profile_id")), "matched_strong", "matched_supporting")
+    return out.where(enough).select("profile_id", "title", F.lit("medium").alias("severity"), F.col("cap").alias("confidence"), "matched_strong", "matched_supporting", "events", F.coalesce("event_ids", none).alias("event_ids"), tags.alias("tags"))
 
 
 def high_signal(events: DataFrame) -> DataFrame:
@@ -212,3 +268,25 @@ def lateral_movement_findings(events: DataFrame, sources: DataFrame | None = Non
     context = F.when(F.col("known_hosts") > 0, row("Known SSH Destination Observed", "low", "low", F.col("known_hosts"), none))
     gaps = F.when(F.size("missing") > 0, row("Lateral Movement Assessment Has Coverage Gaps", "informational", "low", F.lit(0).cast("long"), F.col("missing"))).otherwise(row("No Outbound Lateral Movement Evidence Observed", "informational", "medium", F.lit(0).cast("long"), none))
     return df.select(F.explode(F.when(F.col("n") > 0, F.array(found)).otherwise(F.array_compact(F.array(context, gaps)))).alias("f")).select("f.*")
+
+
+def derive_findings(events: DataFrame, profiles: dict[str, dict] | None = None, sources: DataFrame | None = None, hits: DataFrame | None = None) -> DataFrame:
+    """All findings as one table: ``title``, ``severity``, ``confidence``, ``event_ids``, ``summary``, ``tags``."""
+    text = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else F.coalesce(p.cast("string"), F.lit("unknown")) for p in parts))
+    tags = lambda *names: F.array(*map(F.lit, names)).alias("tags")
+    row = lambda title, severity, sure, ids, summary, own: [title.alias("title"), F.lit(severity).alias("severity") if isinstance(severity, str) else severity, F.lit(sure).alias("confidence") if isinstance(sure, str) else sure, ids.alias("event_ids"), summary.alias("summary"), own]
+    c = F.col
+    none = F.array().cast("array<string>")
+    after = success_after_failures(events)
+    frames = [
+        after.select(*row(text("Successful SSH login after repeated failures"), "high", "medium", F.concat(F.array("event_id"), "failure_ids"), text(c("user"), " logged in from ", c("src_ip"), " after ", c("failures"), " failed attempts."), tags("ssh_bruteforce", "valid_account"))),
+        policy_findings(events).select("title", "severity", "confidence", "event_ids", "summary", "tags"),
+        bruteforce_campaigns(events).select(*row(text("SSH Brute-Force Campaign from ", c("src_ip")), "high", "high", c("event_ids"), text(c("failures"), " failed SSH attempts from ", c("src_ip"), " on ", c("users"), " user(s)."), tags("bruteforce_campaign", "ssh"))),
+        lateral_movement_findings(events, sources).select(*row(c("title"), c("severity"), c("confidence"), none, text(c("indicators"), " indicator(s)."), tags("lateral_movement"))),
+        account_lifecycle(events).select(*row(text("Account changes: ", c("kind")), "medium", "medium", none, text(c("events"), " change(s) of ", c("users"), " account(s)."), tags("account_lifecycle", "account_diff"))),
+    ]
+    if profiles:
+        frames.append(actor_similarity(events, profiles).select(*row(c("title"), c("severity"), c("confidence"), c("event_ids"), text("Activity overlaps with this profile in ", c("events"), " events. This is not attribution."), c("tags"))))
+    if hits is not None:
+        frames.append(ioc_finding(hits).select("title", "severity", "confidence", "event_ids", "summary", "tags"))
+    return reduce(DataFrame.unionByName, frames)

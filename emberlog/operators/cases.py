@@ -32,8 +32,10 @@ def shared(events: DataFrame, kind: str, value: Column, high: Column | None = No
 
 
 def shared_source_ip(events: DataFrame) -> DataFrame:
+    """Addresses of logins in several collections, with how many failed and succeeded; high if any succeeded."""
     used = events.where((F.col("event_category") == "authentication") | F.array_join("tags", ",").contains("bruteforce"))
-    return shared(used, "shared_source_ip", F.col("src_ip"), F.col("event_action") == "ssh_login_success")
+    tries = used.groupBy(F.col("src_ip").alias("value")).agg(F.count_if(F.col("event_action") == "ssh_login_failure").alias("failures"), F.count_if(F.col("event_action") == "ssh_login_success").alias("successes"))
+    return shared(used, "shared_source_ip", F.col("src_ip"), F.col("event_action") == "ssh_login_success").join(tries, "value")
 
 
 def shared_user(events: DataFrame, actions: tuple[str, ...] = SHARED_ACTIONS) -> DataFrame:
@@ -106,10 +108,22 @@ def exclude_duplicates(events: DataFrame, fingerprints: DataFrame) -> DataFrame:
     return events.join(repeats, "collection_id", "left_anti")
 
 
-def summary_header(events: DataFrame, findings: DataFrame) -> DataFrame:
+def duplicate_finding(fingerprints: DataFrame, n: int = 50) -> DataFrame:
+    """One finding if collections repeat others: how many, and the first ``n`` of them. Their events stay in the timeline."""
+    groups = fingerprints.groupBy("fingerprint").agg(F.min("collection_id").alias("canonical"))
+    repeats = fingerprints.join(groups, "fingerprint").where("collection_id <> canonical").select("collection_id", F.lit(1).alias("one"))
+    ids = first_ids(repeats, ["one"], [F.col("collection_id")], n, "collection_id", "collections")
+    total = repeats.groupBy("one").agg(F.count("*").alias("repeated"))
+    summary = F.concat(F.lit("Detected "), F.col("repeated").cast("string"), F.lit(" byte-equivalent repeated collection(s)."))
+    tags = F.array(*map(F.lit, ("duplicate_collection", "evidence_quality", "case_control")))
+    return total.join(ids, "one").select(F.lit("Duplicate Collection Evidence Detected").alias("title"), F.lit("medium").alias("severity"), F.lit("high").alias("confidence"), F.array().cast("array<string>").alias("event_ids"), summary.alias("summary"), tags.alias("tags"), "repeated", "collections")
+
+
+def summary_header(events: DataFrame, findings: DataFrame, storylines: DataFrame | None = None) -> DataFrame:
     a = events.agg(F.count("*").alias("events"), F.count("timestamp").alias("timed"), F.count_distinct(collection_of()).alias("collections"))
     b = findings.agg(F.count("*").alias("findings"), F.count_if(F.col("severity").isin(*SEVERITIES[3:])).alias("high_findings"))
-    return a.crossJoin(b)
+    c = events.limit(0).agg(F.count("*").alias("storylines")) if storylines is None else storylines.agg(F.count("*").alias("storylines"))
+    return a.crossJoin(b).crossJoin(c)
 
 
 def account_summary(changes: DataFrame, n: int = 10) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from emberlog.functions.text import has_token, sorted_set
+from emberlog.operators.timeline import first_ids
 
 # Kinds of time, the best first; types of state whose time may be found.
 TIME_ORDER = ("mtime", "ctime", "birthtime", "log_time", "atime")
@@ -24,35 +25,42 @@ def normalise_path(path: Column) -> Column:
 def correlate_state_times(events: DataFrame, state_types: tuple[str, ...] = STATE_TYPES, order: tuple[str, ...] = TIME_ORDER) -> DataFrame:
     """Give undated state the best time that file or audit events have for its path: by kind, then the earliest.
 
-    An equi-join on normalised paths; the best time of a path is a partial minimum on its side
-    first, so a path that many events share sends one row.
+    An equi-join on normalised paths. Of dated events, only those of a wanted path are grouped, by
+    path first, so a path that many events share sends one row: the best time and all ids, which
+    become the related ids.
     """
     state = F.col("timestamp").isNull() & F.col("source_type").isin(*state_types)
     kind = F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, order)), F.col("timestamp_type")).cast("int"), F.lit(0)), F.lit(99))
-    dated = events.where(F.col("timestamp").isNotNull() & F.col("source_type").isin(*DATED_TYPES)).select("collection_id", normalise_path(F.col("file_path")).alias("path"), kind.alias("kind"), "timestamp", "timestamp_type", "event_id")
-    best = dated.where("path is not null").groupBy("collection_id", "path").agg(F.min(F.struct("kind", "timestamp", "event_id", "timestamp_type")).alias("b"))
     rooted = lambda c: F.when(~F.col(c).startswith("/"), F.concat(F.lit("/"), c))
     paths = F.array_distinct(F.array_compact(F.array(*(normalise_path(p) for c in ("file_path", "source_path") for p in (F.col(c), rooted(c))))))
-    wanted = events.where(state).select("event_id", "collection_id", F.posexplode(paths).alias("at", "path"))
-    met = wanted.join(best, ["collection_id", "path"]).groupBy("event_id").agg(F.min(F.struct("b.kind", "b.timestamp", "b.event_id", "b.timestamp_type")).alias("b"))
-    found = met.select(F.col("event_id").alias("state_id"), F.col("b.timestamp").alias("found_at"), F.col("b.timestamp_type").alias("found_type"), F.col("b.event_id").alias("found_id"))
-    joined = events.join(found, events["event_id"] == F.col("state_id"), "left")
-    hit = F.col("found_at").isNotNull() & state
+    wanted = events.where(state).select("event_id", "collection_id", paths.alias("paths")).withColumn("path", F.explode("paths"))
+    dated = events.where(F.col("timestamp").isNotNull() & F.col("source_type").isin(*DATED_TYPES)).withColumns({"path": normalise_path(F.col("file_path")), "kind": kind})
+    dated = dated.where("path is not null").join(wanted.select("collection_id", "path").distinct(), ["collection_id", "path"], "left_semi")
+    best = F.min(F.struct("kind", "timestamp", F.col("event_id").alias("found_id"), "timestamp_type", "timestamp_raw", "timestamp_precision", "timezone"))
+    by_path = dated.groupBy("collection_id", "path").agg(best.alias("b"), F.collect_set("event_id").alias("ids"), F.count("*").alias("n"))
+    met = wanted.join(by_path, ["collection_id", "path"]).groupBy("event_id").agg(F.min("b").alias("b"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))).alias("found_ids"), F.sum("n").alias("found_n"), F.first("paths").alias("found_paths"))
+    joined = events.join(met.withColumnRenamed("event_id", "state_id"), events["event_id"] == F.col("state_id"), "left")
+    hit = F.col("b").isNotNull() & state
+    note = F.to_json(F.struct(F.lit("bodyfile_or_audit_path_match").alias("method"), F.array_sort("found_paths").alias("matched_paths"), F.col("found_n").alias("source_event_count"), F.col("b.timestamp_type").alias("source_timestamp_type")))
     new = {
-        "timestamp": F.when(hit, F.col("found_at")).otherwise(F.col("timestamp")),
-        "timestamp_type": F.when(hit, F.concat(F.lit("correlated_"), F.col("found_type"))).otherwise(F.col("timestamp_type")),
-        "evidence_role": F.when(hit, "inference").otherwise(F.col("evidence_role")),
-        "timestamp_confidence": F.when(hit, "low").otherwise(F.col("timestamp_confidence")),
-        "timezone_confidence": F.when(hit, "correlated").otherwise(F.col("timezone_confidence")),
-        "time_start": F.when(hit, F.col("found_at")).otherwise(F.col("time_start")),
-        "time_end": F.when(hit, F.coalesce("time_end", "found_at")).otherwise(F.col("time_end")),
-        "confidence": F.when(hit & (F.col("confidence") == "high"), "medium").otherwise(F.col("confidence")),
-        "tags": F.when(hit, sorted_set(F.col("tags"), F.array(F.lit("correlated_time")))).otherwise(F.col("tags")),
-        "detection_names": F.when(hit, sorted_set(F.col("detection_names"), F.array(F.lit("state_time_correlated")))).otherwise(F.col("detection_names")),
-        "ttp_flags": F.when(hit, sorted_set(F.col("ttp_flags"), F.array(F.lit("state_time_correlated")))).otherwise(F.col("ttp_flags")),
-        "related_event_ids": F.when(hit, F.array_distinct(F.concat("related_event_ids", F.array("found_id")))).otherwise(F.col("related_event_ids")),
+        "timestamp": F.col("b.timestamp"),
+        "timestamp_raw": F.col("b.timestamp_raw"),
+        "timestamp_type": F.concat(F.lit("correlated_"), F.col("b.timestamp_type")),
+        "timestamp_precision": F.col("b.timestamp_precision"),
+        "timestamp_confidence": F.lit("low"),
+        "evidence_role": F.lit("inference"),
+        "timezone": F.col("b.timezone"),
+        "timezone_confidence": F.lit("correlated"),
+        "time_start": F.col("b.timestamp"),
+        "time_end": F.coalesce("time_end", "b.timestamp"),
+        "confidence": F.when(F.col("confidence") == "high", "medium").otherwise(F.col("confidence")),
+        "tags": sorted_set(F.col("tags"), F.array(F.lit("correlated_time"))),
+        "detection_names": sorted_set(F.col("detection_names"), F.array(F.lit("state_time_correlated"))),
+        "ttp_flags": sorted_set(F.col("ttp_flags"), F.array(F.lit("state_time_correlated"))),
+        "related_event_ids": F.col("found_ids"),
+        "extra": F.map_concat(F.coalesce("extra", F.create_map().cast("map<string,string>")), F.create_map(F.lit("correlation"), note)),
     }
-    return joined.select(*(new[c].alias(c) if c in new else F.col(c) for c in events.columns))
+    return joined.select(*(F.when(hit, new[c]).otherwise(F.col(c)).alias(c) if c in new else F.col(c) for c in events.columns))
 
 
 def read_ioc_lines(lines: DataFrame) -> DataFrame:
@@ -61,40 +69,44 @@ def read_ioc_lines(lines: DataFrame) -> DataFrame:
     value = F.trim(F.get(part, 0))
     given = F.lower(F.trim(F.get(part, 1)))
     guess = (
-        F.when(value.rlike(r"^\d{1,3}(\.\d{1,3}){3}$"), "ip").when(value.rlike(r"^([0-9a-fA-F]{32}|[0-9a-fA-F]{40}|[0-9a-fA-F]{64})$"), "hash").when(value.rlike(r"[/\\]"), "path").when(value.rlike(r"^[A-Za-z0-9_.-]+(\.[A-Za-z0-9_.-]+)+$"), "domain").otherwise("literal")
+        F.when(value.rlike(r"^((25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(\.(?!$)|$)){4}$") | (value.rlike(r"^[0-9A-Fa-f:]*:[0-9A-Fa-f:.]*$") & value.rlike(":.*:")), "ip").when(value.rlike(r"^([0-9a-fA-F]{32}|[0-9a-fA-F]{40}|[0-9a-fA-F]{64})$"), "hash").when(value.rlike(r"[/\\]"), "path").when(value.rlike(r"^[A-Za-z0-9_.-]+(\.[A-Za-z0-9_.-]+)+$"), "domain").otherwise("literal")
     )
     kind = F.when(F.coalesce(given, F.lit("")) != "", given).otherwise(guess)
     rows = lines.where(~F.trim("raw").startswith("#") & (value != "")).select("line_no", value.alias("value"), kind.alias("kind"), F.trim(F.coalesce(F.get(part, 2), F.lit(""))).alias("label"))
     return rows.groupBy("kind", F.lower("value").alias("low")).agg(F.min(F.struct("line_no", "value", "label")).alias("m")).select("m.value", "kind", "m.label")
 
 
-SEARCHED = ("src_ip", "dst_ip", "user", "process", "command", "file_path", "summary", "raw", "host")
+# Fields in which indicators are looked for.
+SEARCHED = ("user", "src_ip", "dst_ip", "process", "command", "file_path", "summary", "raw", "source_path")
+_WORD = "a-z0-9_.:-"
 
 
 def match_iocs(events: DataFrame, iocs: DataFrame, fields: tuple[str, ...] = SEARCHED, most: int = 100_000) -> DataFrame:
     """Events with the indicators they hold.
 
-    Addresses are equal to a column or stand alone in the text; domains, paths and hashes are
-    substrings in any case; literals stand alone. Addresses in text are taken out of it and joined
-    on equality. The other kinds need a comparison with each indicator: the list is counted and
-    dealt by hash into parts of about ``most``, each of which is broadcast to all events.
+    Addresses and literals stand alone in the text, in any case; domains, paths and hashes are
+    substrings. Addresses and literals that are one word (letters, digits and ``_.:-``), IPv6
+    included, meet the words of the text on equality. The others need a comparison with each
+    indicator: that list is counted and dealt by hash into parts of about ``most``, each of which is
+    broadcast to all events.
     """
-    text = F.lower(F.concat_ws(" ", *(F.coalesce(c, F.lit("")) for c in fields)))
+    text = F.lower(F.concat_ws("\n", *(F.nullif(c, F.lit("")) for c in fields)))
     base = events.withColumn("searched", text)
-    iocs = iocs.groupBy("value", "kind").agg(F.min("label").alias("label"))
-    ips = iocs.where("kind = 'ip'").select(F.lower("value").alias("ip"), "value", "kind", "label")
-    found = F.array_distinct(F.array_compact(F.concat(F.array("src_ip", "dst_ip"), F.regexp_extract_all("searched", F.lit(r"(?<![0-9a-z_.:-])(\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3})(?![0-9a-z_.:-])"), 1))))
-    by_ip = base.withColumn("ip", F.explode(found)).join(ips, "ip").select(*base.columns, "value", "kind", "label")
-    rest = iocs.where("kind <> 'ip'")
+    trimmed = iocs.withColumn("needle", F.lower(F.trim("value"))).where("needle <> ''")
+    listed = trimmed.groupBy("value", "needle", "kind").agg(F.min("label").alias("label"))
+    alone = F.col("kind").isin("ip", "literal") | ~F.col("kind").isin("domain", "path", "hash")
+    word = F.col("needle").rlike(f"^[{_WORD}]+$")
+    words = listed.where(alone & word)
+    found = F.array_distinct(F.regexp_extract_all("searched", F.lit(f"([{_WORD}]+)"), 1))
+    out = base.withColumn("needle", F.explode(found)).join(words, "needle").select(*events.columns, "value", "kind", "label")
+    rest = listed.where(~(alone & word))
     parts = max(1, -(-rest.count() // most))
-    needle = F.lower("value")
-    alone = (F.col("kind") == "literal") & (F.instr("searched", needle) > 0) & F.expr(r"regexp_like(searched, concat('(?<![a-z0-9_.:-])\\Q', lower(value), '\\E(?![a-z0-9_.:-])'))")
-    inside = (F.col("kind") != "literal") & (F.instr("searched", needle) > 0)
-    out = by_ip
+    stands = alone & F.expr(f"regexp_like(searched, concat('(?<![{_WORD}])\\\\Q', needle, '\\\\E(?![{_WORD}])'))")
+    hit = (F.instr("searched", F.col("needle")) > 0) & (~alone | stands)
     for k in range(parts):
         part = rest.where(F.pmod(F.xxhash64("value", "kind"), F.lit(parts)) == k)
-        out = out.unionByName(base.join(F.broadcast(part), alone | inside))
-    return out.drop("searched")
+        out = out.unionByName(base.join(F.broadcast(part), hit).select(*events.columns, "value", "kind", "label"))
+    return out
 
 
 def token_hits(text: Column, tokens: tuple[str, ...]) -> Column:
@@ -102,7 +114,12 @@ def token_hits(text: Column, tokens: tuple[str, ...]) -> Column:
 
 
 def ioc_finding(hits: DataFrame) -> DataFrame:
-    return hits.agg(F.count("*").alias("hits"), F.count_distinct("value").alias("iocs"), F.count_distinct("event_id").alias("events"))
+    """One finding if there are hits (``event_id``, ``value``): how many, the indicators, the first ten distinct ids."""
+    totals = hits.agg(F.count("*").alias("hits"), F.count_distinct("value").alias("iocs"), F.count_distinct("event_id").alias("events")).where("hits > 0")
+    each = hits.where("event_id <> ''").groupBy("event_id").agg(F.lit(1).alias("one"))
+    ids = first_ids(each, ["one"], [F.col("event_id")], 10).drop("one")
+    summary = F.concat(F.lit("Observed "), F.col("hits").cast("string"), F.lit(" event(s) matching "), F.col("iocs").cast("string"), F.lit(" supplied IoC(s)."))
+    return totals.join(ids, F.lit(True), "left").select(F.lit("Known IoC Match").alias("title"), F.lit("high").alias("severity"), F.lit("high").alias("confidence"), "hits", "iocs", "events", "event_ids", summary.alias("summary"), F.array(F.lit("known_ioc_match")).alias("tags"))
 
 
 def diff_snapshots(current: DataFrame, backup: DataFrame, key: str, fields: tuple[str, ...]) -> DataFrame:
@@ -151,6 +168,13 @@ def diff_inventory(expected: DataFrame, observed: DataFrame) -> DataFrame:
     return out.select("relative", names[F.col("change")].alias("status"))
 
 
+def verify_inventory(expected: DataFrame, observed: DataFrame) -> DataFrame:
+    """One row: ``status``, whether the inventory is ``verified``, and the numbers of changed, missing and new files."""
+    counts = diff_inventory(expected, observed).agg(*(F.count_if(F.col("status") == s).alias(s) for s in ("changed", "missing", "new")))
+    same = F.col("changed") + F.col("missing") + F.col("new") == 0
+    return counts.select(F.when(same, "verified").otherwise("changed_during_analysis").alias("status"), same.alias("verified"), "changed", "missing", "new")
+
+
 def sync_coverage(inventory: DataFrame, sources: DataFrame) -> DataFrame:
     """One status a file from its sources: error, then parsed or partially parsed, then unsupported; files without sources keep theirs."""
     rank = F.when(F.col("parser_status") == "error", 3).when(F.col("parser_status") == "parsed", 2).when(F.col("parser_status") == "partially_parsed", 1).otherwise(0)
@@ -164,9 +188,17 @@ def join_annotations(timeline: DataFrame, annotations: DataFrame) -> DataFrame:
 
 
 def resolve_source_member(events: DataFrame, inventory: DataFrame) -> DataFrame:
-    """Add ``member_id`` of the file with the event's path and hash."""
-    members = inventory.select("collection_id", F.col("relative").alias("source_path"), F.col("sha256").alias("source_sha256"), member_id())
-    return events.join(members, ["collection_id", "source_path", "source_sha256"], "left")
+    """Add ``member_id`` of the evidence file: of the event's path and hash, and for rows derived from several files (``a vs b``) of the first listed one there is."""
+    listed = F.split("source_path", " vs ")
+    path = lambda p: F.regexp_replace(F.trim(F.substring_index(p, "#", 1)), "^/+", "")
+    derived = F.col("source_path").contains(" vs ")
+    members = inventory.select("collection_id", F.regexp_replace("relative", "^/+", "").alias("member_path"), F.col("sha256").alias("member_sha"), member_id()).dropDuplicates(["collection_id", "member_path"])
+    keyed = events.withColumns({"member_path": path(F.col("source_path")), "derived": F.coalesce(derived, F.lit(False))})
+    plain = keyed.where("not derived").join(members, ["collection_id", "member_path"], "left").withColumn("member_id", F.when(F.col("source_sha256") == F.col("member_sha"), F.col("member_id")))
+    several = keyed.where("derived")
+    places = several.select("event_id", "collection_id", F.posexplode(F.transform(listed, path)).alias("at", "member_path")).join(members, ["collection_id", "member_path"])
+    first = places.groupBy("event_id", "collection_id").agg(F.min_by("member_id", "at").alias("member_id"))
+    return plain.select(*events.columns, "member_id").unionByName(several.join(first, ["event_id", "collection_id"], "left").select(*events.columns, "member_id"))
 
 
 def member_id() -> Column:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -36,19 +40,24 @@ def search_timeline(timeline: DataFrame, q: str = "", severity: str | None = Non
     return df.where(F.instr(search_text(), needle) > 0) if needle else df
 
 
-def timeline_facets(timeline: DataFrame) -> DataFrame:
-    """(``facet``, ``value``, ``n``) by severity, source type and phase, in one pass over the timeline."""
+def timeline_facets(timeline: DataFrame, annotations: DataFrame | None = None) -> DataFrame:
+    """(``facet``, ``value``, ``n``) by severity, source type and confirmed phase, in one pass over the timeline; with annotations also how many events are selected."""
     none = F.array().cast("array<string>")
-    pairs = F.concat(
-        F.array(F.struct(F.lit("severity").alias("facet"), F.col("severity").alias("value")), F.struct(F.lit("source_type").alias("facet"), F.col("source_type").alias("value"))),
-        F.transform(F.array_union(F.coalesce("attack_phases", none), F.coalesce("attack_phase_candidates", none)), lambda p: F.struct(F.lit("phase").alias("facet"), p.alias("value"))),
-    )
-    return timeline.select(F.explode(pairs).alias("f")).groupBy("f.facet", "f.value").agg(F.count("*").alias("n"))
+    df = timeline if annotations is None else timeline.join(annotations.where("include_in_summary").select("event_id", F.lit(True).alias("chosen")), "event_id", "left")
+    one = lambda facet, value: F.struct(F.lit(facet).alias("facet"), value.alias("value"))
+    pairs = [one("severity", F.coalesce(F.nullif("severity", F.lit("")), F.lit("informational"))), one("source_type", F.coalesce(F.nullif("source_type", F.lit("")), F.lit("unknown")))]
+    if annotations is not None:
+        pairs.append(one("summary", F.when(F.col("chosen"), "selected").otherwise("unselected")))
+    every = F.concat(F.array(*pairs), F.transform(F.coalesce("attack_phases", none), lambda p: one("attack_phase", p)))
+    return df.select(F.explode(every).alias("f")).groupBy("f.facet", "f.value").agg(F.count("*").alias("n"))
 
 
-def timeline_page(timeline: DataFrame, offset: int = 0, limit: int = 50) -> DataFrame:
-    """A page in timeline order; the limit is held within 20 to 200. Spark keeps the first rows of each task only."""
-    return timeline.orderBy(*order_columns(), "event_id").offset(max(0, offset)).limit(min(200, max(20, limit)))
+def timeline_page(timeline: DataFrame, offset: int = 0, limit: int = 80) -> DataFrame:
+    """A page in timeline order, with the ``total`` of rows and whether it ``has_more``; the limit is held within 20 to 200. Spark keeps the first rows of each task only."""
+    start, size = max(0, offset), min(200, max(20, limit))
+    page = timeline.orderBy(*order_columns(), "event_id").offset(start).limit(size)
+    total = timeline.agg(F.count("*").alias("total"))
+    return page.crossJoin(F.broadcast(total)).withColumn("has_more", F.col("total") > start + size)
 
 
 def latest_annotations(log: DataFrame) -> DataFrame:
@@ -66,10 +75,15 @@ def review_export(timeline: DataFrame, annotations: DataFrame) -> DataFrame:
     return joined.select(*(F.array_join(c, ",").alias(c) if t.startswith("array") else F.col(c) for c, t in joined.dtypes))
 
 
-def briefing_metrics(timeline: DataFrame, annotations: DataFrame, findings: DataFrame) -> DataFrame:
+def briefing_metrics(timeline: DataFrame, annotations: DataFrame, findings: DataFrame, hits: DataFrame | None = None) -> DataFrame:
+    """One row of totals: events, dated and selected ones, hosts, confirmed phases, first and last time, findings, hits of indicators."""
     chosen = annotations.where("include_in_summary").select("event_id", F.lit(True).alias("chosen"))
-    a = timeline.join(chosen, "event_id", "left").agg(F.count("*").alias("events"), F.count("timestamp").alias("timed"), F.count("chosen").alias("selected"), F.count_distinct("host").alias("hosts"), F.min("timestamp").alias("first_seen"), F.max("timestamp").alias("last_seen"))
-    return a.crossJoin(findings.agg(F.count("*").alias("findings"), F.count_if(F.col("severity").isin("high", "critical")).alias("high_findings")))
+    host = F.coalesce(F.nullif(F.trim("collection_host"), F.lit("")), F.nullif(F.trim("host"), F.lit("")))
+    a = timeline.join(chosen, "event_id", "left").agg(F.count("*").alias("events"), F.count("timestamp").alias("timed"), F.count("chosen").alias("selected"), F.count_distinct(host).alias("hosts"), F.min("timestamp").alias("first_seen"), F.max("timestamp").alias("last_seen"))
+    phases = timeline.select(F.explode("attack_phases").alias("phase")).agg(F.count_distinct("phase").alias("phases"))
+    found = findings.agg(F.count("*").alias("findings"), F.count_if(F.lower("severity").isin("high", "critical")).alias("high_findings"))
+    met = (timeline.limit(0) if hits is None else hits).agg(F.count("*").alias("ioc_hits"))
+    return a.crossJoin(phases).crossJoin(found).crossJoin(met)
 
 
 def phase_breakdown(timeline: DataFrame, annotations: DataFrame) -> DataFrame:
@@ -156,9 +170,13 @@ def assessment(severity: Column) -> Column:
 
 
 def canonical_ids(events: DataFrame) -> DataFrame:
-    """Add ``canonical_id``, which depends on what happened and not on path, order or collection."""
+    """Add ``canonical_id``, which depends on what happened and not on path, order or collection; related ids follow."""
     fields = ("timestamp", "time_start", "time_end", "host", "source_type", "event_category", "event_action", "user", "src_ip", "dst_ip", "port", "process", "command", "file_path", "raw")
-    return events.withColumn("canonical_id", F.concat(F.lit("can_"), F.substring(digest(*(F.col(c) for c in fields)), 1, 24)))
+    named = events.withColumn("canonical_id", F.concat(F.lit("can_"), F.substring(digest(*(F.col(c) for c in fields)), 1, 24)))
+    names = named.where("event_id <> ''").groupBy(F.col("event_id").alias("old")).agg(F.min("canonical_id").alias("new"))
+    links = named.where(F.size("related_event_ids") > 0).select("event_id", F.explode("related_event_ids").alias("old")).distinct()
+    moved = links.join(names, "old", "left").groupBy("event_id").agg(F.array_sort(F.collect_set(F.coalesce("new", "old"))).alias("moved"))
+    return named.join(moved, "event_id", "left").withColumn("related_event_ids", F.coalesce("moved", "related_event_ids")).drop("moved")
 
 
 def omission_ledger(events: DataFrame) -> DataFrame:
@@ -196,15 +214,29 @@ def record_hash() -> Column:
 def append_chain(changes: DataFrame, chain: str = "chain") -> DataFrame:
     """Link the changes of each chain in order of ``sequence``: each record holds the hash of the one before.
 
-    A hash chain is a fold by nature; chains are independent groups.
+    A hash chain is a fold by nature, so a chain is one task; its records are read in order as a
+    stream, and a task holds one batch of them at a time. Chains are independent.
     """
     own = [c for c in AUDIT_FIELDS if c != "previous_hash"]
-    rows = changes.groupBy(chain).agg(F.array_sort(F.collect_list(F.struct("sequence", *(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(f"v_{c}") for c in own)))).alias("rows"))
-    start = F.array(F.lit(GENESIS)).cast("array<string>")
-    link = lambda r, before: F.sha2(F.concat_ws("\x1f", *(r[f"v_{c}"] for c in own), before), 256)
-    hashes = F.aggregate("rows", start, lambda acc, r: F.concat(acc, F.array(link(r, F.element_at(acc, -1)))))
-    linked = rows.withColumn("hashes", hashes).select(chain, F.posexplode("rows").alias("at", "r"), "hashes")
-    return linked.select(chain, F.col("r.sequence").alias("sequence"), F.get("hashes", F.col("at")).alias("previous_hash"), F.get("hashes", F.col("at") + 1).alias("record_hash"))
+    texts = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(f"v_{c}") for c in own]
+    rows = changes.select(F.col(chain).alias("chain"), "sequence", *texts).repartition("chain").sortWithinPartitions("chain", "sequence")
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, before = None, GENESIS
+        for batch in batches:
+            columns = [batch.column(f"v_{c}").to_pylist() for c in own]
+            previous, hashes = [], []
+            for name, *values in zip(batch.column("chain").to_pylist(), *columns, strict=True):
+                if name != current or not previous and current is None:
+                    current, before = name, GENESIS
+                previous.append(before)
+                before = hashlib.sha256("\x1f".join([*values, before]).encode()).hexdigest()
+                hashes.append(before)
+            yield pa.RecordBatch.from_arrays([batch.column("chain"), batch.column("sequence"), pa.array(previous, pa.string()), pa.array(hashes, pa.string())], ["chain", "sequence", "previous_hash", "record_hash"])
+
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    out = rows.mapInArrow(link, f"chain {kinds['chain']}, sequence {kinds['sequence']}, previous_hash string, record_hash string")
+    return out.withColumnRenamed("chain", chain)
 
 
 def verify_chain(audit: DataFrame, chain: str = "chain") -> DataFrame:

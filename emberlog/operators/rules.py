@@ -36,16 +36,22 @@ TOOL_GROUPS = (
 # Paths of credentials, and beginnings of lines that are commands and no passwords.
 SECRET_PATHS = ("/etc/shadow", "id_rsa", "id_ed25519", ".aws/credentials", ".kube/config", "authorized_keys")
 COMMAND_STARTS = (
-    *("echo ", "cat ", "ls ", "cd ", "vi ", "vim ", "nano ", "grep ", "find ", "sudo ", "chmod ", "chown ", "mv ", "cp ", "rm ", "mkdir ", "touch ", "export ", "source ", ".", "alias ", "unalias ", "#", "man ", "help "),
-    *("systemctl ", "service ", "yum ", "apt ", "dnf ", "pip ", "git ", "docker ", "kubectl ", "curl ", "wget ", "ssh ", "scp ", "rsync ", "tar ", "zip ", "unzip ", "gzip ", "passwd ", "useradd ", "adduser ", "groupadd "),
-    *("usermod ", "groupmod ", "chage ", "mount ", "umount ", "fdisk ", "df ", "du ", "free ", "top ", "ps ", "kill ", "pkill ", "iptables ", "firewall", "hostname", "ifconfig", "ip ", "route ", "netstat ", "ss ", "ping "),
-    *("traceroute ", "dig ", "nslookup ", "history", "exit", "logout", "reboot", "shutdown", "poweroff", "uname ", "whoami", "id ", "who ", "w ", "last ", "uptime", "date ", "cal ", "head ", "tail ", "less ", "more ", "wc "),
-    *("sort ", "awk ", "sed ", "cut ", "tr ", "diff ", "stat ", "file ", "type ", "which ", "whereis ", "locate "),
+    "echo ", "cat ", "ls ", "cd ", "vi ", "vim ", "nano ", "grep ", "find ", "sudo ", "chmod ", "chown ", "mv ", "cp ", "rm ", "mkdir ", "touch ", "export ", "source ", ".", "alias ", "unalias ", "#", "man ", "help ",
+    "systemctl ", "service ", "yum ", "apt ", "dnf ", "pip ", "git ", "docker ", "kubectl ", "curl ", "wget ", "ssh ", "scp ", "rsync ", "tar ", "zip ", "unzip ", "gzip ", "passwd ", "useradd ", "adduser ", "groupadd ",
+    "usermod ", "groupmod ", "chage ", "mount ", "umount ", "fdisk ", "df ", "du ", "free ", "top ", "ps ", "kill ", "pkill ", "iptables ", "firewall", "hostname", "ifconfig", "ip ", "route ", "netstat ", "ss ", "ping ",
+    "traceroute ", "dig ", "nslookup ", "history", "exit", "logout", "reboot", "shutdown", "poweroff", "uname ", "whoami", "id ", "who ", "w ", "last ", "uptime", "date ", "cal ", "head ", "tail ", "less ", "more ", "wc ",
+    "sort ", "awk ", "sed ", "cut ", "tr ", "diff ", "stat ", "file ", "type ", "which ", "whereis ", "locate ",
 )
+# Characters that count as special in a password, and text of hunts for indicators.
 _SPECIAL = "[" + "".join("\\" + c for c in "!@#$%^&*()_+-=[]{}|;':\",./<>?~`") + "]"
 _HUNT = r"\b(grep|egrep|fgrep|rg)\b.*(curl\|wget|bash -i|python\.\*connect|exec\.\*socket|/dev/tcp|nc \|)"
 
 
+# Paths of temporary files, and commands that set a password.
+_TMP_PATH = r"(/tmp|/var/tmp|/dev/shm|/run)/[^\s;|&]+"
+_SET_PASSWORD = r"\bpasswd\s+\S+"
+
+
 def event_text() -> Column:
     """All searchable text of an event in lower case; empty parts are left out."""
     return F.lower(F.concat_ws(" ", *(F.nullif(c, F.lit("")) for c in ("command", "file_path", "summary", "raw"))))
@@ -87,10 +93,10 @@ def builtin_hits() -> Column:
     for p in SECRET_PATHS:
         secret = secret | text.contains(p)
     tests += [
-        (text.rlike(r"(/tmp|/var/tmp|/dev/shm|/run)/[^\s;|&]+"), _hit("execution_or_artifact_from_tmp", "medium", ("suspicious_path", "tmp_execution"), ("T1059.004",))),
+        (text.rlike(_TMP_PATH), _hit("execution_or_artifact_from_tmp", "medium", ("suspicious_path", "tmp_execution"), ("T1059.004",))),
         ((F.col("evidence_role") == "behavior") & secret, _hit("credential_material_access", "high", ("credential_access", "secrets"), ("T1552.001",))),
         (text.contains("docker.sock"), _hit("docker_socket_access", "high", ("container", "privilege"), ("T1611",))),
-        (ran.rlike(r"\bpasswd\s+\S+") & ~ran.contains("change"), _hit("password_set_command", "medium", ("credential_change", "account_management"), ("T1098",))),
+        (ran.rlike(_SET_PASSWORD) & ~ran.contains("change"), _hit("password_set_command", "medium", ("credential_change", "account_management"), ("T1098",))),
         (plaintext_password(), _hit("plaintext_password_in_history", "critical", ("credential_exposure", "password_leak"), ("T1552.001",))),
     ]
     for name, tools, severity, mitre in TOOL_GROUPS:
@@ -127,21 +133,23 @@ def apply_builtin_rules(events: DataFrame) -> DataFrame:
     return add_hits(texts, builtin_hits()).select(*events.columns)
 
 
-def tag_tools(events: DataFrame, tools: list[dict]) -> DataFrame:
-    """Tools by name (``id``, ``literals``, ``confidence``): executed where the command names them, else observed.
+def tag_tools(events: DataFrame, tools: dict[str, dict]) -> DataFrame:
+    """Tools of a rule pack by id: executed if the event ran anything and is no hunt, else observed.
 
-    Simple literals are tokens, others substrings. ``tools`` is a rule table of bounded size; all
-    of it becomes one expression.
+    Rules have ``match_literals``, ``category``, ``confidence_when_matched`` and ``mitre``. Literals of
+    word characters are tokens, others substrings, in any case. A pack is of bounded size; all of it
+    becomes one expression.
     """
-    # Severity by confidence of a tool rule.
-    severity = {"high": "high", "medium": "medium", "low": "low"}
     texts = events.withColumns({"text": event_text(), "ran": executed_text(), "hunt": indicator_search()})
+    executed = (F.col("ran") != "") & ~F.col("hunt")
     hits = []
-    for tool in tools:
-        match = lambda c, t=tool: _any(c, t["literals"])
-        level = severity.get(tool.get("confidence", "medium"), "medium")
-        name = tool["id"]
-        hits.append(F.when(match(F.col("ran")) & ~F.col("hunt"), _hit(f"tool.{name}.executed", level, ("tool", f"tool.{name}"), tuple(tool.get("mitre", ())))).when(match(F.col("text")), _hit(f"tool.{name}.observed", "low", ("tool", f"tool.{name}"), ())))
+    for tool, rule in tools.items():
+        sure = rule.get("confidence_when_matched") or "medium"
+        tags = ("tooling", f"tool.{tool}", f"tool_category.{rule.get('category') or 'tooling'}", f"tool_confidence.{sure}")
+        level = {"high": "high", "medium": "medium"}.get(sure, "low")
+        mitre = tuple(rule.get("mitre", ()))
+        found = _any(F.col("text"), [x.lower() for x in rule.get("match_literals", []) if x.strip()])
+        hits.append(F.when(found & executed, _hit(f"tool_{tool}_executed", level, tags, mitre)).when(found, _hit(f"tool_{tool}_observed", "low", tags, mitre)))
     return add_hits(texts, F.array_compact(F.array(*hits))).select(*events.columns)
 
 
@@ -153,19 +161,24 @@ def _any(text: Column, literals: list[str]) -> Column:
     return found
 
 
-def tag_ttps(events: DataFrame, ttps: list[dict]) -> DataFrame:
-    """Rules on an event's detections, action or tags as they were before: (``id``, ``match_detections``, ``match_actions``, ``match_tags``, ``severity``, ``mitre``)."""
+def tag_ttps(events: DataFrame, ttps: dict[str, dict]) -> DataFrame:
+    """Rules of a pack by id on an event's detections, action or tags as they were before.
+
+    Rules have ``match_detection_names``, ``match_event_actions``, ``match_tags``, ``severity``,
+    ``confidence_when_matched`` and ``mitre``.
+    """
     texts = lambda x: F.array(*map(F.lit, x)).cast("array<string>")
     hits = []
-    for rule in ttps:
+    for ttp, rule in ttps.items():
         test = F.lit(False)
-        if rule.get("match_detections"):
-            test = test | F.arrays_overlap("detection_names", texts(rule["match_detections"]))
-        if rule.get("match_actions"):
-            test = test | F.col("event_action").isin(*rule["match_actions"])
+        if rule.get("match_detection_names"):
+            test = test | F.arrays_overlap("detection_names", texts(rule["match_detection_names"]))
+        if rule.get("match_event_actions"):
+            test = test | F.col("event_action").isin(*rule["match_event_actions"])
         if rule.get("match_tags"):
             test = test | F.arrays_overlap("tags", texts(rule["match_tags"]))
-        hits.append(F.when(test, _hit(f"ttp.{rule['id']}", rule.get("severity", "medium"), ("ttp", f"ttp.{rule['id']}"), tuple(rule.get("mitre", ())))))
+        tags = ("ttp", f"ttp.{ttp}", f"ttp_confidence.{rule.get('confidence_when_matched', 'medium')}")
+        hits.append(F.when(test, _hit(ttp, rule.get("severity", "medium"), tags, tuple(rule.get("mitre", ())))))
     return add_hits(events, F.array_compact(F.array(*hits)))
 
 
@@ -173,24 +186,25 @@ def classify_attack_phases(events: DataFrame, techniques: DataFrame, signals: Da
     """Phases of an event from its techniques.
 
     A confirmed technique of behaviour gives the phases that its signals hint at, else its only
-    phase, else all its phases as candidates; a candidate technique gives candidates. Tables:
+    phase; all phases of any other technique, and of techniques of what is no behaviour, are
+    candidates. Signals are category, action, tags, detections and flags, in any case. Tables:
     ``techniques`` (mitre, phase), ``signals`` (signal, phase), ``order`` (phase, place); all are
-    rule tables and broadcast as maps, so no event is shuffled.
+    rule tables and become maps in the expression, so no event is shuffled.
     """
-    spark = events.sparkSession
     listed = lambda df, key: {r[key]: sorted(r["phases"]) for r in df.groupBy(key).agg(F.collect_set("phase").alias("phases")).collect()}
     by_technique, by_signal = listed(techniques, "mitre"), listed(signals, "signal")
     places = [r["phase"] for r in order.orderBy("place").collect()]
     table = lambda d: F.create_map(*[x for k, v in d.items() for x in (F.lit(k), F.array(*map(F.lit, v)))]) if d else F.create_map().cast("map<string,array<string>>")
     none = F.array().cast("array<string>")
     look = lambda table_, names: F.transform(F.coalesce(names, none), lambda n: F.coalesce(F.try_element_at(table_, n), none))
-    hints = F.flatten(look(table(by_signal), F.concat(F.coalesce("detection_names", none), F.coalesce("tags", none), F.array("event_action"))))
+    own = F.concat(F.array("event_category", "event_action"), *(F.coalesce(c, none) for c in ("tags", "detection_names", "ttp_flags")))
+    hints = F.flatten(look(table(by_signal), F.transform(F.array_compact(own), lambda n: F.lower(F.trim(n)))))
     df = events.withColumns({"hints": hints, "sure": look(table(by_technique), F.col("mitre")), "maybe": F.flatten(look(table(by_technique), F.col("mitre_candidates")))})
-    behaviour = F.col("evidence_role") == "behavior"
+    behaviour = F.coalesce(F.col("evidence_role") == "behavior", F.lit(False))
 
     def confirmed(p: Column) -> Column:
         hinted = F.array_intersect(p, F.col("hints"))
-        return F.when(behaviour & (F.size(hinted) > 0), hinted).when(F.size(p) == 1, p).otherwise(none)
+        return F.when(~behaviour, none).when(F.size(hinted) > 0, hinted).when(F.size(p) == 1, p).otherwise(none)
 
     def possible(p: Column) -> Column:
         return F.when((F.size(confirmed(p)) == 0), p).otherwise(none)
@@ -198,10 +212,18 @@ def classify_attack_phases(events: DataFrame, techniques: DataFrame, signals: Da
     ordered = lambda names: F.filter(F.array(*map(F.lit, places)).cast("array<string>"), lambda p: F.array_contains(names, p))
     found = F.flatten(F.transform("sure", confirmed))
     rest = F.concat(F.flatten(F.transform("sure", possible)), F.col("maybe"))
-    del spark
     return df.withColumn("attack_phases", ordered(found)).withColumn("attack_phase_candidates", F.array_except(ordered(rest), F.col("attack_phases"))).select(*events.columns)
 
 
+def fill_attack_phases(events: DataFrame, techniques: DataFrame, signals: DataFrame, order: DataFrame) -> DataFrame:
+    """Classify events that have neither phases nor candidates; others keep theirs."""
+    empty = (F.coalesce(F.size("attack_phases"), F.lit(0)) <= 0) & (F.coalesce(F.size("attack_phase_candidates"), F.lit(0)) <= 0)
+    kept = events.withColumns({"had": F.col("attack_phases"), "might": F.col("attack_phase_candidates"), "empty": empty})
+    new = classify_attack_phases(kept, techniques, signals, order)
+    back = {c: F.when(F.col("empty"), F.col(c)).otherwise(F.col(o)) for c, o in (("attack_phases", "had"), ("attack_phase_candidates", "might"))}
+    return new.withColumns(back).select(*events.columns)
+
+
 def phase_counts(events: DataFrame) -> DataFrame:
     """Confirmed and candidate events per phase."""
     sure = events.select(F.explode("attack_phases").alias("phase"), F.lit(1).alias("c"), F.lit(0).alias("m"))

@@ -13,8 +13,8 @@ from emberlog.schemas import TIMELINE_SCHEMA
 
 #: The fields that make an event what it is, for its id.
 IDENTITY = (
-    *("collection_id", "timestamp", "timestamp_raw", "time_start", "time_end", "evidence_role", "source_path", "source_sha256", "source_type", "parser", "event_action", "host"),
-    *("user", "uid", "gid", "src_ip", "dst_ip", "port", "process", "pid", "command", "file_path", "raw", "extra"),
+    "collection_id", "timestamp", "timestamp_raw", "time_start", "time_end", "evidence_role", "source_path", "source_sha256", "source_type", "parser", "event_action", "host",
+    "user", "uid", "gid", "src_ip", "dst_ip", "port", "process", "pid", "command", "file_path", "raw", "extra",
 )
 #: The fields in which duplicates agree; null is empty.
 SAME = ("collection_id", "timestamp", "time_start", "time_end", "evidence_role", "source_path", "source_sha256", "event_action", "host", "user", "src_ip", "dst_ip", "command", "file_path", "raw")

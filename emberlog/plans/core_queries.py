@@ -116,7 +116,7 @@ def success_after_failures(spark, d):
     k AS (SELECT *, row_number() OVER (PARTITION BY policy ORDER BY ts, event_id) AS r FROM e),
     g AS (SELECT policy, sum(c)::BIGINT AS hits, bool_and(role <> 'behavior') AS state_only, bool_and(sure = 'high') AS sure, string_agg(event_id, ',' ORDER BY r) FILTER (r <= 10) AS event_ids, string_agg(DISTINCT role, ',' ORDER BY role) AS roles FROM k GROUP BY policy)
     SELECT CASE policy WHEN 'audit_anomaly' THEN 'Audit Anomaly' WHEN 'destructive_command' THEN 'Destructive Command' ELSE 'Suid File Observed' END AS title, CASE WHEN state_only OR policy IN ('suid_file_observed', 'audit_anomaly') THEN 'medium' ELSE 'high' END AS severity,
-      CASE WHEN state_only THEN 'low' WHEN sure THEN 'high' ELSE 'medium' END AS confidence, hits, event_ids, policy || CASE WHEN state_only THEN ',contextual_evidence,requires_corroboration' ELSE '' END AS tags, roles AS evidence_roles FROM g"""
+      CASE WHEN state_only THEN 'low' WHEN sure THEN 'high' ELSE 'medium' END AS confidence, hits, event_ids, policy || CASE WHEN state_only THEN ',contextual_evidence,requires_corroboration' ELSE '' END AS tags, roles AS evidence_roles, 'Observed ' || hits || CASE WHEN state_only THEN ' state or inferred' ELSE '' END || ' event(s) matching ' || policy || CASE WHEN state_only THEN '; this shows no execution or action of an attacker without corroboration.' ELSE '.' END AS summary FROM g"""
 )
 def policy_findings(spark, d):
     a = F.col("event_action")
@@ -127,11 +127,12 @@ def policy_findings(spark, d):
 
 
 @query(
-    f"""WITH {TL}, u AS (SELECT src_ip, usr, count(*) AS c, min(at_text) AS a, max(at_text) AS z, row_number() OVER (PARTITION BY src_ip ORDER BY usr) AS r FROM tl WHERE event_type = 'error' GROUP BY 1, 2)
-    SELECT src_ip, sum(c)::BIGINT AS failures, count(*) AS users, min(a) AS first_seen, max(z) AS last_seen, string_agg(usr, ',' ORDER BY usr) FILTER (r <= 10) AS first_users FROM u GROUP BY src_ip HAVING sum(c) >= 20"""
+    f"""WITH {TL}, u AS (SELECT src_ip, usr, count(*) AS c, min(at_text) AS a, max(at_text) AS z, row_number() OVER (PARTITION BY src_ip ORDER BY usr) AS r FROM tl WHERE event_type = 'error' GROUP BY 1, 2),
+    i AS (SELECT src_ip, event_id, row_number() OVER (PARTITION BY src_ip ORDER BY ts, event_id) AS r FROM tl WHERE event_type = 'error'), f AS (SELECT src_ip, string_agg(event_id, ',' ORDER BY r) AS event_ids FROM i WHERE r <= 5 GROUP BY 1)
+    SELECT src_ip, sum(c)::BIGINT AS failures, count(*) AS users, min(a) AS first_seen, max(z) AS last_seen, string_agg(usr, ',' ORDER BY usr) FILTER (r <= 10) AS first_users, any_value(event_ids) AS event_ids FROM u JOIN f USING (src_ip) GROUP BY src_ip HAVING sum(c) >= 20"""
 )
 def bruteforce_campaigns(spark, d):
-    return b.bruteforce_campaigns(timeline(spark, d)).withColumns({"first_seen": at("first_seen"), "last_seen": at("last_seen"), "first_users": csv("first_users")})
+    return b.bruteforce_campaigns(timeline(spark, d)).withColumns({"first_seen": at("first_seen"), "last_seen": at("last_seen"), "first_users": csv("first_users"), "event_ids": csv("event_ids")})
 
 
 @query(f"WITH {TL} SELECT CASE event_type WHEN 'signup' THEN 'created' ELSE 'password' END AS kind, count(DISTINCT usr) AS users, count(*)::BIGINT AS events FROM tl WHERE event_type IN ('signup', 'purchase') GROUP BY 1")
@@ -145,8 +146,9 @@ _SIGNALS = "CASE WHEN command LIKE 'curl%' THEN 'download_execute_chain' WHEN co
 
 @query(
     f"""WITH {TL}, s AS (SELECT *, {_SIGNALS} AS signal, row_number() OVER (ORDER BY ts, event_id) AS p FROM tl),
-    w AS (SELECT event_id, at_text, event_type, list(signal) OVER (ORDER BY p ROWS BETWEEN CURRENT ROW AND 24 FOLLOWING) AS l, last_value(at_text) OVER (ORDER BY p ROWS BETWEEN CURRENT ROW AND 24 FOLLOWING) AS e FROM s)
-    SELECT event_id, at_text AS start_at, e AS end_at, array_to_string(list_sort(list_distinct(list_filter(l, lambda x: x IS NOT NULL))), ',') AS signals FROM w
+    w AS (SELECT event_id, at_text, event_type, list(signal) OVER (ORDER BY p ROWS BETWEEN CURRENT ROW AND 24 FOLLOWING) AS l, last_value(at_text) OVER (ORDER BY p ROWS BETWEEN CURRENT ROW AND 24 FOLLOWING) AS e,
+      list(CASE WHEN severity IN ('medium', 'high') THEN event_id END) OVER (ORDER BY p ROWS BETWEEN CURRENT ROW AND 24 FOLLOWING) AS i FROM s)
+    SELECT event_id, at_text AS start_at, e AS end_at, array_to_string(list_sort(list_distinct(list_filter(l, lambda x: x IS NOT NULL))), ',') AS signals, array_to_string(list_slice(list_filter(i, lambda x: x IS NOT NULL), 1, 15), ',') AS event_ids FROM w
     WHERE event_type IN ('signup', 'view') AND (list_contains(l, 'download_execute_chain') OR list_contains(l, 'cron_modified') OR (list_contains(l, 'chmod_executable') AND list_contains(l, 'miner_execution')))"""
 )
 def initial_access_storylines(spark, d):
@@ -154,27 +156,32 @@ def initial_access_storylines(spark, d):
     signal = F.when(cmd.startswith("curl"), "download_execute_chain").when(cmd == "crontab -e", "cron_modified").when(cmd.startswith("chmod"), "chmod_executable").when(cmd.startswith("xmrig"), "miner_execution")
     tl = timeline(spark, d).withColumn("detection_names", F.array_compact(F.array(signal)))
     found = b.initial_access_storylines(tl)
-    return found.select("event_id", at("start").alias("start_at"), at("end").alias("end_at"), csv("signals").alias("signals"))
+    return found.select("event_id", at("start").alias("start_at"), at("end").alias("end_at"), csv("signals").alias("signals"), csv("event_ids").alias("event_ids"))
 
 
 @query(
-    f"""WITH {TL}, u AS (SELECT * FROM tl WHERE event_type IN ('error', 'signup')), c AS (SELECT *, count(*) FILTER (event_type = 'error') OVER (PARTITION BY src_ip ORDER BY ts RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS b, count(*) FILTER (event_type = 'error') OVER (PARTITION BY src_ip) AS a FROM u),
+    f"""WITH {TL}, u AS (SELECT * FROM tl WHERE event_type IN ('error', 'signup')), c AS (SELECT *, count(*) FILTER (event_type = 'error') OVER (PARTITION BY src_ip ORDER BY ts RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS b, count(*) FILTER (event_type = 'error') OVER (PARTITION BY src_ip) AS a, min(at_text) FILTER (event_type = 'error') OVER (PARTITION BY src_ip) AS began FROM u),
     s AS (SELECT *, row_number() OVER (PARTITION BY src_ip ORDER BY ts, event_id) AS r FROM c WHERE event_type = 'signup' AND b >= 5 AND a >= 10), f AS (SELECT * FROM s WHERE r = 1),
-    m AS (SELECT f.src_ip, f.event_id, f.usr, f.at_text, f.b, f.a, e.event_id AS fid, row_number() OVER (PARTITION BY f.event_id ORDER BY e.ts DESC, e.event_id DESC) AS k FROM f JOIN u e ON e.event_type = 'error' AND e.src_ip = f.src_ip AND e.ts <= f.ts)
-    SELECT src_ip, event_id, usr AS user_name, at_text AS start_at, b AS failures_before, a AS all_failures, string_agg(fid, ',' ORDER BY fid) FILTER (k <= 3) AS failure_ids FROM m GROUP BY ALL"""
+    m AS (SELECT f.event_id, e.event_id AS fid, row_number() OVER (PARTITION BY f.event_id ORDER BY e.ts DESC, e.event_id DESC) AS k FROM f JOIN u e ON e.event_type = 'error' AND e.src_ip = f.src_ip AND e.ts <= f.ts),
+    three AS (SELECT event_id, string_agg(fid, ',' ORDER BY fid) AS failure_ids, string_agg(fid, ',' ORDER BY k DESC) AS before_ids FROM m WHERE k <= 3 GROUP BY 1),
+    n AS (SELECT f.event_id, t.event_id AS nid, t.at_text AS n_at, row_number() OVER (PARTITION BY f.event_id ORDER BY t.ts, t.event_id) AS k FROM f JOIN tl t ON t.event_type IN ('purchase', 'click') AND t.ts >= f.ts),
+    ten AS (SELECT event_id, string_agg(nid, ',' ORDER BY k) AS next_ids, max(n_at) AS z FROM n WHERE k <= 10 GROUP BY 1)
+    SELECT src_ip, f.event_id, usr AS user_name, began AS start_at, greatest(at_text, coalesce(z, at_text)) AS end_at, b AS failures_before, a AS all_failures, failure_ids, coalesce(next_ids, '') AS next_ids, before_ids || ',' || f.event_id || coalesce(',' || next_ids, '') AS event_ids
+    FROM f JOIN three ON f.event_id = three.event_id LEFT JOIN ten ON f.event_id = ten.event_id"""
 )
 def bruteforce_storylines(spark, d):
-    return b.bruteforce_storylines(timeline(spark, d)).select("src_ip", "event_id", F.col("user").alias("user_name"), at("start").alias("start_at"), "failures_before", "all_failures", csv("failure_ids").alias("failure_ids"))
+    return b.bruteforce_storylines(timeline(spark, d)).select("src_ip", "event_id", F.col("user").alias("user_name"), at("start").alias("start_at"), at("end").alias("end_at"), "failures_before", "all_failures", *(csv(x).alias(x) for x in ("failure_ids", "next_ids", "event_ids")))
 
 
 @query(
-    f"""WITH {TL}, a AS (SELECT event_id, ts FROM tl WHERE event_type = 'signup'), m AS (SELECT a.event_id, t.event_id AS nid, row_number() OVER (PARTITION BY a.event_id ORDER BY t.ts, t.event_id) AS k FROM a JOIN tl t ON t.event_type = 'purchase' AND t.ts >= a.ts AND floor(epoch(t.ts) / 86400) <= floor(epoch(a.ts) / 86400) + 1)
-    SELECT event_id, string_agg(nid, ',' ORDER BY k) AS next_ids FROM m WHERE k <= 10 GROUP BY event_id"""
+    f"""WITH {TL}, a AS (SELECT event_id, ts FROM tl WHERE event_type = 'signup'), p AS (SELECT event_id, ts, row_number() OVER (ORDER BY ts, event_id) AS k FROM tl WHERE event_type = 'purchase'),
+    c AS (SELECT a.event_id, min(p.k) AS k FROM a ASOF JOIN (SELECT ts, min(k) AS k FROM p GROUP BY ts) p ON p.ts >= a.ts GROUP BY 1)
+    SELECT c.event_id, string_agg(p.event_id, ',' ORDER BY p.k) AS next_ids FROM c JOIN p ON p.k >= c.k AND p.k < c.k + 10 GROUP BY 1"""
 )
 def following_events(spark, d):
     tl = timeline(spark, d)
     anchors = tl.where("event_action = 'ssh_login_success'").select("event_id", F.col("timestamp").alias("start"))
-    return b.following_events(tl, anchors, ("sudo_command",), 10, reach=1).withColumn("next_ids", csv("next_ids"))
+    return b.following_events(tl, anchors, ("sudo_command",), 10).select("event_id", csv("next_ids").alias("next_ids"))
 
 
 @query(f"WITH {TL}, u AS (SELECT *, row_number() OVER (ORDER BY ts, event_id) AS r FROM tl WHERE event_type = 'signup') SELECT count(*) AS events, min(at_text) AS start_at, max(at_text) AS end_at, count(DISTINCT usr) AS users, string_agg(event_id, ',' ORDER BY r) FILTER (r <= 15) AS event_ids FROM u")
@@ -202,7 +209,7 @@ def _texts(df):
     return df.withColumns({"collection_names": csv("collection_names"), "event_ids": csv("event_ids")})
 
 
-@query(_shared("shared_source_ip", "src_ip", "event_category = 'authentication'", "event_type = 'signup'"))
+@query(_shared("shared_source_ip", "src_ip", "event_category = 'authentication'", "event_type = 'signup'").replace("count(*)::BIGINT AS events,", "count(*)::BIGINT AS events, count(*) FILTER (event_type = 'error') AS failures, count(*) FILTER (event_type = 'signup') AS successes,"))
 def shared_source_ip(spark, d):
     return _texts(c.shared_source_ip(timeline(spark, d)))
 
@@ -271,11 +278,16 @@ def exclude_duplicates(spark, d):
     return c.exclude_duplicates(tl, _fingerprints(spark, d)).select("event_id")
 
 
-@query(f"WITH {TL} SELECT (SELECT count(*) FROM tl) AS events, (SELECT count(ts) FROM tl) AS timed, (SELECT count(DISTINCT collection_id) FROM tl) AS collections, count(*) AS findings, count(*) AS high_findings FROM (SELECT DISTINCT src_ip FROM tl WHERE event_type = 'signup')")
+@query(f"WITH {TL} SELECT (SELECT count(*) FROM tl) AS events, (SELECT count(ts) FROM tl) AS timed, (SELECT count(DISTINCT collection_id) FROM tl) AS collections, count(*) AS findings, count(*) AS high_findings, (SELECT count(*) FROM tl WHERE event_type = 'purchase') AS storylines FROM (SELECT DISTINCT src_ip FROM tl WHERE event_type = 'signup')")
 def summary_header(spark, d):
     tl = timeline(spark, d)
     findings = tl.where("event_action = 'ssh_login_success'").select("src_ip").distinct().select(F.lit("high").alias("severity"))
-    return c.summary_header(tl, findings)
+    return c.summary_header(tl, findings, tl.where("event_action = 'sudo_command'"))
+
+
+@query(f"WITH {_FP}, r AS (SELECT collection_id FROM (SELECT *, min(collection_id) OVER (PARTITION BY fingerprint) AS m FROM fp) WHERE collection_id <> m), k AS (SELECT *, row_number() OVER (ORDER BY collection_id) AS n FROM r) SELECT 'Duplicate Collection Evidence Detected' AS title, 'medium' AS severity, 'Detected ' || count(*) || ' byte-equivalent repeated collection(s).' AS summary, count(*) AS repeated, string_agg(collection_id, ',' ORDER BY n) FILTER (n <= 50) AS collections FROM k HAVING count(*) > 0")
+def duplicate_finding(spark, d):
+    return c.duplicate_finding(_fingerprints(spark, d)).select("title", "severity", "summary", "repeated", csv("collections").alias("collections"))
 
 
 @query(f"WITH {TL}, u AS (SELECT DISTINCT event_type AS change, usr FROM tl), k AS (SELECT *, row_number() OVER (PARTITION BY change ORDER BY usr) AS r FROM u) SELECT change, count(*) AS users, string_agg(usr, ',' ORDER BY r) FILTER (r <= 10) AS first_users FROM k GROUP BY 1")
@@ -309,10 +321,10 @@ def sort_events(spark, d):
     return t.sort_events(timeline(spark, d)).select("event_id", at("timestamp").alias("at_text"))
 
 
-@query(f"WITH {TL} SELECT event_action, count(*) AS n FROM tl GROUP BY 1")
+@query(f"WITH {TL} SELECT DISTINCT 'evt_' || substr(sha256(concat_ws(chr(31), collection_id, at_text, '', '', '', evidence_role, source_path, '', source_type, 'events', event_action, host, usr, '', '', src_ip, '', port, '', '', coalesce(command, ''), '', raw, '{{}}')), 1, 20) AS event_id, event_action FROM tl")
 def case_timeline(spark, d):
     tl = timeline(spark, d)
-    return c.case_timeline(tl, tl).groupBy("event_action").agg(F.count_distinct("event_id").alias("n"))
+    return c.case_timeline(tl, tl).select("event_id", "event_action")
 
 
 @query(f"WITH {INV}, l AS (SELECT DISTINCT collection_id, relative || '|' || sha256 || '|' || size AS line FROM inv) SELECT collection_id, sha256('exchange-v1' || chr(10) || string_agg(line, chr(10) ORDER BY line)) AS fingerprint FROM l GROUP BY 1")
@@ -320,10 +332,31 @@ def exchange_fingerprint(spark, d):
     return c.exchange_fingerprint(inventory(spark, d))
 
 
-@query(f"WITH {TL} SELECT 'spray' AS profile_id, 1 AS strong, 1 AS supporting, count(*)::BIGINT AS matches FROM tl WHERE event_type IN ('error', 'signup')")
+@query(
+    f"""WITH {TL}, x AS (SELECT event_id, ts, unnest(CASE event_type WHEN 'error' THEN ['ssh_login_failure', 'spray', 'ttp.spray'] WHEN 'signup' THEN ['ssh_login_success'] ELSE [] END) AS signal FROM tl),
+    e AS (SELECT event_id, min(struct_pack(k := CASE signal WHEN 'ssh_login_success' THEN 1 ELSE 0 END, s := signal, t := ts)) AS place FROM x WHERE signal IN ('ssh_login_failure', 'ttp.spray', 'ssh_login_success') GROUP BY 1), r AS (SELECT *, row_number() OVER (ORDER BY place, event_id) AS n FROM e)
+    SELECT 'spray' AS profile_id, 'Spray' AS title, 'medium' AS confidence, 'ssh_login_failure,ttp.spray' AS strong, 'ssh_login_success' AS supporting, count(*) AS events, string_agg(event_id, ',' ORDER BY n) FILTER (n <= 15) AS event_ids FROM r"""
+)
 def actor_similarity(spark, d):
-    indicators = spark.createDataFrame([("spray", "ssh_login_failure", True), ("spray", "ssh_login_success", False), ("other", "sudo_command", True)], "profile_id string, indicator string, strong boolean")
-    return b.actor_similarity(timeline(spark, d), indicators)
+    """Of five profiles only the first has enough strong and supporting indicators, one of those it requires, and enough events."""
+    base = {"strong_indicators": ["ssh_login_failure", "ttp.spray"], "supporting_indicators": ["ssh_login_success"], "display_name": "Spray", "confidence_cap": "medium"}
+    profiles = {"spray": base | {"required_any_indicators": ["spray", "nothing"]}, "needy": base | {"required_any_indicators": ["nothing"]}, "strict": base | {"minimum_strong_indicators": 3}, "wide": base | {"required_evidence_count": 4}, "rare": {"strong_indicators": ["sudo_command"], "supporting_indicators": ["no such"]}}
+    tl = timeline(spark, d).withColumn("ttp_flags", F.array_compact(F.array(F.when(F.col("event_action") == "ssh_login_failure", F.lit("spray")))))
+    return b.actor_similarity(tl, profiles).select("profile_id", "title", "confidence", csv("matched_strong").alias("strong"), csv("matched_supporting").alias("supporting"), "events", csv("event_ids").alias("event_ids"))
+
+
+@query(
+    f"""WITH {TL}, a AS (SELECT usr, count(*) AS n FROM tl WHERE event_type = 'view' GROUP BY 1)
+    SELECT title, severity, confidence, summary FROM (
+      SELECT 'SSH Brute-Force Campaign from ' || src_ip AS title, 'high' AS severity, 'high' AS confidence, count(*) || ' failed SSH attempts from ' || src_ip || ' on ' || count(DISTINCT usr) || ' user(s).' AS summary FROM tl WHERE event_type = 'error' GROUP BY src_ip HAVING count(*) >= 20
+      UNION ALL SELECT 'Suid File Observed', 'medium', 'low', 'Observed ' || count(*) || ' state or inferred event(s) matching suid_file_observed; this shows no execution or action of an attacker without corroboration.' FROM tl WHERE event_type = 'view'
+      UNION ALL SELECT 'Lateral Movement Assessment Has Coverage Gaps', 'informational', 'low', '0 indicator(s).'
+      UNION ALL SELECT 'Successful SSH login after repeated failures', 'high', 'medium', s.usr || ' logged in from ' || s.src_ip || ' after ' || count(*) || ' failed attempts.' FROM tl s JOIN tl f ON s.event_type = 'signup' AND f.event_type = 'error' AND s.usr = f.usr AND s.src_ip = f.src_ip AND f.ts <= s.ts AND f.ts >= s.ts - INTERVAL 30 MINUTE GROUP BY s.event_id, s.usr, s.src_ip HAVING count(*) >= 5)"""
+)
+def derive_findings(spark, d):
+    a = F.col("event_action")
+    tl = timeline(spark, d).withColumn("event_action", F.when(a == "http_request", "suid_file_observed").otherwise(a))
+    return b.derive_findings(tl).select("title", "severity", "confidence", "summary")
 
 
 @query(f"WITH {TL} SELECT 'Outbound Lateral Movement Evidence' AS title, 'high' AS severity, 'medium' AS confidence, count(*)::BIGINT AS indicators, '' AS missing FROM tl WHERE event_type = 'error'")
@@ -332,13 +365,14 @@ def lateral_movement(spark, d):
     return b.lateral_movement_findings(tl)
 
 
-@query(f"WITH {TL} SELECT 'Lateral Movement Assessment Has Coverage Gaps' AS title, 'informational' AS severity, 'low' AS confidence, 0::BIGINT AS indicators, 'SSH host history,network state' AS missing FROM (SELECT count(*) FROM tl)")
+@query(f"WITH {TL}, g AS (SELECT * FROM (VALUES ('command history', ['shell_history']), ('network state', ['ss_output', 'netstat_output', 'network_state']), ('SSH host history', ['known_hosts'])) v(name, kinds)), m AS (SELECT name FROM g WHERE NOT EXISTS (SELECT 1 FROM tl WHERE list_contains(g.kinds, tl.source_type) AND tl.event_type IN ('click', 'view'))) SELECT CASE WHEN count(*) > 0 THEN 'Lateral Movement Assessment Has Coverage Gaps' ELSE 'No Outbound Lateral Movement Evidence Observed' END AS title, 'informational' AS severity, 'low' AS confidence, (SELECT count(*) FROM tl WHERE command LIKE 'no such%') AS indicators, string_agg(name, ',' ORDER BY name) AS missing FROM m")
 def lateral_movement_gaps(spark, d):
-    return b.lateral_movement_findings(timeline(spark, d))
+    return b.lateral_movement_findings(timeline(spark, d).where("event_action in ('shell_command', 'http_request')"))
 
 
-@query(f"WITH {TL} SELECT count(*) FILTER (event_type = 'view') AS listeners, count(*) FILTER (event_type = 'click') AS inbound, count(*) FILTER (event_type = 'error') AS outbound, 0 AS untimed, count(*) FILTER (severity IN ('medium', 'high')) AS suspicious FROM tl")
+@query(f"WITH {TL}, k AS (SELECT raw, row_number() OVER (ORDER BY raw) AS r FROM tl WHERE severity IN ('medium', 'high')) SELECT count(*) FILTER (event_type = 'view') AS listeners, count(*) FILTER (event_type = 'click') AS inbound, count(*) FILTER (event_type = 'error') AS outbound, count(*) FILTER (n % 9 = 0) AS untimed, count(*) FILTER (severity IN ('medium', 'high')) AS suspicious, (SELECT string_agg(raw, ',' ORDER BY raw) FROM k WHERE r <= 10) AS first_suspicious FROM tl")
 def network_state_summary(spark, d):
     a = F.col("event_action")
-    tl = timeline(spark, d).withColumns({"source_type": F.lit("network_state"), "event_action": F.when(a == "http_request", "listening_port").when(a == "shell_command", "inbound_connection").when(a == "ssh_login_failure", "outbound_connection").otherwise("connection_observed")})
-    return c.network_state_summary(tl).drop("first_suspicious")
+    undated = F.substring("event_id", 2, 20).cast("long") % 9 == 0
+    tl = timeline(spark, d).withColumns({"source_type": F.lit("network_state"), "summary": F.col("raw"), "timestamp": F.when(~undated, F.col("timestamp")), "event_action": F.when(a == "http_request", "listening_port").when(a == "shell_command", "inbound_connection").when(a == "ssh_login_failure", "outbound_connection").otherwise("connection_observed")})
+    return c.network_state_summary(tl).withColumn("first_suspicious", csv("first_suspicious"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from emberlog.plans import bindings, core_queries, evidence_queries, parser_queries, stream_queries  # noqa: F401
+from emberlog.plans import bindings, core_queries, evidence_queries, file_queries, parser_queries, stream_queries  # noqa: F401
 
 
 def queries() -> dict[str, bindings.Query]:

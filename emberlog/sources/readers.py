@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import bz2
 import gzip
+import json
 import lzma
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,6 +16,7 @@ from pyspark.sql.window import Window
 
 from emberlog.functions import times
 from emberlog.operators.correlate import read_ioc_lines
+from emberlog.operators.rules import fill_attack_phases
 from emberlog.operators.timeline import first_n, to_timeline
 from emberlog.schemas import TIMELINE_SCHEMA
 
@@ -134,32 +137,122 @@ def read_input_manifest(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.trim("value").alias("path")).where("path <> '' and not startswith(path, '#')")
 
 
-def load_rules(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """The lists of a YAML rule pack as tables. A pack is a file written by hand, read on the driver."""
-    import json
+#: Sections of a rule pack that hold rules by id, and the namespace that each rule of a section names.
+RULE_SECTIONS = {"tool_tags": "tool", "ttp_tags": "ttp", "actor_similarity_profiles": "actor_similarity", "malware_payload_tags": "malware_payload"}
 
+
+def load_rules(spark: SparkSession, path: str) -> dict[str, dict]:
+    """The sections of a YAML rule pack, each a mapping of rules by id. A pack is a file written by hand, of a size that the driver can hold; a key that comes twice is an error."""
     import yaml
 
-    with open(path, encoding="utf-8") as f:
-        pack = yaml.safe_load(f) or {}
-    return {name: spark.read.json(spark.sparkContext.parallelize([json.dumps(r) for r in rows])) for name, rows in pack.items() if isinstance(rows, list) and rows and isinstance(rows[0], dict)}
+    class Loader(yaml.SafeLoader):
+        pass
+
+    def mapping(loader: yaml.SafeLoader, node: yaml.MappingNode) -> dict:
+        keys = [loader.construct_object(k, deep=True) for k, _ in node.value]
+        again = {k for k in keys if keys.count(k) > 1}
+        if again:
+            raise ValueError(f"keys that come twice: {sorted(map(str, again))}")
+        return {k: loader.construct_object(v, deep=True) for k, (_, v) in zip(keys, node.value, strict=True)}
+
+    Loader.add_constructor(yaml.resolver.BaseResolver.DEFAULT_MAPPING_TAG, mapping)
+    text = "\n".join(r["value"] for r in spark.read.text(path, wholetext=True).collect())
+    pack = yaml.load(text, Loader=Loader) or {}  # noqa: S506
+    if not isinstance(pack, dict):
+        raise ValueError("a rule pack is a mapping")
+    return pack
+
+
+def phase_tables(spark: SparkSession, pack: dict[str, dict]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The tables of attack phases that events are classified by: techniques, signals, order."""
+    techniques = [(t, p) for t, phases in pack["techniques"].items() for p in phases]
+    signals = [(s, p) for p, names in pack["phase_signals"].items() for s in names]
+    order = [(p, int(v["order"])) for p, v in pack["phases"].items()]
+    return spark.createDataFrame(techniques, "mitre string, phase string"), spark.createDataFrame(signals, "signal string, phase string"), spark.createDataFrame(order, "phase string, place int")
+
+
+def rule_table(spark: SparkSession, pack: dict[str, dict]) -> DataFrame:
+    """All rules of a pack as rows (``section``, ``id``, ``rule`` as JSON), for ``validate_rules``."""
+    rows = [(section, str(k), json.dumps(v)) for section in (*RULE_SECTIONS, "source_references") for k, v in (pack.get(section) or {}).items()]
+    return spark.createDataFrame(rows, "section string, id string, rule string")
 
 
 def validate_rules(rules: DataFrame) -> DataFrame:
-    """(``id``, ``violation``) of a rule table (``id``, ``severity``, ``mitre``, ``reference``)."""
-    checks = F.array_compact(
-        F.array(
-            F.when(~F.coalesce(F.col("id").rlike("^[a-z0-9][a-z0-9_.-]*$"), F.lit(False)), F.lit("bad_id")),
-            F.when(~F.coalesce(F.col("severity").isin("informational", "low", "medium", "high", "critical"), F.lit(False)), F.lit("bad_severity")),
-            F.when(F.exists(F.coalesce("mitre", F.array().cast("array<string>")), lambda m: ~m.rlike(r"^T\d{4}(\.\d{3})?$")), F.lit("bad_technique")),
-            F.when(F.coalesce("reference", F.lit("https://")).rlike("^https://") == F.lit(False), F.lit("bad_reference")),
-        )
+    """(``section``, ``id``, ``violation``) of a table of rules (``section``, ``id``, ``rule`` as JSON).
+
+    Checks ids, namespaces, required texts, lists of distinct texts, techniques, severities,
+    confidences, references that are no source, minimums, and the cap of likeness profiles.
+    """
+    rule = lambda field, kind="string": F.from_json("rule", f"`{field}` {kind}")[field]
+    texts = lambda field: F.coalesce(rule(field, "array<string>"), F.array().cast("array<string>"))
+    listed = lambda field: F.get_json_object("rule", f"$.{field}")
+    of = lambda *sections: F.col("section").isin(*sections)
+    blank = lambda field: F.trim(F.coalesce(rule(field), F.lit(""))) == ""
+    # Forms and names that rules may use.
+    technique, confidences, severities = r"^T\d{4}(\.\d{3})?$", ("low", "medium", "high"), ("informational", "low", "medium", "high", "critical")
+    lists = ("mitre", "mitre_focus", "source_refs", "actor_refs", "match_literals", "match_detection_names", "match_event_actions", "match_tags", "strong_indicators", "supporting_indicators", "required_any_indicators")
+    tools, ttps, actors, sources = of("tool_tags", "malware_payload_tags"), of("ttp_tags"), of("actor_similarity_profiles"), of("source_references")
+    namespace = F.create_map(*[F.lit(x) for pair in RULE_SECTIONS.items() for x in pair])[F.col("section")]
+    number = lambda field, default: F.coalesce(rule(field, "double"), F.lit(default).cast("double"))
+    low = lambda field, default, least: ~F.coalesce((number(field, default) >= least) & (number(field, default) == F.floor(number(field, default))), F.lit(False))
+    checks = {
+        "bad_id": ~F.col("id").rlike("^[a-z0-9_]+$"),
+        "bad_namespace": ~sources & ~F.coalesce(rule("namespace") == namespace, F.lit(False)),
+        "missing_title": sources & blank("title"),
+        "bad_reference": sources & ~F.coalesce(rule("url").startswith("https://"), F.lit(False)),
+        "missing_category": tools & blank("category"),
+        "missing_evidence": ttps & blank("evidence"),
+        "missing_display_name": actors & blank("display_name"),
+        "missing_warning": actors & blank("analyst_warning"),
+        "bad_severity": ttps & ~F.coalesce(rule("severity").isin(*severities), F.lit(False)),
+        "bad_confidence": (tools | ttps) & ~F.coalesce(rule("confidence_when_matched").isin(*confidences), F.lit(False)),
+        "no_literals": tools & (F.size(texts("match_literals")) == 0),
+        "no_strong_indicators": actors & (F.size(texts("strong_indicators")) == 0),
+        "bad_confidence_cap": actors & ~F.coalesce(rule("confidence_cap").isin("low", "medium"), F.lit(False)),
+        "low_evidence_count": actors & low("required_evidence_count", None, 2),
+        "low_event_count": actors & low("minimum_event_count", 2, 1),
+        "low_strong_count": actors & low("minimum_strong_indicators", 2, 1),
+        "low_supporting_count": actors & low("minimum_supporting_indicators", 1, 0),
+        "bad_technique": F.exists(F.concat(texts("mitre"), texts("mitre_focus")), lambda m: ~F.coalesce(m.rlike(technique), F.lit(False))),
+    }
+    for field in lists:
+        checks[f"bad_list_{field}"] = listed(field).isNotNull() & (~listed(field).startswith("[") | F.exists(texts(field), lambda x: F.trim(F.coalesce(x, F.lit(""))) == ""))
+        checks[f"repeats_{field}"] = F.size(F.array_distinct(F.transform(texts(field), F.trim))) < F.size(texts(field))
+    found = F.array_compact(F.array(*(F.when(test, F.lit(name)) for name, test in checks.items())))
+    single = rules.select("section", "id", F.explode(found).alias("violation"))
+    double = rules.groupBy("section", "id").agg(F.count("*").alias("n")).where("n > 1").select("section", "id", F.lit("duplicate_id").alias("violation"))
+    used = rules.where(~sources).select("section", "id", F.explode(F.concat(texts("source_refs"), texts("actor_refs"))).alias("ref")).distinct()
+    known = rules.where(sources).select(F.col("id").alias("ref"))
+    unknown = used.join(known, "ref", "left_anti").select("section", "id", F.lit("unknown_reference").alias("violation")).distinct()
+    return single.unionByName(double).unionByName(unknown)
+
+
+def validate_phases(phases: DataFrame, signals: DataFrame, techniques: DataFrame) -> DataFrame:
+    """(``kind``, ``key``, ``violation``) of phases (``phase``, ``id``, ``label``, ``place``), signals (``signal``, ``phase``) and techniques (``mitre``, ``phase``)."""
+    # Forms of phases, tactics and techniques.
+    form, tactic, technique = "^[a-z][a-z0-9_]*$", r"^TA\d{4}$", r"^T\d{4}(\.\d{3})?$"
+    bad = lambda test: ~F.coalesce(test, F.lit(False))
+    row = lambda df, kind, key, **checks: df.select(F.lit(kind).alias("kind"), F.col(key).alias("key"), F.explode(F.array_compact(F.array(*(F.when(t, F.lit(n)) for n, t in checks.items())))).alias("violation")).distinct()
+    names = phases.select("phase").distinct()
+    place = phases.groupBy("place").agg(F.count("*").alias("n")).where("n > 1 or place is null").select("place")
+    twice = lambda df, *by: df.groupBy(*by).agg(F.count("*").alias("n")).where("n > 1")
+    tag = lambda df, kind, key, what: df.select(F.lit(kind).alias("kind"), F.col(key).alias("key"), F.lit(what).alias("violation")).distinct()
+    return reduce(
+        DataFrame.unionByName,
+        [
+            row(phases, "phase", "phase", bad_phase=bad(F.col("phase").rlike(form)), bad_tactic=bad(F.col("id").rlike(tactic)), missing_label=F.trim(F.coalesce("label", F.lit(""))) == ""),
+            row(signals, "signal", "signal", bad_signal=bad(F.col("signal").rlike(form))),
+            row(techniques, "technique", "mitre", bad_technique=bad(F.col("mitre").rlike(technique))),
+            tag(phases.join(place, phases["place"].eqNullSafe(place["place"]), "left_semi"), "phase", "phase", "order_not_unique"),
+            tag(signals.join(names, "phase", "left_anti"), "signal", "signal", "unknown_phase"),
+            tag(techniques.join(names, "phase", "left_anti"), "technique", "mitre", "unknown_phase"),
+            tag(twice(signals, "phase", "signal"), "signal", "signal", "repeated"),
+            tag(twice(techniques, "mitre", "phase"), "technique", "mitre", "repeated"),
+        ],
     )
-    single = rules.select("id", F.explode(checks).alias("violation"))
-    double = rules.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id", F.lit("duplicate_id").alias("violation"))
-    return single.unionByName(double)
 
 
-def read_timeline(spark: SparkSession, path: str) -> DataFrame:
-    """A timeline written as JSON lines; lines that do not parse are left out."""
-    return spark.read.schema(TIMELINE_SCHEMA).option("mode", "DROPMALFORMED").json(path)
+def read_timeline(spark: SparkSession, path: str, phases: tuple[DataFrame, DataFrame, DataFrame] | None = None) -> DataFrame:
+    """A timeline written as JSON lines; lines that do not parse are left out. With tables of phases, events without phases or candidates are classified."""
+    tl = spark.read.schema(TIMELINE_SCHEMA).option("mode", "DROPMALFORMED").json(path)
+    return tl if phases is None else fill_attack_phases(tl, *phases)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberlog.schemas import TIMELINE_COLUMNS
@@ -30,7 +30,7 @@ def write_timeline(timeline: DataFrame, path: str, csv: bool = True) -> None:
     written = timeline.sparkSession.read.schema(timeline.schema).parquet(f"{path}/parquet").select(*TIMELINE_COLUMNS)
     written.write.mode("overwrite").json(f"{path}/json")
     if csv:
-        flat(written).write.mode("overwrite").option("header", True).csv(f"{path}/csv")
+        flat(written).write.mode("overwrite").option("header", True).option("escape", '"').csv(f"{path}/csv")
 
 
 def write_findings(findings: DataFrame, path: str) -> None:
@@ -41,16 +41,26 @@ HIT_COLUMNS = ("value", "kind", "label", "event_id", "timestamp", "source_path",
 
 
 def write_ioc_hits(hits: DataFrame, path: str) -> None:
-    hits.select(*HIT_COLUMNS).write.mode("overwrite").option("header", True).csv(path)
+    hits.select(*HIT_COLUMNS).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
-def run_manifest(events: DataFrame, sources: DataFrame, settings: dict[str, str]) -> DataFrame:
-    """Labelled rows on a run: its settings, events and source statuses."""
+def file_hashes(spark: SparkSession, path: str) -> DataFrame:
+    """(``name``, ``value``) of the files under ``path``: their SHA-256."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    return files.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.sha2("content", 256).alias("value"))
+
+
+def run_manifest(events: DataFrame, sources: DataFrame, settings: dict[str, str], rules: DataFrame | None = None, inputs: DataFrame | None = None, outputs: DataFrame | None = None) -> DataFrame:
+    """Labelled rows on a run: its settings, events, source statuses, and hashes (``name``, ``value``) of rules, inputs and outputs where given."""
     spark = events.sparkSession
     fixed = spark.createDataFrame([("setting", k, v) for k, v in sorted(settings.items())], "section string, name string, value string")
     totals = events.agg(F.count("*").alias("events"), F.count("timestamp").alias("timed")).selectExpr("stack(2, 'events', cast(events as string), 'timed', cast(timed as string)) as (name, value)").select(F.lit("totals").alias("section"), "name", "value")
     status = sources.groupBy("parser_status").agg(F.count("*").alias("n")).select(F.lit("sources").alias("section"), F.col("parser_status").alias("name"), F.col("n").cast("string").alias("value"))
-    return fixed.unionByName(totals).unionByName(status)
+    out = fixed.unionByName(totals).unionByName(status)
+    for section, hashes in (("rule_hash", rules), ("input_hash", inputs), ("output_hash", outputs)):
+        if hashes is not None:
+            out = out.unionByName(hashes.select(F.lit(section).alias("section"), "name", "value"))
+    return out
 
 
 def summary_tables(**sections: DataFrame) -> DataFrame:

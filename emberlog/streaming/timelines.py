@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from emberlog.operators.timeline import SAME
 from emberlog.session import shared_folder
@@ -24,10 +27,37 @@ def stream_failures(events: DataFrame, length: str = "30 minutes", slide: str =
     return counts.select(F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"), "src_ip", "failures", "users")
 
 
-def stream_audit_groups(records: DataFrame, late: str = "1 minute") -> DataFrame:
-    """Audit records (``timestamp``, ``node``, ``audit_id``, ``type``, ``body``) gathered per id once the watermark passes them."""
-    grouped = records.withWatermark("timestamp", late).groupBy(F.window("timestamp", late), "node", "audit_id")
-    return grouped.agg(F.min("timestamp").alias("timestamp"), F.array_sort(F.collect_set("type")).alias("types"), F.collect_list("body").alias("bodies")).drop("window")
+_GROUP = "node string, audit_id string, timestamp timestamp, types array<string>, bodies array<string>"
+
+
+def stream_audit_groups(records: DataFrame, late: str = "1 minute", end: str = "EOE") -> DataFrame:
+    """Audit records (``timestamp``, ``node``, ``audit_id``, ``type``, ``body``) gathered per node and id, epoch included in the id.
+
+    A group is emitted when its end marker comes, or when the watermark passes its first record by
+    ``late``; state holds open groups only.
+    """
+    wait_ms = int(pd.Timedelta(late).total_seconds() * 1000)
+
+    def gather(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        first, types, bodies = state.get if state.exists else (None, [], [])
+        types, bodies = list(types), list(bodies)
+        closed = state.hasTimedOut
+        for frame in () if closed else frames:
+            for row in frame.sort_values(["timestamp", "body"], kind="stable").itertuples():
+                first = row.timestamp if first is None else min(pd.Timestamp(first), row.timestamp)
+                types.append(row.type)
+                bodies.append(row.body)
+                closed = closed or row.type == end
+        if closed:
+            if state.exists:
+                state.remove()
+            yield pd.DataFrame({"node": [key[0]], "audit_id": [key[1]], "timestamp": [first], "types": [sorted(set(types))], "bodies": [bodies]})
+        else:
+            state.update((pd.Timestamp(first).to_pydatetime(), types, bodies))
+            state.setTimeoutTimestamp(max(int(pd.Timestamp(first).timestamp() * 1000) + wait_ms, state.getCurrentWatermarkMs() + 1))
+
+    keyed = records.withWatermark("timestamp", late).groupBy("node", "audit_id")
+    return keyed.applyInPandasWithState(gather, _GROUP, "first timestamp, types array<string>, bodies array<string>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def read_stream(spark: SparkSession, path: str) -> DataFrame:
