@@ -10,9 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from emberlog.llm import kernels
-from emberlog.llm.chunks import chunked, expand, range_bits, squeeze, texts
+from emberlog.llm.chunks import chunked, in_key_order, shared_counts, texts
 from emberlog.llm.common import discard, materialise
-from emberlog.llm.kernels import pack_keys, unpack_keys
 
 U64 = np.uint64
 _BASE = 0x9E3779B97F4A7C15
@@ -95,12 +94,12 @@ def _shared(own: np.ndarray, keys: np.ndarray) -> np.ndarray:
 MANY = 0x7FFF
 
 
-def _answers(distinct: np.ndarray, number: np.ndarray) -> np.ndarray:
+def _answers(_: int, distinct: np.ndarray, number: np.ndarray) -> np.ndarray:
     """For sorted distinct keys and their counts: what chunks are told of each."""
-    pair = np.flatnonzero((distinct[1:] ^ distinct[:-1]) == 1)
+    pair = np.flatnonzero((distinct[1:] ^ distinct[:-1]) == 0x10000)
     other = np.zeros(len(distinct), bool)
     other[pair] = other[pair + 1] = True
-    return (np.minimum(number, MANY) | (other << 15)).astype("<u2")
+    return np.minimum(number, MANY) | (other.astype(np.int64) << 15)
 
 
 _ROWS = "chunk long, row int, doc long, line int, key long, near array<long>, shrunk array<long>, body string"
@@ -133,39 +132,17 @@ def line_dedup(docs: DataFrame, least_words: int = 5, id_col: str = "doc_id", te
     """
     nulls = docs.where(F.col(text_col).isNull()).select(F.col(id_col).cast("long").alias("doc"))
     chunks = chunked(docs.where(F.col(text_col).isNotNull()), id_col, text_col)
-    bits = range_bits(chunks, 1)
 
-    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        edges = np.arange(1 << bits, dtype=U64) << U64(64 - bits)
-        for batch in batches:
-            for row in batch.to_pylist():
-                words, cut, *_ = _lines(row)
-                _, _, own, _, keys, _ = _distinct(words, cut, least_words)
-                every = np.sort(_shared(own, keys))
-                at = np.append(np.searchsorted(every, edges), len(every))
-                out = [(r, row["chunk"], squeeze(pack_keys(every[a:b] >> U64(16)))) for r, (a, b) in enumerate(zip(at[:-1], at[1:], strict=True)) if b > a]
-                columns = list(zip(*out, strict=True)) or [(), (), ()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int64(), pa.binary()), strict=True)], ["range", "chunk", "keys"])
-
-    def counted(table: pa.Table) -> pa.Table:
-        rows = table.select(["range", "chunk"]).to_pylist()
-        keys = [unpack_keys(expand(k)) for k in table.column("keys").to_pylist()]
-        every = np.sort(np.concatenate(keys)) if keys else np.zeros(0, U64)
-        start = np.flatnonzero(np.append(True, every[1:] != every[:-1])) if len(every) else np.zeros(0, np.int64)
-        distinct = every[start]
-        told = _answers(distinct, np.diff(np.append(start, len(every))))
-        out = []
-        for k in keys:
-            own = k[np.append(True, k[1:] != k[:-1])]
-            out.append(squeeze(told[np.searchsorted(distinct, own)].view(np.uint8).reshape(-1, 2).T.tobytes()))
-        return pa.Table.from_arrays([pa.array([r["chunk"] for r in rows], pa.int64()), pa.array([r["range"] for r in rows], pa.int32()), pa.array(out, pa.binary())], ["chunk", "range", "counts"])
+    def asked(row: dict) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+        words, cut, *_ = _lines(row)
+        _, _, own, _, keys, _ = _distinct(words, cut, least_words)
+        return {0: np.unique(_shared(own, keys), return_counts=True)}
 
-    requests = chunks.mapInArrow(asked, "range int, chunk long, keys binary")
-    counts = materialise(requests.groupBy("range").applyInArrow(counted, "chunk long, range int, counts binary"), "counts")
+    counts = shared_counts(chunks, asked, tell=_answers)
 
     def flagged(table: pa.Table, answers: pa.Table) -> pa.Table:
         out = []
-        told = sorted(zip(answers.column("range").to_pylist(), answers.column("counts").to_pylist(), strict=True))
+        seen = in_key_order(answers).get(0, np.zeros(0, np.int64))
         for row in table.to_pylist():
             words, cut, doc, number, starts = _lines(row)
             chosen, which, own, line, keys, place = _distinct(words, cut, least_words)
@@ -174,7 +151,6 @@ def line_dedup(docs: DataFrame, least_words: int = 5, id_col: str = "doc_id", te
             every = _shared(own, keys)
             order = np.argsort(every)
             new = np.append(True, np.diff(every[order]) != 0)
-            seen = np.concatenate([np.ascontiguousarray(np.frombuffer(expand(c), np.uint8).reshape(2, -1).T).view("<u2").ravel() for _, c in told])
             count = np.empty(len(every), np.int64)
             count[order] = seen[np.cumsum(new) - 1]
             c_own, c_key = (count & MANY)[: len(own)], (count & MANY)[len(own) :]
@@ -226,9 +202,11 @@ def line_dedup(docs: DataFrame, least_words: int = 5, id_col: str = "doc_id", te
     near_schema = distinct.schema["place"].dataType.simpleString()
     near = pairs.select("key", "near_place", "body", "other_body").mapInArrow(verify, f"key long, near_place {near_schema}")
     earliest = distinct.select("key", F.col("place").alias("first_place")).join(near.groupBy("key").agg(F.min("near_place").alias("near_place")), "key", "left").select("key", F.least("first_place", F.coalesce("near_place", "first_place")).alias("earliest"))
+    # written, so that both sides of the next join are dealt by key alone and Spark can split a line that is everywhere
+    earliest = materialise(earliest, "earliest")
     gone = placed.join(earliest, "key").where("earliest < place").groupBy(F.col("place.chunk").alias("chunk"), F.col("place.row").alias("row")).agg(F.sort_array(F.collect_set("place.line")).alias("removed"))
     gone = materialise(gone, "gone")
-    discard(rows, distinct)
+    discard(rows, distinct, earliest)
 
     def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -12,8 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from emberlog.llm import kernels
-from emberlog.llm.chunks import answer, ask, chunked, in_key_order, pack_counts, range_bits, texts, unpack_counts
-from emberlog.llm.common import materialise
+from emberlog.llm.chunks import chunked, in_key_order, pack_counts, shared_counts, texts, unpack_counts
+from emberlog.llm.common import discard, materialise
 
 U64 = np.uint64
 END, BEGIN = U64(0x0E0D0E0D0E0D0E0D), U64(0x0B0E0B0E0B0E0B0E)
@@ -155,7 +155,7 @@ def lm_scores(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col:
     training rows every token is the unknown one.
     """
     chunks = chunked(docs, id_col, text_col, train)
-    answers = materialise(answer(ask(chunks, _keys, range_bits(chunks)), _tally), "answers")
+    answers = shared_counts(chunks, _keys, extra=_tally)
 
     sums: dict[int, dict[int, int]] = {2: {}, 3: {}}
     for r in answers.where("chunk = -1").select("kind", "range", "counts").mapInArrow(_numbers, "kind int, bin int, n long").groupBy("kind", "bin").agg(F.sum("n").alias("n")).collect():
@@ -168,6 +168,7 @@ def lm_scores(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col:
 
     joined = chunks.groupBy("chunk").cogroup(answers.where("chunk >= 0").groupBy("chunk")).applyInArrow(_join, _JOINED)
     joined = materialise(joined, "joined")
+    discard(chunks, answers)
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(BUCKETS * BINS, np.int64)

@@ -8,14 +8,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from emberlog.llm import kernels
-from emberlog.llm.chunks import answer, ask, chunked, expand, in_key_order, pack_counts, range_bits, squeeze, texts, unpack_counts
-from emberlog.llm.common import materialise
+from emberlog.llm.chunks import FAN_BITS, chunked, expand, in_key_order, pack_counts, range_bits, shared_counts, squeeze, texts, unpack_counts
+from emberlog.llm.common import discard, materialise
 
 U64 = np.uint64
 #: Bytes of the hashed grams; a window's grams are all those inside it.
 GRAM = 32
-#: Occurrences from which the windows of a key are split by a second hash.
+#: Occurrences from which the windows of a key are dealt by all of their bytes.
 HOT = 20_000
+#: Chunks, and then groups, whose fragments meet at one level.
+BLOCK = 256
 
 
 def _types(t: np.ndarray) -> np.ndarray:
@@ -112,26 +114,11 @@ def _induce_items(t: np.ndarray, small: np.ndarray, sigma: int, lms: np.ndarray)
     return np.array(sa, np.int64)
 
 
-def _doubled(names: np.ndarray) -> np.ndarray:
-    """Suffix array of names by doubling: ranks by pairs of ranks, one, two, four and more places apart."""
-    n, rank, step = len(names), names, 1
-    while True:
-        after = np.zeros(n, np.int64)
-        after[:-step] = rank[step:] + 1
-        key = rank * (n + 1) + after
-        order = np.argsort(key, kind="stable")
-        rank = np.empty(n, np.int64)
-        rank[order] = np.concatenate([[0], np.cumsum(np.diff(key[order]) != 0)])
-        if rank[order[-1]] == n - 1:
-            return order
-        step *= 2
-
-
 def suffix_array(t: np.ndarray, sigma: int = 256) -> np.ndarray:
-    """Suffix array by induced sorting: classify, sort and name leftmost-smaller substrings, sort the string of names, induce.
+    """Suffix array by induced sorting: classify, sort and name leftmost-smaller substrings, sort the string of names the same way, induce.
 
-    The string of names is sorted the same way while its alphabet is small beside it. With few
-    suffixes in a bucket induction has nothing to move at once, and doubling sorts the names sooner.
+    Buckets of many suffixes are induced bucket by bucket, all that is known at once; in a string of
+    names most buckets hold few, and its suffixes are induced one after another.
     """
     n = len(t)
     if n <= 1:
@@ -164,42 +151,50 @@ def suffix_array(t: np.ndarray, sigma: int = 256) -> np.ndarray:
     if names[-1] + 1 < len(lms):
         reduced = np.empty(len(lms), np.int64)
         reduced[number[rough]] = names
-        few = int(names[-1]) + 1
-        rough = lms[suffix_array(reduced, few) if len(reduced) > 1000 * few else _doubled(reduced)]
+        rough = lms[suffix_array(reduced, int(names[-1]) + 1)]
     return induce(t, small, sigma, rough)
 
 
 def permuted_common_prefix(t: np.ndarray, sa: np.ndarray, most: int) -> np.ndarray:
-    """For every position, bytes shared with the suffix before it in the array, up to ``most``; eight are compared at a time."""
+    """For every position, bytes shared with the suffix before it in the array, up to ``most``.
+
+    A position shares at least as much as the one ``d`` places before it, less ``d``. Every 64th
+    position is compared first, then those half-way between, and so on, each from what its
+    predecessor leaves it, eight bytes at a time; so bytes are compared about once.
+    """
     n = len(t)
     before = np.full(n, -1, np.int64)
     before[sa[1:]] = sa[:-1]
-    padded = np.concatenate([t.astype(np.uint8), np.zeros(most + 8, np.uint8)])
+    padded = np.concatenate([t.astype(np.uint8), np.zeros(most + 16, np.uint8)])
     word = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(padded, 8)).view("<u8").ravel()
     out = np.zeros(n, np.int64)
-    live = np.flatnonzero(before >= 0)
-    other = before[live]
-    for step in range(0, most, 8):
-        x = word[live + step] ^ word[other + step]
-        same = x == 0
-        last = x[~same]
-        # the lowest bit that differs is in the first byte that does
-        out[live[~same]] += np.log2((last & (~last + U64(1))).astype(float)).astype(np.int64) >> 3
-        live, other = live[same], other[same]
-        out[live] += 8
-        if len(live) == 0:
-            break
-    room = n - np.maximum(np.arange(n), before)
-    return np.minimum(np.minimum(out, most), room)
-
-
-def _runs(data: np.ndarray, offsets: np.ndarray, width: int, hot: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray | None]:
-    """Runs of windows whose smallest gram hash stands in one place: start, number of windows, key; and with ``hot`` a second smallest hash of each window.
+    for step in (0, 32, 16, 8, 4, 2, 1):
+        at = np.arange(step, n, 2 * step or 64)
+        out[at] = np.maximum(out[at - step] - step, 0)
+        live = at[before[at] >= 0]
+        live = live[out[live] < most]
+        while len(live):
+            k = out[live]
+            x = word[live + k] ^ word[before[live] + k]
+            same = x == 0
+            last = x[~same]
+            # the lowest bit that differs is in the first byte that does
+            out[live[~same]] += np.log2((last & (~last + U64(1))).astype(float)).astype(np.int64) >> 3
+            live = live[same]
+            out[live] += 8
+            live = live[out[live] < most]
+        room = n - np.maximum(at, before[at])
+        out[at] = np.where(before[at] >= 0, np.minimum(np.minimum(out[at], most), room), 0)
+    return out
+
+
+def _runs(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of windows whose smallest gram hash stands in one place: start, number of windows, key.
 
     The leftmost smallest gram is set by a window's bytes alone, so equal windows have equal keys,
     and no two windows of one run are equal.
     """
-    starts, sizes, keys, second = [], [], [], np.zeros(len(data) if hot else 0, U64)
+    starts, sizes, keys = [], [], []
     a, rows = 0, len(offsets) - 1
     while a < rows:
         b = min(rows, max(a + 1, int(np.searchsorted(offsets, offsets[a] + (2 << 20), "right")) - 1))
@@ -223,64 +218,154 @@ def _runs(data: np.ndarray, offsets: np.ndarray, width: int, hot: bool = False)
             starts.append(begin + lo)
             sizes.append(size)
             keys.append(kernels.mix(grams[(least[begin] & low).astype(np.int64)]))
-            if hot:
-                second[lo : lo + n] = kernels.sliding_min(kernels.mix(grams ^ U64(0x5851F42D4C957F2D)), width - GRAM + 1)
         a = b
     join = lambda x, kind: np.concatenate(x) if x else np.zeros(0, kind)
-    return join(starts, np.int64), join(sizes, np.int64), join(keys, U64), second if hot else None
+    return join(starts, np.int64), join(sizes, np.int64), join(keys, U64)
+
+
+def _window_keys(data: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
+    """Hashes of all bytes of the windows at the places ``at``: of their first and last 2 ** k bytes, which meet or overlap."""
+    part = 1 << (width.bit_length() - 1)
+    if len(at) == 0:
+        return np.zeros(0, U64)
+    out = np.empty(len(at), U64)
+    order = np.argsort(at, kind="stable")
+    for lo in range(0, len(data), 2 << 20):
+        a, b = np.searchsorted(at[order], [lo, lo + (2 << 20)])
+        if b > a:
+            grams = kernels.window_hashes(data[lo : lo + (2 << 20) + width], part)
+            own = at[order[a:b]] - lo
+            out[order[a:b]] = kernels.mix(grams[own] * U64(0x9E3779B97F4A7C15) + grams[own + width - part])
+    return out
+
+
+def _seen(key: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    return counts[np.searchsorted(np.unique(key), key)] if len(key) else np.zeros(0, np.int64)
+
 
+def _hot_windows(row: dict, answers: dict[int, np.ndarray], width: int, hot: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the windows of keys that occur more than ``hot`` times, and hashes of their bytes."""
+    data, offsets = texts(row)
+    start, size, key = _runs(data, offsets, width)
+    use = _seen(key, answers.get(0, np.zeros(0, np.int64))) > hot
+    start, size = start[use], size[use]
+    at = np.repeat(start - np.cumsum(size) + size, size) + np.arange(size.sum())
+    return at, _window_keys(data, at, width)
+
+
+def _fragments(row: dict, answers: dict[int, np.ndarray], again: dict[int, np.ndarray], width: int, hot: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Text, document offsets, and the fragments that may repeat: start, windows, shard key, and the fragment of this chunk that stands for it.
 
-def _fragments(row: dict, counts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Text, document offsets, and the fragments that may repeat: start, windows, shard key, and the fragment of this chunk that stands for it."""
+    Windows of a hot key that the corpus has twice are a fragment each, keyed by all of their bytes:
+    a passage that many documents share is so dealt by its windows, and what each document has
+    beside it is left out.
+    """
     data, offsets = texts(row)
-    start, size, key, _ = _runs(data, offsets, width)
-    seen = counts[np.searchsorted(np.unique(key), key)] if len(key) else np.zeros(0, np.int64)
-    use = seen > 1
-    start, size, key, seen = start[use], size[use], key[use], seen[use]
-    if (seen > HOT).any():
-        second = _runs(data, offsets, width, hot=True)[3]
-        parts = [(start[seen <= HOT], size[seen <= HOT], key[seen <= HOT])]
-        for s, n, k in zip(start[seen > HOT], size[seen > HOT], key[seen > HOT], strict=True):
-            own = second[s : s + n]
-            cut = np.concatenate([[0], np.flatnonzero(own[1:] != own[:-1]) + 1])
-            parts.append((s + cut, np.diff(np.append(cut, n)), kernels.mix(own[cut] ^ k)))
-        start, size, key = (np.concatenate(x) for x in zip(*parts, strict=True))
+    start, size, key = _runs(data, offsets, width)
+    seen = _seen(key, answers.get(0, np.zeros(0, np.int64)))
+    use = (seen > 1) & (seen <= hot)
     ids = np.array([np.iinfo(np.int64).max if i is None else i for i in row["ids"]], np.int64)
+    at, whole = np.zeros(0, np.int64), np.zeros(0, U64)
+    if (seen > hot).any():
+        at, whole = _hot_windows(row, answers, width, hot)
+        twice = _seen(whole, again[1]) > 1
+        at, whole = at[twice], whole[twice]
+    n = int(use.sum())
+    start, size, key = np.concatenate([start[use], at]), np.concatenate([size[use], np.ones(len(at), np.int64)]), np.concatenate([key[use], kernels.mix(whole)])
     doc = np.searchsorted(offsets, start, "right") - 1
     order = np.lexsort((start, ids[doc])) if len(start) else np.zeros(0, np.int64)
-    raw, first, stands = data.tobytes(), {}, np.zeros(len(start), np.int64)
-    for i in order.tolist():
-        s = int(start[i])
-        stands[i] = first.setdefault(raw[s : s + int(size[i]) + width - 1], i)
+    raw, first, stands = data.tobytes(), {}, np.arange(len(start))
+    plain = order[order < n]
+    for i, a, b in zip(plain.tolist(), start[plain].tolist(), (start + size)[plain].tolist(), strict=True):
+        stands[i] = first.setdefault(raw[a : b + width - 1], i)
+    single = order[order >= n]
+    if len(single):
+        _, where, back = np.unique(key[single], return_index=True, return_inverse=True)
+        mine = single[where][back]
+        window = np.lib.stride_tricks.sliding_window_view(data, width)
+        for a in range(0, len(single), 1 << 16):
+            i, j = single[a : a + (1 << 16)], mine[a : a + (1 << 16)]
+            same = (window[start[i]] == window[start[j]]).all(1)
+            stands[i[same]] = j[same]
     return data, offsets, start, size, key, stands
 
 
-def _ship(width: int, bits: int):
-    def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
+_FRAME = "node long, range int, chunks binary, ids binary, places binary, sizes binary, starts binary, keys binary, text binary"
+_NAMES = ["node", "range", "chunks", "ids", "places", "sizes", "starts", "keys", "text"]
+
+
+def _frames(rows: list[tuple]) -> pa.Table:
+    columns = list(zip(*rows, strict=True)) or [()] * len(_NAMES)
+    return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), *[pa.binary()] * 7), strict=True)], _NAMES)
+
+
+def _known(node: int, chunk: np.ndarray, place: np.ndarray, size: np.ndarray) -> list[tuple]:
+    """Rows on windows that are known to repeat; they go past all shards."""
+    if len(chunk) == 0:
+        return []
+    none = pack_counts(np.zeros(0, np.int64))
+    return [(node, -1, pack_counts(chunk), none, pack_counts(place), pack_counts(size), none, none, b"")]
+
+
+def _dealt(node: int, bits: int, chunk: np.ndarray, ids: np.ndarray, place: np.ndarray, size: np.ndarray, start: np.ndarray, key: np.ndarray, texts_of: list[bytes]) -> list[tuple]:
+    """Fragments by the first ``bits`` bits of their keys, packed, a row for each range that has any."""
+    shard = (key >> U64(64 - bits)).astype(np.int64)
+    order = np.argsort(shard, kind="stable")
+    cut = np.append(np.flatnonzero(np.diff(shard[order], prepend=-1)), len(order))
+    out = []
+    for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+        own = order[a:b]
+        text = squeeze(b"".join([texts_of[i] for i in own.tolist()]))
+        out.append((node, int(shard[own[0]]), *(pack_counts(x[own]) for x in (chunk, ids, place, size, start, key.view(np.int64))), text))
+    return out
+
+
+def _ship(width: int, bits: int, hot: int):
+    def run(docs: pa.Table, told: pa.Table) -> pa.Table:
         out = []
         for row in docs.to_pylist():
-            counts = in_key_order(answers).get(0, np.zeros(0, np.int64))
-            data, offsets, start, size, key, stands = _fragments(row, counts, width)
+            answers = in_key_order(told)
+            data, offsets, start, size, key, stands = _fragments(row, answers, answers, width, hot)
             alone = stands == np.arange(len(start))
+            chunk = np.full(len(start), row["chunk"], np.int64)
+            out += _known(row["chunk"], chunk[~alone], start[~alone], size[~alone])
             mine = np.flatnonzero(alone)
-            shard = (key[mine] >> U64(64 - bits)).astype(np.int64)
-            mine = mine[np.argsort(shard, kind="stable")]
-            shard = np.sort(shard)
-            if not alone.all():
-                # repeats of a fragment within the chunk are known now; they pass through a group of their own
-                empty = pack_counts(np.zeros(0, np.int64))
-                out.append((-1 - row["chunk"] % (1 << bits), row["chunk"], empty, pack_counts(start[~alone]), pack_counts(size[~alone]), empty, empty, b""))
+            doc = np.searchsorted(offsets, start[mine], "right") - 1
             ids = np.array([np.iinfo(np.int64).max if i is None else i for i in row["ids"]], np.int64)
             raw = data.tobytes()
-            cut = np.searchsorted(shard, np.arange((1 << bits) + 1))
-            for s in np.unique(shard).tolist():
-                own = mine[cut[s] : cut[s + 1]]
-                doc = np.searchsorted(offsets, start[own], "right") - 1
-                text = squeeze(b"".join(raw[int(a) : int(a) + int(n) + width - 1] for a, n in zip(start[own], size[own], strict=True)))
-                out.append((s, row["chunk"], pack_counts(ids[doc]), pack_counts(start[own]), pack_counts(size[own]), pack_counts(start[own] - offsets[doc]), pack_counts(key[own].view(np.int64)), text))
-        kinds = (pa.int32(), pa.int64(), *[pa.binary()] * 6)
-        columns = list(zip(*out, strict=True)) or [()] * 8
-        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["shard", "chunk", "ids", "places", "sizes", "starts", "keys", "text"])
+            pieces = [raw[a:b] for a, b in zip(start[mine].tolist(), (start + size + width - 1)[mine].tolist(), strict=True)]
+            out += _dealt(row["chunk"], bits, chunk[mine], ids[doc], start[mine], size[mine], start[mine] - offsets[doc], key[mine], pieces)
+        return _frames(out)
+
+    return run
+
+
+def _opened(rows: list[dict], width: int) -> tuple[list[np.ndarray], bytes, np.ndarray]:
+    """Columns of a group's fragments, their text, and where each one's text begins."""
+    columns = [np.concatenate([unpack_counts(r[c]) for r in rows]) for c in ("chunks", "ids", "places", "sizes", "starts", "keys")]
+    return columns, b"".join(expand(r["text"]) for r in rows), np.concatenate([[0], np.cumsum(columns[3] + width - 1)])
+
+
+def _earliest(ids: np.ndarray, starts: np.ndarray, raw: bytes, cut: np.ndarray) -> np.ndarray:
+    """The earliest of the fragments that are equal to each."""
+    first, stands, ends = {}, np.zeros(len(ids), np.int64), cut.tolist()
+    for i in np.lexsort((np.arange(len(ids)), starts, ids)).tolist():
+        stands[i] = first.setdefault(raw[ends[i] : ends[i + 1]], i)
+    return stands
+
+
+def _join_on(width: int, bits: int):
+    """One level of groups: equal fragments of the chunks that meet here become one, and go on by finer ranges."""
+
+    def run(table: pa.Table) -> pa.Table:
+        rows = table.to_pylist()
+        if not rows or rows[0]["range"] < 0:
+            return table.select(_NAMES)
+        (chunk, ids, place, size, start, key), raw, cut = _opened(rows, width)
+        alone = _earliest(ids, start, raw, cut) == np.arange(len(ids))
+        node, mine = rows[0]["node"], np.flatnonzero(alone)
+        pieces = [raw[a:b] for a, b in zip(cut[:-1][mine].tolist(), cut[1:][mine].tolist(), strict=True)]
+        return _frames(_known(node, chunk[~alone], place[~alone], size[~alone]) + _dealt(node, bits, chunk[mine], ids[mine], place[mine], size[mine], start[mine], key[mine].view(U64), pieces))
 
     return run
 
@@ -294,11 +379,10 @@ def repeated_windows(ids: np.ndarray, starts: np.ndarray, sizes: np.ndarray, key
     cut = np.concatenate([[0], np.cumsum(sizes + width - 1)])
     windows = np.concatenate([[0], np.cumsum(sizes)])
     again = np.zeros(windows[-1], bool)
-    first: dict[bytes, int] = {}
-    for i in np.lexsort((np.arange(len(ids)), starts, ids)).tolist():
-        if first.setdefault(raw[cut[i] : cut[i + 1]], i) != i:
-            again[windows[i] : windows[i + 1]] = True
-    own = np.array(sorted(first.values()), np.int64)
+    stands = _earliest(ids, starts, raw, cut)
+    later = np.flatnonzero(stands != np.arange(len(ids)))
+    again[np.repeat(windows[later] - np.cumsum(sizes[later]) + sizes[later], sizes[later]) + np.arange(sizes[later].sum())] = True
+    own = np.flatnonzero(stands == np.arange(len(ids)))
     _, back, number = np.unique(keys[own], return_inverse=True, return_counts=True)
     own = own[number[back] > 1]
     if len(own) == 0:
@@ -324,25 +408,26 @@ def repeated_windows(ids: np.ndarray, starts: np.ndarray, sizes: np.ndarray, key
 
 
 def _sort_shard(width: int):
+    """Runs of repeated windows, by chunk."""
+
     def run(table: pa.Table) -> pa.Table:
-        rows, out = table.to_pylist(), []
-        if rows and rows[0]["shard"] < 0:
-            out = [(r["chunk"], np.concatenate([unpack_counts(r["places"]), unpack_counts(r["sizes"])])) for r in rows]
+        rows = table.to_pylist()
+        chunk = begin = number = np.zeros(0, np.int64)
+        if rows and rows[0]["range"] < 0:
+            chunk, begin, number = (np.concatenate([unpack_counts(r[c]) for r in rows]) for c in ("chunks", "places", "sizes"))
         elif rows:
-            parts = [[unpack_counts(r[c]) for r in rows] for c in ("ids", "starts", "sizes", "keys")]
-            again = repeated_windows(*(np.concatenate(p) for p in parts), b"".join(expand(r["text"]) for r in rows), width)
-            a = 0
-            for r, size in zip(rows, parts[2], strict=True):
-                own = np.flatnonzero(again[a : a + size.sum()])
-                first = np.cumsum(size) - size
-                fragment = np.searchsorted(first, own, "right") - 1
-                at = unpack_counts(r["places"])[fragment] + own - first[fragment]
-                new = np.ones(len(own), bool)
-                new[1:] = (np.diff(own) != 1) | (np.diff(fragment) != 0)
-                begin = np.flatnonzero(new)
-                out.append((r["chunk"], np.concatenate([at[begin], np.diff(np.append(begin, len(own)))])))
-                a += int(size.sum())
-        return pa.Table.from_arrays([pa.array([c for c, _ in out], pa.int64()), pa.array([pack_counts(v) for _, v in out], pa.binary())], ["chunk", "runs"])
+            (chunks, ids, places, sizes, starts, keys), raw, _ = _opened(rows, width)
+            own = np.flatnonzero(repeated_windows(ids, starts, sizes, keys, raw, width))
+            first = np.cumsum(sizes) - sizes
+            fragment = np.searchsorted(first, own, "right") - 1
+            new = np.ones(len(own), bool)
+            new[1:] = (np.diff(own) != 1) | (np.diff(fragment) != 0)
+            head = np.flatnonzero(new)
+            chunk, begin, number = chunks[fragment[head]], (places[fragment] + own - first[fragment])[head], np.diff(np.append(head, len(own)))
+        order = np.argsort(chunk, kind="stable")
+        cut = np.append(np.flatnonzero(np.diff(chunk[order], prepend=-1)), len(order))
+        out = [(int(chunk[order[a]]), pack_counts(np.concatenate([begin[order[a:b]], number[order[a:b]]]))) for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
+        return pa.Table.from_arrays([pa.array([c for c, _ in out], pa.int64()), pa.array([v for _, v in out], pa.binary())], ["chunk", "runs"])
 
     return run
 
@@ -373,7 +458,7 @@ def _cut_out(width: int):
     return run
 
 
-def remove_repeats(docs: DataFrame, width: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, width: int = 100, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT, block: int = BLOCK) -> DataFrame:
     """Per row: id, ``n_bytes``, ``removed`` spans (bytes, end exclusive) and the ``kept`` bytes.
 
     A byte goes if a ``width``-byte string over it also starts earlier: in a smaller id, or in the
@@ -381,8 +466,12 @@ def remove_repeats(docs: DataFrame, width: int = 100, id_col: str = "doc_id", te
     ``width`` bytes is keyed by the smallest hash of its grams, so equal windows share a key; keys
     that occur twice in the corpus send their windows' text, each distinct fragment once from a
     chunk, to a shard of their key range. A shard is sorted by an induced suffix array, and windows
-    equal in their first ``width`` bytes lie side by side, as the permuted common prefixes show. Keys
-    of more than ``HOT`` occurrences are split by a second hash, so one passage is no hot spot.
+    equal in their first ``width`` bytes lie side by side, as the permuted common prefixes show.
+
+    Windows of keys of more than ``hot`` occurrences are counted by all of their bytes, and only
+    those that occur twice are sent, each by itself; so a passage found everywhere is dealt by its
+    windows. Chunks deal their fragments into 256 ranges at most; where there are more chunks than
+    ``block``, groups of that many join their equal fragments and deal on.
 
     A null text is empty. Null ids come last. Rows that repeat an id and text count as repeats, the
     one met first stays. Texts shorter than ``width`` stay whole. Other columns are ignored; an
@@ -391,14 +480,36 @@ def remove_repeats(docs: DataFrame, width: int = 100, id_col: str = "doc_id", te
     if width < GRAM:
         raise ValueError(f"width must be {GRAM} or more")
     chunks = chunked(docs, id_col, text_col)
+    n = max(1, chunks.select("chunk").count())
 
     def keys(row: dict) -> dict[int, tuple[np.ndarray, np.ndarray]]:
         return {0: np.unique(_runs(*texts(row), width)[2], return_counts=True)}
 
-    counts = materialise(answer(ask(chunks, keys, range_bits(chunks))), "counts")
-    bits = range_bits(chunks, 1) + 2
-    parts = chunks.groupBy("chunk").cogroup(counts.groupBy("chunk")).applyInArrow(_ship(width, bits), "shard int, chunk long, ids binary, places binary, sizes binary, starts binary, keys binary, text binary")
-    runs = materialise(parts.groupBy("shard").applyInArrow(_sort_shard(width), "chunk long, runs binary"), "runs")
+    def crowded(_: int, every: np.ndarray, total: np.ndarray) -> list[tuple[int, int, int]]:
+        return [(9, 0, 1)] if (total > hot).any() else []
+
+    def windows(row: dict, answers: dict[int, np.ndarray]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+        return {1: np.unique(_hot_windows(row, answers, width, hot)[1], return_counts=True)}
+
+    counts = shared_counts(chunks, keys, extra=crowded)
+    told = counts.where("chunk >= 0")
+    again = None
+    if not counts.where("chunk < 0").isEmpty():
+        again = shared_counts(chunks, windows, given=counts)
+        told = told.unionByName(again)
+
+    blocks = [-(-n // block)]
+    while blocks[-1] > 1:
+        blocks.append(-(-blocks[-1] // block))
+    last = range_bits(n, 1) + 2
+    bits = [min(last, FAN_BITS * (level + 1)) for level in range(len(blocks) - 1)] + [last]
+    past = F.col("range") < 0
+    group = lambda origin, count: F.when(past, -1 - F.pmod(F.xxhash64("node"), F.lit(1 << last))).otherwise(F.shiftleft(F.pmod(F.xxhash64(origin), F.lit(count)), 32) + F.col("range"))
+    parts = chunks.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(_ship(width, bits[0], hot), _FRAME).withColumn("node", group(F.col("node"), blocks[0]))
+    for level, count in enumerate(blocks[1:], 1):
+        parts = materialise(parts, "fragments").groupBy("node").applyInArrow(_join_on(width, bits[level]), _FRAME).withColumn("node", group(F.shiftright("node", 32), count))
+    runs = materialise(parts.groupBy("node").applyInArrow(_sort_shard(width), "chunk long, runs binary"), "runs")
+    discard(*(t for t in (counts, again) if t is not None))
     out = chunks.groupBy("chunk").cogroup(runs.groupBy("chunk")).applyInArrow(_cut_out(width), "id long, n_bytes long, removed array<struct<start:long,end:long>>, kept binary")
     return out.withColumnRenamed("id", id_col)
 

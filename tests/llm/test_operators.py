@@ -1,8 +1,10 @@
 """Corpus operators against brute force on small tables with nulls, empties, ties, repeats and clashing columns."""
 
 import collections
+import functools
 import hashlib
 import math
+import os
 import random
 import zlib
 
@@ -11,7 +13,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from emberlog.llm import ann, exact_dedup, graph, kernels, langid, line_dedup, lm, minhash, packing, pieces, secrets, suffix
+from emberlog.llm import ann, chunks, exact_dedup, graph, kernels, langid, line_dedup, lm, minhash, packing, pieces, secrets, suffix
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id string, h string, text_a string, block int, place int"
@@ -86,16 +88,35 @@ def test_components(spark):
     assert got == {v: c for v, c in label.items() if any(v in e and e[0] != e[1] for e in edges)}
 
 
-def test_suffix(docs):
-    first, got = {}, {r["doc_id"]: r for r in suffix.remove_repeats(docs.where("doc_id <> 3")).collect()}
-    for i, t, _ in sorted((r for r in corpus() if r[0] != 3), key=lambda r: r[0]):
+def kept_bytes(rows):
+    """What is left of each row's bytes when 100-byte strings that start earlier are taken out; rows of one id come in the order given."""
+    first, out = {}, []
+    for i, t, _ in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0)):
         b = (t or "").encode()
         gone = bytearray(len(b))
         for p in range(len(b) - 99):
             if first.setdefault(b[p : p + 100], (i, p)) != (i, p):
                 gone[p : p + 100] = b"\1" * 100
-        assert bytes(x for x, g in zip(b, gone) if not g) == bytes(got[i]["kept"]), i
-        assert got[i]["n_bytes"] == len(b) and sum(s["end"] - s["start"] for s in got[i]["removed"]) == sum(gone)
+        out.append((i, bytes(x for x, g in zip(b, gone) if not g), sum(gone)))
+    return sorted(out, key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+
+
+@pytest.mark.parametrize("size, hot, block, levels", [(8 << 20, 20_000, 256, {}), (3000, 2, 2, {}), (3000, 20_000, 2, {"fan_bits": 2, "first": 3, "following": 2})])
+def test_suffix(docs, monkeypatch, size, hot, block, levels):
+    monkeypatch.setattr(suffix, "chunked", functools.partial(chunks.chunked, size=size))
+    monkeypatch.setattr(suffix, "shared_counts", functools.partial(chunks.shared_counts, **levels))
+    got = [(r["doc_id"], bytes(r["kept"]), sum(s["end"] - s["start"] for s in r["removed"])) for r in suffix.remove_repeats(docs, hot=hot, block=block).collect()]
+    assert sorted(got, key=lambda r: (r[0], r[1])) == kept_bytes(corpus())
+
+
+def test_common_prefixes():
+    rng = np.random.default_rng(2)
+    for _ in range(30):
+        t = rng.integers(0, 2, int(rng.integers(1, 400))).astype(np.uint8)
+        b, sa = bytes(t), suffix.suffix_array(t)
+        got = suffix.permuted_common_prefix(t, sa, 100)
+        for before, i in zip([None, *sa.tolist()], sa.tolist()):
+            assert got[i] == (0 if before is None else min(100, len(os.path.commonprefix([b[before:], b[i:]]))))
 
 
 def test_suffix_array():
@@ -110,16 +131,6 @@ def test_suffix_array():
         assert suffix._induce_buckets(t.astype(np.int64), small, 256, lms).tolist() == want
 
 
-def test_hot_keys_split(docs, monkeypatch):
-    plain = {r["doc_id"]: bytes(r["kept"]) for r in suffix.remove_repeats(docs.where("doc_id <> 3")).collect()}
-    data, offsets = np.frombuffer(b"ab" * 400 + b"q" * 50 + b"ab" * 300, np.uint8), np.array([0, 850, 1450])
-    row = {"ids": [1, 2], "text": suffix.squeeze(data.tobytes()), "sizes": [850, 600]}
-    keys = np.unique(suffix._runs(data, offsets, 100)[2])
-    monkeypatch.setattr(suffix, "HOT", 1)
-    split = suffix._fragments(row, np.full(len(keys), 5), 100)
-    assert split[3].sum() == suffix._runs(data, offsets, 100)[1].sum() and plain
-
-
 def test_lm(docs):
     train = lambda i: zlib.crc32(str(i).encode()) % 7 != 2
     out, w = lm.lm_scores(docs, langid.remainder("doc_id", 7) != 2)
