@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -151,74 +153,133 @@ def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     return np.frombuffer(raw, "<f8").reshape(len(column), -1) if len(column) else np.zeros((0, 0))
 
 
-def search(df: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding", sample_size: int = 4096, part_rows: int = 2048, block_rows: int = 4096, parts: int | None = None) -> DataFrame:
+def number_of_parts(rows: int, sampled: int) -> int:
+    """Partitions that ``rows`` rows are divided into: about half their square root, 256 at most, each with 16 sampled rows or more."""
+    return max(1, min(256, sampled // 16, math.ceil(math.sqrt(rows) / 2)))
+
+
+def _fitted(k: int, parts: int | None):
+    """Fit a router on the sampled rows of one partition; none where they are too few or alike to divide."""
+
+    def run(table: pa.Table) -> pa.Table:
+        x = np.unique(_matrix(table.column("v")), axis=0)
+        x = x[np.random.default_rng(0).permutation(len(x))]
+        held = max(1, min(256, len(x) // 8))
+        tests, sample = x[:held], x[held:]
+        number = parts or number_of_parts(table.column("rows")[0].as_py(), len(sample))
+        router = fit(sample, tests, min(number, len(sample)), k) if number > 1 and len(sample) > k else None
+        return pa.table({"part": pa.array([table.column("part")[0].as_py()], pa.int64()), "router": pa.array([pickle.dumps(router)], pa.binary()), "divides": pa.array([router is not None], pa.bool_())})
+
+    return run
+
+
+def _routed(own: bool):
+    """Rows of a block with the partitions below theirs: each row's own, or all that a query tries."""
+
+    def run(rows: pa.Table, routers: pa.Table) -> pa.Table:
+        if rows.num_rows == 0:
+            return rows.select(["id", "v", "part"])
+        router = pickle.loads(routers.column("router")[0].as_py()) if routers.num_rows else None
+        below = rows.column("part").to_numpy() * 256
+        if router is None:
+            return pa.table({"id": rows.column("id"), "v": rows.column("v"), "part": pa.array(below)})
+        order = np.argsort(-router.scores(_matrix(rows.column("v"))), axis=1, kind="stable")[:, : 1 if own else router.probes]
+        at = pa.array(np.repeat(np.arange(rows.num_rows), order.shape[1]))
+        return pa.table({"id": rows.column("id").take(at), "v": rows.column("v").take(at), "part": pa.array(np.repeat(below, order.shape[1]) + order.ravel())})
+
+    return run
+
+
+_PLACED = "id long, v binary, part long"
+
+
+def learned_partitions(rows: DataFrame, queries: DataFrame, k: int, sample_size: int, part_rows: int, block_rows: int, parts: int | None = None, levels: int = 6) -> tuple[DataFrame, DataFrame]:
+    """Every row with its partition, and every query with those it tries (``id``, ``v``, ``part``); written tables.
+
+    All rows are one partition first. One of more than ``part_rows`` rows is divided: a router is
+    fitted on ``sample_size`` of its rows with the smallest hashed ids, 256 more choose how many
+    partitions a query tries. What is still too large is divided again, so partitions grow in number
+    with the rows. Rows meet their router in blocks of ``block_rows``; nothing reaches the driver.
+    """
+    placed, asked = (df.withColumn("part", F.lit(0).cast("long")) for df in (rows, queries))
+    for level in range(levels):
+        sizes = placed.groupBy("part").agg(F.count("*").alias("rows"))
+        large = sizes if level == 0 else sizes.where(F.col("rows") > part_rows)
+        place = F.row_number().over(Window.partitionBy("part").orderBy(F.xxhash64("id"), "id"))
+        drawn = placed.withColumn("place", place).where(F.col("place") <= sample_size + 256).join(large, "part").select("part", "rows", "v")
+        routers = materialise(drawn.groupBy("part").applyInArrow(_fitted(k, parts), "part long, router binary, divides boolean"), "routers")
+        if routers.where("divides").isEmpty():
+            break
+
+        def route(df: DataFrame, own: bool, name: str) -> DataFrame:
+            blocks = df.groupBy("part").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("blocks"))
+            dealt = df.join(blocks, "part").select("part", F.pmod(F.xxhash64("id", "v"), F.col("blocks")).cast("int").alias("block"), "id", "v")  # noqa: B023
+            held = routers.join(blocks, "part").select("part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "router")  # noqa: B023
+            return materialise(dealt.groupBy("part", "block").cogroup(held.groupBy("part", "block")).applyInArrow(_routed(own), _PLACED), name)
+
+        placed, asked = route(placed, True, "indexed"), route(asked, False, "asked")
+        if parts is not None:
+            break
+    return placed, asked
+
+
+def search(df: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding", sample_size: int = 4096, part_rows: int = 4096, block_rows: int = 4096, parts: int | None = None) -> DataFrame:
     """The ``k`` nearest rows found for every row where ``is_query`` holds: ``query_id``, ``rank``, the id, ``score`` (Euclidean distance).
 
-    The index is fitted on ``sample_size`` rows with the smallest hashed ids, and 256 more choose
-    how many partitions to try; all rows are then indexed. There is about one partition for
-    ``part_rows`` rows, with 16 sampled rows each at least. A partition is dealt into blocks of
-    about ``block_rows``, so one that attracts a third of all rows is many tasks; each block meets
-    its queries, and every row in it is measured. Distances of the nearest in a block are computed
-    again from differences in double precision, ties with them included.
+    All rows are indexed by ``learned_partitions``. Rows of a partition are dealt into blocks of
+    about ``block_rows``, and so are its queries, so one that attracts a third of all is many tasks
+    of bounded size; each block of rows meets each block of queries, and every row in it is
+    measured. The nearest are picked by dot products of centred vectors, with all that rounding may
+    have put behind them, and measured again from differences in double precision.
 
     Rows that are null, zero, of another dimension than most, or hold null or non-finite
-    components take no part. A query is not its own neighbour; ties go to the smaller id. With
-    fewer candidates all are returned, for an empty table none. Rows that repeat an id count once
-    each. Other columns are ignored.
+    components take no part, nor do those with a null id. A query is not its own neighbour; ties go
+    to the smaller id. With fewer candidates all are returned, for an empty table none. Rows that
+    repeat an id count once each. Other columns are ignored.
     """
     spark = df.sparkSession
     every = materialise(vectors(df, is_query, id_col, vec_col), "vectors")
-    n = every.count()
-    if n < 2:
+    if every.limit(2).count() < 2:
         return spark.createDataFrame([], f"query_id long, rank int, `{id_col}` long, score double")
-    drawn = _matrix(pa.array([bytes(r["v"]) for r in every.orderBy(F.xxhash64("id"), "id").limit(sample_size + 256).select("v").collect()]))
-    drawn = np.unique(drawn, axis=0)[np.random.default_rng(0).permutation(len(np.unique(drawn, axis=0)))]
-    tests, sample = drawn[: max(1, min(256, len(drawn) // 8))], drawn[max(1, min(256, len(drawn) // 8)) :]
-    if parts is None:
-        parts = max(1, min(n // part_rows, len(sample) // 16, 256))
-    router = fit(sample, tests, parts, k) if parts > 1 and len(sample) > k else Router(drawn.mean(0), 1.0, np.zeros((drawn.shape[1], 1)), np.zeros(1), np.zeros((1, 1)), np.zeros(1), 1, 1.0)
-    shared = spark.sparkContext.broadcast(router)
-
-    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                part = shared.value.scores(_matrix(batch.column("v"))).argmax(1).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(part)], ["id", "v", "part"])
-
-    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
-        for batch in batches:
-            if batch.num_rows:
-                part = np.argsort(-own.scores(_matrix(batch.column("v"))), axis=1, kind="stable")[:, : own.probes].astype(np.int32)
-                at = pa.array(np.repeat(np.arange(batch.num_rows), part.shape[1]))
-                yield pa.RecordBatch.from_arrays([batch.column("id").take(at), batch.column("v").take(at), pa.array(part.ravel())], ["id", "v", "part"])
-
-    indexed = materialise(every.drop("query").mapInArrow(assign, "id long, v binary, part int"), "indexed")
-    blocks = indexed.groupBy("part").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("blocks"))
-    queries = every.where("query").drop("query").mapInArrow(route, "id long, v binary, part int")
-    dealt = indexed.join(F.broadcast(blocks), "part").select("part", F.pmod(F.xxhash64("id", "v"), F.col("blocks")).cast("int").alias("block"), "id", "v")
-    asked = queries.join(F.broadcast(blocks), "part").select("part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "id", "v")
+    queries = materialise(every.where("query").drop("query"), "queries")
+    if parts == 1:
+        placed, asked = (x.withColumn("part", F.lit(0).cast("long")) for x in (every.drop("query"), queries))
+    else:
+        placed, asked = learned_partitions(every.drop("query"), queries, k, sample_size, part_rows, block_rows, parts)
+    count = lambda x, name: x.groupBy("part").agg(F.ceil(F.count("*") / block_rows).cast("int").alias(name))
+    blocks = count(placed, "blocks").join(count(asked, "query_blocks"), "part")
+    number = lambda n: F.pmod(F.xxhash64("id", "v"), F.col(n)).cast("int")
+    every_of = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    dealt = placed.join(blocks, "part").select("part", number("blocks").alias("block"), every_of("query_blocks").alias("query_block"), "id", "v")
+    wanted = asked.join(blocks, "part").select("part", every_of("blocks").alias("block"), number("query_blocks").alias("query_block"), "id", "v")
 
     def nearest(rows: pa.Table, wanted: pa.Table) -> pa.Table:
         out = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
         if rows.num_rows and wanted.num_rows:
             x, ids = _matrix(rows.column("v")), rows.column("id").to_numpy()
             q, who = _matrix(wanted.column("v")), wanted.column("id").to_numpy()
+            middle = x.mean(0)
+            near_x, near_q = x - middle, q - middle
+            # what rounding may do to a squared distance: of the dot products, and of the shift to the middle
+            size = (near_x * near_x).sum(1).max() + (near_q * near_q).sum(1)
+            shift = 1e-14 * (np.abs(x).max() + np.abs(q).max()) * math.sqrt(x.shape[1])
             for a in range(0, len(q), 256):
-                d = distances(q[a : a + 256], x)
+                d = distances(near_q[a : a + 256], near_x)
                 d[who[a : a + 256, None] == ids[None, :]] = np.inf
                 top = min(k, d.shape[1]) - 1
                 limit = np.partition(d, top, axis=1)[:, top]
                 for i, edge in enumerate(limit):
-                    near = np.flatnonzero((d[i] <= edge * (1 + 1e-9) + 1e-9) & np.isfinite(d[i]))
+                    wide = edge + 1e-12 * size[a + i] + shift * (2 * math.sqrt(edge) + shift) if np.isfinite(edge) else edge
+                    near = np.flatnonzero((d[i] <= wide) & np.isfinite(d[i]))
                     exact = np.sqrt(((x[near] - q[a + i]) ** 2).sum(1))
-                    best = near[np.lexsort((ids[near], exact))[:k]]
+                    best = np.lexsort((ids[near], exact))[:k]
                     out[0].append(np.full(len(best), who[a + i]))
-                    out[1].append(ids[best])
-                    out[2].append(np.sqrt(((x[best] - q[a + i]) ** 2).sum(1)))
+                    out[1].append(ids[near[best]])
+                    out[2].append(exact[best])
         return pa.Table.from_arrays([pa.array(np.concatenate(c)) for c in out], ["query_id", "id", "score"])
 
-    found = dealt.groupBy("part", "block").cogroup(asked.groupBy("part", "block")).applyInArrow(nearest, "query_id long, id long, score double")
+    keys = ("part", "block", "query_block")
+    found = dealt.groupBy(*keys).cogroup(wanted.groupBy(*keys)).applyInArrow(nearest, "query_id long, id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(id_col), "score")
 
