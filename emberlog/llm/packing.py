@@ -22,27 +22,30 @@ def _ids(tokenizer_file: str) -> _Ids:
 class _Ids(dict):
     """Ids, as little-endian bytes, of the parts of texts between white space."""
 
-    def __init__(self, tokenizer_file: str, most: int = 1_000_000) -> None:
+    def __init__(self, tokenizer_file: str, most: int = 1_000_000, most_bytes: int = 256 << 20) -> None:
         from tokenizers import Tokenizer
 
         super().__init__({"": b""})
-        self.tokenizer, self.most = Tokenizer.from_file(tokenizer_file), most
+        self.tokenizer, self.most, self.most_bytes, self.held = Tokenizer.from_file(tokenizer_file), most, most_bytes, 0
         vocabulary = self.tokenizer.get_vocab()
         self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
         self.closes[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
 
     def learn(self, parts: set[str]) -> None:
-        """Tokenise new parts, many in one call; a mark at the end and upper-case ASCII make no part of their own."""
-        if len(self) + len(parts) > self.most:
+        """Tokenise parts that are not known yet, many in one call; a mark at the end and upper-case ASCII make no part of their own. A full store is emptied first."""
+        if len(self) + len(parts) > self.most or self.held > self.most_bytes:
             self.clear()
-            self[""] = b""
+            self[""], self.held = b"", 0
+        parts = parts - self.keys()
         cores = {part: _core(part) for part in parts}
         new = {core for core, _ in cores.values()} | {tail for _, tail in cores.values()}
         new = [core for core in new if core not in self]
-        self._words([core for core in new if core.isalpha()])
-        self._mixed([core for core in new if not core.isalpha()])
+        plain = lambda core: core.isalpha() and core.lower().isalpha()
+        self._words([core for core in new if plain(core)])
+        self._mixed([core for core in new if not plain(core)])
         for part, (core, tail) in cores.items():
             self[part] = self[core] + self[tail]
+            self.held += 4 * len(part) + 2 * len(self[part])
 
     def _words(self, words: list[str]) -> None:
         """Parts of letters alone are one token run each, which ends with a word end."""
@@ -73,8 +76,8 @@ class _Ids(dict):
 
 
 def _core(part: str) -> tuple[str, str]:
-    """A part without the mark after its last letter, lower-cased if ASCII, and the mark: they are tokens apart."""
-    core, tail = (part[:-1], part[-1]) if len(part) > 1 and part[-1] in ".,;:!?" and part[-2].isalpha() else (part, "")
+    """A part without the mark after its last letter, lower-cased if ASCII, and the mark: they are tokens apart, unless the letter ends in a mark of its own in lower case."""
+    core, tail = (part[:-1], part[-1]) if len(part) > 1 and part[-1] in ".,;:!?" and part[-2].lower()[-1].isalpha() else (part, "")
     return (core.lower() if core.isascii() else core), tail
 
 
@@ -105,7 +108,7 @@ def tokenise(docs: DataFrame, tokenizer_file: str, end_id: int = 1, length: int
             for first in range(0, batch.num_rows, 256):
                 texts = [_parts(t) for t in batch.column("text").slice(first, 256).to_pylist()]
                 new = set().union(*texts)
-                known.learn(new if len(known) + len(new) > known.most else new - known.keys())
+                known.learn(new)
                 for row, parts in enumerate(texts, first):
                     whole = known.of(parts) + end
                     for k, at in enumerate(range(0, len(whole), 4 * length)):
