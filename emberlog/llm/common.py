@@ -5,14 +5,15 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bits of a key bitmap: 2 MB, whatever the number of keys.
-BITMAP_BITS = 24
+#: Logarithms of the least and the most bits of a key bitmap: 32 KB and 16 MB.
+LEAST_BITS, MOST_BITS = 18, 27
 _FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -65,22 +66,31 @@ def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
-def _bit(key: Column) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(1 << BITMAP_BITS)) + 1
+class Bitmap(NamedTuple):
+    """A bitmap of hashed keys as a table, 4 KB a row, and the logarithm of its number of bits."""
 
+    table: DataFrame
+    bits: int
 
-def key_bitmap(keys: DataFrame, column: str) -> DataFrame:
-    """A bitmap of hashed keys, 4 KB a row and ``2 ** BITMAP_BITS`` bits in all, so that it can always be broadcast."""
-    bits = keys.select(_bit(F.col(column)).alias("bit"))
-    return bits.groupBy(F.bitmap_bucket_number("bit").alias("bm_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bm"))
 
+def _bit(key: Column, bits: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(1 << bits)) + 1
 
-def may_contain(df: DataFrame, key: str, bitmap: DataFrame) -> DataFrame:
+
+def key_bitmap(keys: DataFrame, column: str) -> Bitmap:
+    """A bitmap of keys with 32 bits or more for each, but of ``MOST_BITS`` at most, so that it can always be broadcast."""
+    own = materialise(keys.select(F.col(column).alias("key")), "keys")
+    bits = min(MOST_BITS, max(LEAST_BITS, (32 * own.count()).bit_length()))
+    bit = own.select(_bit(F.col("key"), bits).alias("bit"))
+    return Bitmap(bit.groupBy(F.bitmap_bucket_number("bit").alias("bm_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bm")), bits)
+
+
+def may_contain(df: DataFrame, key: str, bitmap: Bitmap) -> DataFrame:
     """Rows whose key may be among the bitmap's: every true one and a few others."""
-    out = df.columns
-    probed = df.withColumn("bm_bucket", F.bitmap_bucket_number(_bit(F.col(key)))).withColumn("bm_pos", F.bitmap_bit_position(_bit(F.col(key))))
+    out, bit = df.columns, _bit(F.col(key), bitmap.bits)
+    probed = df.withColumn("bm_bucket", F.bitmap_bucket_number(bit)).withColumn("bm_pos", F.bitmap_bit_position(bit))
     byte = F.conv(F.hex(F.expr("substring(bm, int(bm_pos div 8) + 1, 1)")), 16, 10).cast("int")
-    hit = probed.join(F.broadcast(bitmap), "bm_bucket").where(F.getbit(byte, F.pmod(F.col("bm_pos"), F.lit(8)).cast("int")) == 1)
+    hit = probed.join(F.broadcast(bitmap.table), "bm_bucket").where(F.getbit(byte, F.pmod(F.col("bm_pos"), F.lit(8)).cast("int")) == 1)
     return hit.select(*out)
 
 

@@ -52,13 +52,33 @@ def sketches(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFra
     return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, n_shingles long, set_a long, set_b long, labels binary, sketch binary")
 
 
-def neighbours(ordered: DataFrame, reach: int, least: float, each: int | None = None) -> DataFrame:
-    """Pairs (``a`` > ``b``, ``est``) of rows at most ``reach`` apart in a tree's order, with a common prefix and a likely sketch.
+def in_order(forest: DataFrame, block: int = 2048) -> DataFrame:
+    """The rows of all trees in one order (by tree, label, rep), with the ``block`` of that many rows each stands in and its ``place``; a written table.
 
-    ``ordered`` has tree, label, rep, comp and sketch, and is sorted by the first three in each
-    partition. Rows of one ``comp`` are not paired; with ``each``, a row has at most that many
-    pairs with each other ``comp`` in one direction, the likeliest.
+    Spark sorts by ranges; the rows of the ranges before, a number for each range, give the place.
     """
+    key = ["tree", "label", "rep"]
+    ranged = forest.repartitionByRange(shuffle_width(forest.sparkSession), *key).sortWithinPartitions(*key).withColumn("id", F.monotonically_increasing_id())
+    ranged = materialise(ranged, "ranged").withColumns({"range": F.shiftright("id", 33), "inside": F.col("id").bitwiseAND(F.lit((1 << 33) - 1))})
+    sizes = ranged.groupBy("range").agg(F.count("*").alias("n"))
+    before = sizes.select("range", (F.sum("n").over(Window.orderBy("range")) - F.col("n")).alias("before"))
+    placed = ranged.join(F.broadcast(before), "range").withColumn("place", F.col("inside") + F.col("before"))
+    return placed.select("tree", "label", "rep", "sketch", "key", "place", F.floor(F.col("place") / block).alias("block"))
+
+
+def neighbours(ordered: DataFrame, reach: int, least: float, each: int | None = None, block: int = 2048) -> DataFrame:
+    """Pairs (``a`` > ``b``, ``est``) of rows at most ``reach`` apart in the order, with a common prefix and a likely sketch.
+
+    ``ordered`` comes from ``in_order``, with a ``comp`` for each row. A block also gets the first
+    ``reach`` rows of the next one, so no pair is lost between blocks. Rows of one ``comp`` are not
+    paired; with ``each``, a row has at most that many pairs with each other ``comp`` in one
+    direction, the likeliest.
+    """
+    if reach > block:
+        raise ValueError("reach is within a block")
+    head = (F.col("place") % block < reach) & (F.col("block") > 0)
+    dealt = ordered.withColumn("block", F.explode(F.when(head, F.array("block", F.col("block") - 1)).otherwise(F.array("block"))))
+    sorted_ = dealt.repartition(shuffle_width(ordered.sparkSession), "block").sortWithinPartitions("block", "place")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept = None
@@ -67,17 +87,16 @@ def neighbours(ordered: DataFrame, reach: int, least: float, each: int | None =
                 continue
             label = np.frombuffer(b"".join(batch.column("label").to_pylist()), np.uint8).reshape(batch.num_rows, -1)
             prefix = label[:, : 2 * LEAST].copy().view("<u8").ravel()
-            tree = batch.column("tree").to_numpy(zero_copy_only=False)
-            rep, comp = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("rep", "comp"))
+            tree, rep, comp, part = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("tree", "rep", "comp", "block"))
             sketch = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint8).reshape(batch.num_rows, -1)
-            own, old = [tree, prefix, rep, comp, sketch], 0
+            own, old = [part, tree, prefix, rep, comp, sketch], 0
             if kept is not None:
                 own, old = [np.concatenate(x) for x in zip(kept, own, strict=True)], len(kept[0])
-            tree, prefix, rep, comp, sketch = own
+            part, tree, prefix, rep, comp, sketch = own
             found = []
             for lag in range(1, min(reach, len(rep) - 1) + 1):
                 first = max(0, old - lag)
-                near = (tree[first:-lag] == tree[first + lag :]) & (prefix[first:-lag] == prefix[first + lag :])
+                near = (part[first:-lag] == part[first + lag :]) & (tree[first:-lag] == tree[first + lag :]) & (prefix[first:-lag] == prefix[first + lag :])
                 if not near.any():
                     break
                 i = np.flatnonzero(near & (comp[first:-lag] != comp[first + lag :])) + first
@@ -100,13 +119,47 @@ def neighbours(ordered: DataFrame, reach: int, least: float, each: int | None =
                     i, j, est = i[few], j[few], est[few]
                 yield pa.RecordBatch.from_arrays([pa.array(np.maximum(rep[i], rep[j])), pa.array(np.minimum(rep[i], rep[j])), pa.array(est)], ["a", "b", "est"])
 
-    return ordered.mapInArrow(run, "a long, b long, est double").groupBy("a", "b").agg(F.max("est").alias("est"))
+    pairs = sorted_.select("block", "tree", "label", "rep", "comp", "sketch").mapInArrow(run, "a long, b long, est double")
+    return pairs.groupBy("a", "b").agg(F.max("est").alias("est"))
+
+
+def rare_pairs(crowded: DataFrame, docs: DataFrame, width: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """All pairs (``a``, ``b``) of different components among ``crowded`` (``rep``, ``comp``) that can be similar enough: an exact prefix filter.
+
+    Of sets of sizes m and n that are, the m - ceil(percent * m / 100) + 1 rarest shingles of one
+    and those of the other share one, in any fixed order, and enough come after it. Of the rows with
+    a shingle, those of the largest component there are not paired with each other, so a group of
+    copies makes no square.
+    """
+    found = may_contain(docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).cast("string").alias("text")), "rep", key_bitmap(crowded, "rep"))
+    texts = found.join(crowded, "rep")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, "text", 1 << 20):
+                hashes, offsets = kernels.words(*text_buffers(batch.column("text")))
+                sets = [np.unique(kernels.shingles(hashes[offsets[i] : offsets[i + 1]], width)) for i in range(batch.num_rows)]
+                n = np.array([len(x) for x in sets])
+                at = pa.array(np.repeat(np.arange(batch.num_rows), n))
+                yield pa.RecordBatch.from_arrays([batch.column("rep").take(at), batch.column("comp").take(at), pa.array(np.repeat(n, n)), pa.array(np.concatenate(sets).view(np.int64))], ["rep", "comp", "n", "h"])
+
+    rows = materialise(texts.select("rep", "comp", "text").mapInArrow(run, "rep long, comp long, n long, h long"), "shingles")
+    shared = rows.groupBy("h", "comp").agg(F.count("*").alias("k")).groupBy("h").agg(F.sum("k").alias("df"), F.max_by("comp", "k").alias("largest"), F.count("*").alias("comps"))
+    ranked = rows.join(shared, "h").withColumn("i", F.row_number().over(Window.partitionBy("rep").orderBy("df", "h")))
+    prefix = materialise(ranked.where((F.col("i") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1) & (F.col("comps") > 1)), "prefixes")
+    a = prefix.where("comp <> largest").select("h", F.col("rep").alias("ra"), F.col("comp").alias("ca"), F.col("n").alias("na"), F.col("i").alias("ia"))
+    b = prefix.select("h", F.col("rep").alias("rb"), F.col("comp").alias("cb"), F.col("n").alias("nb"), F.col("i").alias("ib"))
+    need = F.col("ca") != F.col("cb")
+    need &= (F.col("na") * 100 >= F.col("nb") * percent) & (F.col("nb") * 100 >= F.col("na") * percent)
+    need &= (1 + F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib"))) * (100 + percent) >= percent * (F.col("na") + F.col("nb"))
+    met = a.join(b, "h").where(need)
+    return met.select(F.greatest("ra", "rb").alias("a"), F.least("ra", "rb").alias("b")).distinct()
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int, id_col: str, text_col: str) -> DataFrame:
     """Those pairs (``a``, ``b``) whose full shingle sets are similar enough. ``pairs`` is read several times; give a written table."""
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id")))
-    texts = may_contain(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")), "id", key_bitmap(ids, "id"))
+    texts = may_contain(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")), "id", key_bitmap(ids, "id"))
     with_a = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
     with_both = with_a.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
 
@@ -135,15 +188,18 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     stand in ``TREES`` sorted signature orders; neighbours in an order that share a prefix of
     ``LEAST`` values or more, the longest first, are candidates, so depth adapts to how crowded a
     region is. A first pass takes close neighbours and the likeliest link of each class; a second
-    one looks ``reach`` classes ahead, past all that is linked already. A pair of similarity 0.8
-    shares such a prefix in some order with probability 0.99997. Between rows of regions larger than
-    ``reach`` that are not linked already, links are found with high probability, not for certain.
+    one looks ``reach`` classes ahead, past all that is linked already, for the likeliest links
+    between components; a third takes all that is left there. Classes of regions with more than
+    ``reach`` rows that are not linked meet by their rare shingles besides, which is exact.
+
+    A pair of similarity 0.8 shares a prefix in some order with probability 0.99997, and the
+    estimate of a pair's sketch is within four standard errors, by which candidates are cut, with
+    0.99997.
 
     Ids are whole numbers. Null or empty text, and text without words, has no shingles and no
     links; text of fewer words is one shingle. Repeated rows are one class. Rows with a null id get
     null component and are kept. Other columns are ignored; an empty table gives no rows.
     """
-    spark = docs.sparkSession
     sigma = 0.025
     least = percent / 100 - 4 * sigma
     drawn = materialise(sketches(docs, width, id_col, text_col), "sketches")
@@ -157,35 +213,48 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     placed = classes.select("rep", "labels", trees).select("rep", key.alias("key"))
     shared = placed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     rows = classes.select("rep", "labels", "sketch", trees).select("tree", label.alias("label"), "rep", "sketch", key.alias("key"))
-    forest = materialise(may_contain(rows, "key", key_bitmap(shared, "key")).drop("key"), "forest")
+    forest = in_order(may_contain(rows, "key", key_bitmap(shared, "key")))
 
-    def in_order(df: DataFrame) -> DataFrame:
-        return df.repartitionByRange(shuffle_width(spark), "tree", "label", "rep").sortWithinPartitions("tree", "label", "rep")
-
-    alone = forest.withColumn("comp", F.col("rep"))
-    close = neighbours(in_order(alone), 2, least)
-    likeliest = close.groupBy("a").agg(F.max_by("b", "est").alias("b"))
-    edges = materialise(confirmed(materialise(likeliest, "pairs"), docs, width, percent, id_col, text_col), "links")
-    comps = components(edges)
+    def confirm(pairs: DataFrame) -> DataFrame:
+        """Links among written pairs."""
+        return materialise(confirmed(pairs, docs, width, percent, id_col, text_col), "links")
 
-    labelled = forest.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("tree", "label", "rep", F.coalesce("component", "rep").alias("comp"), "sketch")
-    across = materialise(neighbours(in_order(labelled), reach, least, each=3), "pairs")
-    # The likeliest link between each class and each other component first, then all that still lie across.
-    named = comps.select("node", "component")
+    def labelled(comps: DataFrame) -> DataFrame:
+        return forest.join(comps.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component")
 
-    def apart(pairs: DataFrame, named: DataFrame) -> DataFrame:
+    def apart(pairs: DataFrame, comps: DataFrame) -> DataFrame:
+        """Pairs between components, which are named."""
         for side in ("a", "b"):
-            pairs = pairs.join(named.select(F.col("node").alias(side), F.col("component").alias(f"c{side}")), side, "left").withColumn(f"c{side}", F.coalesce(f"c{side}", side))
-        return pairs.where("ca <> cb").select("a", "b", "est", "ca", "cb")
+            pairs = pairs.join(comps.select(F.col("node").alias(side), F.col("component").alias(f"c{side}")), side, "left").withColumn(f"c{side}", F.coalesce(f"c{side}", side))
+        return pairs.where("ca <> cb")
 
+    close = neighbours(forest.withColumn("comp", F.col("rep")), 2, least)
+    likeliest = close.groupBy("a").agg(F.max_by("b", "est").alias("b"))
+    edges = confirm(materialise(likeliest, "pairs"))
+    comps = components(edges)
+
+    # the likeliest link between each class and each other component first, then all that still lie across
     order = Window.partitionBy("a", "cb").orderBy(F.desc("est"), "b")
-    tried = materialise(apart(across, named).withColumn("k", F.row_number().over(order)).where("k = 1").select("a", "b"), "pairs")
-    more = materialise(confirmed(tried, docs, width, percent, id_col, text_col), "links")
-    edges = edges.unionByName(more)
+    across = apart(neighbours(labelled(comps), reach, least, each=3), comps)
+    tried = materialise(across.withColumn("k", F.row_number().over(order)).where("k = 1").select("a", "b"), "pairs")
+    edges = edges.unionByName(confirm(tried))
     comps = components(edges)
-    rest = materialise(apart(across, comps).select("a", "b").join(tried, ["a", "b"], "left_anti"), "pairs")
+
+    def mixed(comps: DataFrame) -> DataFrame:
+        """Rows of the prefixes under which several components stand, with the number of rows there."""
+        own = labelled(comps)
+        several = own.groupBy("key").agg(F.count("*").alias("rows"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key", "rows")
+        return own.join(several, "key")
+
+    left = materialise(mixed(comps), "mixed")
+    rest = neighbours(left, reach, least).select("a", "b").join(tried, ["a", "b"], "left_anti")
+    rest = materialise(rest, "pairs")
+    crowded = materialise(left.where(F.col("rows") > reach + 1).select("rep", "comp").distinct(), "crowded")
+    if not crowded.isEmpty():
+        far = rare_pairs(crowded, docs, width, percent, id_col, text_col).join(tried, ["a", "b"], "left_anti")
+        rest = materialise(rest.unionByName(far).distinct(), "pairs")
     if not rest.isEmpty():
-        last = materialise(confirmed(rest, docs, width, percent, id_col, text_col), "links")
+        last = confirm(rest)
         if not last.isEmpty():
             comps = components(edges.unionByName(last))
 
