@@ -122,8 +122,7 @@ def _merged(rows: list[dict]) -> dict[int, tuple[np.ndarray, np.ndarray, list[di
 
 def shared_counts(
     chunks: DataFrame,
-    keys_of: Callable[..., Keys],
-    given: DataFrame | None = None,
+    keys_of: Callable[[dict], Keys],
     tell: Callable[[int, np.ndarray, np.ndarray], np.ndarray] | None = None,
     extra: Callable[[int, np.ndarray, np.ndarray], list[tuple[int, int, int]]] | None = None,
     fan_bits: int = FAN_BITS,
@@ -132,10 +131,9 @@ def shared_counts(
 ) -> DataFrame:
     """For each chunk, kind and range: the corpus counts of the chunk's keys, in their order; a written table.
 
-    ``keys_of`` gives a chunk's sorted distinct keys and their counts by kind; with ``given``, an
-    earlier result, it also gets that chunk's answers. ``tell`` makes what chunks are told from the
-    distinct keys and sums of a kind in a range. ``extra`` makes rows (kind, range, value) of chunk -1
-    from them.
+    ``keys_of`` gives a chunk's sorted distinct keys and their counts by kind. ``tell`` makes what
+    chunks are told from the distinct keys and sums of a kind in a range. ``extra`` makes rows (kind,
+    range, value) of chunk -1 from them.
     """
     n = max(1, chunks.select("chunk").count())
     blocks = [-(-n // first)]
@@ -148,10 +146,6 @@ def shared_counts(
             for row in batch.to_pylist():
                 yield from _asks(keys_of(row), row["chunk"], bits).to_batches()
 
-    def ask_again(docs: pa.Table, answers: pa.Table) -> pa.Table:
-        tables = [_asks(keys_of(row, in_key_order(answers)), row["chunk"], bits) for row in docs.to_pylist()]
-        return pa.concat_tables(tables) if tables else _asks({}, 0, bits)
-
     def ask_on(level: int) -> Callable[[pa.Table], pa.Table]:
         return lambda table: _asks({kind: m[:2] for kind, m in _merged(table.to_pylist()).items()}, table.column("node")[0].as_py(), bits * (level + 1))
 
@@ -172,8 +166,7 @@ def shared_counts(
     def dealt(asked: DataFrame, origin: Column, count: int) -> DataFrame:
         return asked.withColumn("node", F.shiftleft(F.pmod(F.xxhash64(origin), F.lit(count)), 32) + F.col("range"))
 
-    asked = chunks.mapInArrow(ask, _ASK) if given is None else chunks.groupBy("chunk").cogroup(given.where("chunk >= 0").groupBy("chunk")).applyInArrow(ask_again, _ASK)
-    levels = [dealt(asked, F.col("child"), blocks[0])]
+    levels = [dealt(chunks.mapInArrow(ask, _ASK), F.col("child"), blocks[0])]
     for level, count in enumerate(blocks[1:], 1):
         levels[-1] = materialise(levels[-1], "asks")
         levels.append(dealt(levels[-1].groupBy("node").applyInArrow(ask_on(level), _ASK), F.shiftright("child", 32), count))

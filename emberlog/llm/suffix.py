@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +19,8 @@ U64 = np.uint64
 GRAM = 32
 #: Occurrences from which the windows of a key are dealt by all of their bytes.
 HOT = 20_000
+#: Logarithm of the bits of the map of such keys: 16 MB.
+HOT_BITS = 27
 #: Chunks, and then groups, whose fragments meet at one level.
 BLOCK = 256
 
@@ -243,17 +248,42 @@ def _seen(key: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return counts[np.searchsorted(np.unique(key), key)] if len(key) else np.zeros(0, np.int64)
 
 
-def _hot_windows(row: dict, answers: dict[int, np.ndarray], width: int, hot: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the windows of keys that occur more than ``hot`` times, and hashes of their bytes."""
-    data, offsets = texts(row)
-    start, size, key = _runs(data, offsets, width)
-    use = _seen(key, answers.get(0, np.zeros(0, np.int64))) > hot
+def _numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        keys = [unpack_counts(c.as_py())[0] for c in batch.column("counts")]
+        yield pa.RecordBatch.from_arrays([pa.array((np.array(keys, np.int64).view(U64) >> U64(64 - HOT_BITS)).astype(np.int64))], ["place"])
+
+
+def _bitmap(keys: DataFrame) -> np.ndarray | None:
+    """The places of keys, ``HOT_BITS`` bits of each, as a bitmap of fixed size; none if there are no keys. It may tell of a few keys more."""
+    bit = keys.select("counts").mapInArrow(_numbers, "place long").select((F.col("place") + 1).alias("bit"))
+    rows = bit.groupBy(F.bitmap_bucket_number("bit").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bm")).collect()
+    if not rows:
+        return None
+    out = np.zeros(1 << (HOT_BITS - 3), np.uint8)
+    for r in rows:
+        own = np.frombuffer(r["bm"], np.uint8)
+        out[(r["bucket"] - 1) * len(own) : r["bucket"] * len(own)] = own
+    return out
+
+
+def _is_hot(key: np.ndarray, bitmap: np.ndarray | None) -> np.ndarray:
+    if bitmap is None:
+        return np.zeros(len(key), bool)
+    place = (key >> U64(64 - HOT_BITS)).astype(np.int64)
+    return (bitmap[place >> 3] >> (place & 7).astype(np.uint8) & 1).astype(bool)
+
+
+def _hot_windows(data: np.ndarray, runs: tuple[np.ndarray, np.ndarray, np.ndarray], width: int, bitmap: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the windows of hot keys, and hashes of their bytes."""
+    start, size, key = runs
+    use = _is_hot(key, bitmap)
     start, size = start[use], size[use]
     at = np.repeat(start - np.cumsum(size) + size, size) + np.arange(size.sum())
     return at, _window_keys(data, at, width)
 
 
-def _fragments(row: dict, answers: dict[int, np.ndarray], again: dict[int, np.ndarray], width: int, hot: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _fragments(row: dict, answers: dict[int, np.ndarray], width: int, bitmap: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Text, document offsets, and the fragments that may repeat: start, windows, shard key, and the fragment of this chunk that stands for it.
 
     Windows of a hot key that the corpus has twice are a fragment each, keyed by all of their bytes:
@@ -262,13 +292,11 @@ def _fragments(row: dict, answers: dict[int, np.ndarray], again: dict[int, np.nd
     """
     data, offsets = texts(row)
     start, size, key = _runs(data, offsets, width)
-    seen = _seen(key, answers.get(0, np.zeros(0, np.int64)))
-    use = (seen > 1) & (seen <= hot)
+    use = (_seen(key, answers.get(0, np.zeros(0, np.int64))) > 1) & ~_is_hot(key, bitmap)
     ids = np.array([np.iinfo(np.int64).max if i is None else i for i in row["ids"]], np.int64)
-    at, whole = np.zeros(0, np.int64), np.zeros(0, U64)
-    if (seen > hot).any():
-        at, whole = _hot_windows(row, answers, width, hot)
-        twice = _seen(whole, again[1]) > 1
+    at, whole = _hot_windows(data, (start, size, key), width, bitmap)
+    if len(at):
+        twice = _seen(whole, answers[1]) > 1
         at, whole = at[twice], whole[twice]
     n = int(use.sum())
     start, size, key = np.concatenate([start[use], at]), np.concatenate([size[use], np.ones(len(at), np.int64)]), np.concatenate([key[use], kernels.mix(whole)])
@@ -320,12 +348,11 @@ def _dealt(node: int, bits: int, chunk: np.ndarray, ids: np.ndarray, place: np.n
     return out
 
 
-def _ship(width: int, bits: int, hot: int):
+def _ship(width: int, bits: int, bitmap: Broadcast | None):
     def run(docs: pa.Table, told: pa.Table) -> pa.Table:
         out = []
         for row in docs.to_pylist():
-            answers = in_key_order(told)
-            data, offsets, start, size, key, stands = _fragments(row, answers, answers, width, hot)
+            data, offsets, start, size, key, stands = _fragments(row, in_key_order(told), width, bitmap and bitmap.value)
             alone = stands == np.arange(len(start))
             chunk = np.full(len(start), row["chunk"], np.int64)
             out += _known(row["chunk"], chunk[~alone], start[~alone], size[~alone])
@@ -468,9 +495,9 @@ def remove_repeats(docs: DataFrame, width: int = 100, id_col: str = "doc_id", te
     chunk, to a shard of their key range. A shard is sorted by an induced suffix array, and windows
     equal in their first ``width`` bytes lie side by side, as the permuted common prefixes show.
 
-    Windows of keys of more than ``hot`` occurrences are counted by all of their bytes, and only
-    those that occur twice are sent, each by itself; so a passage found everywhere is dealt by its
-    windows. Chunks deal their fragments into 256 ranges at most; where there are more chunks than
+    Windows of keys of more than ``hot`` occurrences, which a bitmap of fixed size tells, are counted
+    by all of their bytes, and only those that occur twice are sent, each by itself; so a passage
+    found everywhere is dealt by its windows. Chunks deal their fragments into 256 ranges at most; where there are more chunks than
     ``block``, groups of that many join their equal fragments and deal on.
 
     A null text is empty. Null ids come last. Rows that repeat an id and text count as repeats, the
@@ -486,16 +513,18 @@ def remove_repeats(docs: DataFrame, width: int = 100, id_col: str = "doc_id", te
         return {0: np.unique(_runs(*texts(row), width)[2], return_counts=True)}
 
     def crowded(_: int, every: np.ndarray, total: np.ndarray) -> list[tuple[int, int, int]]:
-        return [(9, 0, 1)] if (total > hot).any() else []
-
-    def windows(row: dict, answers: dict[int, np.ndarray]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-        return {1: np.unique(_hot_windows(row, answers, width, hot)[1], return_counts=True)}
+        return [(9, 0, k) for k in every[total > hot].view(np.int64).tolist()]
 
     counts = shared_counts(chunks, keys, extra=crowded)
-    told = counts.where("chunk >= 0")
-    again = None
-    if not counts.where("chunk < 0").isEmpty():
-        again = shared_counts(chunks, windows, given=counts)
+    told, again, found = counts.where("chunk >= 0"), None, _bitmap(counts.where("chunk < 0"))
+    bitmap = None if found is None else chunks.sparkSession.sparkContext.broadcast(found)
+
+    def windows(row: dict) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+        data, offsets = texts(row)
+        return {1: np.unique(_hot_windows(data, _runs(data, offsets, width), width, bitmap.value)[1], return_counts=True)}
+
+    if bitmap is not None:
+        again = shared_counts(chunks, windows)
         told = told.unionByName(again)
 
     blocks = [-(-n // block)]
@@ -505,7 +534,7 @@ def remove_repeats(docs: DataFrame, width: int = 100, id_col: str = "doc_id", te
     bits = [min(last, FAN_BITS * (level + 1)) for level in range(len(blocks) - 1)] + [last]
     past = F.col("range") < 0
     group = lambda origin, count: F.when(past, -1 - F.pmod(F.xxhash64("node"), F.lit(1 << last))).otherwise(F.shiftleft(F.pmod(F.xxhash64(origin), F.lit(count)), 32) + F.col("range"))
-    parts = chunks.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(_ship(width, bits[0], hot), _FRAME).withColumn("node", group(F.col("node"), blocks[0]))
+    parts = chunks.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(_ship(width, bits[0], bitmap), _FRAME).withColumn("node", group(F.col("node"), blocks[0]))
     for level, count in enumerate(blocks[1:], 1):
         parts = materialise(parts, "fragments").groupBy("node").applyInArrow(_join_on(width, bits[level]), _FRAME).withColumn("node", group(F.shiftright("node", 32), count))
     runs = materialise(parts.groupBy("node").applyInArrow(_sort_shard(width), "chunk long, runs binary"), "runs")
