@@ -318,13 +318,13 @@ def _fragments(row: dict, answers: dict[int, np.ndarray], width: int, bitmap: np
     return data, offsets, start, size, key, stands
 
 
-_FRAME = "node long, range int, chunks binary, ids binary, places binary, sizes binary, starts binary, keys binary, text binary"
-_NAMES = ["node", "range", "chunks", "ids", "places", "sizes", "starts", "keys", "text"]
+_FRAME = "node long, range int, chunks binary, ids binary, places binary, sizes binary, keys binary, text binary"
+_NAMES = ["node", "range", "chunks", "ids", "places", "sizes", "keys", "text"]
 
 
 def _frames(rows: list[tuple]) -> pa.Table:
     columns = list(zip(*rows, strict=True)) or [()] * len(_NAMES)
-    return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), *[pa.binary()] * 7), strict=True)], _NAMES)
+    return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), *[pa.binary()] * 6), strict=True)], _NAMES)
 
 
 def _known(node: int, chunk: np.ndarray, place: np.ndarray, size: np.ndarray) -> list[tuple]:
@@ -332,10 +332,10 @@ def _known(node: int, chunk: np.ndarray, place: np.ndarray, size: np.ndarray) ->
     if len(chunk) == 0:
         return []
     none = pack_counts(np.zeros(0, np.int64))
-    return [(node, -1, pack_counts(chunk), none, pack_counts(place), pack_counts(size), none, none, b"")]
+    return [(node, -1, pack_counts(chunk), none, pack_counts(place), pack_counts(size), none, b"")]
 
 
-def _dealt(node: int, bits: int, chunk: np.ndarray, ids: np.ndarray, place: np.ndarray, size: np.ndarray, start: np.ndarray, key: np.ndarray, texts_of: list[bytes]) -> list[tuple]:
+def _dealt(node: int, bits: int, chunk: np.ndarray, ids: np.ndarray, place: np.ndarray, size: np.ndarray, key: np.ndarray, texts_of: list[bytes]) -> list[tuple]:
     """Fragments by the first ``bits`` bits of their keys, packed, a row for each range that has any."""
     shard = (key >> U64(64 - bits)).astype(np.int64)
     order = np.argsort(shard, kind="stable")
@@ -344,7 +344,7 @@ def _dealt(node: int, bits: int, chunk: np.ndarray, ids: np.ndarray, place: np.n
     for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
         own = order[a:b]
         text = squeeze(b"".join([texts_of[i] for i in own.tolist()]))
-        out.append((node, int(shard[own[0]]), *(pack_counts(x[own]) for x in (chunk, ids, place, size, start, key.view(np.int64))), text))
+        out.append((node, int(shard[own[0]]), *(pack_counts(x[own]) for x in (chunk, ids, place, size, key.view(np.int64))), text))
     return out
 
 
@@ -361,7 +361,7 @@ def _ship(width: int, bits: int, bitmap: Broadcast | None):
             ids = np.array([np.iinfo(np.int64).max if i is None else i for i in row["ids"]], np.int64)
             raw = data.tobytes()
             pieces = [raw[a:b] for a, b in zip(start[mine].tolist(), (start + size + width - 1)[mine].tolist(), strict=True)]
-            out += _dealt(row["chunk"], bits, chunk[mine], ids[doc], start[mine], size[mine], start[mine] - offsets[doc], key[mine], pieces)
+            out += _dealt(row["chunk"], bits, chunk[mine], ids[doc], start[mine], size[mine], key[mine], pieces)
         return _frames(out)
 
     return run
@@ -369,14 +369,14 @@ def _ship(width: int, bits: int, bitmap: Broadcast | None):
 
 def _opened(rows: list[dict], width: int) -> tuple[list[np.ndarray], bytes, np.ndarray]:
     """Columns of a group's fragments, their text, and where each one's text begins."""
-    columns = [np.concatenate([unpack_counts(r[c]) for r in rows]) for c in ("chunks", "ids", "places", "sizes", "starts", "keys")]
+    columns = [np.concatenate([unpack_counts(r[c]) for r in rows]) for c in ("chunks", "ids", "places", "sizes", "keys")]
     return columns, b"".join(expand(r["text"]) for r in rows), np.concatenate([[0], np.cumsum(columns[3] + width - 1)])
 
 
-def _earliest(ids: np.ndarray, starts: np.ndarray, raw: bytes, cut: np.ndarray) -> np.ndarray:
-    """The earliest of the fragments that are equal to each."""
+def _earliest(ids: np.ndarray, chunks: np.ndarray, places: np.ndarray, raw: bytes, cut: np.ndarray) -> np.ndarray:
+    """The earliest of the fragments that are equal to each: by id, and in one id by chunk and place."""
     first, stands, ends = {}, np.zeros(len(ids), np.int64), cut.tolist()
-    for i in np.lexsort((np.arange(len(ids)), starts, ids)).tolist():
+    for i in np.lexsort((places, chunks, ids)).tolist():
         stands[i] = first.setdefault(raw[ends[i] : ends[i + 1]], i)
     return stands
 
@@ -388,17 +388,17 @@ def _join_on(width: int, bits: int):
         rows = table.to_pylist()
         if not rows or rows[0]["range"] < 0:
             return table.select(_NAMES)
-        (chunk, ids, place, size, start, key), raw, cut = _opened(rows, width)
-        alone = _earliest(ids, start, raw, cut) == np.arange(len(ids))
+        (chunk, ids, place, size, key), raw, cut = _opened(rows, width)
+        alone = _earliest(ids, chunk, place, raw, cut) == np.arange(len(ids))
         node, mine = rows[0]["node"], np.flatnonzero(alone)
         pieces = [raw[a:b] for a, b in zip(cut[:-1][mine].tolist(), cut[1:][mine].tolist(), strict=True)]
-        return _frames(_known(node, chunk[~alone], place[~alone], size[~alone]) + _dealt(node, bits, chunk[mine], ids[mine], place[mine], size[mine], start[mine], key[mine].view(U64), pieces))
+        return _frames(_known(node, chunk[~alone], place[~alone], size[~alone]) + _dealt(node, bits, chunk[mine], ids[mine], place[mine], size[mine], key[mine].view(U64), pieces))
 
     return run
 
 
-def repeated_windows(ids: np.ndarray, starts: np.ndarray, sizes: np.ndarray, keys: np.ndarray, raw: bytes, width: int) -> np.ndarray:
-    """For all windows of all fragments, whether the same bytes start earlier by (id, start) in any of them.
+def repeated_windows(ids: np.ndarray, chunks: np.ndarray, places: np.ndarray, sizes: np.ndarray, keys: np.ndarray, raw: bytes, width: int) -> np.ndarray:
+    """For all windows of all fragments, whether the same bytes start earlier by (id, chunk, place) in any of them.
 
     Of equal fragments the earliest stands for all. A key with one fragment left has no equal
     windows; the fragments of all others are sorted together.
@@ -406,7 +406,7 @@ def repeated_windows(ids: np.ndarray, starts: np.ndarray, sizes: np.ndarray, key
     cut = np.concatenate([[0], np.cumsum(sizes + width - 1)])
     windows = np.concatenate([[0], np.cumsum(sizes)])
     again = np.zeros(windows[-1], bool)
-    stands = _earliest(ids, starts, raw, cut)
+    stands = _earliest(ids, chunks, places, raw, cut)
     later = np.flatnonzero(stands != np.arange(len(ids)))
     again[np.repeat(windows[later] - np.cumsum(sizes[later]) + sizes[later], sizes[later]) + np.arange(sizes[later].sum())] = True
     own = np.flatnonzero(stands == np.arange(len(ids)))
@@ -426,8 +426,8 @@ def repeated_windows(ids: np.ndarray, starts: np.ndarray, sizes: np.ndarray, key
     slot = where[sa]
     group, slot = group[slot >= 0], slot[slot >= 0]
     fragment = np.searchsorted(windows, slot, "right") - 1
-    begin = starts[fragment] + slot - windows[fragment]
-    order = np.lexsort((slot, begin, ids[fragment], group))
+    begin = places[fragment] + slot - windows[fragment]
+    order = np.lexsort((begin, chunks[fragment], ids[fragment], group))
     later = np.zeros(len(order), bool)
     later[1:] = group[order][1:] == group[order][:-1]
     again[slot[order[later]]] = True
@@ -443,8 +443,8 @@ def _sort_shard(width: int):
         if rows and rows[0]["range"] < 0:
             chunk, begin, number = (np.concatenate([unpack_counts(r[c]) for r in rows]) for c in ("chunks", "places", "sizes"))
         elif rows:
-            (chunks, ids, places, sizes, starts, keys), raw, _ = _opened(rows, width)
-            own = np.flatnonzero(repeated_windows(ids, starts, sizes, keys, raw, width))
+            (chunks, ids, places, sizes, keys), raw, _ = _opened(rows, width)
+            own = np.flatnonzero(repeated_windows(ids, chunks, places, sizes, keys, raw, width))
             first = np.cumsum(sizes) - sizes
             fragment = np.searchsorted(first, own, "right") - 1
             new = np.ones(len(own), bool)
@@ -500,8 +500,8 @@ def remove_repeats(docs: DataFrame, width: int = 100, id_col: str = "doc_id", te
     found everywhere is dealt by its windows. Chunks deal their fragments into 256 ranges at most; where there are more chunks than
     ``block``, groups of that many join their equal fragments and deal on.
 
-    A null text is empty. Null ids come last. Rows that repeat an id and text count as repeats, the
-    one met first stays. Texts shorter than ``width`` stay whole. Other columns are ignored; an
+    A null text is empty. Null ids come last. Rows of one id, and rows without one, come in the order
+    in which the table is read, so of repeated rows one stays. Texts shorter than ``width`` stay whole. Other columns are ignored; an
     empty table gives no rows.
     """
     if width < GRAM:

@@ -91,11 +91,11 @@ def test_components(spark):
 def kept_bytes(rows):
     """What is left of each row's bytes when 100-byte strings that start earlier are taken out; rows of one id come in the order given."""
     first, out = {}, []
-    for i, t, _ in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0)):
+    for row, (i, t, _) in enumerate(sorted(rows, key=lambda r: (r[0] is None, r[0] or 0))):
         b = (t or "").encode()
         gone = bytearray(len(b))
         for p in range(len(b) - 99):
-            if first.setdefault(b[p : p + 100], (i, p)) != (i, p):
+            if first.setdefault(b[p : p + 100], (row, p)) != (row, p):
                 gone[p : p + 100] = b"\1" * 100
         out.append((i, bytes(x for x, g in zip(b, gone) if not g), sum(gone)))
     return sorted(out, key=lambda r: (r[0] is None, r[0] or 0, r[1]))
