@@ -89,16 +89,20 @@ def collection_id(name: Column, fingerprint: Column) -> Column:
     return F.concat_ws("-", slug(name), F.substring(F.sha2(fingerprint, 256), 1, 12))
 
 
-def assign_event_ids(events: DataFrame, length: int = 20) -> DataFrame:
+def assign_event_ids(events: DataFrame, length: int = 20, most: int = 100_000) -> DataFrame:
     """``evt_`` and a prefix of the identity's hash; ids that are set stay.
 
-    A prefix that different identities share grows by four digits. Only colliding prefixes are
-    looked at again: they are found by partial counts of distinct hashes.
+    A prefix that different identities share grows by four digits. Shared prefixes are found by the
+    least and the largest of what follows them, partial in each task; they are counted, and up to
+    ``most`` are broadcast, so that events are not dealt anew.
     """
     extra = F.to_json(F.map_from_entries(F.array_sort(F.map_entries(F.map_filter("extra", lambda k, _: k != "previous_event_id")))))
     whole = digest(*(extra if c == "extra" else F.col(c) for c in IDENTITY))
     hashed = events.withColumn("identity", whole).withColumn("prefix", F.substring("identity", 1, length))
-    clash = hashed.where(F.coalesce("event_id", F.lit("")) == "").select("prefix", "identity").distinct().groupBy("prefix").agg(F.count("*").alias("n")).where("n > 1").select("prefix", F.lit(True).alias("clash"))
+    rest = F.conv(F.substring("identity", length + 1, 15), 16, 10).cast("long")
+    ends = hashed.where(F.coalesce("event_id", F.lit("")) == "").groupBy("prefix").agg(F.min(rest).alias("lo"), F.max(rest).alias("hi"))
+    clash = ends.where("lo <> hi").select("prefix", F.lit(True).alias("clash"))
+    clash = F.broadcast(clash) if clash.limit(most + 1).count() <= most else clash
     grown = hashed.join(clash, "prefix", "left")
     fresh = F.concat(F.lit("evt_"), F.when(F.col("clash"), F.substring("identity", 1, length + 4)).otherwise(F.col("prefix")))
     return grown.withColumn("event_id", F.coalesce(F.nullif("event_id", F.lit("")), fresh)).select(*events.columns)

@@ -44,20 +44,31 @@ def _state(df: DataFrame, source_type: str, parser: str, category: str, action:
     return to_timeline(df, mapping)
 
 
-def resolve_years(lines: DataFrame, year: int) -> DataFrame:
+def resolve_years(lines: DataFrame, year: int, segment_lines: int = 100_000) -> DataFrame:
     """Add ``year`` to lines with dates that have none.
 
     In a file, a month that falls by six or more against the dated line before starts a new year; a
-    file in which that happens begins in the year before ``year``. Files are independent groups.
+    file in which that happens begins in the year before ``year``. A file is cut into segments of
+    ``segment_lines``, so a large log is many tasks: turns are counted in each, and one row a
+    segment tells the next ones how many there were and which month came last.
     """
     month = times.month(F.regexp_extract("raw", r"^([A-Za-z]{3})\s+\d{1,2}\s", 1))
-    order = Window.partitionBy("source_path").orderBy("line_no")
-    df = lines.withColumn("month", month)
-    df = df.withColumn("last_month", F.last("month", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1)))
-    turn = F.when(F.col("last_month") - F.col("month") >= 6, 1).otherwise(0)
-    df = df.withColumn("turns", F.sum(turn).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    any_turn = F.max("turns").over(Window.partitionBy("source_path")) > 0
-    return df.withColumn("year", F.lit(year) - F.when(any_turn, 1).otherwise(0) + F.col("turns").cast("int")).drop("month", "last_month", "turns")
+    keys = ["source_path", "segment"]
+    inside = Window.partitionBy(*keys).orderBy("line_no")
+    df = lines.withColumns({"month": month, "segment": F.floor(F.col("line_no") / segment_lines)})
+    before = F.last("month", ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, -1))
+    df = df.withColumn("turn", F.when(before - F.col("month") >= 6, 1).otherwise(0))
+    until = inside.rowsBetween(Window.unboundedPreceding, 0)
+    df = df.withColumns({"turns": F.sum("turn").over(until), "dated": F.count("month").over(until) > 0})
+    at = F.when(F.col("month").isNotNull(), F.col("line_no"))
+    ends = df.groupBy(*keys).agg(F.min_by("month", at).alias("first_month"), F.max_by("month", at).alias("last_month"), F.sum("turn").alias("own"))
+    file = Window.partitionBy("source_path").orderBy("segment")
+    earlier = file.rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.withColumn("head", F.when(F.last("last_month", ignorenulls=True).over(earlier) - F.col("first_month") >= 6, 1).otherwise(0))
+    ends = ends.withColumns({"before": F.coalesce(F.sum(F.col("own") + F.col("head")).over(earlier), F.lit(0)), "any_turn": F.sum(F.col("own") + F.col("head")).over(Window.partitionBy("source_path")) > 0})
+    joined = df.join(ends.select(*keys, "head", "before", "any_turn"), keys)
+    turns = F.col("before") + F.col("turns") + F.when(F.col("dated"), F.col("head")).otherwise(0)
+    return joined.withColumn("year", F.lit(year) - F.when(F.col("any_turn"), 1).otherwise(0) + turns.cast("int")).select(*lines.columns, "year")
 
 
 def _with_year(lines: DataFrame, year: int) -> DataFrame:

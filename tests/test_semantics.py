@@ -1,6 +1,6 @@
 """Semantics that the driver tables do not show."""
 
-from datetime import datetime
+from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -38,6 +38,13 @@ def test_year_rollover(spark):
     assert [r["year"] for r in got] == [2023, 2023, 2024]
 
 
+@pytest.mark.parametrize("size", [1, 2, 3, 100])
+def test_year_rollover_over_segments(spark, size):
+    raw = ["no date", "Nov  1 00:00:00 h a: x", "no date", "Jan  1 00:00:01 h a: y", "Dec 30 00:00:00 h a: x", "no date", "no date", "Feb  2 00:00:00 h a: z", "Aug  2 00:00:00 h a: z", "Mar  2 00:00:00 h a: z"]
+    got = parsers.resolve_years(lines(spark, *raw).unionByName(lines(spark, "Mar  1 00:00:00 h a: x", "Apr  1 00:00:00 h a: x", path="g")), 2024, size).orderBy("source_path", "line_no").collect()
+    assert [r["year"] for r in got] == [2023, 2023, 2023, 2024, 2024, 2024, 2024, 2025, 2025, 2025, 2024, 2024]
+
+
 def test_auth_line_keeps_first_kind(spark):
     row = parsers.parse_auth(lines(spark, "Mar  3 04:05:06 h sshd[9]: Failed password for root from 192.0.2.1 port 22", "Mar  3 04:05:07 h sshd[9]: nothing"), 2024).collect()
     assert [(r["event_action"], r["user"], r["src_ip"], r["port"], r["pid"]) for r in row] == [("ssh_login_failure", "root", "192.0.2.1", "22", "9")]
@@ -82,6 +89,46 @@ def test_ioc_boundaries(spark):
     assert sorted((r["event_id"], r["value"]) for r in correlate.match_iocs(tl, iocs).collect()) == [("a", "EVIL.example"), ("b", "192.0.2.1")]
 
 
+def test_phases_need_behaviour(spark):
+    tables = (spark.createDataFrame([("T1", "p1"), ("T2", "p1"), ("T2", "p2")], "mitre string, phase string"), spark.createDataFrame([("stay", "p2")], "signal string, phase string"), spark.createDataFrame([("p1", 1), ("p2", 2)], "phase string, place int"))
+    rows = [("state", "state_observation", ["T1"], None, None), ("sure", "behavior", ["T1"], None, None), ("open", "behavior", ["T2"], None, None), ("flag", "behavior", ["T2"], ["STAY "], None), ("kind", "behavior", ["T2"], None, "Stay")]
+    tl = events(spark, rows, "event_id string, evidence_role string, mitre array<string>, ttp_flags array<string>, event_category string")
+    got = {r["event_id"]: (r["attack_phases"], r["attack_phase_candidates"]) for r in rules.classify_attack_phases(tl, *tables).collect()}
+    assert got == {"state": ([], ["p1"]), "sure": (["p1"], []), "open": ([], ["p1", "p2"]), "flag": (["p2"], []), "kind": (["p2"], [])}
+
+
+def test_following_events_have_no_horizon(spark):
+    day = lambda n: datetime(2024, 1, 1) + timedelta(days=n)
+    tl = events(spark, [("a", day(0), "sudo_command"), ("b", day(31), "sudo_command"), ("c", day(400), "sudo_command")], "event_id string, timestamp timestamp, event_action string")
+    anchors = spark.createDataFrame([("s", day(0)), ("t", day(1)), ("u", day(500))], "event_id string, start timestamp")
+    got = {r["event_id"]: r["next_ids"] for r in behaviour.following_events(tl, anchors).collect()}
+    assert got == {"s": ["a", "b", "c"], "t": ["b", "c"]}
+
+
+def test_policies_count_events_without_ids(spark):
+    tl = events(spark, [(None, "destructive_command", "behavior"), (None, "destructive_command", "behavior"), ("a", "destructive_command", "state_observation")], "event_id string, event_action string, evidence_role string")
+    row = behaviour.policy_findings(tl).first()
+    assert (row["hits"], row["severity"], row["evidence_roles"]) == (3, "high", ["behavior", "state_observation"])
+
+
+def test_indicators_by_word(spark):
+    tl = events(spark, [("a", "peer 2001:db8::1 up", None), ("b", "peer 2001:db8::12", None), ("c", "x", "opt/evil/run"), ("d", "run Bad Thing now", None)], "event_id string, raw string, source_path string")
+    tl = tl.withColumn("host", F.lit("evil"))
+    iocs = spark.createDataFrame([("2001:DB8::1", "ip", ""), ("/EVIL/", "path", ""), ("bad thing", "literal", ""), ("evil", "literal", "")], "value string, kind string, label string")
+    got = sorted((r["event_id"], r["value"]) for r in correlate.match_iocs(tl, iocs).collect())
+    assert got == [("a", "2001:DB8::1"), ("c", "/EVIL/"), ("c", "evil"), ("d", "bad thing")]
+
+
+def test_audit_groups_end_at_their_marker(spark, tmp_path):
+    from emberlog.streaming import timelines
+
+    at = lambda s: datetime(2024, 1, 1, 0, 0, s)
+    rows = [(at(59), "n", "1:7", "SYSCALL", "a"), (at(1), "n", "1:8", "SYSCALL", "b"), (datetime(2024, 1, 1, 0, 1, 0), "n", "1:7", "EOE", "c"), (at(2), "m", "1:8", "PATH", "d")]
+    spark.createDataFrame(rows, "timestamp timestamp, node string, audit_id string, type string, body string").write.parquet(str(tmp_path / "in"))
+    got = timelines.run_available(timelines.stream_audit_groups(timelines.read_stream(spark, str(tmp_path / "in") + "/"))).collect()
+    assert [(r["audit_id"], r["types"], r["bodies"], r["timestamp"]) for r in got] == [("1:7", ["EOE", "SYSCALL"], ["a", "c"], at(59))]
+
+
 def test_chain_detects_changes(spark):
     base = spark.createDataFrame([("c", k, "1", None, "note", "a", f"e{k}", "", str(k)) for k in (1, 2, 3)], "chain string, sequence long, schema_version string, timestamp timestamp, action string, actor string, event_id string, before string, after string")
     linked = base.join(review.append_chain(base), ["chain", "sequence"])
