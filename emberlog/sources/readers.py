@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import bz2
 import gzip
+import io
 import json
 import lzma
+import zlib
 from collections.abc import Iterator
 from functools import reduce
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -35,23 +38,23 @@ def read_log_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 
 
 def read_compressed_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """Lines of gzip, bzip2 and xz files, told by their first bytes; others give one row with ``problem``. A compressed file cannot be split, so it is one task."""
+    """Lines of gzip, bzip2 and xz files, told by their first bytes; others give one row with ``problem``. A compressed file cannot be split, so it is one task, which expands it a part at a time."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for path, content in zip(batch["path"], batch["content"], strict=True):
                 # First bytes of each format.
-                opener = {b"\x1f\x8b": gzip.decompress, b"BZ": bz2.decompress, b"\xfd7": lzma.decompress}.get(bytes(content[:2]))
+                opener = {b"\x1f\x8b": gzip.open, b"BZ": bz2.open, b"\xfd7": lzma.open}.get(bytes(content[:2]))
+                problem, at = None if opener else "unsupported", 0
                 try:
-                    lines = opener(bytes(content)).decode("utf-8", "replace").splitlines() if opener else []
-                    problem = None if opener else "unsupported"
-                except (OSError, EOFError, lzma.LZMAError, ValueError):
-                    lines, problem = [], "damaged"
+                    with opener(io.BytesIO(content), "rt", encoding="utf-8", errors="replace") if opener else io.StringIO() as f:
+                        while part := [line.rstrip("\r\n") for line in islice(f, 50_000)]:
+                            yield pd.DataFrame({"source_path": path, "line_no": range(at + 1, at + 1 + len(part)), "raw": part, "problem": None})
+                            at += len(part)
+                except (OSError, EOFError, lzma.LZMAError, ValueError, zlib.error):
+                    problem = "damaged"
                 if problem:
                     yield pd.DataFrame({"source_path": [path], "line_no": [0], "raw": [None], "problem": [problem]})
-                for at in range(0, len(lines), 50_000):
-                    part = lines[at : at + 50_000]
-                    yield pd.DataFrame({"source_path": path, "line_no": range(at + 1, at + 1 + len(part)), "raw": part, "problem": None})
 
     return spark.read.format("binaryFile").load(paths).select("path", "content").mapInPandas(run, "source_path string, line_no long, raw string, problem string")
 
