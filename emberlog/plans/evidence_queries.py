@@ -286,7 +286,7 @@ def excluded_files(spark, d):
     return readers.excluded_files(files)
 
 
-@query("SELECT CASE WHEN s_suppkey % 8 = 0 THEN 'R ' || s_suppkey WHEN s_suppkey % 8 = 7 THEN 'dup' ELSE 'r' || s_suppkey END AS id, list_extract(['bad_id', 'bad_severity', 'bad_technique', 'bad_namespace', 'unknown_reference', 'missing_evidence', 'repeats_match_tags', 'duplicate_id'], (s_suppkey % 8 + 1)::INT) AS violation FROM supplier GROUP BY ALL HAVING id <> 'dup' OR count(*) > 1 UNION ALL SELECT 'weak', unnest(['bad_confidence_cap', 'low_evidence_count', 'no_strong_indicators', 'missing_warning']) UNION ALL SELECT 'empty', unnest(['no_literals', 'missing_category']) UNION ALL SELECT 'src2', 'bad_reference'")
+@query("WITH r AS (SELECT CASE WHEN s_suppkey % 8 = 0 THEN 'R ' || s_suppkey WHEN s_suppkey % 8 = 7 THEN 'dup' ELSE 'r' || s_suppkey END AS id, s_suppkey % 8 AS m FROM supplier), g AS (SELECT id, m, count(*) AS n FROM r GROUP BY id, m) SELECT id, list_extract(['bad_id', 'bad_severity', 'bad_technique', 'bad_namespace', 'unknown_reference', 'missing_evidence', 'repeats_match_tags', 'duplicate_id'], (m + 1)::INT) AS violation FROM g WHERE m <> 7 OR n > 1 UNION ALL SELECT 'weak', unnest(['bad_confidence_cap', 'low_evidence_count', 'no_strong_indicators', 'missing_warning']) UNION ALL SELECT 'empty', unnest(['no_literals', 'missing_category']) UNION ALL SELECT 'src2', 'bad_reference'")
 def validate_rules(spark, d):
     """Each kind of fault in some rules: ids, namespaces, severities, techniques, references, texts, repeats, caps, minimums."""
     key = F.col("s_suppkey")
