@@ -3,7 +3,9 @@
 Each stage takes (spark, docs, sf_dir), works on all rows that the one before kept, and returns a
 DataFrame; ``run`` writes each result as Parquet in the shared folder and reads it again. All but
 the last return the columns of ``documents``. Decisions belong to rows, not ids: a stage gives each
-row a key first, so that rows with a null or repeated doc_id are judged like any other.
+row a key first, so that rows with a null or repeated doc_id are judged like any other. Columns other
+than those of ``documents`` are left out, whatever their names. An empty table gives no rows at every
+stage. Ties are settled by doc_id, null after all others, and among rows of one doc_id by the row's key.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents in no language: null text or no letters. The model is learned from all labelled rows."""
+    """Drop documents in no language: null or empty text, or no letters. The model is learned from all labelled rows; without any, all go. Very long texts are read whole, repeated rows share their fate."""
     model = langid.fit(docs, F.lit(True))
     rows = keyed(docs)
     found = langid.language_id(rows, model, id_col="row").where("lang_pred <> 'und'").select("row")
@@ -32,7 +34,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one row of each group of equal texts: with the largest doc_id, null only if all are."""
+    """Keep one row of each group of equal texts, lower-cased A-Z: with the largest doc_id, null only if all are; of rows that repeat an id, one."""
     rows = keyed(docs)
     ranked = rows.select(F.struct("doc_id", "row").alias("key"), "text")
     kept = exact_dedup.exact_dedup(ranked, id_col="key").where("kept").select("key.row")
@@ -40,7 +42,7 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one row of each near-duplicate group (five words, similarity of 0.8 or more): with the smallest doc_id, null only if all are."""
+    """Keep one row of each near-duplicate group (five words, similarity of 0.8 or more): with the smallest doc_id, null only if all are. Texts without words are linked with nothing and stay."""
     rows = keyed(docs)
     found = minhash.near_duplicates(rows, width=5, percent=80, id_col="row").select("row", "component_id")
     ranked = found.join(rows.select("row", "doc_id"), "row").groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first"))
@@ -48,7 +50,7 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def secret(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Mask live-looking secrets that few owners share; all documents stay, and n_chars follows the text."""
+    """Mask live-looking secrets that few owners share; all documents stay, and n_chars follows the text where it changed. Null text stays null; each row is masked by its own spans, whatever its id."""
     rows = keyed(docs)
     found = secrets.secret_scan(rows, id_col="row", repository=F.col("doc_id")).select("row", "secrets").where(F.exists("secrets", lambda s: s["verdict"] == "live"))
     joined = rows.join(found, "row", "left")
@@ -57,7 +59,7 @@ def secret(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces with their places in sequences of 4096 tokens."""
+    """Pieces with their places in sequences of 4096 tokens; null text is one piece of the end id, and repeated rows are packed each."""
     return packing.pack_documents(docs, PACK_TOKENIZER)
 
 

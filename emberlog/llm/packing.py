@@ -177,16 +177,22 @@ def pack(pieces: DataFrame, capacity: int = 4096, id_col: str = "doc_id", bucket
     Only the number of pieces of each length, ``capacity`` numbers at most, reaches the driver; the
     bins it answers with are as bounded. Pieces of one length are numbered by hashed buckets of
     about ``bucket_rows``, so a length that a third of all rows share is spread over many tasks, and
-    each takes the place of its number. ``pieces`` is read twice; give a written table. A length
-    that is null, below 1 or above ``capacity`` is an error.
+    each takes the place of its number. ``pieces`` is read twice; give a written table.
+
+    Null ids are ids like others, and repeated rows are packed each. Other columns may have any
+    names; those called ``sequence_id`` or ``offset`` are replaced. An empty table gives no rows. A
+    length that is null, below 1 or above ``capacity`` is an error.
     """
-    sizes = pieces.groupBy("length").agg(F.count("*").alias("n"))
-    counted = sizes.limit(capacity + 2).collect()
-    if any(r["length"] is None or not 1 <= r["length"] <= capacity for r in counted):
+    names = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
+    inner = {c: f"c{k}" for k, c in enumerate(names)}
+    own_id, piece, length = inner[id_col], inner["piece"], inner["length"]
+    pieces = pieces.select(*(F.col(f"`{c}`").alias(inner[c]) for c in names))
+    counted = pieces.groupBy(length).agg(F.count("*").alias("n")).limit(capacity + 2).collect()
+    if any(r[length] is None or not 1 <= r[length] <= capacity for r in counted):
         raise ValueError(f"lengths must be from 1 to {capacity}")
     counts = np.zeros(capacity + 1, np.int64)
     for r in counted:
-        counts[r["length"]] = r["n"]
+        counts[r[length]] = r["n"]
     used, base, table = np.zeros(capacity + 1, np.int64), 0, []
     for times, own in bins(counts, capacity):
         offset = 0
@@ -200,19 +206,18 @@ def pack(pieces: DataFrame, capacity: int = 4096, id_col: str = "doc_id", bucket
     spark = pieces.sparkSession
     shared = spark.sparkContext.broadcast(slots)
 
-    buckets = spark.createDataFrame([(int(k), int(-(-counts[k] // bucket_rows))) for k in np.flatnonzero(counts)] or [(1, 1)], "length long, buckets long")
-    dealt = pieces.join(F.broadcast(buckets), "length").withColumn("bucket", F.pmod(F.xxhash64(id_col, "piece"), F.col("buckets"))).drop("buckets")
-    inside = dealt.withColumn("place", F.row_number().over(Window.partitionBy("length", "bucket").orderBy(id_col, "piece")) - 1)
-    before = dealt.groupBy("length", "bucket").agg(F.count("*").alias("n"))
-    before = before.withColumn("before", F.sum("n").over(Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))).select("length", "bucket", F.coalesce("before", F.lit(0)).alias("before"))
-    ranked = inside.join(before, ["length", "bucket"]).withColumn("place", F.col("place") + F.col("before")).select(*pieces.columns, "place")
-
+    buckets = spark.createDataFrame([(int(k), int(-(-counts[k] // bucket_rows))) for k in np.flatnonzero(counts)] or [(1, 1)], f"{length} long, buckets long")
+    dealt = pieces.join(F.broadcast(buckets), length).withColumn("bucket", F.pmod(F.xxhash64(own_id, piece), F.col("buckets"))).drop("buckets")
+    inside = dealt.withColumn("place", F.row_number().over(Window.partitionBy(length, "bucket").orderBy(own_id, piece)) - 1)
+    before = dealt.groupBy(length, "bucket").agg(F.count("*").alias("n"))
+    before = before.withColumn("before", F.sum("n").over(Window.partitionBy(length).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))).select(length, "bucket", F.coalesce("before", F.lit(0)).alias("before"))
     columns = pieces.columns
+    ranked = inside.join(before, [length, "bucket"]).withColumn("place", F.col("place") + F.col("before")).select(*columns, "place")
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for batch in batches:
-            size = batch.column("length").to_numpy(zero_copy_only=False).astype(np.int64)
+            size = batch.column(length).to_numpy(zero_copy_only=False).astype(np.int64)
             number = batch.column("place").to_numpy(zero_copy_only=False).astype(np.int64)
             key = (size << 44) + number
             at = np.searchsorted(own[:, 0], key, "right") - 1
@@ -221,8 +226,9 @@ def pack(pieces: DataFrame, capacity: int = 4096, id_col: str = "doc_id", bucket
             arrays = [batch.column(c) for c in columns]
             yield pa.RecordBatch.from_arrays([*arrays, pa.array(own[at, 2] + into // each), pa.array(own[at, 3] + into % each * size)], [*columns, "sequence_id", "offset"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema.fields)
-    return ranked.mapInArrow(place, f"{schema}, sequence_id long, offset long")
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pieces.schema.fields)
+    packed = ranked.mapInArrow(place, f"{schema}, sequence_id long, offset long")
+    return packed.select(*(F.col(inner[c]).alias(c) for c in names), "sequence_id", "offset")
 
 
 def pack_documents(docs: DataFrame, tokenizer_file: str, length: int = 4096, end_id: int = 1) -> DataFrame:

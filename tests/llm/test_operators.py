@@ -219,6 +219,17 @@ def test_packing(docs, length):
     assert len(places) <= 1.1 * math.ceil(sum(r["length"] for r in got) / length) + 1
 
 
+def test_packing_keeps_columns_of_any_name(spark):
+    names = ["doc_id", "piece", "length", "place", "bucket", "before", "n", "buckets", "c0", "offset", "sequence_id", "odd name"]
+    rows = [(k if k else None, 0, 1 + k % 3, *range(9)) for k in range(20)]
+    got = packing.pack(spark.createDataFrame(rows, names), 5).collect()
+    assert set(got[0].asDict()) == set(names) and all((r["place"], r["bucket"], r["before"], r["c0"], r["odd name"]) == (0, 1, 2, 5, 8) for r in got)
+    ends = collections.Counter()
+    for r in got:
+        ends[r["sequence_id"]] += r["length"]
+    assert len(got) == 20 and max(ends.values()) <= 5 and len(ends) == 8
+
+
 def test_best_two_fit():
     counts = np.zeros(11, np.int64)
     for size in (6, 3, 2, 2):
