@@ -270,6 +270,12 @@ def cap_rows(spark, d):
     return readers.cap_rows(c, "nation", [F.col("c_custkey")], 7)
 
 
+@query("WITH r AS (SELECT c_nationkey AS nation, c_custkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS r, count(*) OVER (PARTITION BY c_nationkey) > 7 AS truncated FROM customer) SELECT nation, c_custkey, truncated FROM r WHERE r <= 7 ORDER BY nation, c_custkey LIMIT 40")
+def cap_rows_in_all(spark, d):
+    c = table(spark, d, "customer").select(F.col("c_nationkey").alias("nation"), "c_custkey")
+    return readers.cap_rows(c, "nation", [F.col("c_custkey")], 7, 40)
+
+
 @query("SELECT 'logs/etc/cron.d/c' || c_custkey AS relative, 'cron_file' AS source_type FROM customer WHERE c_custkey % 3 = 0 UNION ALL SELECT 'x/var/log/auth.log.' || c_custkey, 'auth_log' FROM customer WHERE c_custkey % 3 = 1 UNION ALL SELECT 'bodyfile' || c_custkey || '.txt', unnest(['bodyfile', 'bodyfile_privilege']) FROM customer WHERE c_custkey % 3 = 2")
 def classify_sources(spark, d):
     key = F.col("c_custkey")
