@@ -57,7 +57,8 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.line_dedup(read_table(spark, sf_dir, "documents"))
+    found = line_dedup.line_dedup(read_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_removed", F.array_join(F.col("removed").cast("array<string>"), ",").alias("removed_lines"))
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,5 +97,53 @@ FROM d JOIN g ON d.norm = g.norm
 """
 
 
+_LOW = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = r"regexp_extract_all(" + _LOW + r", '[^\x20\x09-\x0D]+')"
+
+OP6_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+q AS (SELECT doc_id, length(h) // 2 AS n, unnest(range(0, (length(h) + 399) // 400)) AS j, h FROM d),
+c AS MATERIALIZED (SELECT doc_id, n, j, substr(h, 400 * j + 1, 598) AS part FROM q),
+p AS (SELECT doc_id, n, 200 * j AS base, part, unnest(range(0, least(200, n - 200 * j))) AS k FROM c),
+b AS MATERIALIZED (SELECT doc_id, base + k AS i, substr(part, 2 * k + 1, 2) AS byte, CASE WHEN base + k + 100 <= n THEN substr(part, 2 * k + 1, 200) END AS w FROM p),
+f AS (SELECT w, min(doc_id * 1000000000 + i) AS place FROM b WHERE w IS NOT NULL GROUP BY w),
+g AS (SELECT b.doc_id, b.i, byte, coalesce(f.place < b.doc_id * 1000000000 + b.i, false) AS again FROM b LEFT JOIN f ON b.w = f.w),
+o AS (SELECT *, bool_or(again) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 99 PRECEDING AND CURRENT ROW) AS gone FROM g),
+e AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), false) AS starts FROM o),
+s AS (SELECT doc_id, count(*) FILTER (gone) AS n_removed, count(*) FILTER (starts) AS n_spans, coalesce(string_agg(byte, '' ORDER BY i) FILTER (NOT gone), '') AS kept FROM e GROUP BY doc_id)
+SELECT d.doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256
+FROM d LEFT JOIN s ON d.doc_id = s.doc_id
+"""
+
+OP7_SQL = (
+    "WITH RECURSIVE d AS (SELECT doc_id, " + _WORDS.format("coalesce(text, '')") + """ AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) END) AS shingle FROM d),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT doc_id AS x, doc_id AS y FROM n UNION SELECT r.x, e.b FROM r JOIN e ON e.a = r.y),
+m AS (SELECT x, min(y) AS y FROM r GROUP BY x)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(m.y, d.doc_id) AS component_id, coalesce(m.y, d.doc_id) = d.doc_id AS kept
+FROM d LEFT JOIN n ON d.doc_id = n.doc_id LEFT JOIN m ON m.x = d.doc_id
+"""
+)
+
+OP9_SQL = (
+    """WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents),
+l AS (SELECT doc_id, unnest(range(0, len(lines))) AS k, unnest(lines) AS line FROM d),
+w AS (SELECT doc_id, k, doc_id * 1000000000 + k AS place, """ + _WORDS.format("line") + """ AS w FROM l),
+t AS (SELECT w, len(w) AS n, array_to_string(w, ' ') AS whole, min(place) AS first FROM w WHERE len(w) > 0 GROUP BY w),
+v AS (SELECT whole, n, first, unnest(range(1, n + 1)) AS i, unnest(list_transform(range(1, n + 1), lambda i: array_to_string(list_concat(w[1:i - 1], w[i + 1:]), ' '))) AS rest FROM t WHERE n >= 5),
+replaced AS (SELECT v.whole, min(o.first) AS first FROM v JOIN (SELECT i, n, rest, min(first) AS first FROM v GROUP BY 1, 2, 3) o ON v.i = o.i AND v.n = o.n AND v.rest = o.rest GROUP BY 1),
+longer AS (SELECT v.whole, min(t.first) AS first FROM v JOIN t ON t.whole = v.rest AND t.n = v.n - 1 AND t.n >= 5 GROUP BY 1),
+shorter AS (SELECT t.whole, min(v.first) AS first FROM t JOIN v ON t.whole = v.rest AND t.n = v.n - 1 AND t.n >= 5 GROUP BY 1),
+e AS (SELECT whole, min(first) AS earliest FROM (SELECT whole, first FROM t UNION ALL FROM replaced UNION ALL FROM longer UNION ALL FROM shorter) GROUP BY 1),
+g AS (SELECT doc_id, count(*) AS n_removed, string_agg(k, ',' ORDER BY k) AS removed FROM w JOIN e ON array_to_string(w.w, ' ') = e.whole WHERE place > earliest GROUP BY 1)
+SELECT d.doc_id, coalesce(len(lines), 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, coalesce(removed, '') AS removed_lines FROM d LEFT JOIN g ON d.doc_id = g.doc_id
+"""
+)
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op8_exact_dedup": OP8_SQL}
+    return {"op6_suffix_array_dedup": OP6_SQL, "op7_minhash_near_dedup": OP7_SQL, "op8_exact_dedup": OP8_SQL, "op9_line_dedup": OP9_SQL}
