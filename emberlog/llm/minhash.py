@@ -15,6 +15,8 @@ from emberlog.llm.common import key_bitmap, materialise, may_contain, shuffle_wi
 from emberlog.llm.graph import components
 
 TREES, DEPTH, LEAST = 20, 9, 4
+#: Trees of the first pass, which links most of what is very similar, so that the others have little left.
+FIRST_TREES = 5
 SKETCH = 256
 _RNG = np.random.Generator(np.random.PCG64(7))
 _MUL = (_RNG.integers(0, 2**31, SKETCH, dtype=np.uint32) * np.uint32(2) + np.uint32(1))[:, None]
@@ -66,13 +68,14 @@ def in_order(forest: DataFrame, block: int = 2048) -> DataFrame:
     return placed.select("tree", "label", "rep", "sketch", "key", "place", F.floor(F.col("place") / block).alias("block"))
 
 
-def neighbours(ordered: DataFrame, reach: int, least: float, each: int | None = None, block: int = 2048) -> DataFrame:
+def neighbours(ordered: DataFrame, reach: int, least: float, each: int | None = None, once: bool = False, block: int = 2048) -> DataFrame:
     """Pairs (``a`` > ``b``, ``est``) of rows at most ``reach`` apart in the order, with a common prefix and a likely sketch.
 
     ``ordered`` comes from ``in_order``, with a ``comp`` for each row. A block also gets the first
     ``reach`` rows of the next one, so no pair is lost between blocks. Rows of one ``comp`` are not
     paired; with ``each``, a row has at most that many pairs with each other ``comp`` in one
-    direction, the likeliest.
+    direction, the likeliest. With ``once``, and all ``labels`` of a row, a pair comes from the first
+    tree in which it has a common prefix, if it is within reach there.
     """
     if reach > block:
         raise ValueError("reach is within a block")
@@ -90,9 +93,11 @@ def neighbours(ordered: DataFrame, reach: int, least: float, each: int | None =
             tree, rep, comp, part = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("tree", "rep", "comp", "block"))
             sketch = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint8).reshape(batch.num_rows, -1)
             own, old = [part, tree, prefix, rep, comp, sketch], 0
+            if once:
+                own.append(np.ascontiguousarray(np.frombuffer(b"".join(batch.column("labels").to_pylist()), "<u2").reshape(batch.num_rows, TREES, DEPTH)[:, :, :LEAST]).view("<u8")[:, :, 0])
             if kept is not None:
                 own, old = [np.concatenate(x) for x in zip(kept, own, strict=True)], len(kept[0])
-            part, tree, prefix, rep, comp, sketch = own
+            part, tree, prefix, rep, comp, sketch, *every = own
             found = []
             for lag in range(1, min(reach, len(rep) - 1) + 1):
                 first = max(0, old - lag)
@@ -104,8 +109,12 @@ def neighbours(ordered: DataFrame, reach: int, least: float, each: int | None =
                     j = i[k : k + 8192]
                     est = (sketch[j] == sketch[j + lag]).mean(1)
                     good = est >= least
-                    if good.any():
-                        found.append((j[good], j[good] + lag, est[good]))
+                    j, est = j[good], est[good]
+                    if once and len(j):
+                        first_tree = np.argmax(every[0][j] == every[0][j + lag], axis=1) == tree[j]
+                        j, est = j[first_tree], est[first_tree]
+                    if len(j):
+                        found.append((j, j + lag, est))
             kept = [x[-reach:].copy() for x in own]
             if found:
                 i, j, est = (np.concatenate(x) for x in zip(*found, strict=True))
@@ -119,7 +128,7 @@ def neighbours(ordered: DataFrame, reach: int, least: float, each: int | None =
                     i, j, est = i[few], j[few], est[few]
                 yield pa.RecordBatch.from_arrays([pa.array(np.maximum(rep[i], rep[j])), pa.array(np.minimum(rep[i], rep[j])), pa.array(est)], ["a", "b", "est"])
 
-    pairs = sorted_.select("block", "tree", "label", "rep", "comp", "sketch").mapInArrow(run, "a long, b long, est double")
+    pairs = sorted_.select("block", "tree", "label", "rep", "comp", "sketch", *["labels"] * once).mapInArrow(run, "a long, b long, est double")
     return pairs.groupBy("a", "b").agg(F.max("est").alias("est"))
 
 
@@ -187,9 +196,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     ``percent`` / 100, confirmed on full sets. Rows with equal sets are one class first. Classes
     stand in ``TREES`` sorted signature orders; neighbours in an order that share a prefix of
     ``LEAST`` values or more, the longest first, are candidates, so depth adapts to how crowded a
-    region is. A first pass takes close neighbours and the likeliest link of each class; a second
-    one looks ``reach`` classes ahead, past all that is linked already, for the likeliest links
-    between components; a third takes all that is left there. Classes of regions with more than
+    region is. A first pass takes close neighbours in a few trees and the likeliest link of each
+    class; a second one looks ``reach`` classes ahead, past all that is linked already, for the likeliest links
+    between components; a third takes all that is left there, at a wider bound of the estimate. Classes of regions with more than
     ``reach`` rows that are not linked meet by their rare shingles besides, which is exact.
 
     A pair of similarity 0.8 shares a prefix in some order with probability 0.99997, and the
@@ -201,7 +210,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     null component and are kept. Other columns are ignored; an empty table gives no rows.
     """
     sigma = 0.025
-    least = percent / 100 - 4 * sigma
+    least, likely = percent / 100 - 4 * sigma, percent / 100 - sigma
     drawn = materialise(sketches(docs, width, id_col, text_col), "sketches")
     usable = drawn.where("n_shingles > 0 and id is not null")
     classes = usable.groupBy("n_shingles", "set_a", "set_b").agg(F.min("id").cast("long").alias("rep"), F.first("labels").alias("labels"), F.first("sketch").alias("sketch"))
@@ -228,14 +237,14 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
             pairs = pairs.join(comps.select(F.col("node").alias(side), F.col("component").alias(f"c{side}")), side, "left").withColumn(f"c{side}", F.coalesce(f"c{side}", side))
         return pairs.where("ca <> cb")
 
-    close = neighbours(forest.withColumn("comp", F.col("rep")), 2, least)
+    close = neighbours(forest.where(F.col("tree") < FIRST_TREES).withColumn("comp", F.col("rep")), 2, likely)
     likeliest = close.groupBy("a").agg(F.max_by("b", "est").alias("b"))
     edges = confirm(materialise(likeliest, "pairs"))
     comps = components(edges)
 
     # the likeliest link between each class and each other component first, then all that still lie across
     order = Window.partitionBy("a", "cb").orderBy(F.desc("est"), "b")
-    across = apart(neighbours(labelled(comps), reach, least, each=3), comps)
+    across = apart(neighbours(labelled(comps), reach, likely, each=3), comps)
     tried = materialise(across.withColumn("k", F.row_number().over(order)).where("k = 1").select("a", "b"), "pairs")
     edges = edges.unionByName(confirm(tried))
     comps = components(edges)
@@ -246,8 +255,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
         several = own.groupBy("key").agg(F.count("*").alias("rows"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key", "rows")
         return own.join(several, "key")
 
-    left = materialise(mixed(comps), "mixed")
-    rest = neighbours(left, reach, least).select("a", "b").join(tried, ["a", "b"], "left_anti")
+    # a pair that is out of reach in a tree is in a crowded region, where rare shingles find it
+    left = materialise(mixed(comps).join(classes.select("rep", "labels"), "rep"), "mixed")
+    rest = neighbours(left, reach, least, once=True).select("a", "b").join(tried, ["a", "b"], "left_anti")
     rest = materialise(rest, "pairs")
     crowded = materialise(left.where(F.col("rows") > reach + 1).select("rep", "comp").distinct(), "crowded")
     if not crowded.isEmpty():
