@@ -36,16 +36,24 @@ class _Ids(dict):
         if len(self) + len(parts) > self.most or self.held > self.most_bytes:
             self.clear()
             self[""], self.held = b"", 0
-        parts = parts - self.keys()
-        cores = {part: _core(part) for part in parts}
-        new = {core for core, _ in cores.values()} | {tail for _, tail in cores.values()}
-        new = [core for core in new if core not in self]
-        plain = lambda core: core.isalpha() and core.lower().isalpha()
-        self._words([core for core in new if plain(core)])
-        self._mixed([core for core in new if not plain(core)])
-        for part, (core, tail) in cores.items():
+        parts = {part for part in parts if part not in self}
+        composed, new = {}, set()
+        for part in parts:
+            if part.isalpha() and (part.islower() or not part.isascii()):
+                new.add(part)
+            else:
+                composed[part] = core = _core(part)
+                new.update(core)
+        words, mixed = [], []
+        for core in new:
+            if core in self:
+                continue
+            (words if core.isalpha() and (core.isascii() or core.lower().isalpha()) else mixed).append(core)
+        self._words(words)
+        self._mixed(mixed)
+        for part, (core, tail) in composed.items():
             self[part] = self[core] + self[tail]
-            self.held += 4 * len(part) + 2 * len(self[part])
+        self.held += 200 * len(parts) + 8 * sum(map(len, parts))
 
     def _words(self, words: list[str]) -> None:
         """Parts of letters alone are one token run each, which ends with a word end."""
