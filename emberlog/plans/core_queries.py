@@ -212,9 +212,10 @@ def _texts(df):
     return df.withColumns({"collection_names": csv("collection_names"), "event_ids": csv("event_ids")})
 
 
-@query(_shared("shared_source_ip", "src_ip", "event_category = 'authentication'", "event_type = 'signup'").replace("count(*)::BIGINT AS events,", "count(*)::BIGINT AS events, count(*) FILTER (event_type = 'error') AS failures, count(*) FILTER (event_type = 'signup') AS successes,"))
+@query(_shared("shared_source_ip", "host", "event_category = 'authentication'", "event_type = 'signup'").replace("count(*)::BIGINT AS events,", "count(*)::BIGINT AS events, count(*) FILTER (event_type = 'error') AS failures, count(*) FILTER (event_type = 'signup') AS successes,"))
 def shared_source_ip(spark, d):
-    return _texts(c.shared_source_ip(timeline(spark, d)))
+    """Hosts stand for the addresses, which collections share."""
+    return _texts(c.shared_source_ip(timeline(spark, d).withColumn("src_ip", F.col("host"))))
 
 
 @query(_shared("shared_user_activity", "host", "event_type IN ('signup', 'purchase')", "false"))
@@ -237,9 +238,9 @@ def cross_host_high_signal(spark, d):
     return c.cross_host_high_signal(timeline(spark, d)).withColumns({"first_seen": at("first_seen"), "last_seen": at("last_seen"), "event_ids": csv("event_ids")})
 
 
-@query(f"WITH {TL} SELECT 'Shared Source Ip ' || src_ip AS title, CASE WHEN bool_or(event_type = 'signup') THEN 'high' ELSE 'medium' END AS severity, 'medium' AS confidence, 'case_correlation,shared_source_ip' AS tags FROM tl WHERE event_category = 'authentication' GROUP BY src_ip HAVING count(DISTINCT collection_id) >= 2")
+@query(f"WITH {TL} SELECT 'Shared Source Ip ' || host AS title, CASE WHEN bool_or(event_type = 'signup') THEN 'high' ELSE 'medium' END AS severity, 'medium' AS confidence, 'case_correlation,shared_source_ip' AS tags FROM tl WHERE event_category = 'authentication' GROUP BY host HAVING count(DISTINCT collection_id) >= 2")
 def correlations_to_findings(spark, d):
-    return c.correlations_to_findings(c.shared_source_ip(timeline(spark, d))).select("title", "severity", "confidence", csv("tags").alias("tags"))
+    return c.correlations_to_findings(c.shared_source_ip(timeline(spark, d).withColumn("src_ip", F.col("host")))).select("title", "severity", "confidence", csv("tags").alias("tags"))
 
 
 @query(f"WITH {TL}, {SRC}, a AS (SELECT collection_id, count(*) AS events, count(ts) AS timed, count(*) FILTER (severity = 'high') AS high_events FROM tl GROUP BY 1), b AS (SELECT collection_id, count(*) AS sources, count(*) FILTER (parser_status = 'error') AS errors FROM src GROUP BY 1) SELECT * FROM a FULL JOIN b USING (collection_id)")
