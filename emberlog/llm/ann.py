@@ -197,7 +197,7 @@ def learned_partitions(rows: DataFrame, queries: DataFrame, k: int, sample_size:
     """Every row with its partition, and every query with those it tries (``id``, ``v``, ``part``); written tables.
 
     All rows are one partition first. One of more than ``part_rows`` rows is divided: a router is
-    fitted on ``sample_size`` of its rows with the smallest hashed ids, 256 more choose how many
+    fitted on about ``sample_size`` of its rows, drawn by a hash, and 256 more choose how many
     partitions a query tries. What is still too large is divided again, so partitions grow in number
     with the rows. Rows meet their router in blocks of ``block_rows``; nothing reaches the driver.
     """
@@ -205,8 +205,9 @@ def learned_partitions(rows: DataFrame, queries: DataFrame, k: int, sample_size:
     for level in range(levels):
         sizes = placed.groupBy("part").agg(F.count("*").alias("rows"))
         large = sizes if level == 0 else sizes.where(F.col("rows") > part_rows)
-        place = F.row_number().over(Window.partitionBy("part").orderBy(F.xxhash64("id"), "id"))
-        drawn = placed.withColumn("place", place).where(F.col("place") <= sample_size + 256).join(large, "part").select("part", "rows", "v")
+        # a row is drawn by its own hash, so no task sees more than it reads
+        chance = F.pmod(F.xxhash64("id", F.monotonically_increasing_id()), F.lit(1 << 30)) / (1 << 30)
+        drawn = placed.withColumn("chance", chance).join(large, "part").where(F.col("chance") * F.col("rows") < sample_size + 256).select("part", "rows", "v")
         routers = materialise(drawn.groupBy("part").applyInArrow(_fitted(k, parts), "part long, router binary, divides boolean"), "routers")
         if routers.where("divides").isEmpty():
             break
