@@ -193,27 +193,32 @@ def _routed(own: bool):
 _PLACED = "id long, v binary, part long"
 
 
+def _counted(table: DataFrame, most: int = 100_000) -> DataFrame:
+    """A table with a row for each partition, to be broadcast if it has no more than ``most``."""
+    return F.broadcast(table) if table.limit(most + 1).count() <= most else table
+
+
 def learned_partitions(rows: DataFrame, queries: DataFrame, k: int, sample_size: int, part_rows: int, block_rows: int, parts: int | None = None, levels: int = 6) -> tuple[DataFrame, DataFrame]:
     """Every row with its partition, and every query with those it tries (``id``, ``v``, ``part``); written tables.
 
-    All rows are one partition first. One of more than ``part_rows`` rows is divided: a router is
+    Both come as written tables of one partition. One of more than ``part_rows`` rows is divided: a router is
     fitted on about ``sample_size`` of its rows, drawn by a hash, and 256 more choose how many
     partitions a query tries. What is still too large is divided again, so partitions grow in number
     with the rows. Rows meet their router in blocks of ``block_rows``; nothing reaches the driver.
     """
-    placed, asked = (df.withColumn("part", F.lit(0).cast("long")) for df in (rows, queries))
+    placed, asked = rows, queries
     for level in range(levels):
         sizes = placed.groupBy("part").agg(F.count("*").alias("rows"))
         large = sizes if level == 0 else sizes.where(F.col("rows") > part_rows)
         # a row is drawn by its own hash, so no task sees more than it reads
         chance = F.pmod(F.xxhash64("id", F.monotonically_increasing_id()), F.lit(1 << 30)) / (1 << 30)
-        drawn = placed.withColumn("chance", chance).join(large, "part").where(F.col("chance") * F.col("rows") < sample_size + 256).select("part", "rows", "v")
+        drawn = placed.withColumn("chance", chance).join(_counted(large), "part").where(F.col("chance") * F.col("rows") < sample_size + 256).select("part", "rows", "v")
         routers = materialise(drawn.groupBy("part").applyInArrow(_fitted(k, parts), "part long, router binary, divides boolean"), "routers")
         if routers.where("divides").isEmpty():
             break
 
         def route(df: DataFrame, own: bool, name: str) -> DataFrame:
-            blocks = df.groupBy("part").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("blocks"))
+            blocks = _counted(df.groupBy("part").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("blocks")))  # noqa: B023
             dealt = df.join(blocks, "part").select("part", F.pmod(F.xxhash64("id", "v"), F.col("blocks")).cast("int").alias("block"), "id", "v")  # noqa: B023
             held = routers.join(blocks, "part").select("part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "router")  # noqa: B023
             return materialise(dealt.groupBy("part", "block").cogroup(held.groupBy("part", "block")).applyInArrow(_routed(own), _PLACED), name)
@@ -239,16 +244,16 @@ def search(df: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id",
     repeat an id count once each. Other columns are ignored.
     """
     spark = df.sparkSession
-    every = materialise(vectors(df, is_query, id_col, vec_col), "vectors")
+    every = materialise(vectors(df, is_query, id_col, vec_col).withColumn("part", F.lit(0).cast("long")), "vectors")
     if every.limit(2).count() < 2:
         return spark.createDataFrame([], f"query_id long, rank int, `{id_col}` long, score double")
     queries = materialise(every.where("query").drop("query"), "queries")
     if parts == 1:
-        placed, asked = (x.withColumn("part", F.lit(0).cast("long")) for x in (every.drop("query"), queries))
+        placed, asked = every.drop("query"), queries
     else:
         placed, asked = learned_partitions(every.drop("query"), queries, k, sample_size, part_rows, block_rows, parts)
     count = lambda x, name: x.groupBy("part").agg(F.ceil(F.count("*") / block_rows).cast("int").alias(name))
-    blocks = count(placed, "blocks").join(count(asked, "query_blocks"), "part")
+    blocks = _counted(count(placed, "blocks").join(count(asked, "query_blocks"), "part"))
     number = lambda n: F.pmod(F.xxhash64("id", "v"), F.col(n)).cast("int")
     every_of = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     dealt = placed.join(blocks, "part").select("part", number("blocks").alias("block"), every_of("query_blocks").alias("query_block"), "id", "v")
