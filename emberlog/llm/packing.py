@@ -179,7 +179,7 @@ def bins(counts: np.ndarray, capacity: int) -> list[tuple[int, list[tuple[int, i
     return out
 
 
-def pack(pieces: DataFrame, capacity: int = 4096, id_col: str = "doc_id", bucket_rows: int = 512) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = 4096, id_col: str = "doc_id", bucket_rows: int = 256) -> DataFrame:
     """All columns of ``pieces`` with ``sequence_id`` and ``offset``: places without gaps from 0.
 
     Only the number of pieces of each length, ``capacity`` numbers at most, reaches the driver; the
