@@ -94,7 +94,7 @@ def _parts(text: str | None) -> list[str]:
 
 
 def tokenise(docs: DataFrame, tokenizer_file: str, end_id: int = 1, length: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per piece: id, ``piece`` (from 0), ``start``, ``length`` and ``ids`` (little-endian unsigned 32-bit ids).
+    """Per piece: id, ``piece`` (from 0), ``start``, ``length``, ``ids`` (little-endian unsigned 32-bit ids) and ``total``, its document's ids.
 
     The tokenizer must treat white space as a boundary, as word-level BPE does, so that the parts
     between are looked up once and kept; the store of parts is bounded. Null text is empty and gives
@@ -107,11 +107,11 @@ def tokenise(docs: DataFrame, tokenizer_file: str, end_id: int = 1, length: int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, end = _ids(tokenizer_file), np.asarray([end_id], dtype="<u4").tobytes()
         for batch in batches:
-            ids_of, piece, start, size, ids, waiting = [], [], [], [], [], 0
+            ids_of, piece, start, size, ids, total, waiting = [], [], [], [], [], [], 0
             keys = batch.column("id")
 
             def flush():
-                return pa.RecordBatch.from_arrays([keys.take(pa.array(ids_of, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(size, pa.int64()), pa.array(ids, pa.binary())], ["id", "piece", "start", "length", "ids"])
+                return pa.RecordBatch.from_arrays([keys.take(pa.array(ids_of, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(size, pa.int64()), pa.array(ids, pa.binary()), pa.array(total, pa.int64())], ["id", "piece", "start", "length", "ids", "total"])
 
             for first in range(0, batch.num_rows, 256):
                 texts = [_parts(t) for t in batch.column("text").slice(first, 256).to_pylist()]
@@ -126,16 +126,17 @@ def tokenise(docs: DataFrame, tokenizer_file: str, end_id: int = 1, length: int
                         start.append(at // 4)
                         size.append(len(cut) // 4)
                         ids.append(cut)
+                        total.append(len(whole) // 4)
                     waiting += len(whole)
                     if waiting > 8 << 20:
                         yield flush()
-                        ids_of, piece, start, size, ids, waiting = [], [], [], [], [], 0
+                        ids_of, piece, start, size, ids, total, waiting = [], [], [], [], [], [], 0
             if ids_of:
                 yield flush()
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"id {kind}, piece int, start long, length long, ids binary").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(run, f"id {kind}, piece int, start long, length long, ids binary, total long").withColumnRenamed("id", id_col)
 
 
 def bins(counts: np.ndarray, capacity: int) -> list[tuple[int, list[tuple[int, int]]]]:
@@ -179,6 +180,26 @@ def bins(counts: np.ndarray, capacity: int) -> list[tuple[int, list[tuple[int, i
     return out
 
 
+def numbered(pieces: DataFrame, length: str, order: list[str], counts: np.ndarray, bucket_rows: int = 256) -> DataFrame:
+    """``pieces`` with ``place``: the number of each among those of its length, from 0 and without gaps.
+
+    Rows of one length are ordered within hashed buckets of about ``bucket_rows``; the rows before a
+    bucket are summed within groups of 256 buckets first, and then over the groups, so a length that
+    a third of all rows share is spread over many tasks. ``counts`` has the rows of each length.
+    """
+    spark = pieces.sparkSession
+    buckets = spark.createDataFrame([(int(k), int(-(-counts[k] // bucket_rows))) for k in np.flatnonzero(counts)] or [(1, 1)], f"{length} long, buckets long")
+    dealt = pieces.join(F.broadcast(buckets), length).withColumn("bucket", F.pmod(F.xxhash64(*order), F.col("buckets"))).drop("buckets")
+    inside = dealt.withColumn("place", F.row_number().over(Window.partitionBy(length, "bucket").orderBy(*order)) - 1)
+    each = dealt.groupBy(length, "bucket").agg(F.count("*").alias("n")).withColumn("upper", F.floor(F.col("bucket") / 256))
+    earlier = lambda *keys: Window.partitionBy(length, *keys[:-1]).orderBy(keys[-1]).rowsBetween(Window.unboundedPreceding, -1)
+    upper = each.groupBy(length, "upper").agg(F.sum("n").alias("n")).select(length, "upper", F.coalesce(F.sum("n").over(earlier("upper")), F.lit(0)).alias("first"))
+    before = each.withColumn("before", F.coalesce(F.sum("n").over(earlier("upper", "bucket")), F.lit(0)))
+    if int(counts.max(initial=0)) > 256 * bucket_rows:
+        before = before.join(upper, [length, "upper"]).withColumn("before", F.col("before") + F.col("first"))
+    return inside.join(before.select(length, "bucket", "before"), [length, "bucket"]).withColumn("place", F.col("place") + F.col("before")).select(*pieces.columns, "place")
+
+
 def pack(pieces: DataFrame, capacity: int = 4096, id_col: str = "doc_id", bucket_rows: int = 256) -> DataFrame:
     """All columns of ``pieces`` with ``sequence_id`` and ``offset``: places without gaps from 0.
 
@@ -214,13 +235,8 @@ def pack(pieces: DataFrame, capacity: int = 4096, id_col: str = "doc_id", bucket
     spark = pieces.sparkSession
     shared = spark.sparkContext.broadcast(slots)
 
-    buckets = spark.createDataFrame([(int(k), int(-(-counts[k] // bucket_rows))) for k in np.flatnonzero(counts)] or [(1, 1)], f"{length} long, buckets long")
-    dealt = pieces.join(F.broadcast(buckets), length).withColumn("bucket", F.pmod(F.xxhash64(own_id, piece), F.col("buckets"))).drop("buckets")
-    inside = dealt.withColumn("place", F.row_number().over(Window.partitionBy(length, "bucket").orderBy(own_id, piece)) - 1)
-    before = dealt.groupBy(length, "bucket").agg(F.count("*").alias("n"))
-    before = before.withColumn("before", F.sum("n").over(Window.partitionBy(length).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))).select(length, "bucket", F.coalesce("before", F.lit(0)).alias("before"))
+    ranked = numbered(pieces, length, [own_id, piece], counts, bucket_rows)
     columns = pieces.columns
-    ranked = inside.join(before, [length, "bucket"]).withColumn("place", F.col("place") + F.col("before")).select(*columns, "place")
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value

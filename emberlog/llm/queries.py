@@ -8,8 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberlog.llm import ann, exact_dedup, langid, line_dedup, lm, minhash, packing, pieces, secrets, suffix
+from emberlog.llm import ann, exact_dedup, langid, line_dedup, lm, minhash, packing, pieces, prefix_trie, repair, secrets, slack, suffix
 from emberlog.llm.common import read_table
+from emberlog.llm.conversation_sql import OP11_SQL, OP12_SQL
+from emberlog.llm.digest import ordered_sha256
 
 #: The vocabularies of the packing and the piece query.
 PACK_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -69,6 +71,24 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held.alias("held_out"), "lang_pred", "score", "langs", "shares")
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(*prefix_trie.rebuilt(read_table(spark, sf_dir, "conversations")))
+
+
+def op12_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations of one segment are hashed in place; those of several as a stream of their segments."""
+    reports, turns = repair.repair(repair.damaged(read_table(spark, sf_dir, "conversations")))
+    texts = turns.select("conv_id", "part", "segment", "whole", repair.joined(F.col("turns")).alias("text"))
+    whole = texts.where("whole").select("conv_id", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("repaired_sha256"))
+    parts = ordered_sha256(texts.where("not whole"), "conv_id", ["part", "segment"], "text", "\n", "repaired_sha256")
+    digests = whole.unionByName(parts).withColumnRenamed("conv_id", "own_id")
+    return reports.join(digests, F.col("conv_id").eqNullSafe(F.col("own_id"))).drop("own_id")
+
+
+def op13_bin_slack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return slack.pack_documents(read_table(spark, sf_dir, "documents"), PACK_TOKENIZER)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
         op1_learned_partitions,
@@ -81,6 +101,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_exact_dedup,
         op9_line_dedup,
         op10_language_id,
+        op11_prefix_trie,
+        op12_structure_repair,
+        op13_bin_slack,
     )
     return {f.__name__: f for f in every}
 
@@ -144,6 +167,5 @@ SELECT d.doc_id, coalesce(len(lines), 0) AS n_lines, coalesce(n_removed, 0) AS n
 """
 )
 
-
 def oracle_sql() -> dict[str, str]:
-    return {"op6_suffix_array_dedup": OP6_SQL, "op7_minhash_near_dedup": OP7_SQL, "op8_exact_dedup": OP8_SQL, "op9_line_dedup": OP9_SQL}
+    return {"op6_suffix_array_dedup": OP6_SQL, "op7_minhash_near_dedup": OP7_SQL, "op8_exact_dedup": OP8_SQL, "op9_line_dedup": OP9_SQL, "op11_prefix_trie": OP11_SQL, "op12_structure_repair": OP12_SQL}
