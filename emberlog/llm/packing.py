@@ -13,6 +13,10 @@ from pyspark.sql.window import Window
 
 from emberlog.llm.common import materialise
 
+#: Marks that are tokens apart after a letter.
+_MARKS = ".,;:!?"
+
+
 @functools.cache
 def _ids(tokenizer_file: str) -> _Ids:
     """The parts that this worker knows, kept from one task to the next."""
@@ -20,40 +24,63 @@ def _ids(tokenizer_file: str) -> _Ids:
 
 
 class _Ids(dict):
-    """Ids, as little-endian bytes, of the parts of texts between white space."""
+    """Ids, as little-endian bytes, of the parts of texts between white space.
+
+    Two stores of bounded size: when this one is full it becomes the old one, from which parts that
+    are seen again come back, so that frequent parts are tokenised once.
+    """
 
-    def __init__(self, tokenizer_file: str, most: int = 1_000_000, most_bytes: int = 256 << 20) -> None:
+    def __init__(self, tokenizer_file: str, most_bytes: int = 144 << 20) -> None:
         from tokenizers import Tokenizer
 
         super().__init__({"": b""})
-        self.tokenizer, self.most, self.most_bytes, self.held = Tokenizer.from_file(tokenizer_file), most, most_bytes, 0
+        self.tokenizer, self.most_bytes, self.held, self.old = Tokenizer.from_file(tokenizer_file), most_bytes, 0, {}
         vocabulary = self.tokenizer.get_vocab()
         self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
         self.closes[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self._mixed(list(_MARKS))
+        self.marks = dict(self)
 
     def learn(self, parts: set[str]) -> None:
-        """Tokenise parts that are not known yet, many in one call; a mark at the end and upper-case ASCII make no part of their own. A full store is emptied first."""
-        if len(self) + len(parts) > self.most or self.held > self.most_bytes:
+        """Tokenise parts that are not known yet, many in one call; a mark at the end and upper-case ASCII make no part of their own."""
+        if self.held > self.most_bytes:
+            self.old, self.held = dict(self), 0
             self.clear()
-            self[""], self.held = b"", 0
-        parts = {part for part in parts if part not in self}
-        composed, new = {}, set()
-        for part in parts:
-            if part.isalpha() and (part.islower() or not part.isascii()):
-                new.add(part)
+            self.update(self.marks)
+        old, fresh, before = self.old, [], len(self)
+        for part in [p for p in parts if p not in self]:
+            known = old.get(part)
+            if known is None:
+                fresh.append(part)
             else:
-                composed[part] = core = _core(part)
-                new.update(core)
-        words, mixed = [], []
-        for core in new:
-            if core in self:
+                self[part] = known
+        composed, cores = [], set()
+        for part in fresh:
+            if part.isalpha() and (part.islower() or not part.isascii()):
+                cores.add(part)
                 continue
-            (words if core.isalpha() and (core.isascii() or core.lower().isalpha()) else mixed).append(core)
+            # the mark after the last letter, unless that letter ends in a mark of its own in lower case
+            core, tail = (part[:-1], part[-1]) if part[-1] in _MARKS and len(part) > 1 and part[-2].lower()[-1].isalpha() else (part, "")
+            if core.isascii():
+                core = core.lower()
+            if core not in self:
+                cores.add(core)
+            if core != part:
+                composed.append((part, core, tail))
+        words, mixed = [], []
+        for core in cores:
+            known = old.get(core)
+            if known is not None:
+                self[core] = known
+            elif core.isalpha() and (core.isascii() or core.lower().isalpha()):
+                words.append(core)
+            else:
+                mixed.append(core)
         self._words(words)
         self._mixed(mixed)
-        for part, (core, tail) in composed.items():
+        for part, core, tail in composed:
             self[part] = self[core] + self[tail]
-        self.held += 200 * len(parts) + 8 * sum(map(len, parts))
+        self.held += 200 * (len(self) - before) + 5 * sum(map(len, fresh))
 
     def _words(self, words: list[str]) -> None:
         """Parts of letters alone are one token run each, which ends with a word end."""
@@ -83,12 +110,6 @@ class _Ids(dict):
         return b"".join(map(self.__getitem__, parts))
 
 
-def _core(part: str) -> tuple[str, str]:
-    """A part without the mark after its last letter, lower-cased if ASCII, and the mark: they are tokens apart, unless the letter ends in a mark of its own in lower case."""
-    core, tail = (part[:-1], part[-1]) if len(part) > 1 and part[-1] in ".,;:!?" and part[-2].lower()[-1].isalpha() else (part, "")
-    return (core.lower() if core.isascii() else core), tail
-
-
 def _parts(text: str | None) -> list[str]:
     return (text or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
 
