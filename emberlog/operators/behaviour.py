@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from emberlog.functions.text import severity_rank, sorted_set
 from emberlog.operators.correlate import ioc_finding
+from emberlog.operators.ranges import flag, next_rows, ordered_ranges, positions, with_halo
 from emberlog.operators.timeline import first_ids, first_n
 
 # Names of actions and detections that make a finding.
@@ -25,6 +26,17 @@ FINDING_POLICIES = (
 MEDIUM_POLICIES = ("suid_file_observed", "sgid_file_observed", "container_group_privilege_risk", "failed_login_history", "audit_authentication_failure", "audit_anomaly")
 
 
+def text(*parts: Column | str) -> Column:
+    """Parts joined; a column without a value is ``unknown``."""
+    return F.concat(*(F.lit(p) if isinstance(p, str) else F.coalesce(p.cast("string"), F.lit("unknown")) for p in parts))
+
+
+def iso(ts: Column) -> Column:
+    """A time as ISO 8601 in UTC, with a fraction where there is one."""
+    whole = F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss")
+    return F.concat(whole, F.when(F.unix_micros(ts) % 1_000_000 != 0, F.date_format(ts, ".SSSSSS")).otherwise(""), F.lit("Z"))
+
+
 def micros(ts: Column) -> Column:
     return F.unix_micros(ts)
 
@@ -32,6 +44,8 @@ def micros(ts: Column) -> Column:
 def success_after_failures(events: DataFrame, window_seconds: int = 1800, least: int = 5, failure: str = "ssh_login_failure", success: str = "ssh_login_success", last: int = 5) -> DataFrame:
     """Successes with ``least`` failures or more of the same user and address in the time before, both ends included; null keys are equal.
 
+    ``failure_ids`` are the ``last`` of them, in order of time.
+
     Time is cut into buckets of the window's length, and failures go to their own and the next one,
     so a bucket holds all that its successes need and a hot pair of user and address is many groups.
     Failures are numbered in each, and a success asks for the ``last`` numbers before it: an
@@ -49,7 +63,7 @@ def success_after_failures(events: DataFrame, window_seconds: int = 1800, least:
     number = F.row_number().over(group.orderBy("timestamp", "event_id")).cast("long")
     fails = used.where("failed").select(F.col("user").alias("u"), F.col("src_ip").alias("s"), F.col("bucket").alias("k"), number.alias("n"), F.col("event_id").alias("failure_id"))
     met = wanted.join(fails, F.col("user").eqNullSafe(F.col("u")) & F.col("src_ip").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("k")) & (F.col("number") == F.col("n")))
-    return met.groupBy("event_id", "user", "src_ip", "timestamp", "failures").agg(F.array_sort(F.collect_list("failure_id")).alias("failure_ids"))
+    return met.groupBy("event_id", "user", "src_ip", "timestamp", "failures").agg(F.transform(F.array_sort(F.collect_list(F.struct("number", "failure_id"))), lambda s: s["failure_id"]).alias("failure_ids"))
 
 
 def policy_findings(events: DataFrame, policies: tuple[str, ...] = FINDING_POLICIES, medium: tuple[str, ...] = MEDIUM_POLICIES) -> DataFrame:
@@ -88,8 +102,8 @@ def bruteforce_campaigns(events: DataFrame, least: int = 20, failures: tuple[str
     return totals.join(names, same("s"), "left").join(ids, same("i"), "left").drop("s", "i")
 
 
-def account_lifecycle(events: DataFrame) -> DataFrame:
-    """Distinct users and events for each kind of change of accounts."""
+def account_changes(events: DataFrame) -> DataFrame:
+    """Account events with the kind of change, if any."""
     # Actions of accounts, and those of each kind.
     logged = ("user_created", "user_deleted", "user_modified", "password_changed", "account_unlocked", "account_locked")
     kinds = {
@@ -102,58 +116,71 @@ def account_lifecycle(events: DataFrame) -> DataFrame:
     for name, actions in kinds.items():
         test = F.col("event_action").isin(*actions)
         kind = F.when(test, name) if kind is None else kind.when(test, name)
-    used = events.where((F.col("source_type") == "account_diff") | F.col("event_action").isin(*logged)).withColumn("kind", kind).where("kind is not null")
-    return used.groupBy("kind", "user").agg(F.count("*").alias("n")).groupBy("kind").agg(F.count("user").alias("users"), F.sum("n").alias("events"))
+    return events.where((F.col("source_type") == "account_diff") | F.col("event_action").isin(*logged)).select("event_id", "timestamp", F.nullif("user", F.lit("")).alias("user"), kind.alias("kind"))
 
 
-def indexed(events: DataFrame, partitions: int = 64, order: tuple[str, ...] = ("timestamp", "event_id"), weight: Column | None = None) -> DataFrame:
-    """Add ``position``, the place in order of time or the sum of ``weight`` until there, without a sort in one task.
+def account_lifecycle(events: DataFrame) -> DataFrame:
+    """Distinct users, their names and events for each kind of change of accounts; an empty user is no user."""
+    each = account_changes(events).where("kind is not null").groupBy("kind", "user").agg(F.count("*").alias("n"))
+    return each.groupBy("kind").agg(F.count("user").alias("users"), F.sum("n").alias("events"), F.array_sort(F.collect_list("user")).alias("names"))
 
-    Times are cut at approximate quantiles, a list of ``partitions`` numbers that is the same
-    whenever a part is computed again; rows are numbered in each part, and the parts' sizes summed.
-    """
-    one = F.lit(1) if weight is None else weight
-    timed = events.withColumn("us", micros(F.col("timestamp")).cast("double"))
-    cuts = sorted(set(timed.approxQuantile("us", [k / partitions for k in range(1, partitions)], 0.2 / partitions)))
-    part = F.size(F.filter(F.array(*map(F.lit, cuts)).cast("array<double>"), lambda c: c <= F.col("us"))) if cuts else F.lit(0)
-    inside = timed.withColumn("part", part).drop("us").withColumn("k", F.sum(one).over(Window.partitionBy("part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
-    sizes = timed.groupBy(part.alias("part")).agg(F.sum(one).alias("n"))
-    before = sizes.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
-    return inside.join(F.broadcast(before), "part").withColumn("position", F.col("k") + F.col("before")).drop("part", "k", "before")
+
+def account_finding(events: DataFrame) -> DataFrame:
+    """One finding on changes of accounts, if there are any: each kind with its users, and the first 15 ids of all account events."""
+    changes = account_changes(events)
+    kinds = account_lifecycle(events).select("kind", "users", "events", F.array_join("names", ", ").alias("names"))
+    c = F.col
+    # Texts of the finding, in the order of kinds.
+    named = lambda what: text(c("users"), f" unique account(s) {what} (", c("names"), ") across ", c("events"), " supporting event(s)")
+    part = (
+        F.when(c("kind") == "created", F.when(c("users") > 0, named("observed as created")).otherwise(text(c("events"), " account-creation event(s) without a parsed username")))
+        .when(c("kind") == "deleted", F.when(c("users") > 0, named("observed as deleted")).otherwise(text(c("events"), " account-deletion event(s) without a parsed username")))
+        .when(c("kind") == "password", F.when(c("users") > 0, named("with password changes or unlocks")).otherwise(text(c("events"), " password-change or unlock event(s) without a parsed username")))
+        .otherwise(text(c("events"), " group membership change(s)"))
+    )
+    place = F.array_position(F.array(*map(F.lit, ("created", "deleted", "password", "group"))), c("kind"))
+    parts = kinds.agg(F.array_sort(F.collect_list(F.struct(place.alias("place"), part.alias("part")))).alias("parts")).where(F.size("parts") > 0)
+    ids = changes.orderBy(c("timestamp").asc_nulls_last(), "event_id").limit(15).agg(F.transform(F.array_sort(F.collect_list(F.struct(c("timestamp").isNull().alias("undated"), "timestamp", "event_id"))), lambda s: s["event_id"]).alias("event_ids"))
+    summary = text("Account changes detected via backup file diffing and log analysis: ", F.array_join(F.transform("parts", lambda p: p["part"]), "; "), ".")
+    return parts.crossJoin(ids).select(F.lit("Account Lifecycle Changes Detected").alias("title"), F.lit("high").alias("severity"), F.lit("high").alias("confidence"), "event_ids", summary.alias("summary"), F.array(F.lit("account_lifecycle"), F.lit("account_diff")).alias("tags"))
+
+
+def indexed(events: DataFrame, order: tuple[str, ...] = ("timestamp", "event_id"), weight: Column | None = None) -> DataFrame:
+    """Add ``position``, the place in order of time or the sum of ``weight`` until there, without a sort in one task: by sorted ranges, written once."""
+    if weight is None:
+        return positions(ordered_ranges(events, order)).drop("part", "place")
+    own = ordered_ranges(events.withColumn("weight", weight.cast("long")), order)
+    return positions(own, "weight").drop("part", "place", "weight")
 
 
-def initial_access_storylines(events: DataFrame, frame: int = 25, anchors: tuple[str, ...] = ("ssh_login_success", "http_request"), download: str = "download_execute_chain", cron: str = "cron_modified", chmod: str = "chmod_executable", miner: str = "miner_execution", partitions: int = 64) -> DataFrame:
+def initial_access_storylines(events: DataFrame, frame: int = 25, anchors: tuple[str, ...] = ("ssh_login_success", "http_request"), download: str = "download_execute_chain", cron: str = "cron_modified", chmod: str = "chmod_executable", miner: str = "miner_execution") -> DataFrame:
     """Logins or requests that a chain of execution follows within the next ``frame`` dated events, with the first 15 ids of medium severity or more among them.
 
-    Events are numbered in order of time; the few that carry a signal meet the anchors by blocks of
-    ``frame`` positions, an equi-join, so no window runs over the whole timeline in one task.
+    What a frame needs is sorted by range of time and written once. Each range gets the ``frame - 1``
+    rows after it, so one window a range answers all frames, and ranges grow with the timeline.
     """
-    placed = indexed(events.where("timestamp is not null").select("event_id", "timestamp", "event_action", "detection_names", "severity"), partitions)
     names = F.concat(F.array("event_action"), F.coalesce("detection_names", F.array().cast("array<string>")))
-    signal = F.filter(names, lambda n: n.isin(download, cron, chmod, miner))
-    block = F.floor(F.col("position") / frame)
-    marks = placed.where(F.size(signal) > 0).select(F.col("position").alias("at"), signal.alias("signal"), block.alias("block"))
-    starts = placed.where(F.col("event_action").isin(*anchors)).select("event_id", "timestamp", "position", F.explode(F.array(block, block + 1)).alias("block"))
-    met = starts.join(marks, "block").where((F.col("at") >= F.col("position")) & (F.col("at") < F.col("position") + frame))
-    found = met.groupBy("event_id", "timestamp", "position").agg(F.array_distinct(F.flatten(F.collect_set("signal"))).alias("signals"))
-    has = lambda n: F.array_contains("signals", n)
-    kept = found.where(has(download) | has(cron) | (has(chmod) & has(miner)))
-    ends = placed.select(F.col("position").alias("end_position"), F.col("timestamp").alias("end"))
-    last = placed.agg(F.max("position").alias("top"))
-    kept = kept.crossJoin(F.broadcast(last)).withColumn("end_position", F.least(F.col("position") + frame - 1, F.col("top")))
-    grave = placed.where(severity_rank(F.col("severity")) >= 2).select(F.col("position").alias("at"), F.col("event_id").alias("grave_id"), block.alias("block"))
-    near = kept.select("event_id", "position", F.explode(F.array(block, block + 1)).alias("block")).join(grave, "block").where((F.col("at") >= F.col("position")) & (F.col("at") < F.col("position") + frame))
-    ids = first_ids(near, ["event_id"], [F.col("at")], 15, "grave_id", "event_ids")
-    return kept.join(ends, "end_position").join(ids, "event_id", "left").select(
-        "event_id", F.lit("Initial access followed by suspicious execution or persistence").alias("title"), F.col("timestamp").alias("start"), "end", F.lit("medium").alias("confidence"), F.array_sort("signals").alias("signals"), F.coalesce("event_ids", F.array().cast("array<string>")).alias("event_ids")
+    wanted = sorted((download, cron, chmod, miner))
+    signals = [flag(F.array_contains(names, s)).alias(f"s{k}") for k, s in enumerate(wanted)]
+    # Texts of the storyline.
+    title, summary = "Initial access followed by suspicious execution or persistence", "A login or web request is followed by high-signal Linux attack behaviors."
+    narrow = events.where("timestamp is not null").select("event_id", "timestamp", flag(F.col("event_action").isin(*anchors)).alias("anchor"), flag(severity_rank(F.col("severity")) >= 2).alias("grave"), *signals)
+    rows = with_halo(ordered_ranges(narrow, ("timestamp", "event_id")), frame - 1)
+    near = next_rows(frame)
+    seen = rows.select(
+        "event_id", F.col("timestamp").alias("start"), "anchor", "halo", F.last("timestamp").over(near).alias("end"), F.collect_list(F.when(F.col("grave"), F.col("event_id"))).over(near).alias("ids"), *(F.max(f"s{k}").over(near).alias(f"s{k}") for k in range(len(wanted)))
     )
+    has = {s: F.col(f"s{k}") for k, s in enumerate(wanted)}
+    kept = seen.where(F.col("anchor") & ~F.col("halo") & (has[download] | has[cron] | (has[chmod] & has[miner])))
+    found = F.array_compact(F.array(*(F.when(has[s], F.lit(s)) for s in wanted)))
+    return kept.select("event_id", F.lit(title).alias("title"), "start", "end", F.lit("medium").alias("confidence"), found.alias("signals"), F.slice("ids", 1, 15).alias("event_ids"), F.lit(summary).alias("summary"))
 
 
 # Actions of note after a login.
 FOLLOWING = ("sudo_command", "shell_command", "password_changed", "user_created", "user_modified", "account_unlocked")
 
 
-def bruteforce_storylines(events: DataFrame, least: int = 10, prior: int = 5, follow: tuple[str, ...] = FOLLOWING, partitions: int = 64) -> DataFrame:
+def bruteforce_storylines(events: DataFrame, least: int = 10, prior: int = 5, follow: tuple[str, ...] = FOLLOWING) -> DataFrame:
     """Per address (none is one of them) with ``least`` failures: its first success with ``prior`` of them until then.
 
     A line goes from the address's first failure to the last event of the story: the three failures
@@ -172,17 +199,21 @@ def bruteforce_storylines(events: DataFrame, least: int = 10, prior: int = 5, fo
     near = anchors.join(fails, "address").where("failed_at <= timestamp")
     counts = near.groupBy("address").agg(F.count("*").alias("failures_before"))
     three = first_ids(near, ["address"], [F.desc("failed_at"), F.desc("failure_id")], 3, "failure_id", "failure_ids")
-    after = following_events(events, anchors.select("event_id", F.col("timestamp").alias("start")), follow, 10, partitions)
+    after = following_events(events, anchors.select("event_id", F.col("timestamp").alias("start")), follow, 10)
     story = anchors.join(counts, "address").join(three, "address").join(after, "event_id", "left")
     none = F.array().cast("array<string>")
-    title = F.concat(F.lit("Brute-force from "), F.coalesce("src_ip", F.lit("an unknown address")), F.lit(" followed by successful login as "), F.coalesce("user", F.lit("an unknown user")))
+    address, name = F.coalesce("src_ip", F.lit("an unknown address")), F.coalesce("user", F.lit("an unknown user"))
+    # Texts of the storyline.
+    title = text("Brute-force from ", address, " followed by successful login as ", name)
+    followed = F.size(F.coalesce("next_ids", none))
+    summary = text(F.col("failures_before"), " failed attempts from ", address, " preceded a successful ", name, " login. ", followed, " post-access events followed.")
     return story.select(
         "src_ip", "event_id", "user", title.alias("title"), "start", F.greatest("timestamp", "last_at").alias("end"), F.lit("high").alias("confidence"), "failures_before", "all_failures", F.array_sort("failure_ids").alias("failure_ids"), F.coalesce("next_ids", none).alias("next_ids"),
-        F.slice(F.concat(F.reverse("failure_ids"), F.array("event_id"), F.coalesce("next_ids", none)), 1, 15).alias("event_ids"),
+        F.slice(F.concat(F.reverse("failure_ids"), F.array("event_id"), F.coalesce("next_ids", none)), 1, 15).alias("event_ids"), summary.alias("summary"),
     )
 
 
-def following_events(events: DataFrame, anchors: DataFrame, follow: tuple[str, ...] = FOLLOWING, n: int = 10, partitions: int = 64) -> DataFrame:
+def following_events(events: DataFrame, anchors: DataFrame, follow: tuple[str, ...] = FOLLOWING, n: int = 10) -> DataFrame:
     """The first ``n`` events of the actions ``follow`` from each anchor on (``event_id``, ``start``), however much later, and the time of the last of them.
 
     Marks and anchors are put in one order of time; a mark's number is the count of marks until it,
@@ -190,7 +221,7 @@ def following_events(events: DataFrame, anchors: DataFrame, follow: tuple[str, .
     """
     marks = events.where(F.col("event_action").isin(*follow) & F.col("timestamp").isNotNull()).select("event_id", "timestamp", F.lit(1).alias("mark"))
     both = marks.unionByName(anchors.select("event_id", F.col("start").alias("timestamp"), F.lit(0).alias("mark")))
-    counted = indexed(both, partitions, ("timestamp", "mark", "event_id"), F.col("mark"))
+    counted = indexed(both, ("timestamp", "mark", "event_id"), F.col("mark"))
     asked = counted.where("mark = 0").select("event_id", F.explode(F.sequence(F.col("position") + 1, F.col("position") + n)).alias("number"))
     numbered = counted.where("mark = 1").select(F.col("position").alias("number"), F.col("event_id").alias("next_id"), F.col("timestamp").alias("next_at"))
     met = asked.join(numbered, "number").groupBy("event_id").agg(F.array_sort(F.collect_list(F.struct("number", "next_id"))).alias("found"), F.max("next_at").alias("last_at"))
@@ -198,11 +229,17 @@ def following_events(events: DataFrame, anchors: DataFrame, follow: tuple[str, .
 
 
 def credential_storyline(events: DataFrame, actions: tuple[str, ...] = ("password_changed", "account_unlocked", "password_set_new_account"), detection: str = "root_password_changed") -> DataFrame:
-    """One row over all changes of credentials: first, last, number of users, first 15 ids."""
+    """One row over all dated changes of credentials, if there are any: first, last, the users, the first 15 ids. An empty user is no user.
+
+    The summary names all users, as the row is meant to; they are made distinct in partial groups first.
+    """
     used = events.where((F.col("event_action").isin(*actions) | F.array_contains("detection_names", detection)) & F.col("timestamp").isNotNull())
     top = used.orderBy("timestamp", "event_id").limit(15).agg(F.transform(F.array_sort(F.collect_list(F.struct("timestamp", "event_id"))), lambda s: s["event_id"]).alias("event_ids"))
-    totals = used.agg(F.count("*").alias("events"), F.min("timestamp").alias("start"), F.max("timestamp").alias("end"), F.count_distinct("user").alias("users"))
-    return totals.crossJoin(top)
+    each = used.groupBy(F.nullif("user", F.lit("")).alias("user")).agg(F.count("*").alias("n"), F.min("timestamp").alias("a"), F.max("timestamp").alias("z"))
+    totals = each.agg(F.sum("n").alias("events"), F.min("a").alias("start"), F.max("z").alias("end"), F.count("user").alias("users"), F.array_sort(F.collect_list("user")).alias("names")).where("events > 0")
+    # Texts of the storyline.
+    summary = text(F.col("events"), " credential change(s) detected for user(s): ", F.array_join("names", ", "), ". Review whether these changes were authorized.")
+    return totals.crossJoin(top).select(F.lit("Credential modification activity").alias("title"), "start", "end", F.lit("medium").alias("confidence"), "events", "users", "event_ids", summary.alias("summary"))
 
 
 def lag_gap(events: DataFrame, keys: tuple[str, ...] = ("user",)) -> DataFrame:
@@ -252,38 +289,53 @@ MOVEMENT_SOURCES = {"command history": ("shell_history",), "network state": ("ss
 
 
 def lateral_movement_findings(events: DataFrame, sources: DataFrame | None = None) -> DataFrame:
-    """One finding with counts if there is evidence; else known hosts as context, and whether the sources would have shown any.
+    """One finding with counts, destinations and the first 15 ids if there is evidence; else known hosts as context, and whether the sources would have shown any.
 
-    Sources are those given (``source_type``), or those of the events.
+    Sources are those given (``source_type``), or those of the events. Ids go by kind of evidence, then time.
     """
-    hit = [F.array_contains("detection_names", d) for d in OUTBOUND]
-    any_hit = hit[0] | hit[1] | hit[2]
-    totals = events.agg(*(F.count_if(h).alias(d) for h, d in zip(hit, OUTBOUND, strict=True)), F.count_if(F.col("event_action") == "known_host_observed").alias("known_hosts"), F.array_sort(F.collect_set(F.when(any_hit, F.col("dst_ip")))).alias("destinations"))
+    c, none = F.col, F.array().cast("array<string>")
+    known = len(OUTBOUND)
+    tests = [*(F.array_contains("detection_names", d) for d in OUTBOUND), c("event_action") == "known_host_observed"]
+    each = events.select("event_id", "timestamp", "dst_ip", F.explode(F.array_compact(F.array(*(F.when(t, F.lit(k)) for k, t in enumerate(tests))))).alias("kind"))
+    counts = each.groupBy("kind").agg(F.count("*").alias("n"))
+    firsts = first_ids(each, ["kind"], [c("timestamp").asc_nulls_last(), c("event_id")], 15)
+    kinds = counts.join(firsts, "kind").agg(F.map_from_entries(F.collect_list(F.struct("kind", F.struct("n", "event_ids")))).alias("kinds"))
+    reached = each.where((c("kind") < known) & (c("dst_ip") != "")).groupBy("dst_ip").agg(F.lit(1).alias("one")).orderBy("dst_ip").limit(10)
+    reached = reached.agg(F.array_join(F.array_sort(F.collect_list("dst_ip")), ", ").alias("reached"))
     types = (events if sources is None else sources).agg(F.collect_set("source_type").alias("types"))
     missing = F.array_compact(F.array(*(F.when(~F.arrays_overlap("types", F.array(*map(F.lit, t)).cast("array<string>")), F.lit(g)) for g, t in MOVEMENT_SOURCES.items())))
-    df = totals.crossJoin(types).withColumn("missing", F.array_sort(missing)).withColumn("n", sum((F.col(d) for d in OUTBOUND), F.lit(0)))
-    row = lambda title, severity, sure, count, gaps: F.struct(F.lit(title).alias("title"), F.lit(severity).alias("severity"), F.lit(sure).alias("confidence"), count.alias("indicators"), F.array_join(gaps, ",").alias("missing"))
-    none = F.array().cast("array<string>")
-    found = row("Outbound Lateral Movement Evidence", "high", "medium", F.col("n"), none)
-    context = F.when(F.col("known_hosts") > 0, row("Known SSH Destination Observed", "low", "low", F.col("known_hosts"), none))
-    gaps = F.when(F.size("missing") > 0, row("Lateral Movement Assessment Has Coverage Gaps", "informational", "low", F.lit(0).cast("long"), F.col("missing"))).otherwise(row("No Outbound Lateral Movement Evidence Observed", "informational", "medium", F.lit(0).cast("long"), none))
-    return df.select(F.explode(F.when(F.col("n") > 0, F.array(found)).otherwise(F.array_compact(F.array(context, gaps)))).alias("f")).select("f.*")
+    df = kinds.crossJoin(reached).crossJoin(types).withColumn("missing", F.array_sort(missing))
+    n = [F.coalesce(F.try_element_at("kinds", F.lit(k))["n"], F.lit(0)) for k in range(known + 1)]
+    ids = [F.coalesce(F.try_element_at("kinds", F.lit(k))["event_ids"], none) for k in range(known + 1)]
+    df = df.withColumns({"n": n[0] + n[1] + n[2], "hosts": n[known]})
+    row = lambda title, severity, sure, count, gaps, own, summary, *tags: F.struct(F.lit(title).alias("title"), F.lit(severity).alias("severity"), F.lit(sure).alias("confidence"), count.alias("indicators"), F.array_join(gaps, ",").alias("missing"), own.alias("event_ids"), summary.alias("summary"), F.array(*map(F.lit, tags)).alias("tags"))
+    zero = F.lit(0).cast("long")
+    # Texts and tags of the findings.
+    where = F.when(c("reached") != "", c("reached")).otherwise("see events")
+    found = row("Outbound Lateral Movement Evidence", "high", "medium", c("n"), none, F.slice(F.concat(*ids[:known]), 1, 15), text("Found ", c("n"), " action indicator(s) of outbound lateral movement: ", n[0], " SSH commands, ", n[1], " file transfers, and ", n[2], " active SSH connections. Destinations: ", where), "lateral_movement", "outbound")
+    context = row("Known SSH Destination Observed", "low", "low", c("hosts"), none, ids[known], text("Observed ", c("hosts"), " SSH known-host entr", F.when(c("hosts") == 1, "y").otherwise("ies"), ". This is historical destination context and does not establish an outbound connection or lateral movement."), "ssh", "known_hosts", "contextual_evidence", "not_lateral_movement_by_itself")
+    gaps = row("Lateral Movement Assessment Has Coverage Gaps", "informational", "low", zero, c("missing"), none, text("No outbound lateral-movement evidence was observed in the available sources, but coverage is incomplete. Missing: ", F.array_join("missing", ", "), "."), "lateral_movement", "coverage_gap", "inconclusive_finding")
+    absent = "No evidence of outbound lateral movement was observed in the available command history, No outbound SSH commands in shell history, no SSH connections in network state, and no scp/rsync file transfers were detected. Known-host entries, when present, are reported separately as historical context."
+    negative = row("No Outbound Lateral Movement Evidence Observed", "informational", "medium", zero, none, none, F.lit(absent), "lateral_movement", "negative_finding", "coverage_sufficient")
+    other = F.array_compact(F.array(F.when(c("hosts") > 0, context), F.when(F.size("missing") > 0, gaps).otherwise(negative)))
+    return df.select(F.explode(F.when(c("n") > 0, F.array(found)).otherwise(other)).alias("f")).select("f.*")
 
 
 def derive_findings(events: DataFrame, profiles: dict[str, dict] | None = None, sources: DataFrame | None = None, hits: DataFrame | None = None) -> DataFrame:
     """All findings as one table: ``title``, ``severity``, ``confidence``, ``event_ids``, ``summary``, ``tags``."""
-    text = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else F.coalesce(p.cast("string"), F.lit("unknown")) for p in parts))
     tags = lambda *names: F.array(*map(F.lit, names)).alias("tags")
     row = lambda title, severity, sure, ids, summary, own: [title.alias("title"), F.lit(severity).alias("severity") if isinstance(severity, str) else severity, F.lit(sure).alias("confidence") if isinstance(sure, str) else sure, ids.alias("event_ids"), summary.alias("summary"), own]
     c = F.col
-    none = F.array().cast("array<string>")
-    after = success_after_failures(events)
+    columns = ("title", "severity", "confidence", "event_ids", "summary", "tags")
+    # Texts of the findings.
+    more = F.when(c("users") > 10, text(" and ", c("users") - 10, " more")).otherwise("")
+    campaign = text(c("failures"), " failed SSH attempts from ", c("src_ip"), " targeting ", c("users"), " user(s) between ", F.coalesce(iso(c("first_seen")), F.lit("")), " and ", F.coalesce(iso(c("last_seen")), F.lit("")), ". Targeted users include: ", F.coalesce(F.array_join("first_users", ", "), F.lit("")), more)
     frames = [
-        after.select(*row(text("Successful SSH login after repeated failures"), "high", "medium", F.concat(F.array("event_id"), "failure_ids"), text(c("user"), " logged in from ", c("src_ip"), " after ", c("failures"), " failed attempts."), tags("ssh_bruteforce", "valid_account"))),
-        policy_findings(events).select("title", "severity", "confidence", "event_ids", "summary", "tags"),
-        bruteforce_campaigns(events).select(*row(text("SSH Brute-Force Campaign from ", c("src_ip")), "high", "high", c("event_ids"), text(c("failures"), " failed SSH attempts from ", c("src_ip"), " on ", c("users"), " user(s)."), tags("bruteforce_campaign", "ssh"))),
-        lateral_movement_findings(events, sources).select(*row(c("title"), c("severity"), c("confidence"), none, text(c("indicators"), " indicator(s)."), tags("lateral_movement"))),
-        account_lifecycle(events).select(*row(text("Account changes: ", c("kind")), "medium", "medium", none, text(c("events"), " change(s) of ", c("users"), " account(s)."), tags("account_lifecycle", "account_diff"))),
+        success_after_failures(events).select(*row(text("Successful SSH login after repeated failures"), "high", "medium", F.concat(F.array("event_id"), "failure_ids"), text(c("user"), " logged in from ", c("src_ip"), " after ", c("failures"), " failed attempts within 30 minutes."), tags("ssh_bruteforce", "valid_account"))),
+        policy_findings(events).select(*columns),
+        bruteforce_campaigns(events).select(*row(text("SSH Brute-Force Campaign from ", c("src_ip")), "high", "high", c("event_ids"), campaign, tags("bruteforce_campaign", "ssh"))),
+        lateral_movement_findings(events, sources).select(*columns),
+        account_finding(events).select(*columns),
     ]
     if profiles:
         frames.append(actor_similarity(events, profiles).select(*row(c("title"), c("severity"), c("confidence"), c("event_ids"), text("Activity overlaps with this profile in ", c("events"), " events. This is not attribution."), c("tags"))))

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from emberlog.functions.text import SEVERITIES, has_token, severity_rank
-from emberlog.operators.timeline import assign_event_ids, dedupe_events, first_ids, union_sources
+from emberlog.operators.behaviour import iso
+from emberlog.operators.timeline import assign_event_ids, dedupe_events, first_ids, first_n, union_sources
 
 # Tools looked for across hosts, and those of high severity.
 SHARED_TOOLS = ("rclone", "anydesk", "teamviewer", "rustdesk", "screenconnect", "logmein", "chisel", "frp", "ngrok", "cloudflared", "xmrig", "kubectl", "docker", "aws", "gsutil", "azcopy")
@@ -19,54 +20,117 @@ def collection_of() -> Column:
     return F.coalesce(*(F.nullif(c, F.lit("")) for c in ("collection_id", "collection_host", "host")))
 
 
-def shared(events: DataFrame, kind: str, value: Column, high: Column | None = None, least: int = 2, ids: int = 20) -> DataFrame:
-    """Values seen in ``least`` collections or more: counts, collections and the first ids.
+def _text(*parts: Column | str) -> Column:
+    return F.concat(*(F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts))
 
-    Collections of a value are counted from partial groups of (value, collection); ids are cut before they meet.
+
+def summarise(events: DataFrame, kind: str, value: Column, high: Column | None = None, ids: int = 30) -> DataFrame:
+    """A row for each value of a kind and collection: counts, times and the first ids, which add up.
+
+    Rows of a collection depend on that collection alone, so summaries may be kept as a table, and a
+    new collection is summarised without the others. Groups are partial first, ids are cut before they meet.
     """
     used = events.withColumn("value", value).where("value <> ''").withColumn("collection", collection_of())
-    each = used.groupBy("value", "collection").agg(F.count("*").alias("n"), F.max(F.coalesce(high, F.lit(False)) if high is not None else F.lit(False)).alias("high"))
-    found = each.groupBy("value").agg(F.count("*").alias("collections"), F.sum("n").alias("events"), F.bool_or("high").alias("high"), F.array_sort(F.collect_set("collection")).alias("names")).where(F.col("collections") >= least)
-    first = first_ids(used, ["value"], [F.col("timestamp").asc_nulls_last(), F.col("event_id")], ids)
-    return found.join(first, "value").select(F.lit(kind).alias("type"), F.when(F.col("high"), "high").otherwise("medium").alias("severity"), "value", "collections", "events", F.col("names").alias("collection_names"), "event_ids")
+    keys = ["value", "collection"]
+    each = used.groupBy(*keys).agg(
+        F.count("*").alias("n"), F.max(F.coalesce(high, F.lit(False)) if high is not None else F.lit(False)).alias("high"), F.count_if(F.col("event_action") == "ssh_login_failure").alias("failed"), F.count_if(F.col("event_action") == "ssh_login_success").alias("won"), F.min("timestamp").alias("first"), F.max("timestamp").alias("last")
+    )
+    order = F.struct(F.col("timestamp").isNull().alias("undated"), "timestamp", "event_id")
+    firsts = first_n(used, keys, [F.col("timestamp").asc_nulls_last(), F.col("event_id")], ids).groupBy(*keys).agg(F.array_sort(F.collect_list(order)).alias("ids"))
+    same = [each[k].eqNullSafe(firsts[k]) for k in keys]
+    return each.join(firsts, same[0] & same[1]).select(F.lit(kind).alias("type"), each["value"], each["collection"], "n", "high", "failed", "won", "first", "last", "ids")
+
+
+def correlations(summaries: DataFrame, least: int = 2, ids: int = 20, many: int = 30) -> DataFrame:
+    """Values that ``least`` collections or more have, from their summaries: title, summary, counts, collections and the first ids."""
+    keys = ["type", "value"]
+    found = summaries.groupBy(*keys).agg(F.count("*").alias("collections"), F.sum("n").alias("events"), F.bool_or("high").alias("high"), F.sum("failed").alias("failures"), F.sum("won").alias("successes"), F.min("first").alias("first_seen"), F.max("last").alias("last_seen"), F.array_sort(F.collect_set("collection")).alias("collection_names"))
+    found = found.where(F.col("collections") >= least)
+    each = summaries.select(*keys, F.explode("ids").alias("i")).select(*keys, F.col("i"), F.col("i.event_id").alias("event_id"))
+    firsts = first_ids(each, keys, [F.col("i")], many)
+    c, value, n = F.col, F.col("value"), F.col("collections")
+    # Texts of the correlations.
+    titles = {
+        "shared_source_ip": _text("Shared authentication source IP across ", n, " collections"),
+        "shared_user_activity": _text("Shared suspicious user activity: ", value),
+        "shared_tooling": _text("Shared tool observed: ", value),
+        "shared_suspicious_path": _text("Shared suspicious path: ", value),
+        "cross_host_high_signal_timeline": F.lit("Cross-collection high-signal activity timeline"),
+    }
+    summary_of = {
+        "shared_source_ip": _text(value, " appears in authentication activity across ", n, " collections with ", c("failures"), " failure(s) and ", c("successes"), " success(es). Treat as shared activity observed unless outbound host-to-host evidence exists."),
+        "shared_user_activity": _text("User ", value, " appears in suspicious authentication, sudo, or account activity across ", n, " collections."),
+        "shared_tooling": _text(value, " appears across ", n, " collections. Treat as shared tooling observed pending raw-line validation."),
+        "shared_suspicious_path": _text(value, " appears in suspicious path activity across ", n, " collections."),
+        "cross_host_high_signal_timeline": _text(c("events"), " high-signal event(s) span ", n, " collections between ", iso(c("first_seen")), " and ", iso(c("last_seen")), ". This is a possible campaign-level pattern, not lateral movement by itself."),
+    }
+    by_type = lambda texts: F.coalesce(*(F.when(c("type") == t, x) for t, x in texts.items()))
+    cut = F.when(c("type") == "cross_host_high_signal_timeline", c("event_ids")).otherwise(F.slice("event_ids", 1, ids))
+    return found.join(firsts, keys).select("type", F.when(c("high"), "high").otherwise("medium").alias("severity"), by_type(titles).alias("title"), by_type(summary_of).alias("summary"), "value", "collections", "events", "failures", "successes", "first_seen", "last_seen", "collection_names", cut.alias("event_ids"))
+
+
+def _source_ips(events: DataFrame) -> DataFrame:
+    used = events.where((F.col("event_category") == "authentication") | F.array_join("tags", ",").contains("bruteforce"))
+    return summarise(used, "shared_source_ip", F.col("src_ip"), F.col("event_action") == "ssh_login_success")
+
+
+def _users(events: DataFrame, actions: tuple[str, ...] = SHARED_ACTIONS) -> DataFrame:
+    return summarise(events.where(F.col("event_action").isin(*actions)), "shared_user_activity", F.col("user"))
+
+
+def _tools(events: DataFrame, tools: tuple[str, ...] = SHARED_TOOLS, high: tuple[str, ...] = HIGH_TOOLS) -> DataFrame:
+    text = F.lower(F.concat_ws(" ", "command", "file_path", "summary", "raw"))
+    found = F.array_compact(F.array(*(F.when(has_token(text, t), F.lit(t)) for t in tools)))
+    return summarise(events.withColumn("tool", F.explode(found)), "shared_tooling", F.col("tool"), F.col("tool").isin(*high))
+
+
+def _paths(events: DataFrame, sensitive: str = SENSITIVE_PATHS) -> DataFrame:
+    text = F.concat_ws(" ", "command", "summary", "raw")
+    path = F.coalesce(F.nullif("file_path", F.lit("")), F.nullif(F.regexp_extract(text, r"((?:/tmp|/var/tmp|/dev/shm|/run)/[^\s;|&]+)", 1), F.lit("")))
+    return summarise(events, "shared_suspicious_path", F.when(path.rlike(sensitive), path))
+
+
+def _high_signal(events: DataFrame) -> DataFrame:
+    used = events.where((severity_rank(F.col("severity")) >= 3) & F.col("timestamp").isNotNull())
+    return summarise(used, "cross_host_high_signal_timeline", F.lit("high_signal_timeline"))
+
+
+def case_summaries(events: DataFrame) -> DataFrame:
+    """What ``correlations`` needs of collections, all kinds in one table. Summaries of other collections are appended to it."""
+    return union_sources(*(f(events) for f in (_source_ips, _users, _tools, _paths, _high_signal)))
+
+
+_PLAIN = ("failures", "successes", "first_seen", "last_seen")
 
 
 def shared_source_ip(events: DataFrame) -> DataFrame:
     """Addresses of logins in several collections, with how many failed and succeeded; high if any succeeded."""
-    used = events.where((F.col("event_category") == "authentication") | F.array_join("tags", ",").contains("bruteforce"))
-    tries = used.groupBy(F.col("src_ip").alias("value")).agg(F.count_if(F.col("event_action") == "ssh_login_failure").alias("failures"), F.count_if(F.col("event_action") == "ssh_login_success").alias("successes"))
-    return shared(used, "shared_source_ip", F.col("src_ip"), F.col("event_action") == "ssh_login_success").join(tries, "value")
+    return correlations(_source_ips(events)).drop("first_seen", "last_seen")
 
 
 def shared_user(events: DataFrame, actions: tuple[str, ...] = SHARED_ACTIONS) -> DataFrame:
-    return shared(events.where(F.col("event_action").isin(*actions)), "shared_user_activity", F.col("user"))
+    return correlations(_users(events, actions)).drop(*_PLAIN)
 
 
 def shared_tool(events: DataFrame, tools: tuple[str, ...] = SHARED_TOOLS, high: tuple[str, ...] = HIGH_TOOLS) -> DataFrame:
     """Each tool once an event, as a token of its command, path, summary or text."""
-    text = F.lower(F.concat_ws(" ", "command", "file_path", "summary", "raw"))
-    found = F.array_compact(F.array(*(F.when(has_token(text, t), F.lit(t)) for t in tools)))
-    used = events.withColumn("tool", F.explode(found))
-    return shared(used, "shared_tooling", F.col("tool"), F.col("tool").isin(*high))
+    return correlations(_tools(events, tools, high)).drop(*_PLAIN)
 
 
 def shared_path(events: DataFrame, sensitive: str = SENSITIVE_PATHS) -> DataFrame:
     """Sensitive paths: the event's own, else the first one under a temporary folder in its text."""
-    text = F.concat_ws(" ", "command", "summary", "raw")
-    path = F.coalesce(F.nullif("file_path", F.lit("")), F.nullif(F.regexp_extract(text, r"((?:/tmp|/var/tmp|/dev/shm|/run)/[^\s;|&]+)", 1), F.lit("")))
-    return shared(events, "shared_suspicious_path", F.when(path.rlike(sensitive), path))
+    return correlations(_paths(events, sensitive)).drop(*_PLAIN)
 
 
 def cross_host_high_signal(events: DataFrame, ids: int = 30) -> DataFrame:
     """One row on dated events of high or critical severity, if two collections have them."""
-    used = events.where((severity_rank(F.col("severity")) >= 3) & F.col("timestamp").isNotNull()).withColumn("collection", collection_of())
-    totals = used.agg(F.count("*").alias("events"), F.count_distinct("collection").alias("collections"), F.min("timestamp").alias("first_seen"), F.max("timestamp").alias("last_seen")).where("collections >= 2")
-    top = used.orderBy("timestamp", "event_id").limit(ids).agg(F.transform(F.array_sort(F.collect_list(F.struct("timestamp", "event_id"))), lambda s: s["event_id"]).alias("event_ids"))
-    return totals.crossJoin(top)
+    return correlations(_high_signal(events), many=ids).drop("failures", "successes")
 
 
 def correlations_to_findings(correlations: DataFrame) -> DataFrame:
-    return correlations.select(F.concat_ws(" ", F.initcap(F.translate("type", "_", " ")), F.col("value")).alias("title"), "severity", F.lit("medium").alias("confidence"), "event_ids", F.array(F.lit("case_correlation"), F.col("type")).alias("tags"))
+    """Correlations as findings, with their own titles, summaries and collections; those without a title or summary get none of their own."""
+    own = lambda c, default: F.coalesce(c, F.lit(default)).alias(c)
+    return correlations.select(own("title", "Case Correlation"), own("severity", "medium"), F.lit("medium").alias("confidence"), "event_ids", own("summary", ""), F.array(F.lit("case_correlation"), F.col("type")).alias("tags"), F.col("collection_names").alias("collections"))
 
 
 def case_source_index(events: DataFrame, sources: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from emberlog.functions.patterns import finder
 from emberlog.functions.text import has_token, sorted_set
 from emberlog.operators.timeline import first_ids
 
@@ -27,9 +28,9 @@ def correlate_state_times(events: DataFrame, state_types: tuple[str, ...] = STAT
 
     An equi-join on normalised paths. Of dated events, only those of a wanted path are grouped, by
     path first, so a path that many events share sends one row: the best time and all ids, which
-    become the related ids.
+    become the related ids. Whole rows move for undated state alone; all other events pass by.
     """
-    state = F.col("timestamp").isNull() & F.col("source_type").isin(*state_types)
+    state = F.coalesce(F.col("timestamp").isNull() & F.col("source_type").isin(*state_types), F.lit(False))
     kind = F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, order)), F.col("timestamp_type")).cast("int"), F.lit(0)), F.lit(99))
     rooted = lambda c: F.when(~F.col(c).startswith("/"), F.concat(F.lit("/"), c))
     paths = F.array_distinct(F.array_compact(F.array(*(normalise_path(p) for c in ("file_path", "source_path") for p in (F.col(c), rooted(c))))))
@@ -39,8 +40,9 @@ def correlate_state_times(events: DataFrame, state_types: tuple[str, ...] = STAT
     best = F.min(F.struct("kind", "timestamp", F.col("event_id").alias("found_id"), "timestamp_type", "timestamp_raw", "timestamp_precision", "timezone"))
     by_path = dated.groupBy("collection_id", "path").agg(best.alias("b"), F.collect_set("event_id").alias("ids"), F.count("*").alias("n"))
     met = wanted.join(by_path, ["collection_id", "path"]).groupBy("event_id").agg(F.min("b").alias("b"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))).alias("found_ids"), F.sum("n").alias("found_n"), F.first("paths").alias("found_paths"))
-    joined = events.join(met.withColumnRenamed("event_id", "state_id"), events["event_id"] == F.col("state_id"), "left")
-    hit = F.col("b").isNotNull() & state
+    own = events.where(state)
+    joined = own.join(met.withColumnRenamed("event_id", "state_id"), own["event_id"] == F.col("state_id"), "left")
+    hit = F.col("b").isNotNull()
     note = F.to_json(F.struct(F.lit("bodyfile_or_audit_path_match").alias("method"), F.array_sort("found_paths").alias("matched_paths"), F.col("found_n").alias("source_event_count"), F.col("b.timestamp_type").alias("source_timestamp_type")))
     new = {
         "timestamp": F.col("b.timestamp"),
@@ -60,7 +62,7 @@ def correlate_state_times(events: DataFrame, state_types: tuple[str, ...] = STAT
         "related_event_ids": F.col("found_ids"),
         "extra": F.map_concat(F.coalesce("extra", F.create_map().cast("map<string,string>")), F.create_map(F.lit("correlation"), note)),
     }
-    return joined.select(*(F.when(hit, new[c]).otherwise(F.col(c)).alias(c) if c in new else F.col(c) for c in events.columns))
+    return joined.select(*(F.when(hit, new[c]).otherwise(F.col(c)).alias(c) if c in new else F.col(c) for c in events.columns)).unionByName(events.where(~state))
 
 
 def read_ioc_lines(lines: DataFrame) -> DataFrame:
@@ -78,34 +80,32 @@ def read_ioc_lines(lines: DataFrame) -> DataFrame:
 
 # Fields in which indicators are looked for.
 SEARCHED = ("user", "src_ip", "dst_ip", "process", "command", "file_path", "summary", "raw", "source_path")
-_WORD = "a-z0-9_.:-"
 
 
-def match_iocs(events: DataFrame, iocs: DataFrame, fields: tuple[str, ...] = SEARCHED, most: int = 100_000) -> DataFrame:
+def match_iocs(events: DataFrame, iocs: DataFrame, fields: tuple[str, ...] = SEARCHED, most: int = 50_000, most_bytes: int = 8 << 20) -> DataFrame:
     """Events with the indicators they hold.
 
     Addresses and literals stand alone in the text, in any case; domains, paths and hashes are
-    substrings. Addresses and literals that are one word (letters, digits and ``_.:-``), IPv6
-    included, meet the words of the text on equality. The others need a comparison with each
-    indicator: that list is counted and dealt by hash into parts of about ``most``, each of which is
-    broadcast to all events.
+    substrings. The list is counted and dealt by hash into shards of about ``most`` indicators and
+    ``most_bytes`` of text; each shard becomes an automaton that reads every text once, so the time
+    grows with the shards and not with the indicators of one. Only texts go to Python, and an event
+    is repeated only for the indicators that it holds.
     """
+    spark = events.sparkSession
     text = F.lower(F.concat_ws("\n", *(F.nullif(c, F.lit("")) for c in fields)))
-    base = events.withColumn("searched", text)
     trimmed = iocs.withColumn("needle", F.lower(F.trim("value"))).where("needle <> ''")
-    listed = trimmed.groupBy("value", "needle", "kind").agg(F.min("label").alias("label"))
     alone = F.col("kind").isin("ip", "literal") | ~F.col("kind").isin("domain", "path", "hash")
-    word = F.col("needle").rlike(f"^[{_WORD}]+$")
-    words = listed.where(alone & word)
-    found = F.array_distinct(F.regexp_extract_all("searched", F.lit(f"([{_WORD}]+)"), 1))
-    out = base.withColumn("needle", F.explode(found)).join(words, "needle").select(*events.columns, "value", "kind", "label")
-    rest = listed.where(~(alone & word))
-    parts = max(1, -(-rest.count() // most))
-    stands = alone & F.expr(f"regexp_like(searched, concat('(?<![{_WORD}])\\\\Q', needle, '\\\\E(?![{_WORD}])'))")
-    hit = (F.instr("searched", F.col("needle")) > 0) & (~alone | stands)
-    for k in range(parts):
-        part = rest.where(F.pmod(F.xxhash64("value", "kind"), F.lit(parts)) == k)
-        out = out.unionByName(base.join(F.broadcast(part), hit).select(*events.columns, "value", "kind", "label"))
+    listed = trimmed.groupBy("value", "needle", "kind").agg(F.min("label").alias("label")).withColumn("alone", F.coalesce(alone, F.lit(True)))
+    size = listed.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("needle")), F.lit(0)).alias("bytes")).first()
+    shards, out = max(1, -(-size["n"] // most), -(-size["bytes"] // most_bytes)), None
+    base = events.withColumn("searched", text)
+    for k in range(shards):
+        shard = listed.where(F.pmod(F.xxhash64("value", "kind"), F.lit(shards)) == k).orderBy("value", "kind").collect()
+        find = finder(spark, [r["needle"] for r in shard], [r["alone"] for r in shard])
+        table = spark.createDataFrame([(i, r["value"], r["kind"], r["label"]) for i, r in enumerate(shard)], "found int, value string, kind string, label string")
+        met = base.withColumn("hits", find(F.col("searched"))).select(*events.columns, F.explode("hits").alias("found"))
+        own = met.join(F.broadcast(table), "found").select(*events.columns, "value", "kind", "label")
+        out = own if out is None else out.unionByName(own)
     return out
 
 
@@ -114,12 +114,13 @@ def token_hits(text: Column, tokens: tuple[str, ...]) -> Column:
 
 
 def ioc_finding(hits: DataFrame) -> DataFrame:
-    """One finding if there are hits (``event_id``, ``value``): how many, the indicators, the first ten distinct ids."""
+    """One finding if there are hits (``event_id``, ``value``): how many, the first fifty indicators, the first ten distinct ids."""
     totals = hits.agg(F.count("*").alias("hits"), F.count_distinct("value").alias("iocs"), F.count_distinct("event_id").alias("events")).where("hits > 0")
     each = hits.where("event_id <> ''").groupBy("event_id").agg(F.lit(1).alias("one"))
     ids = first_ids(each, ["one"], [F.col("event_id")], 10).drop("one")
+    values = hits.groupBy("value").agg(F.lit(1).alias("one")).orderBy("value").limit(50).agg(F.array_sort(F.collect_list("value")).alias("ioc_values"))
     summary = F.concat(F.lit("Observed "), F.col("hits").cast("string"), F.lit(" event(s) matching "), F.col("iocs").cast("string"), F.lit(" supplied IoC(s)."))
-    return totals.join(ids, F.lit(True), "left").select(F.lit("Known IoC Match").alias("title"), F.lit("high").alias("severity"), F.lit("high").alias("confidence"), "hits", "iocs", "events", "event_ids", summary.alias("summary"), F.array(F.lit("known_ioc_match")).alias("tags"))
+    return totals.join(ids, F.lit(True), "left").crossJoin(values).select(F.lit("Known IoC Match").alias("title"), F.lit("high").alias("severity"), F.lit("high").alias("confidence"), "hits", "iocs", "events", "event_ids", "ioc_values", summary.alias("summary"), F.array(F.lit("known_ioc_match")).alias("tags"))
 
 
 def diff_snapshots(current: DataFrame, backup: DataFrame, key: str, fields: tuple[str, ...]) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from emberlog.functions.patterns import finder
 from emberlog.functions.text import digest, severity_rank, slug, sorted_set
 from emberlog.operators.correlate import resolve_source_member
 from emberlog.operators.timeline import first_ids, order_columns
@@ -120,10 +121,14 @@ EVIDENCE_CLASSES = {
 
 
 def evidence_readiness(sources: DataFrame, classes: dict[str, tuple[str, ...]] = EVIDENCE_CLASSES) -> DataFrame:
-    """Per class of evidence whether there is any; a class without sources is a gap, no negative."""
+    """Per class of evidence whether there is any, with how many classes of all there are; a class without sources is a gap, no negative.
+
+    Types are those of an inventory (``classify_sources``) or of events.
+    """
     present = sources.agg(F.collect_set("source_type").alias("types"))
     rows = F.array(*(F.struct(F.lit(c).alias("evidence_class"), F.arrays_overlap("types", F.array(*map(F.lit, t)).cast("array<string>")).alias("present")) for c, t in classes.items()))
-    return present.select(F.explode(rows).alias("r")).select("r.*")
+    score = F.concat(F.size(F.filter("rows", lambda r: r["present"])).cast("string"), F.lit("/"), F.size("rows").cast("string"))
+    return present.select(rows.alias("rows")).select(F.explode("rows").alias("r"), score.alias("score")).select("r.*", "score")
 
 
 def rank_findings(findings: DataFrame, events: DataFrame, terms: list[str], techniques: list[str]) -> DataFrame:
@@ -140,14 +145,19 @@ def rank_findings(findings: DataFrame, events: DataFrame, terms: list[str], tech
 
 
 def profile_coverage(sources: DataFrame, groups: dict[str, tuple[str, ...]]) -> DataFrame:
-    return evidence_readiness(sources, groups).withColumnsRenamed({"evidence_class": "source_group", "present": "available"})
+    return evidence_readiness(sources, groups).drop("score").withColumnsRenamed({"evidence_class": "source_group", "present": "available"})
 
 
 def checklist(events: DataFrame, questions: dict[str, tuple[str, ...]], n: int = 20) -> DataFrame:
-    """Per question, events whose text has any of its terms: how many, the first ids, the terms met."""
-    rows = F.array(*(F.struct(F.lit(q).alias("question"), F.array(*map(F.lit, t)).cast("array<string>").alias("terms")) for q, t in questions.items()))
-    each = events.select("event_id", "timestamp", search_text().alias("text"), F.explode(rows).alias("q")).select("event_id", "timestamp", "q.question", F.filter("q.terms", lambda t: F.col("text").contains(t)).alias("terms")).where("size(terms) > 0")
-    totals = each.groupBy("question").agg(F.count("*").alias("events"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("terms")))).alias("terms"))
+    """Per question, events whose text has any of its terms: how many, the first ids, the terms met. All terms are looked for in one pass of each text."""
+    terms = list(dict.fromkeys(t for own in questions.values() for t in own))
+    place = {t: k for k, t in enumerate(terms)}
+    find = finder(events.sparkSession, terms)
+    rows = F.array(*(F.struct(F.lit(q).alias("question"), F.array(*(F.lit(place[t]) for t in own)).cast("array<int>").alias("places")) for q, own in questions.items()))
+    met = events.select("event_id", "timestamp", find(search_text()).alias("hits")).where("size(hits) > 0")
+    each = met.select("event_id", "timestamp", "hits", F.explode(rows).alias("q")).select("event_id", "timestamp", "q.question", F.array_intersect("q.places", "hits").alias("places")).where("size(places) > 0")
+    named = F.transform("places", lambda k: F.element_at(F.array(*map(F.lit, terms)), k + 1))
+    totals = each.groupBy("question").agg(F.count("*").alias("events"), F.array_distinct(F.flatten(F.collect_set("places"))).alias("places")).select("question", "events", F.array_sort(named).alias("terms"))
     return totals.join(first_ids(each, ["question"], [F.col("timestamp").asc_nulls_last(), F.col("event_id")], n), "question")
 
 

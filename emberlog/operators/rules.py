@@ -43,7 +43,7 @@ COMMAND_STARTS = (
     "sort ", "awk ", "sed ", "cut ", "tr ", "diff ", "stat ", "file ", "type ", "which ", "whereis ", "locate ",
 )
 # Characters that count as special in a password, and text of hunts for indicators.
-_SPECIAL = "[" + "".join("\\" + c for c in "!@#$%^&*()_+-=[]{}|;':\",./<>?~`") + "]"
+_SPECIAL = r"""[!@#$%^&*()_+\-=\[\]{}|;':",./<>?~`]"""
 _HUNT = r"\b(grep|egrep|fgrep|rg)\b.*(curl\|wget|bash -i|python\.\*connect|exec\.\*socket|/dev/tcp|nc \|)"
 
 
@@ -127,10 +127,25 @@ def add_hits(events: DataFrame, hits: Column) -> DataFrame:
     return df.withColumns(new).select(*kept)
 
 
+#: Words of which a text has one if any built-in rule on text fits it, and parts of words.
+_NEEDED_WORDS = (
+    "chmod", "sudo", "su", "usermod", "useradd", "adduser", "groupmod", "gpasswd", "crontab", "cron.d", "systemctl", "history", "cat", "truncate", "rm", "tar", "zip", "7z", "rar", "gzip", "xz", "mysqldump", "pg_dump", "mongodump", "redis-cli", "shred", "wipe", "dd", "vim-cmd",
+    "esxcli", "ssh", "bash", "pty.spawn", "mkfifo", "scp", "rsync", "telnet", "nc", "passwd", *(tool for _, tools, *_ in TOOL_GROUPS for tool in tools),
+)
+_NEEDED_PARTS = ("curl", "wget", "base64", "/etc/cron", "/etc/systemd/system", ".service", "/dev/tcp/", "docker.sock", *SECRET_PATHS, "/tmp/", "/dev/shm/", "/run/")  # noqa: S108
+_NEEDED = r"(?<![a-z0-9_])(" + "|".join(sorted({w.replace(".", r"\.") for w in _NEEDED_WORDS})) + r")(?![a-z0-9_])|" + "|".join(p.replace(".", r"\.") for p in _NEEDED_PARTS)
+
+
+def may_hit() -> Column:
+    """Whether any built-in rule can fit: one search for the words that their patterns need, and the rule on passwords by its source."""
+    return F.col("text").rlike(_NEEDED) | F.col("ran").rlike(_NEEDED) | (F.col("source_type") == "shell_history") & ~F.coalesce("command", F.lit("")).contains(" ")
+
+
 def apply_builtin_rules(events: DataFrame) -> DataFrame:
-    """All built-in rules in one projection over the timeline; no shuffle, no join."""
-    texts = events.withColumns({"text": event_text(), "ran": executed_text(), "hunt": indicator_search()})
-    return add_hits(texts, builtin_hits()).select(*events.columns)
+    """All built-in rules in one projection over the timeline; no shuffle, no join. Most events of a timeline hold no word that a rule needs, and one search tells them."""
+    texts = events.withColumns({"text": event_text(), "ran": executed_text()}).withColumn("hunt", indicator_search())
+    hits, none = builtin_hits(), F.array().cast("array<struct<name:string,severity:string,tags:array<string>,mitre:array<string>>>")
+    return add_hits(texts, F.when(F.coalesce(may_hit(), F.lit(True)), hits).otherwise(none)).select(*events.columns)
 
 
 def tag_tools(events: DataFrame, tools: dict[str, dict]) -> DataFrame:

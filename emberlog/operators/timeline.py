@@ -93,8 +93,9 @@ def assign_event_ids(events: DataFrame, length: int = 20, most: int = 100_000) -
     """``evt_`` and a prefix of the identity's hash; ids that are set stay.
 
     A prefix that different identities share grows by four digits. Shared prefixes are found by the
-    least and the largest of what follows them, partial in each task; they are counted, and up to
-    ``most`` are broadcast, so that events are not dealt anew.
+    least and the largest of what follows them, partial in each task. There are hardly any: up to
+    ``most`` are fetched by one job and broadcast, so that events are not dealt anew; none cost
+    nothing, and more are joined.
     """
     extra = F.to_json(F.map_from_entries(F.array_sort(F.map_entries(F.map_filter("extra", lambda k, _: k != "previous_event_id")))))
     whole = digest(*(extra if c == "extra" else F.col(c) for c in IDENTITY))
@@ -102,8 +103,13 @@ def assign_event_ids(events: DataFrame, length: int = 20, most: int = 100_000) -
     rest = F.conv(F.substring("identity", length + 1, 15), 16, 10).cast("long")
     ends = hashed.where(F.coalesce("event_id", F.lit("")) == "").groupBy("prefix").agg(F.min(rest).alias("lo"), F.max(rest).alias("hi"))
     clash = ends.where("lo <> hi").select("prefix", F.lit(True).alias("clash"))
-    clash = F.broadcast(clash) if clash.limit(most + 1).count() <= most else clash
-    grown = hashed.join(clash, "prefix", "left")
+    few = clash.limit(most + 1).collect()
+    if not few:
+        grown = hashed.withColumn("clash", F.lit(False))
+    elif len(few) <= most:
+        grown = hashed.join(F.broadcast(events.sparkSession.createDataFrame(few, clash.schema)), "prefix", "left")
+    else:
+        grown = hashed.join(clash, "prefix", "left")
     fresh = F.concat(F.lit("evt_"), F.when(F.col("clash"), F.substring("identity", 1, length + 4)).otherwise(F.col("prefix")))
     return grown.withColumn("event_id", F.coalesce(F.nullif("event_id", F.lit("")), fresh)).select(*events.columns)
 

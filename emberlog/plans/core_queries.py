@@ -11,7 +11,7 @@ from emberlog.operators import behaviour as b
 from emberlog.operators import cases as c
 from emberlog.operators import timeline as t
 from emberlog.plans.bindings import INV, SRC, TL, at, csv, inventory, query, sources, table, timeline
-from emberlog.session import shared_folder
+from emberlog.session import shared_folder, written
 
 WEEK = 7 * 86400
 
@@ -106,7 +106,7 @@ def derived_provenance(spark, d):
     f"""WITH {TL}, s AS (SELECT * FROM tl WHERE event_type = 'signup'), f AS (SELECT * FROM tl WHERE event_type = 'error'),
     m AS (SELECT s.event_id, s.usr, s.src_ip, s.at_text, f.event_id AS fid, row_number() OVER (PARTITION BY s.event_id ORDER BY f.ts DESC, f.event_id DESC) AS k, count(*) OVER (PARTITION BY s.event_id) AS failures
       FROM s JOIN f ON s.usr = f.usr AND s.src_ip = f.src_ip AND f.ts <= s.ts AND f.ts >= s.ts - INTERVAL 7 DAY)
-    SELECT event_id, usr AS user_name, src_ip, at_text, failures, string_agg(fid, ',' ORDER BY fid) FILTER (k <= 5) AS failure_ids FROM m WHERE failures >= 5 GROUP BY ALL"""
+    SELECT event_id, usr AS user_name, src_ip, at_text, failures, string_agg(fid, ',' ORDER BY k DESC) FILTER (k <= 5) AS failure_ids FROM m WHERE failures >= 5 GROUP BY ALL"""
 )
 def success_after_failures(spark, d):
     return b.success_after_failures(timeline(spark, d), WEEK, 5).select("event_id", F.col("user").alias("user_name"), "src_ip", at("timestamp").alias("at_text"), "failures", csv("failure_ids").alias("failure_ids"))
@@ -138,10 +138,26 @@ def bruteforce_campaigns(spark, d):
     return b.bruteforce_campaigns(timeline(spark, d)).withColumns({"first_seen": at("first_seen"), "last_seen": at("last_seen"), "first_users": csv("first_users"), "event_ids": csv("event_ids")})
 
 
-@query(f"WITH {TL} SELECT CASE event_type WHEN 'signup' THEN 'created' ELSE 'password' END AS kind, count(DISTINCT usr) AS users, count(*)::BIGINT AS events FROM tl WHERE event_type IN ('signup', 'purchase') GROUP BY 1")
+@query(f"WITH {TL} SELECT CASE event_type WHEN 'signup' THEN 'created' ELSE 'password' END AS kind, count(DISTINCT usr) AS users, count(*)::BIGINT AS events, string_agg(DISTINCT usr, ',' ORDER BY usr) AS names FROM tl WHERE event_type IN ('signup', 'purchase') GROUP BY 1")
 def account_lifecycle(spark, d):
+    return b.account_lifecycle(_account_events(spark, d)).withColumn("names", csv("names"))
+
+
+def _account_events(spark, d):
     a = F.col("event_action")
-    return b.account_lifecycle(timeline(spark, d).withColumn("event_action", F.when(a == "ssh_login_success", "user_created").when(a == "sudo_command", "password_changed").otherwise(a)))
+    return timeline(spark, d).withColumn("event_action", F.when(a == "ssh_login_success", "user_created").when(a == "sudo_command", "password_changed").when(a == "http_request", "user_modified").otherwise(a))
+
+
+@query(
+    f"""WITH {TL}, a AS (SELECT event_id, row_number() OVER (ORDER BY ts, event_id) AS r FROM tl WHERE event_type IN ('signup', 'purchase', 'view')),
+    k AS (SELECT event_type, count(DISTINCT usr) AS u, count(*) AS n, string_agg(DISTINCT usr, ', ' ORDER BY usr) AS names FROM tl GROUP BY 1)
+    SELECT 'Account Lifecycle Changes Detected' AS title, 'high' AS severity, 'high' AS confidence, (SELECT string_agg(event_id, ',' ORDER BY r) FROM a WHERE r <= 15) AS event_ids, 'account_lifecycle,account_diff' AS tags,
+      'Account changes detected via backup file diffing and log analysis: ' || (SELECT u || ' unique account(s) observed as created (' || names || ') across ' || n || ' supporting event(s)' FROM k WHERE event_type = 'signup')
+      || '; ' || (SELECT u || ' unique account(s) with password changes or unlocks (' || names || ') across ' || n || ' supporting event(s)' FROM k WHERE event_type = 'purchase') || '.' AS summary"""
+)
+def account_finding(spark, d):
+    """Modified accounts open the gate and are listed, but make no part of the summary."""
+    return b.account_finding(_account_events(spark, d)).withColumns({"event_ids": csv("event_ids"), "tags": csv("tags")})
 
 
 _SIGNALS = "CASE WHEN command LIKE 'curl%' THEN 'download_execute_chain' WHEN command = 'crontab -e' THEN 'cron_modified' WHEN command LIKE 'chmod%' THEN 'chmod_executable' WHEN command LIKE 'xmrig%' THEN 'miner_execution' END"
@@ -151,7 +167,7 @@ _SIGNALS = "CASE WHEN command LIKE 'curl%' THEN 'download_execute_chain' WHEN co
     f"""WITH {TL}, s AS (SELECT *, {_SIGNALS} AS signal, row_number() OVER (ORDER BY ts, event_id) AS p FROM tl),
     w AS (SELECT event_id, at_text, event_type, list(signal) OVER (ORDER BY p ROWS BETWEEN CURRENT ROW AND 24 FOLLOWING) AS l, last_value(at_text) OVER (ORDER BY p ROWS BETWEEN CURRENT ROW AND 24 FOLLOWING) AS e,
       list(CASE WHEN severity IN ('medium', 'high') THEN event_id END) OVER (ORDER BY p ROWS BETWEEN CURRENT ROW AND 24 FOLLOWING) AS i FROM s)
-    SELECT event_id, at_text AS start_at, e AS end_at, array_to_string(list_sort(list_distinct(list_filter(l, lambda x: x IS NOT NULL))), ',') AS signals, array_to_string(list_slice(list_filter(i, lambda x: x IS NOT NULL), 1, 15), ',') AS event_ids FROM w
+    SELECT event_id, at_text AS start_at, e AS end_at, array_to_string(list_sort(list_distinct(list_filter(l, lambda x: x IS NOT NULL))), ',') AS signals, array_to_string(list_slice(list_filter(i, lambda x: x IS NOT NULL), 1, 15), ',') AS event_ids, 'A login or web request is followed by high-signal Linux attack behaviors.' AS summary FROM w
     WHERE event_type IN ('signup', 'view') AND (list_contains(l, 'download_execute_chain') OR list_contains(l, 'cron_modified') OR (list_contains(l, 'chmod_executable') AND list_contains(l, 'miner_execution')))"""
 )
 def initial_access_storylines(spark, d):
@@ -159,7 +175,7 @@ def initial_access_storylines(spark, d):
     signal = F.when(cmd.startswith("curl"), "download_execute_chain").when(cmd == "crontab -e", "cron_modified").when(cmd.startswith("chmod"), "chmod_executable").when(cmd.startswith("xmrig"), "miner_execution")
     tl = timeline(spark, d).withColumn("detection_names", F.array_compact(F.array(signal)))
     found = b.initial_access_storylines(tl)
-    return found.select("event_id", at("start").alias("start_at"), at("end").alias("end_at"), csv("signals").alias("signals"), csv("event_ids").alias("event_ids"))
+    return found.select("event_id", at("start").alias("start_at"), at("end").alias("end_at"), csv("signals").alias("signals"), csv("event_ids").alias("event_ids"), "summary")
 
 
 @query(
@@ -168,12 +184,12 @@ def initial_access_storylines(spark, d):
     m AS (SELECT f.event_id, e.event_id AS fid, row_number() OVER (PARTITION BY f.event_id ORDER BY e.ts DESC, e.event_id DESC) AS k FROM f JOIN u e ON e.event_type = 'error' AND e.src_ip = f.src_ip AND e.ts <= f.ts),
     three AS (SELECT event_id, string_agg(fid, ',' ORDER BY fid) AS failure_ids, string_agg(fid, ',' ORDER BY k DESC) AS before_ids FROM m WHERE k <= 3 GROUP BY 1),
     n AS (SELECT f.event_id, t.event_id AS nid, t.at_text AS n_at, row_number() OVER (PARTITION BY f.event_id ORDER BY t.ts, t.event_id) AS k FROM f JOIN tl t ON t.event_type IN ('purchase', 'click') AND t.ts >= f.ts),
-    ten AS (SELECT event_id, string_agg(nid, ',' ORDER BY k) AS next_ids, max(n_at) AS z FROM n WHERE k <= 10 GROUP BY 1)
-    SELECT src_ip, f.event_id, usr AS user_name, began AS start_at, greatest(at_text, coalesce(z, at_text)) AS end_at, b AS failures_before, a AS all_failures, failure_ids, coalesce(next_ids, '') AS next_ids, before_ids || ',' || f.event_id || coalesce(',' || next_ids, '') AS event_ids
+    ten AS (SELECT event_id, string_agg(nid, ',' ORDER BY k) AS next_ids, max(n_at) AS z, count(*) AS c FROM n WHERE k <= 10 GROUP BY 1)
+    SELECT src_ip, f.event_id, usr AS user_name, began AS start_at, greatest(at_text, coalesce(z, at_text)) AS end_at, b AS failures_before, a AS all_failures, failure_ids, coalesce(next_ids, '') AS next_ids, before_ids || ',' || f.event_id || coalesce(',' || next_ids, '') AS event_ids, b || ' failed attempts from ' || src_ip || ' preceded a successful ' || usr || ' login. ' || coalesce(c, 0) || ' post-access events followed.' AS summary
     FROM f JOIN three ON f.event_id = three.event_id LEFT JOIN ten ON f.event_id = ten.event_id"""
 )
 def bruteforce_storylines(spark, d):
-    return b.bruteforce_storylines(timeline(spark, d)).select("src_ip", "event_id", F.col("user").alias("user_name"), at("start").alias("start_at"), at("end").alias("end_at"), "failures_before", "all_failures", *(csv(x).alias(x) for x in ("failure_ids", "next_ids", "event_ids")))
+    return b.bruteforce_storylines(timeline(spark, d)).select("src_ip", "event_id", F.col("user").alias("user_name"), at("start").alias("start_at"), at("end").alias("end_at"), "failures_before", "all_failures", *(csv(x).alias(x) for x in ("failure_ids", "next_ids", "event_ids")), "summary")
 
 
 @query(
@@ -187,10 +203,10 @@ def following_events(spark, d):
     return b.following_events(tl, anchors, ("sudo_command",), 10).select("event_id", csv("next_ids").alias("next_ids"))
 
 
-@query(f"WITH {TL}, u AS (SELECT *, row_number() OVER (ORDER BY ts, event_id) AS r FROM tl WHERE event_type = 'signup') SELECT count(*) AS events, min(at_text) AS start_at, max(at_text) AS end_at, count(DISTINCT usr) AS users, string_agg(event_id, ',' ORDER BY r) FILTER (r <= 15) AS event_ids FROM u")
+@query(f"WITH {TL}, u AS (SELECT *, row_number() OVER (ORDER BY ts, event_id) AS r FROM tl WHERE event_type = 'signup') SELECT 'Credential modification activity' AS title, 'medium' AS confidence, count(*) AS events, min(at_text) AS start_at, max(at_text) AS end_at, count(DISTINCT usr) AS users, string_agg(event_id, ',' ORDER BY r) FILTER (r <= 15) AS event_ids, count(*) || ' credential change(s) detected for user(s): ' || string_agg(DISTINCT usr, ', ' ORDER BY usr) || '. Review whether these changes were authorized.' AS summary FROM u HAVING count(*) > 0")
 def credential_storyline(spark, d):
     found = b.credential_storyline(timeline(spark, d), ("ssh_login_success",))
-    return found.select("events", at("start").alias("start_at"), at("end").alias("end_at"), "users", csv("event_ids").alias("event_ids"))
+    return found.select("title", "confidence", "events", at("start").alias("start_at"), at("end").alias("end_at"), "users", csv("event_ids").alias("event_ids"), "summary")
 
 
 @query(f"WITH {TL}, k AS (SELECT usr, event_id, row_number() OVER (PARTITION BY usr ORDER BY ts DESC, event_id) AS place FROM tl) SELECT usr AS user_name, event_id, place::INT AS place FROM k WHERE place <= 3")
@@ -203,44 +219,67 @@ def lag_gap(spark, d):
     return b.lag_gap(timeline(spark, d)).select("event_id", F.col("user").alias("user_name"), "gap_seconds")
 
 
-def _shared(kind: str, value: str, where: str, high: str) -> str:
-    return f"""WITH {TL}, u AS (SELECT *, {value} AS value, {high} AS high FROM tl WHERE {where}), k AS (SELECT *, row_number() OVER (PARTITION BY value ORDER BY ts, event_id) AS r FROM u WHERE value IS NOT NULL)
-    SELECT '{kind}' AS type, CASE WHEN bool_or(high) THEN 'high' ELSE 'medium' END AS severity, value, count(DISTINCT collection_id) AS collections, count(*)::BIGINT AS events, string_agg(DISTINCT collection_id, ',' ORDER BY collection_id) AS collection_names, string_agg(event_id, ',' ORDER BY r) FILTER (r <= 20) AS event_ids FROM k GROUP BY value HAVING count(DISTINCT collection_id) >= 2"""
+def _shared(kind: str, value: str, where: str, high: str, title: str, summary: str) -> str:
+    return f"""WITH {TL}, u AS (SELECT *, {value} AS value, {high} AS high FROM tl WHERE {where}), k AS (SELECT *, row_number() OVER (PARTITION BY value ORDER BY ts, event_id) AS r FROM u WHERE value IS NOT NULL),
+    g AS (SELECT CASE WHEN bool_or(high) THEN 'high' ELSE 'medium' END AS severity, value, count(DISTINCT collection_id) AS collections, count(*)::BIGINT AS events, count(*) FILTER (event_type = 'error') AS failures, count(*) FILTER (event_type = 'signup') AS successes, string_agg(DISTINCT collection_id, ',' ORDER BY collection_id) AS collection_names, string_agg(event_id, ',' ORDER BY r) FILTER (r <= 20) AS event_ids FROM k GROUP BY value)
+    SELECT '{kind}' AS type, {title} AS title, {summary} AS summary, {'*' if kind == 'shared_source_ip' else '* EXCLUDE (failures, successes)'} FROM g WHERE collections >= 2"""
+
+
+_ADDRESS = _shared(
+    "shared_source_ip", "host", "event_category = 'authentication'", "event_type = 'signup'", "'Shared authentication source IP across ' || collections || ' collections'",
+    "value || ' appears in authentication activity across ' || collections || ' collections with ' || failures || ' failure(s) and ' || successes || ' success(es). Treat as shared activity observed unless outbound host-to-host evidence exists.'",
+)
 
 
 def _texts(df):
     return df.withColumns({"collection_names": csv("collection_names"), "event_ids": csv("event_ids")})
 
 
-@query(_shared("shared_source_ip", "host", "event_category = 'authentication'", "event_type = 'signup'").replace("count(*)::BIGINT AS events,", "count(*)::BIGINT AS events, count(*) FILTER (event_type = 'error') AS failures, count(*) FILTER (event_type = 'signup') AS successes,"))
+@query(_ADDRESS)
 def shared_source_ip(spark, d):
     """Hosts stand for the addresses, which collections share."""
     return _texts(c.shared_source_ip(timeline(spark, d).withColumn("src_ip", F.col("host"))))
 
 
-@query(_shared("shared_user_activity", "host", "event_type IN ('signup', 'purchase')", "false"))
+@query(_shared("shared_user_activity", "host", "event_type IN ('signup', 'purchase')", "false", "'Shared suspicious user activity: ' || value", "'User ' || value || ' appears in suspicious authentication, sudo, or account activity across ' || collections || ' collections.'"))
 def shared_user(spark, d):
     return _texts(c.shared_user(timeline(spark, d).withColumn("user", F.col("host"))))
 
 
-@query(_shared("shared_tooling", "CASE WHEN command LIKE 'xmrig%' THEN 'xmrig' WHEN command LIKE 'rclone%' THEN 'rclone' END", "true", "true"))
+@query(_shared("shared_tooling", "CASE WHEN command LIKE 'xmrig%' THEN 'xmrig' WHEN command LIKE 'rclone%' THEN 'rclone' END", "true", "true", "'Shared tool observed: ' || value", "value || ' appears across ' || collections || ' collections. Treat as shared tooling observed pending raw-line validation.'"))
 def shared_tool(spark, d):
     return _texts(c.shared_tool(timeline(spark, d)))
 
 
-@query(_shared("shared_suspicious_path", "CASE WHEN command LIKE 'chmod%' THEN '/tmp/run' WHEN command LIKE 'tar%' THEN '/tmp/b.tgz' END", "true", "false"))
+@query(_shared("shared_suspicious_path", "CASE WHEN command LIKE 'chmod%' THEN '/tmp/run' WHEN command LIKE 'tar%' THEN '/tmp/b.tgz' END", "true", "false", "'Shared suspicious path: ' || value", "value || ' appears in suspicious path activity across ' || collections || ' collections.'"))
 def shared_path(spark, d):
     return _texts(c.shared_path(timeline(spark, d)))
 
 
-@query(f"WITH {TL}, u AS (SELECT *, row_number() OVER (ORDER BY ts, event_id) AS r FROM tl WHERE severity = 'high') SELECT count(*) AS events, count(DISTINCT collection_id) AS collections, min(at_text) AS first_seen, max(at_text) AS last_seen, string_agg(event_id, ',' ORDER BY r) FILTER (r <= 30) AS event_ids FROM u")
+_HIGH = f"""WITH {TL}, u AS (SELECT *, row_number() OVER (ORDER BY ts, event_id) AS r FROM tl WHERE severity = 'high'),
+    g AS (SELECT count(*) AS events, count(DISTINCT collection_id) AS collections, min(at_text) AS first_seen, max(at_text) AS last_seen, string_agg(DISTINCT collection_id, ',' ORDER BY collection_id) AS collection_names, string_agg(event_id, ',' ORDER BY r) FILTER (r <= 30) AS event_ids FROM u)
+    SELECT 'cross_host_high_signal_timeline' AS type, 'medium' AS severity, 'Cross-collection high-signal activity timeline' AS title, 'high_signal_timeline' AS value, *,
+      events || ' high-signal event(s) span ' || collections || ' collections between ' || replace(first_seen, ' ', 'T') || 'Z and ' || replace(last_seen, ' ', 'T') || 'Z. This is a possible campaign-level pattern, not lateral movement by itself.' AS summary FROM g"""
+
+
+@query(_HIGH)
 def cross_host_high_signal(spark, d):
-    return c.cross_host_high_signal(timeline(spark, d)).withColumns({"first_seen": at("first_seen"), "last_seen": at("last_seen"), "event_ids": csv("event_ids")})
+    return _texts(c.cross_host_high_signal(timeline(spark, d)).withColumns({"first_seen": at("first_seen"), "last_seen": at("last_seen")}))
+
 
+@query(f"SELECT type, title, summary, severity, value, collections, events, collection_names, event_ids FROM ({_ADDRESS}) UNION ALL SELECT type, title, summary, severity, value, collections, events, collection_names, event_ids FROM ({_HIGH})")
+def incremental_correlations(spark, d):
+    """Two collections summarised and written, then a third: the correlations are those of all three."""
+    tl = timeline(spark, d).withColumn("src_ip", F.col("host"))
+    before = written(c.case_summaries(tl.where("collection_id <> 'c1'")), "summaries")
+    after = before.unionByName(written(c.case_summaries(tl.where("collection_id = 'c1'")), "summaries"))
+    found = c.correlations(after).where("type in ('shared_source_ip', 'cross_host_high_signal_timeline')")
+    return _texts(found.select("type", "title", "summary", "severity", "value", "collections", "events", "collection_names", "event_ids"))
 
-@query(f"WITH {TL} SELECT 'Shared Source Ip ' || host AS title, CASE WHEN bool_or(event_type = 'signup') THEN 'high' ELSE 'medium' END AS severity, 'medium' AS confidence, 'case_correlation,shared_source_ip' AS tags FROM tl WHERE event_category = 'authentication' GROUP BY host HAVING count(DISTINCT collection_id) >= 2")
+
+@query(f"SELECT title, severity, 'medium' AS confidence, summary, event_ids, collection_names AS collections, 'case_correlation,shared_source_ip' AS tags FROM ({_ADDRESS})")
 def correlations_to_findings(spark, d):
-    return c.correlations_to_findings(c.shared_source_ip(timeline(spark, d).withColumn("src_ip", F.col("host")))).select("title", "severity", "confidence", csv("tags").alias("tags"))
+    return c.correlations_to_findings(c.shared_source_ip(timeline(spark, d).withColumn("src_ip", F.col("host")))).withColumns({"event_ids": csv("event_ids"), "collections": csv("collections"), "tags": csv("tags")})
 
 
 @query(f"WITH {TL}, {SRC}, a AS (SELECT collection_id, count(*) AS events, count(ts) AS timed, count(*) FILTER (severity = 'high') AS high_events FROM tl GROUP BY 1), b AS (SELECT collection_id, count(*) AS sources, count(*) FILTER (parser_status = 'error') AS errors FROM src GROUP BY 1) SELECT * FROM a FULL JOIN b USING (collection_id)")
@@ -360,10 +399,10 @@ def actor_similarity(spark, d):
 @query(
     f"""WITH {TL}, a AS (SELECT usr, count(*) AS n FROM tl WHERE event_type = 'view' GROUP BY 1)
     SELECT title, severity, confidence, summary FROM (
-      SELECT 'SSH Brute-Force Campaign from ' || src_ip AS title, 'high' AS severity, 'high' AS confidence, count(*) || ' failed SSH attempts from ' || src_ip || ' on ' || count(DISTINCT usr) || ' user(s).' AS summary FROM tl WHERE event_type = 'error' GROUP BY src_ip HAVING count(*) >= 20
+      SELECT 'SSH Brute-Force Campaign from ' || src_ip AS title, 'high' AS severity, 'high' AS confidence, count(*) || ' failed SSH attempts from ' || src_ip || ' targeting ' || count(DISTINCT usr) || ' user(s) between ' || replace(min(at_text), ' ', 'T') || 'Z and ' || replace(max(at_text), ' ', 'T') || 'Z. Targeted users include: ' || array_to_string(list_slice(list_sort(list(DISTINCT usr)), 1, 10), ', ') || CASE WHEN count(DISTINCT usr) > 10 THEN ' and ' || (count(DISTINCT usr) - 10) || ' more' ELSE '' END AS summary FROM tl WHERE event_type = 'error' GROUP BY src_ip HAVING count(*) >= 20
       UNION ALL SELECT 'Suid File Observed', 'medium', 'low', 'Observed ' || count(*) || ' state or inferred event(s) matching suid_file_observed; this shows no execution or action of an attacker without corroboration.' FROM tl WHERE event_type = 'view'
-      UNION ALL SELECT 'Lateral Movement Assessment Has Coverage Gaps', 'informational', 'low', '0 indicator(s).'
-      UNION ALL SELECT 'Successful SSH login after repeated failures', 'high', 'medium', s.usr || ' logged in from ' || s.src_ip || ' after ' || count(*) || ' failed attempts.' FROM tl s JOIN tl f ON s.event_type = 'signup' AND f.event_type = 'error' AND s.usr = f.usr AND s.src_ip = f.src_ip AND f.ts <= s.ts AND f.ts >= s.ts - INTERVAL 30 MINUTE GROUP BY s.event_id, s.usr, s.src_ip HAVING count(*) >= 5)"""
+      UNION ALL SELECT 'Lateral Movement Assessment Has Coverage Gaps', 'informational', 'low', 'No outbound lateral-movement evidence was observed in the available sources, but coverage is incomplete. Missing: SSH host history, network state.'
+      UNION ALL SELECT 'Successful SSH login after repeated failures', 'high', 'medium', s.usr || ' logged in from ' || s.src_ip || ' after ' || count(*) || ' failed attempts within 30 minutes.' FROM tl s JOIN tl f ON s.event_type = 'signup' AND f.event_type = 'error' AND s.usr = f.usr AND s.src_ip = f.src_ip AND f.ts <= s.ts AND f.ts >= s.ts - INTERVAL 30 MINUTE GROUP BY s.event_id, s.usr, s.src_ip HAVING count(*) >= 5)"""
 )
 def derive_findings(spark, d):
     a = F.col("event_action")
@@ -371,15 +410,40 @@ def derive_findings(spark, d):
     return b.derive_findings(tl).select("title", "severity", "confidence", "summary")
 
 
-@query(f"WITH {TL} SELECT 'Outbound Lateral Movement Evidence' AS title, 'high' AS severity, 'medium' AS confidence, count(*)::BIGINT AS indicators, '' AS missing FROM tl WHERE event_type = 'error'")
+_OUT = "'Outbound Lateral Movement Evidence' AS title, 'high' AS severity, 'medium' AS confidence"
+
+
+@query(
+    f"""WITH {TL}, k AS (SELECT CASE event_type WHEN 'error' THEN 0 WHEN 'signup' THEN 1 ELSE 2 END AS kind, * FROM tl WHERE event_type IN ('error', 'signup') OR event_type = 'view' AND n % 3 = 0),
+    o AS (SELECT event_id, row_number() OVER (ORDER BY kind, ts, event_id) AS r FROM k), d AS (SELECT DISTINCT src_ip FROM k WHERE kind < 2 ORDER BY 1 LIMIT 10)
+    SELECT {_OUT}, count(*)::BIGINT AS indicators, '' AS missing, (SELECT string_agg(event_id, ',' ORDER BY r) FROM o WHERE r <= 15) AS event_ids, 'lateral_movement,outbound' AS tags,
+      'Found ' || count(*) || ' action indicator(s) of outbound lateral movement: ' || count(*) FILTER (kind = 0) || ' SSH commands, ' || count(*) FILTER (kind = 1) || ' file transfers, and ' || count(*) FILTER (kind = 2) || ' active SSH connections. Destinations: ' || (SELECT string_agg(src_ip, ', ' ORDER BY src_ip) FROM d) AS summary FROM k"""
+)
 def lateral_movement(spark, d):
-    tl = timeline(spark, d).withColumn("detection_names", F.array_compact(F.array(F.when(F.col("event_action") == "ssh_login_failure", F.lit("outbound_ssh_command")))))
-    return b.lateral_movement_findings(tl)
+    """Failures, logins and a third of the requests stand for the three kinds; requests have no destination."""
+    a = F.col("event_action")
+    third = F.substring("event_id", 2, 20).cast("long") % 3 == 0
+    name = F.when(a == "ssh_login_failure", "outbound_ssh_command").when(a == "ssh_login_success", "outbound_file_transfer_command").when((a == "http_request") & third, "outbound_ssh_connection")
+    tl = timeline(spark, d).withColumns({"detection_names": F.array_compact(F.array(name)), "dst_ip": F.when(a != "http_request", F.col("src_ip"))})
+    return _listed(b.lateral_movement_findings(tl))
 
 
-@query(f"WITH {TL}, g AS (SELECT * FROM (VALUES ('command history', ['shell_history']), ('network state', ['ss_output', 'netstat_output', 'network_state']), ('SSH host history', ['known_hosts'])) v(name, kinds)), m AS (SELECT name FROM g WHERE NOT EXISTS (SELECT 1 FROM tl WHERE list_contains(g.kinds, tl.source_type) AND tl.event_type IN ('click', 'view'))) SELECT CASE WHEN count(*) > 0 THEN 'Lateral Movement Assessment Has Coverage Gaps' ELSE 'No Outbound Lateral Movement Evidence Observed' END AS title, 'informational' AS severity, 'low' AS confidence, (SELECT count(*) FROM tl WHERE command LIKE 'no such%') AS indicators, string_agg(name, ',' ORDER BY name) AS missing FROM m")
+def _listed(findings):
+    return findings.withColumns({"event_ids": csv("event_ids"), "tags": csv("tags")})
+
+
+@query(
+    f"""WITH {TL}, g AS (SELECT * FROM (VALUES ('command history', ['shell_history']), ('network state', ['ss_output', 'netstat_output', 'network_state']), ('SSH host history', ['known_hosts'])) v(name, kinds)), m AS (SELECT name FROM g WHERE NOT EXISTS (SELECT 1 FROM tl WHERE list_contains(g.kinds, tl.source_type) AND tl.event_type IN ('click', 'view'))),
+    h AS (SELECT event_id, row_number() OVER (ORDER BY ts, event_id) AS r FROM tl WHERE event_type = 'view')
+    SELECT 'Lateral Movement Assessment Has Coverage Gaps' AS title, 'informational' AS severity, 'low' AS confidence, 0::BIGINT AS indicators, string_agg(name, ',' ORDER BY name) AS missing, '' AS event_ids, 'lateral_movement,coverage_gap,inconclusive_finding' AS tags,
+      'No outbound lateral-movement evidence was observed in the available sources, but coverage is incomplete. Missing: ' || string_agg(name, ', ' ORDER BY name) || '.' AS summary FROM m HAVING count(*) > 0
+    UNION ALL SELECT 'Known SSH Destination Observed', 'low', 'low', count(*)::BIGINT, '', string_agg(event_id, ',' ORDER BY r) FILTER (r <= 15), 'ssh,known_hosts,contextual_evidence,not_lateral_movement_by_itself',
+      'Observed ' || count(*) || ' SSH known-host entries. This is historical destination context and does not establish an outbound connection or lateral movement.' FROM h HAVING count(*) > 0"""
+)
 def lateral_movement_gaps(spark, d):
-    return b.lateral_movement_findings(timeline(spark, d).where("event_action in ('shell_command', 'http_request')"))
+    tl = timeline(spark, d).where("event_action in ('shell_command', 'http_request')")
+    a = F.col("event_action")
+    return _listed(b.lateral_movement_findings(tl.withColumn("event_action", F.when(a == "http_request", "known_host_observed").otherwise(a))))
 
 
 @query(f"WITH {TL}, k AS (SELECT raw, row_number() OVER (ORDER BY raw) AS r FROM tl WHERE severity IN ('medium', 'high')) SELECT count(*) FILTER (event_type = 'view') AS listeners, count(*) FILTER (event_type = 'click') AS inbound, count(*) FILTER (event_type = 'error') AS outbound, count(*) FILTER (n % 9 = 0) AS untimed, count(*) FILTER (severity IN ('medium', 'high')) AS suspicious, (SELECT string_agg(raw, ',' ORDER BY raw) FROM k WHERE r <= 10) AS first_suspicious FROM tl")

@@ -157,10 +157,10 @@ def read_iocs(spark, d):
     return k.read_ioc_lines(lines).select("value", "kind")
 
 
-@query(f"WITH {TL}, e AS (SELECT *, row_number() OVER (ORDER BY event_id) AS r FROM tl WHERE event_type = 'error') SELECT 'Known IoC Match' AS title, count(*) AS hits, count(DISTINCT src_ip) AS iocs, count(DISTINCT event_id) AS events, string_agg(event_id, ',' ORDER BY r) FILTER (r <= 10) AS event_ids, 'Observed ' || count(*) || ' event(s) matching ' || count(DISTINCT src_ip) || ' supplied IoC(s).' AS summary FROM e")
+@query(f"WITH {TL}, e AS (SELECT *, row_number() OVER (ORDER BY event_id) AS r FROM tl WHERE event_type = 'error') SELECT 'Known IoC Match' AS title, count(*) AS hits, count(DISTINCT src_ip) AS iocs, count(DISTINCT event_id) AS events, string_agg(event_id, ',' ORDER BY r) FILTER (r <= 10) AS event_ids, 'Observed ' || count(*) || ' event(s) matching ' || count(DISTINCT src_ip) || ' supplied IoC(s).' AS summary, (SELECT string_agg(src_ip, ',' ORDER BY src_ip) FROM (SELECT DISTINCT src_ip FROM e ORDER BY 1 LIMIT 50)) AS ioc_values FROM e")
 def ioc_finding(spark, d):
     tl = timeline(spark, d).where("event_action = 'ssh_login_failure'")
-    return k.ioc_finding(tl.select("event_id", F.col("src_ip").alias("value"))).select("title", "hits", "iocs", "events", csv("event_ids").alias("event_ids"), "summary")
+    return k.ioc_finding(tl.select("event_id", F.col("src_ip").alias("value"))).select("title", "hits", "iocs", "events", csv("event_ids").alias("event_ids"), "summary", csv("ioc_values").alias("ioc_values"))
 
 
 def _accounts(spark, d):
@@ -276,15 +276,36 @@ def cap_rows_in_all(spark, d):
     return readers.cap_rows(c, "nation", [F.col("c_custkey")], 7, 40)
 
 
-@query("SELECT 'logs/etc/cron.d/c' || c_custkey AS relative, 'cron_file' AS source_type FROM customer WHERE c_custkey % 3 = 0 UNION ALL SELECT 'x/var/log/auth.log.' || c_custkey, 'auth_log' FROM customer WHERE c_custkey % 3 = 1 UNION ALL SELECT 'bodyfile' || c_custkey || '.txt', unnest(['bodyfile', 'bodyfile_privilege']) FROM customer WHERE c_custkey % 3 = 2")
-def classify_sources(spark, d):
+#: Paths of files and the types that they have, for each customer in turn.
+_PATHS = (
+    ("logs/etc/cron.d/c{}", ("cron_file",)), ("x/var/log/auth.log.{}", ("auth_log",)), ("bodyfile{}.txt", ("bodyfile", "bodyfile_privilege")), ("var/log/kern.log.{}", ("syslog",)), ("live/ss_-tanp{}.txt", ("ss_output",)), ("live/netstat_-anp{}.txt", ("netstat_output",)),
+    ("live/ps_auxwww{}.txt", ("ps_output",)), ("h{}/etc/profile", ("profile",)), ("h{}/etc/rc.local", ("rc_local",)), ("h{}/var/log/wtmp", ("login_binary",)), ("live/wtmp.txt{}", ()), ("h{}/wtmp.txt", ("login_history",)), ("var/log/zypper.log{}", ("package_log",)),
+    ("var/log/nginx-{}.log", ("web_log",)), ("h{}/system.journal~", ("journal_binary",)), ("journalctl{}.txt", ("journal_text",)), ("systemctl_{}.txt", ("systemd",)), ("h{}/uac.log", ("uac_log",)), ("h{}/home/u/.ssh/known_hosts", ("known_hosts",)),
+    ("h{}/home/u/deep/.ssh/known_hosts", ()), ("opt/insecure{}.txt", ()), ("opt/anacron{}", ()), ("var/log/anacron{}", ("cron",)), ("__MACOSX/etc{}/uac.log", ()), ("h{}/._auth.log", ()), ("h{}/AUTH.LOG", ()), ("h{}/.ash_history", ("shell_history",)),
+)
+
+
+def _listed(spark, d):
     key = F.col("c_custkey")
-    n = key.cast("string")
-    files = table(spark, d, "customer").select(F.when(key % 3 == 0, F.concat(F.lit("logs/etc/cron.d/c"), n)).when(key % 3 == 1, F.concat(F.lit("x/var/log/auth.log."), n)).otherwise(F.concat(F.lit("bodyfile"), n, F.lit(".txt"))).alias("relative"))
-    return readers.classify_sources(files)
+    path = F.element_at(F.array(*(F.lit(p) for p, _ in _PATHS)), (key % len(_PATHS) + 1).cast("int"))
+    return table(spark, d, "customer").select(F.replace(path, F.lit("{}"), key.cast("string")).alias("relative"))
+
+
+_LISTED = "l AS (SELECT replace(p.path, '{}', c_custkey::VARCHAR) AS relative, p.types FROM customer JOIN (VALUES " + ", ".join(f"({k}, '{p}', {list(t)}::VARCHAR[])" for k, (p, t) in enumerate(_PATHS)) + f") p(k, path, types) ON c_custkey % {len(_PATHS)} = p.k)"
+
+
+@query(f"WITH {_LISTED} SELECT DISTINCT relative, unnest(types) AS source_type FROM l")
+def classify_sources(spark, d):
+    return readers.classify_sources(_listed(spark, d))
+
+
+@query(f"WITH {_LISTED}, t AS (SELECT DISTINCT unnest(types) AS t FROM l) SELECT c.name AS evidence_class, EXISTS (SELECT 1 FROM t WHERE list_contains(c.kinds, t.t)) AS present FROM (VALUES " + ", ".join(f"('{n}', {list(k)})" for n, k in r.EVIDENCE_CLASSES.items()) + ") c(name, kinds)")
+def inventory_readiness(spark, d):
+    """From paths to classes of evidence: the types of one are those of the other."""
+    return r.evidence_readiness(readers.classify_sources(_listed(spark, d))).select("evidence_class", "present")
 
 
-@query("SELECT 'a/._' || c_custkey AS relative, 'resource_fork' AS reason FROM customer WHERE c_custkey % 3 = 0 UNION ALL SELECT '__MACOSX/' || c_custkey, 'archive_metadata' FROM customer WHERE c_custkey % 3 = 1")
+@query("SELECT 'a/._' || c_custkey AS relative, 'macos_appledouble_metadata' AS reason FROM customer WHERE c_custkey % 3 = 0 UNION ALL SELECT '__MACOSX/' || c_custkey, 'macos_metadata_directory' FROM customer WHERE c_custkey % 3 = 1")
 def excluded_files(spark, d):
     key = F.col("c_custkey")
     n = key.cast("string")
@@ -392,7 +413,7 @@ def executive_rollup(spark, d):
     return r.executive_rollup(s).withColumn("milestones", csv("milestones"))
 
 
-@query(f"WITH {SRC}, c AS (SELECT * FROM (VALUES ('Authentication', ['auth_log', 'login_history']), ('Audit', ['auditd']), ('Command history', ['shell_history']), ('Network state', ['ss_output', 'netstat_output']), ('Processes', ['ps_output']), ('Accounts', ['passwd', 'shadow', 'group']), ('Persistence', ['cron_file', 'systemd_unit', 'authorized_keys', 'pam_config']), ('Filesystem', ['bodyfile'])) v(evidence_class, kinds)) SELECT evidence_class, EXISTS (SELECT 1 FROM src WHERE list_contains(c.kinds, src.source_type)) AS present FROM c")
+@query(f"WITH {SRC}, c AS (SELECT * FROM (VALUES ('Authentication', ['auth_log', 'login_history']), ('Audit', ['auditd']), ('Command history', ['shell_history']), ('Network state', ['ss_output', 'netstat_output']), ('Processes', ['ps_output']), ('Accounts', ['passwd', 'shadow', 'group']), ('Persistence', ['cron_file', 'systemd_unit', 'authorized_keys', 'pam_config']), ('Filesystem', ['bodyfile'])) v(evidence_class, kinds)) SELECT evidence_class, EXISTS (SELECT 1 FROM src WHERE list_contains(c.kinds, src.source_type)) AS present, count(*) FILTER (EXISTS (SELECT 1 FROM src WHERE list_contains(c.kinds, src.source_type))) OVER () || '/' || count(*) OVER () AS score FROM c")
 def evidence_readiness(spark, d):
     return r.evidence_readiness(sources(spark, d))
 

@@ -11,7 +11,7 @@ from emberlog.operators import rules
 from emberlog.plans.bindings import INV, TL, at, csv, inventory, query, table, timeline
 from emberlog.plans.evidence_queries import _PHASES, _phase_tables, _techniques
 from emberlog.session import shared_folder
-from emberlog.sources import parsers, readers, sinks
+from emberlog.sources import files, parsers, readers, sinks
 
 
 def _folder(spark, name: str) -> str:
@@ -41,6 +41,13 @@ def read_compressed_lines(spark, d):
     return got.where("problem is null").select(_NATION("source_path").alias("nation"), "line_no", "raw")
 
 
+@query(_LINES)
+def read_split_lines(spark, d):
+    """Bzip2 files, read as splits of a few KB."""
+    got = files.compressed_lines(spark, _logs(spark, d, "bzip2") + "/*/*.bz2", size=2000)
+    return got.where("problem is null").select(_NATION("source_path").alias("nation"), "line_no", "raw")
+
+
 @query(f"WITH l AS ({_LINES}) SELECT nation, sum(strlen(raw) + 1)::BIGINT AS size, sha256(string_agg(raw || chr(10), '' ORDER BY line_no)) AS sha256, 'unsupported' AS coverage_status, 'no parser' AS coverage_reason FROM l GROUP BY 1")
 def file_inventory(spark, d):
     got = readers.file_inventory(spark, _logs(spark, d).removeprefix("file://"))
@@ -132,3 +139,11 @@ def hashed_manifest(spark, d):
 @query(f"WITH {TL} SELECT event_id, {_PHASES} FROM tl")
 def fill_attack_phases(spark, d):
     return rules.fill_attack_phases(_techniques(spark, d), *_phase_tables(spark)).select("event_id", csv("attack_phases").alias("phases"), csv("attack_phase_candidates").alias("candidates"))
+
+
+@query(f"WITH {TL} SELECT 'totals' AS section, 'events' AS name, count(*)::VARCHAR AS value FROM tl UNION ALL SELECT 'totals', 'timed', count(ts)::VARCHAR FROM tl UNION ALL SELECT 'setting', 'mode', 'full' UNION ALL SELECT 'sources', 'parsed', count(*)::VARCHAR FROM customer")
+def written_manifest(spark, d):
+    """The totals of a manifest come from the write of the timeline."""
+    tl = timeline(spark, d)
+    totals = sinks.write_timeline(tl, _folder(spark, "out"), csv=False)
+    return sinks.run_manifest(tl, table(spark, d, "customer").select(F.lit("parsed").alias("parser_status")), {"mode": "full"}, totals=totals)

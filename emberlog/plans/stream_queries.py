@@ -39,3 +39,15 @@ def stream_audit_groups(spark, d):
     tl = _stream(spark, d).select("timestamp", F.col("host").alias("node"), F.floor(n / 5).cast("string").alias("audit_id"), kind.alias("type"), F.col("raw").alias("body"))
     groups = timelines.run_available(timelines.stream_audit_groups(tl))
     return groups.select(F.col("node").alias("host"), "audit_id", F.array_join("types", ",").alias("types"), F.size("bodies").cast("long").alias("records"))
+
+
+@query(
+    f"""WITH {TL}, s AS (SELECT * FROM tl WHERE event_type = 'signup'), f AS (SELECT * FROM tl WHERE event_type = 'error'), w AS (SELECT least((SELECT max(ts) FROM s), (SELECT max(ts) FROM f)) - INTERVAL 10 MINUTE - INTERVAL 7 DAY AS mark),
+    m AS (SELECT s.event_id, s.usr, s.src_ip, s.at_text, s.ts, f.event_id AS fid, row_number() OVER (PARTITION BY s.event_id ORDER BY f.ts DESC, f.event_id DESC) AS k, count(*) OVER (PARTITION BY s.event_id) AS failures
+      FROM s JOIN f ON s.usr = f.usr AND s.src_ip = f.src_ip AND f.ts <= s.ts AND f.ts >= s.ts - INTERVAL 7 DAY)
+    SELECT event_id, usr AS user_name, src_ip, at_text, failures, string_agg(fid, ',' ORDER BY k DESC) FILTER (k <= 5) AS failure_ids FROM m, w WHERE failures >= 5 AND ts < mark GROUP BY ALL"""
+)
+def stream_success_after_failures(spark, d):
+    """The batch operator's rows that the watermark has passed."""
+    found = timelines.run_available(timelines.stream_success_after_failures(_stream(spark, d), 7 * 86_400))
+    return found.select("event_id", F.col("user").alias("user_name"), "src_ip", at("timestamp").alias("at_text"), "failures", F.array_join("failure_ids", ",").alias("failure_ids"))

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 #: UTC for all timestamps; the last of repeated map keys wins, as in audit records.
 SETTINGS = {"spark.sql.session.timeZone": "UTC", "spark.sql.adaptive.enabled": "true", "spark.sql.mapKeyDedupPolicy": "LAST_WIN"}
@@ -17,11 +18,29 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as ``spark.checkpoint.dir`` names it; a temporary one only where it is unset."""
+    """The folder that driver and executors share, as ``spark.checkpoint.dir`` names it.
+
+    Where it is unset, a temporary folder serves a session on this machine alone; on a cluster, whose
+    executors would not see each other's files there, it is an error.
+    """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if path:
         return path
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
+        if not is_local(context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="emberlog-"))
     return context.getCheckpointDir()
+
+
+def is_local(master: str) -> bool:
+    """Whether driver and executors are one process."""
+    return master == "local" or master.startswith("local[")
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a table in the shared folder, read again: it is made once, and an executor that is lost costs no more than its reads."""
+    path = f"{shared_folder(df.sparkSession)}/emberlog-{uuid.uuid4().hex}/{name}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

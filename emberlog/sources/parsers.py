@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 from emberlog.functions import times
 from emberlog.operators.timeline import to_timeline
 
+# The form of a syslog line.
 _PREFIX = r"^\w{3}\s+\d+\s+\d\d:\d\d:\d\d\s+(\S+)\s+([\w./-]+)(?:\[(\d+)\])?:\s+(.*)$"
 
 
@@ -21,6 +22,20 @@ def _x(text: Column, pattern: str, group: int = 1) -> Column:
     return F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))
 
 
+_CUT = "\x01"
+
+
+def _once(df: DataFrame, **columns: Column) -> DataFrame:
+    """``df`` with columns made in a step of their own (a row of one made from an array of one), so that the optimizer does not copy them to every place that uses them."""
+    made = F.explode(F.array(F.struct(*(c.alias(n) for n, c in columns.items()))))
+    return df.select("*", made.alias("_made")).select(*(c for c in df.columns if c not in columns), "_made.*")
+
+
+def _groups(text: Column, pattern: str, n: int) -> Column:
+    """All ``n`` groups of a pattern's first match in one search, as an array of one text where it does not match."""
+    return F.split(F.regexp_replace(F.translate(text, _CUT, " "), f"(?s)^.*?(?:{pattern}).*$", _CUT.join(f"${k}" for k in range(1, n + 1))), _CUT)
+
+
 def _texts(*values: str | Column) -> Column:
     return F.array(*(F.lit(v) if isinstance(v, str) else v for v in values)).cast("array<string>")
 
@@ -75,50 +90,75 @@ def _with_year(lines: DataFrame, year: int) -> DataFrame:
     return lines if "year" in lines.columns else resolve_years(lines, year)
 
 
+# Forms of the messages of logins, sudo, su and accounts.
+_AUTH = {
+    "accepted": (r"Accepted \S+ for (\S+) from (\S+) port (\d+)", 3),
+    "failed": (r"Failed \S+ for (?:invalid user )?(\S+) from (\S+) port (\d+)", 3),
+    "sudo": (r"(\S+)\s*:\s*(?:TTY=([^;]+)\s*;\s*)?PWD=([^;]+)\s*;\s*USER=([^;]+)\s*;\s*COMMAND=(.*)", 5),
+    "su": (r"session opened for user (\S+)", 1),
+    "password": (r"password changed for (\S+)", 1),
+    "useradd": (r"new user: name=([^,\s]+)(?:,\s*UID=(\d+))?(?:,\s*GID=(\d+))?(?:,\s*home=([^,\s]+))?(?:,\s*shell=([^,\s]+))?", 5),
+    "groupadd": (r"new group: name=([^,\s]+)(?:,\s*GID=(\d+))?", 2),
+    "delete": (r"delete user '(\S+?)'", 1),
+    "modify": (r"change user '(\S+?)'", 1),
+    "lock": (r"user (\S+) account (locked|unlocked)", 2),
+    "invalid": (r"Invalid user (\S+) from (\S+) port (\d+)", 3),
+}
+
+
 def parse_auth(lines: DataFrame, year: int, tz: str = "UTC") -> DataFrame:
-    """Login, sudo, su and account messages; the first of eleven kinds that fits, other lines go."""
+    """Login, sudo, su and account messages; the first of eleven kinds that fits, other lines go.
+
+    A line is taken apart once, then its kind is told, then the groups of that kind alone are cut.
+    """
     df = _with_year(lines, year).withColumn("ts", times.parse_syslog(F.col("raw"), F.col("year"), tz)).where("ts is not null")
-    df = df.withColumns({"proc": _x(F.col("raw"), _PREFIX, 2), "pid_": _x(F.col("raw"), _PREFIX, 3), "msg": F.coalesce(_x(F.col("raw"), _PREFIX, 4), "raw"), "h": _x(F.col("raw"), _PREFIX, 1)})
+    head = _once(df, head=_groups(F.col("raw"), _PREFIX, 4))
+    part = lambda k: F.when(F.size("head") == 4, F.nullif(F.get("head", k), F.lit("")))
+    df = _once(head, h=part(0), proc=part(1), pid_=part(2), msg=F.coalesce(part(3), "raw")).drop("head")
     msg, proc = F.col("msg"), F.coalesce("proc", F.lit(""))
-    from_ = r" for (?:invalid user )?(\S+) from (\S+) port (\d+)"
-    none = F.lit(None).cast("string")
-
-    def kind(action, category, severity, tags, mitre, summary, user=none, ip=none, port=none, command=none, uid=none, gid=none, names=(), sure="high", extra=None):
-        text = lambda v: F.lit(v) if isinstance(v, str) else v
-        return F.struct(
-            text(action).alias("action"), F.lit(category).alias("category"), text(severity).alias("severity"), tags if isinstance(tags, Column) else _texts(*tags), mitre if isinstance(mitre, Column) else _texts(*mitre), text(summary).alias("summary"),
-            user.alias("user"), ip.alias("ip"), port.alias("port"), command.alias("command"), uid.alias("uid"), gid.alias("gid"), names if isinstance(names, Column) else _texts(*names), F.lit(sure).alias("sure"), (F.create_map().cast("map<string,string>") if extra is None else extra),
-        )
+    fits = lambda word, form: msg.contains(word) & msg.rlike(_AUTH[form][0])
+    tests = {
+        "accepted": fits("Accepted ", "accepted"), "failed": fits("Failed ", "failed"), "sudo": proc.contains("sudo") & msg.rlike(_AUTH["sudo"][0]), "su": proc.contains("su") & msg.contains("session opened"), "password": fits("password changed for", "password"),
+        "useradd": fits("new user:", "useradd"), "groupadd": fits("new group:", "groupadd"), "delete": fits("delete user", "delete"), "modify": fits("change user", "modify"), "lock": fits("account ", "lock"), "invalid": fits("Invalid user", "invalid"),
+    }
+    places = {form: k for k, form in enumerate(tests)}
+    df = _once(df, kind=F.coalesce(*(F.when(test, F.lit(places[form])) for form, test in tests.items()))).where("kind is not null")
+    is_ = lambda form: F.col("kind") == places[form]
+    df = _once(df, cut=F.coalesce(*(F.when(is_(form), _groups(msg, *_AUTH[form])) for form in tests)))
+    g = lambda k: F.when(F.size("cut") >= k, F.nullif(F.get("cut", k - 1), F.lit("")))
+    # a session without a user does not fit its form
+    g1 = F.when(~is_("su") | msg.contains("session opened for user "), g(1))
 
     def say(*parts: str | Column) -> Column:
         return F.concat(*(F.lit(p) if isinstance(p, str) else F.coalesce(p, F.lit("?")) for p in parts))
 
-    accepted, failed, invalid = r"Accepted \S+ for (\S+) from (\S+) port (\d+)", r"Failed \S+" + from_, r"Invalid user (\S+) from (\S+) port (\d+)"
-    sudo = r"(\S+)\s*:\s*(?:TTY=([^;]+)\s*;\s*)?PWD=([^;]+)\s*;\s*USER=([^;]+)\s*;\s*COMMAND=(.*)"
-    useradd = r"new user: name=([^,\s]+)(?:,\s*UID=(\d+))?(?:,\s*GID=(\d+))?(?:,\s*home=([^,\s]+))?(?:,\s*shell=([^,\s]+))?"
-    groupadd = r"new group: name=([^,\s]+)(?:,\s*GID=(\d+))?"
-    lock = r"user (\S+) account (locked|unlocked)"
-    su, pw, dele, mod = r"session opened for user (\S+)", r"password changed for (\S+)", r"delete user '(\S+?)'", r"change user '(\S+?)'"
-    g = lambda p, k=1: _x(msg, p, k)
-    state = g(lock, 2)
-    kinds = [
-        (msg.contains("Accepted ") & msg.rlike(accepted), kind("ssh_login_success", "authentication", "medium", ("ssh", "remote_access", "valid_account"), ("T1078", "T1021.004"), say("Successful SSH login for ", g(accepted), " from ", g(accepted, 2)), g(accepted), g(accepted, 2), g(accepted, 3))),
-        (msg.contains("Failed ") & msg.rlike(failed), kind("ssh_login_failure", "authentication", "low", ("ssh", "bruteforce", "authentication_failure"), ("T1110",), say("Failed SSH login for ", g(failed), " from ", g(failed, 2)), g(failed), g(failed, 2), g(failed, 3))),
-        (proc.contains("sudo") & msg.rlike(sudo), kind("sudo_command", "privilege", "medium", ("sudo", "privilege_escalation", "command"), ("T1548.003",), say(g(sudo), " ran sudo command: ", F.trim(g(sudo, 5))), g(sudo), command=F.trim(g(sudo, 5)), extra=F.create_map(F.lit("pwd"), F.trim(g(sudo, 3)), F.lit("runas"), F.trim(g(sudo, 4))))),
-        (proc.contains("su") & msg.contains("session opened"), kind("su_session_opened", "privilege", "low", ("su", "session"), ("T1078",), F.concat(F.lit("su session opened for "), F.coalesce(g(su), F.lit("unknown user"))), g(su), sure="medium")),
-        (msg.contains("password changed for") & msg.rlike(pw), kind("password_changed", "credential_change", F.when(g(pw) == "root", "high").otherwise("medium"), ("password_change", "credential"), ("T1098",), say("Password changed for ", g(pw)), g(pw), names=_some((F.lit(True), "auth_password_changed"), (g(pw) == "root", "root_password_changed")))),
-        (msg.contains("new user:") & msg.rlike(useradd), kind("user_created", "persistence", "high", ("account_management", "user_created"), ("T1136.001",), say("New user created: ", g(useradd), " uid=", g(useradd, 2)), g(useradd), uid=g(useradd, 2), gid=g(useradd, 3), names=("auth_user_created",), extra=F.create_map(F.lit("home"), g(useradd, 4), F.lit("shell"), g(useradd, 5)))),
-        (msg.contains("new group:") & msg.rlike(groupadd), kind("group_created", "persistence", "medium", ("account_management", "group_created"), ("T1136.001",), say("New group created: ", g(groupadd), " gid=", g(groupadd, 2)), gid=g(groupadd, 2), names=("auth_group_created",), extra=F.create_map(F.lit("group"), g(groupadd)))),
-        (msg.contains("delete user") & msg.rlike(dele), kind("user_deleted", "persistence", "high", ("account_management", "user_deleted"), ("T1531",), say("User deleted: ", g(dele)), g(dele), names=("auth_user_deleted",))),
-        (msg.contains("change user") & msg.rlike(mod), kind("user_modified", "persistence", "medium", ("account_management", "user_modified"), ("T1098",), say("User modified: ", g(mod)), g(mod), names=("auth_user_modified",))),
-        (msg.rlike(lock), kind(F.concat(F.lit("account_"), state), "credential_change", "medium", _texts("account_management", F.concat(F.lit("account_"), state)), F.when(state == "unlocked", _texts("T1098")).otherwise(_texts("T1531")), say("Account ", state, ": ", g(lock)), g(lock), names=_texts(F.concat(F.lit("auth_account_"), state)))),
-        (msg.contains("Invalid user") & msg.rlike(invalid), kind("ssh_invalid_user", "authentication", "low", ("ssh", "bruteforce", "invalid_user"), ("T1110",), say("Invalid user ", g(invalid), " from ", g(invalid, 2)), g(invalid), g(invalid, 2), g(invalid, 3), names=("ssh_invalid_user_attempt",))),
-    ]
-    names = "action string, category string, severity string, tags array<string>, mitre array<string>, summary string, user string, ip string, port string, command string, uid string, gid string, names array<string>, sure string, extra map<string,string>"
-    df = df.withColumn("k", F.coalesce(*(F.when(test, value.cast(f"struct<{names.replace(' ', ':').replace(',:', ',')}>")) for test, value in kinds))).where("k is not null")
-    k = lambda f: F.col(f"k.{f}")
+    def each(default, **values) -> Column:
+        """A field's value by kind."""
+        out = None
+        for form, value in values.items():
+            value = value if isinstance(value, Column) else _texts(*value) if isinstance(value, tuple) else F.lit(value)
+            out = F.when(is_(form), value) if out is None else out.when(is_(form), value)
+        return out if default is None else out.otherwise(default if isinstance(default, Column) else F.lit(default))
+
+    locked = F.concat(F.lit("account_"), g(2))
+    account = lambda name: ("account_management", name)
+    action = each(None, accepted="ssh_login_success", failed="ssh_login_failure", sudo="sudo_command", su="su_session_opened", password="password_changed", useradd="user_created", groupadd="group_created", delete="user_deleted", modify="user_modified", lock=locked, invalid="ssh_invalid_user")
+    tags = each(None, accepted=("ssh", "remote_access", "valid_account"), failed=("ssh", "bruteforce", "authentication_failure"), sudo=("sudo", "privilege_escalation", "command"), su=("su", "session"), password=("password_change", "credential"), useradd=account("user_created"), groupadd=account("group_created"), delete=account("user_deleted"), modify=account("user_modified"), lock=_texts("account_management", locked), invalid=("ssh", "bruteforce", "invalid_user"))
+    mitre = each(None, accepted=("T1078", "T1021.004"), failed=("T1110",), sudo=("T1548.003",), su=("T1078",), password=("T1098",), useradd=("T1136.001",), groupadd=("T1136.001",), delete=("T1531",), modify=("T1098",), lock=F.when(g(2) == "unlocked", _texts("T1098")).otherwise(_texts("T1531")), invalid=("T1110",))
+    names = each(_texts(), password=_some((F.lit(True), "auth_password_changed"), (g1 == "root", "root_password_changed")), useradd=("auth_user_created",), groupadd=("auth_group_created",), delete=("auth_user_deleted",), modify=("auth_user_modified",), lock=_texts(F.concat(F.lit("auth_account_"), g(2))), invalid=("ssh_invalid_user_attempt",))
+    summary = each(
+        None, accepted=say("Successful SSH login for ", g1, " from ", g(2)), failed=say("Failed SSH login for ", g1, " from ", g(2)), sudo=say(g1, " ran sudo command: ", F.trim(g(5))), su=F.concat(F.lit("su session opened for "), F.coalesce(g1, F.lit("unknown user"))), password=say("Password changed for ", g1), useradd=say("New user created: ", g1, " uid=", g(2)),
+        groupadd=say("New group created: ", g1, " gid=", g(2)), delete=say("User deleted: ", g1), modify=say("User modified: ", g1), lock=say("Account ", g(2), ": ", g1), invalid=say("Invalid user ", g1, " from ", g(2)),
+    )
+    none = F.lit(None).cast("string")
+    address = lambda k: each(none, accepted=g(k), failed=g(k), invalid=g(k))
+    pairs = lambda **v: F.create_map(*(x for n, c in v.items() for x in (F.lit(n), c)))
+    extra = each(F.create_map().cast("map<string,string>"), sudo=pairs(pwd=F.trim(g(3)), runas=F.trim(g(4))), useradd=pairs(home=g(4), shell=g(5)), groupadd=pairs(group=g1))
+    category = each(None, accepted="authentication", failed="authentication", sudo="privilege", su="privilege", password="credential_change", useradd="persistence", groupadd="persistence", delete="persistence", modify="persistence", lock="credential_change", invalid="authentication")
+    severity = each("medium", failed="low", su="low", password=F.when(g1 == "root", "high").otherwise("medium"), useradd="high", delete="high", invalid="low")
+    df = _once(df, names=names, extra_=F.map_filter(extra, lambda _, v: v.isNotNull()))
     return to_timeline(df, {"timestamp": F.col("ts"), "timestamp_raw": F.substring("raw", 1, 15), "timezone": F.lit(tz), "timezone_confidence": F.lit("assumed_local"), "timestamp_type": F.lit("log_time"), "host": _host(df, F.col("h")), "source_path": F.col("source_path"), "source_type": F.lit("auth_log"), "parser": F.lit("auth"), "process": F.col("proc"), "pid": F.col("pid_"), "raw": F.col("raw"),
-        "event_action": k("action"), "event_category": k("category"), "severity": k("severity"), "tags": k("tags"), "mitre": k("mitre"), "summary": k("summary"), "user": k("user"), "src_ip": k("ip"), "port": k("port"), "command": k("command"), "uid": k("uid"), "gid": k("gid"), "detection_names": k("names"), "ttp_flags": k("names"), "confidence": k("sure"), "extra": F.map_filter(k("extra"), lambda _, v: v.isNotNull())})
+        "event_action": action, "event_category": category, "severity": severity, "tags": tags, "mitre": mitre, "summary": summary, "user": F.when(~is_("groupadd"), g1), "src_ip": address(2), "port": address(3), "command": F.when(is_("sudo"), F.trim(g(5))), "uid": F.when(is_("useradd"), g(2)), "gid": each(none, useradd=g(3), groupadd=g(2)), "detection_names": F.col("names"), "ttp_flags": F.col("names"), "confidence": each("high", su="medium"), "extra": F.col("extra_")})
 
 
 def parse_syslog(lines: DataFrame, year: int, tz: str = "UTC") -> DataFrame:
@@ -137,13 +177,15 @@ def parse_journal(lines: DataFrame, year: int, tz: str = "UTC") -> DataFrame:
     tail = r"\s+(\S+)\s+([^\s:]+?)(?:\[(\d+)\])?:\s*(.*)$"
     iso, short = r"^(\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(?:\.\d+)?(?:Z|[+-]\d{2}:?\d{2}))" + tail, r"^([A-Z][a-z]{2}\s+\d{1,2}\s+\d{2}:\d{2}:\d{2})" + tail
     raw, full = F.col("raw"), F.col("raw").rlike(iso)
-    part = lambda k: F.when(full, F.regexp_extract(raw, iso, k)).otherwise(F.regexp_extract(raw, short, k))
-    df = lines.where(full | raw.rlike(short)).withColumns({"t": part(1), "h": part(2), "proc": part(3), "pid_": F.nullif(part(4), F.lit("")), "msg": part(5), "full": full})
+    df = _once(lines.where(full | raw.rlike(short)), full=full)
+    df = _once(df, head=F.when(F.col("full"), _groups(raw, iso, 5)).otherwise(_groups(raw, short, 5)))
+    df = _once(df, t=F.get("head", 0), h=F.get("head", 1), proc=F.get("head", 2), pid_=F.nullif(F.get("head", 3), F.lit("")), msg=F.get("head", 4)).drop("head")
     df = df.withColumn("ts", F.coalesce(times.parse_iso(F.col("t")), times.parse_syslog(F.col("t"), year, tz))).where("ts is not null")
     msg, low = F.col("msg"), F.lower("msg")
     ok, bad, sudo = r"Accepted \S+ for (\S+) from (\S+) port (\d+)", r"Failed \S+ for (?:invalid user )?(\S+) from (\S+) port (\d+)", r"USER=([^;]+)\s*;\s*COMMAND=(.*)"
     tests = ((msg.rlike(ok), "ssh_login_success"), (msg.rlike(bad), "ssh_login_failure"), (msg.rlike(sudo), "sudo_command"), (msg.rlike("Started |Starting "), "service_started"), (msg.rlike("Stopped |Stopping "), "service_stopped"), (msg.contains("CRON") | (F.col("proc") == "CRON"), "cron_execution"), (low.rlike("out of memory|oom-killer"), "out_of_memory"), (low.contains("segfault"), "process_crash"))
-    df = df.withColumn("a", F.coalesce(*(F.when(t, F.lit(n)) for t, n in tests), F.lit("journal_message")))
+    df = _once(df, a=F.coalesce(*(F.when(t, F.lit(n)) for t, n in tests), F.lit("journal_message")))
+    df = _once(df, cut=F.when(F.col("a") == "ssh_login_success", _groups(msg, ok, 3)).when(F.col("a") == "ssh_login_failure", _groups(msg, bad, 3)))
     # Category, severity, confidence, tags and techniques by action.
     table = {
         "ssh_login_success": ("authentication", "medium", "high", ("ssh", "login_success"), ("T1078",)), "ssh_login_failure": ("authentication", "low", "high", ("ssh", "login_failure"), ("T1110",)), "sudo_command": ("privilege", "medium", "high", ("sudo", "privilege"), ("T1548.003",)),
@@ -151,7 +193,7 @@ def parse_journal(lines: DataFrame, year: int, tz: str = "UTC") -> DataFrame:
         "out_of_memory": ("availability", "medium", "medium", ("resource_exhaustion",), ()), "process_crash": ("process", "medium", "medium", ("crash",), ()), "journal_message": ("system", "informational", "medium", (), ()),
     }
     col = lambda f: F.coalesce(*(F.when(F.col("a") == n, f(v)) for n, v in table.items()))
-    from_ = lambda k: F.when(F.col("a") == "ssh_login_success", _x(msg, ok, k)).when(F.col("a") == "ssh_login_failure", _x(msg, bad, k))
+    from_ = lambda k: F.nullif(F.get("cut", k - 1), F.lit(""))
     return to_timeline(df, {"timestamp": F.col("ts"), "timestamp_raw": F.col("t"), "timezone": F.lit(tz), "timezone_confidence": F.when(F.col("full"), "source_offset").otherwise("assumed_local"), "timestamp_type": F.lit("log_time"), "host": _host(df, F.col("h")), "source_path": F.col("source_path"), "source_type": F.lit("journal_text"), "parser": F.lit("journal"), "event_action": F.col("a"), "event_category": col(lambda v: F.lit(v[0])), "severity": col(lambda v: F.lit(v[1])), "confidence": col(lambda v: F.lit(v[2])), "tags": col(lambda v: _texts("journal", *v[3])), "mitre": col(lambda v: _texts(*v[4])), "process": F.col("proc"), "pid": F.col("pid_"), "user": from_(1), "src_ip": from_(2), "port": from_(3), "command": F.when(F.col("a") == "sudo_command", _x(msg, sudo, 2)), "summary": msg, "raw": F.col("raw"), "extra": F.create_map(F.lit("line"), F.col("line_no").cast("string"))})
 
 

@@ -2,17 +2,10 @@
 
 from __future__ import annotations
 
-import bz2
-import gzip
-import io
 import json
-import lzma
-import zlib
-from collections.abc import Iterator
+import re
 from functools import reduce
-from itertools import islice
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -22,6 +15,8 @@ from emberlog.operators.correlate import read_ioc_lines
 from emberlog.operators.rules import fill_attack_phases
 from emberlog.operators.timeline import first_n, to_timeline
 from emberlog.schemas import TIMELINE_SCHEMA
+from emberlog.session import written
+from emberlog.sources import files
 
 
 def read_log_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
@@ -38,59 +33,94 @@ def read_log_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 
 
 def read_compressed_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """Lines of gzip, bzip2 and xz files, told by their first bytes; others give one row with ``problem``. A compressed file cannot be split, so it is one task, which expands it a part at a time."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for path, content in zip(batch["path"], batch["content"], strict=True):
-                # First bytes of each format.
-                opener = {b"\x1f\x8b": gzip.open, b"BZ": bz2.open, b"\xfd7": lzma.open}.get(bytes(content[:2]))
-                problem, at = None if opener else "unsupported", 0
-                try:
-                    with opener(io.BytesIO(content), "rt", encoding="utf-8", errors="replace") if opener else io.StringIO() as f:
-                        while part := [line.rstrip("\r\n") for line in islice(f, 50_000)]:
-                            yield pd.DataFrame({"source_path": path, "line_no": range(at + 1, at + 1 + len(part)), "raw": part, "problem": None})
-                            at += len(part)
-                except (OSError, EOFError, lzma.LZMAError, ValueError, zlib.error):
-                    problem = "damaged"
-                if problem:
-                    yield pd.DataFrame({"source_path": [path], "line_no": [0], "raw": [None], "problem": [problem]})
-
-    return spark.read.format("binaryFile").load(paths).select("path", "content").mapInPandas(run, "source_path string, line_no long, raw string, problem string")
-
-
-# Source types by pattern of the path.
-SOURCE_PATTERNS = (
-    ("auth_log", r"(^|/)(auth\.log|secure)([.-][^/]*)?$"), ("syslog", r"(^|/)(syslog|messages)([.-][^/]*)?$"), ("journal_text", r"(^|/)journal[^/]*\.(log|txt)$"), ("cron", r"(^|/)cron(\.log)?([.-]\d+)?$"), ("shell_history", r"(^|/)\.[a-z]+_history$"), ("package_log", r"(^|/)(dpkg|apt|yum|dnf)[^/]*\.log([.-][^/]*)?$"),
-    ("web_log", r"(^|/)(access|other_vhosts_access)[._-]?log[^/]*$"), ("login_history", r"(^|/)(last|lastb|login_history)[^/]*\.txt$"), ("bodyfile", r"(^|/)bodyfile[^/]*$"), ("bodyfile_privilege", r"(^|/)bodyfile[^/]*$"), ("auditd", r"(^|/)audit\.log([.-]\d+)?$"), ("passwd", r"(^|/)etc/passwd$"), ("shadow", r"(^|/)etc/shadow$"), ("group", r"(^|/)etc/group$"),
-    ("sudoers", r"(^|/)etc/sudoers(\.d/[^/]+)?$"), ("capabilities", r"(^|/)getcap[^/]*\.txt$"), ("cron_file", r"(^|/)(etc/cron[^/]*(/[^/]+)?|var/spool/cron/.+)$"), ("systemd_unit", r"\.(service|timer)$"), ("shell_profile", r"(^|/)(etc/profile(\.d/[^/]+)?|\.bashrc|\.profile|etc/rc\.local)$"), ("ld_preload", r"(^|/)etc/ld\.so\.preload$"), ("pam_config", r"(^|/)etc/pam\.d/[^/]+$"),
-    ("authorized_keys", r"(^|/)authorized_keys2?$"), ("known_hosts", r"(^|/)known_hosts$"), ("sshd_config", r"(^|/)sshd_config$"), ("ss", r"(^|/)ss[_-][^/]*\.txt$"), ("netstat", r"(^|/)netstat[^/]*\.txt$"), ("ps_output", r"(^|/)ps[_-][^/]*\.txt$"), ("sqlite", r"\.(db|sqlite3?)$"),
-)
-
-
-def classify_sources(files: DataFrame) -> DataFrame:
-    """(``relative``, ``source_type``), as many rows for a file as patterns fit."""
-    found = F.array_compact(F.array(*(F.when(F.lower("relative").rlike(p), F.lit(t)) for t, p in SOURCE_PATTERNS)))
-    return files.select("relative", F.explode(found).alias("source_type")).dropDuplicates()
+    """Lines of gzip, bzip2 and xz files, told by their first bytes, in splits where their format has them; others give one row with ``problem``."""
+    return files.compressed_lines(spark, paths)
+
+
+# Source types and the globs of their paths, at any depth.
+SOURCE_GLOBS = {
+    "uac_log": ("uac.log", "*/uac.log"),
+    "bodyfile": ("bodyfile*", "*bodyfile*"),
+    "bodyfile_privilege": ("bodyfile*", "*bodyfile*"),
+    "auth_log": ("*auth.log*", "*secure*"),
+    "syslog": ("*syslog*", "*messages*", "*kern.log*"),
+    "auditd": ("*audit.log*", "audit.log*"),
+    "cron": ("*cron*",),
+    "cron_file": ("etc/crontab", "etc/cron.d/*", "var/spool/cron/*", "var/spool/cron/crontabs/*"),
+    "shell_history": (".bash_history", ".zsh_history", ".sh_history", ".*history"),
+    "package_log": ("*dpkg.log*", "*apt/history.log*", "*yum.log*", "*dnf.log*", "*zypper.log*"),
+    "systemd": ("*systemctl*",),
+    "journal_text": ("*journalctl*", "*journal*.txt", "*journal*.log", "*journal*.out"),
+    "journal_binary": ("*.journal", "*.journal~"),
+    "systemd_unit": ("etc/systemd/system/*.service", "etc/systemd/system/*.timer", "home/*/.config/systemd/user/*.service", "root/.config/systemd/user/*.service"),
+    "web_log": ("*access.log*", "*error.log*", "*nginx*", "*apache*", "*httpd*"),
+    "login_history": ("*last.txt", "*lastb.txt", "*login_history*", "*failed_logins*", "*wtmp.txt", "*btmp.txt"),
+    "login_binary": ("var/log/wtmp", "var/log/btmp", "var/log/lastlog"),
+    "passwd": ("etc/passwd",),
+    "shadow": ("etc/shadow",),
+    "group": ("etc/group",),
+    "sudoers": ("etc/sudoers", "etc/sudoers.d/*"),
+    "authorized_keys": ("home/*/.ssh/authorized_keys", "root/.ssh/authorized_keys"),
+    "known_hosts": ("home/*/.ssh/known_hosts", "root/.ssh/known_hosts"),
+    "sshd_config": ("etc/ssh/sshd_config", "etc/ssh/sshd_config.d/*"),
+    "profile": ("etc/profile", "etc/profile.d/*", "home/*/.bashrc", "home/*/.profile", "home/*/.bash_profile", "root/.bashrc", "root/.profile"),
+    "ld_preload": ("etc/ld.so.preload",),
+    "pam_config": ("etc/pam.d/*",),
+    "rc_local": ("etc/rc.local", "etc/init.d/*"),
+    "capabilities": ("*capabilities*", "*getcap*"),
+    "ss_output": ("*ss_-tanp*", "*ss_-tlnp*", "*ss_tanp*", "*ss_tlnp*"),
+    "netstat_output": ("*netstat_-anp*", "*netstat_anp*", "*netstat_-tlnp*"),
+    "ps_output": ("*ps_auxwww*", "*ps_-ef*", "*ps_aux*"),
+}
+# What the names of some types must be besides.
+_CONFIRMED = {
+    "auth_log": r"(^|/)(auth\.log|secure)[^/]*$",
+    "cron": r"(^|/)var/log/|(^|/)cron[^/]*$",
+    "journal_text": r"(?<!\.journal)(?<!\.journal~)$",
+}
+
+
+def glob_pattern(globs: tuple[str, ...]) -> str:
+    """A regular expression for paths whose last parts fit one of the globs; a star stays within a part."""
+    return r"(^|/)(" + "|".join("[^/]*".join(map(re.escape, g.split("*"))) for g in globs) + ")$"
+
+
+def classify_sources(listed: DataFrame, globs: dict[str, tuple[str, ...]] = SOURCE_GLOBS) -> DataFrame:
+    """(``relative``, ``source_type``), as many rows for a file as types fit; files that are left out have none.
+
+    Where ``head`` is given, the first bytes of the file, a database is told by them (``sqlite_log``).
+    """
+    path = F.col("relative")
+    tests = [(t, path.rlike(glob_pattern(g)) & (path.rlike(_CONFIRMED[t]) if t in _CONFIRMED else F.lit(True))) for t, g in globs.items()]
+    if "head" in listed.columns:
+        tests.append(("sqlite_log", F.col("head") == F.lit(files.SQLITE)))
+    found = F.array_compact(F.array(*(F.when(test, F.lit(t)) for t, test in tests)))
+    return listed.where(excluded(path).isNull()).select("relative", F.explode(found).alias("source_type")).dropDuplicates()
 
 
 def excluded(path: Column) -> Column:
     """Why a file is left out, or null."""
-    return F.when(path.rlike(r"(^|/)__MACOSX(/|$)"), "archive_metadata").when(path.rlike(r"(^|/)\.DS_Store$"), "folder_metadata").when(path.rlike(r"(^|/)\._[^/]*$"), "resource_fork")
+    # Parts of paths, and the reasons.
+    return F.when(path.rlike(r"(^|/)__MACOSX(/|$)"), "macos_metadata_directory").when(path.rlike(r"(^|/)\.DS_Store(/|$)"), "macos_finder_metadata").when(path.rlike(r"(^|/)\._"), "macos_appledouble_metadata")
 
 
-def excluded_files(files: DataFrame) -> DataFrame:
-    return files.select("relative", excluded(F.col("relative")).alias("reason")).where("reason is not null")
+def excluded_files(listed: DataFrame) -> DataFrame:
+    return listed.select("relative", excluded(F.col("relative")).alias("reason")).where("reason is not null")
 
 
 def file_inventory(spark: SparkSession, root: str) -> DataFrame:
-    """Every file under ``root`` with size, SHA-256 and source types."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    base = files.select(F.regexp_replace(F.col("path"), r"^.*?" + root.rstrip("/").replace(".", r"\.") + "/", "").alias("relative"), F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
-    base = base.where(excluded(F.col("relative")).isNull())
+    """Every file under ``root`` with size, SHA-256 and source types; files that cannot be read have no hash.
+
+    Spark lists the files; each is read once, as a stream, for its hash and its first bytes, so size
+    has no limit. The facts are written once, as types and rows both come from them.
+    """
+    facts = files.file_facts(files.list_files(spark, root, recursive=True))
+    place = F.instr("path", root.rstrip("/").removeprefix("file://") + "/") + len(root.rstrip("/").removeprefix("file://")) + 1
+    base = facts.select(F.expr("path").substr(place, F.length("path")).alias("relative"), F.col("length").alias("size"), "sha256", "head")
+    base = written(base.where(excluded(F.col("relative")).isNull()), "inventory")
     types = classify_sources(base).groupBy("relative").agg(F.array_sort(F.collect_set("source_type")).alias("source_types"))
     some = F.col("source_types").isNotNull()
-    return base.join(types, "relative", "left").withColumns({"coverage_status": F.when(some, "pending").otherwise("unsupported"), "coverage_reason": F.when(~some, "no parser")})
+    return base.drop("head").join(types, "relative", "left").withColumns({"coverage_status": F.when(some, "pending").otherwise("unsupported"), "coverage_reason": F.when(~some, "no parser")})
 
 
 # Names of columns with times and messages, the best first.
@@ -128,7 +158,7 @@ def table_inventory(rows: DataFrame, by: str = "table_name") -> DataFrame:
 def cap_rows(df: DataFrame, by: str, order: list[Column], per_table: int, total: int | None = None) -> DataFrame:
     """At most ``per_table`` rows of each value of ``by`` and ``total`` in all, with ``truncated`` where more were there. A cap is this operator's purpose."""
     counts = df.groupBy(by).agg(F.count("*").alias("_n"))
-    cut = first_n(df, [by], order, per_table).drop("place").join(F.broadcast(counts), by).withColumn("truncated", F.col("_n") > per_table).drop("_n")
+    cut = first_n(df, [by], order, per_table).drop("place").join(counts, by).withColumn("truncated", F.col("_n") > per_table).drop("_n")
     return cut if total is None else cut.orderBy(by, *order).limit(total)
 
 

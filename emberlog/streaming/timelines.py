@@ -8,7 +8,8 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
 
 from emberlog.operators.timeline import SAME
 from emberlog.session import shared_folder
@@ -28,36 +29,72 @@ def stream_failures(events: DataFrame, length: str = "30 minutes", slide: str =
 
 
 _GROUP = "node string, audit_id string, timestamp timestamp, types array<string>, bodies array<string>"
+_STORE = "spark.sql.streaming.stateStore.providerClass"
+_ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+class _AuditGroups(StatefulProcessor):
+    """Open groups: their records are a list that is only appended to; a timer closes a group that gets no end."""
+
+    def __init__(self, wait_ms: int, end: str) -> None:
+        self.wait_ms, self.end = wait_ms, end
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.records = handle.getListState("records", "timestamp timestamp, type string, body string")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        new = pd.concat([r[["timestamp", "type", "body"]] for r in rows]).sort_values(["timestamp", "body"], kind="stable")
+        if not self.records.exists():
+            # a group that is late already closes with the next batch
+            first = int(new["timestamp"].iloc[0].timestamp() * 1000)
+            self.handle.registerTimer(max(first + self.wait_ms, timerValues.getCurrentWatermarkInMs() + 1))
+        self.records.appendList([(r.timestamp.to_pydatetime(), r.type, r.body) for r in new.itertuples()])
+        if (new["type"] == self.end).any():
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            yield from self._closed(key)
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        yield from self._closed(key)
+
+    def _closed(self, key: tuple) -> Iterator[pd.DataFrame]:
+        own = list(self.records.get())
+        self.records.clear()
+        if own:
+            yield pd.DataFrame({"node": [key[0]], "audit_id": [key[1]], "timestamp": [min(r[0] for r in own)], "types": [sorted({r[1] for r in own})], "bodies": [[r[2] for r in own]]})
 
 
 def stream_audit_groups(records: DataFrame, late: str = "1 minute", end: str = "EOE") -> DataFrame:
     """Audit records (``timestamp``, ``node``, ``audit_id``, ``type``, ``body``) gathered per node and id, epoch included in the id.
 
     A group is emitted when its end marker comes, or when the watermark passes its first record by
-    ``late``; state holds open groups only.
+    ``late``. State holds open groups only, and a batch writes its own records to it, not the group
+    again. Records of an id whose group was emitted open another. This state needs RocksDB, which
+    the session is set to where it names no store.
     """
+    spark = records.sparkSession
+    if spark.conf.get(_STORE, None) in (None, "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider"):
+        spark.conf.set(_STORE, _ROCKS)
     wait_ms = int(pd.Timedelta(late).total_seconds() * 1000)
+    used = records.select("timestamp", "node", "audit_id", "type", "body").withWatermark("timestamp", late)
+    return used.groupBy("node", "audit_id").transformWithStateInPandas(_AuditGroups(wait_ms, end), _GROUP, "append", "EventTime")
+
 
-    def gather(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        first, types, bodies = state.get if state.exists else (None, [], [])
-        types, bodies = list(types), list(bodies)
-        closed = state.hasTimedOut
-        for frame in () if closed else frames:
-            for row in frame.sort_values(["timestamp", "body"], kind="stable").itertuples():
-                first = row.timestamp if first is None else min(pd.Timestamp(first), row.timestamp)
-                types.append(row.type)
-                bodies.append(row.body)
-                closed = closed or row.type == end
-        if closed:
-            if state.exists:
-                state.remove()
-            yield pd.DataFrame({"node": [key[0]], "audit_id": [key[1]], "timestamp": [first], "types": [sorted(set(types))], "bodies": [bodies]})
-        else:
-            state.update((pd.Timestamp(first).to_pydatetime(), types, bodies))
-            state.setTimeoutTimestamp(max(int(pd.Timestamp(first).timestamp() * 1000) + wait_ms, state.getCurrentWatermarkMs() + 1))
-
-    keyed = records.withWatermark("timestamp", late).groupBy("node", "audit_id")
-    return keyed.applyInPandasWithState(gather, _GROUP, "first timestamp, types array<string>, bodies array<string>", "append", GroupStateTimeout.EventTimeTimeout)
+def stream_success_after_failures(events: DataFrame, window_seconds: int = 1800, least: int = 5, failure: str = "ssh_login_failure", success: str = "ssh_login_success", last: int = 5, late: str = "10 minutes") -> DataFrame:
+    """Successes with ``least`` failures or more of the same user and address in the time before, on a stream: the rows of the batch operator, once the watermark has passed them.
+
+    A join of two streams within an interval, whose state the watermark bounds: successes wait for
+    failures that are late, failures for the length of the window. Null users and addresses are equal.
+    Spark holds the watermark behind the join back by the window, so a row comes that much later.
+    """
+    same = lambda c: F.coalesce(c, F.lit("\x00"))
+    won = events.where(F.col("event_action") == success).select("event_id", "user", "src_ip", "timestamp", same("user").alias("u"), same("src_ip").alias("s")).withWatermark("timestamp", late)
+    lost = events.where(F.col("event_action") == failure).select(F.col("event_id").alias("failure_id"), F.col("timestamp").alias("failed_at"), same("user").alias("fu"), same("src_ip").alias("fs")).withWatermark("failed_at", late)
+    near = (F.col("u") == F.col("fu")) & (F.col("s") == F.col("fs")) & (F.col("failed_at") <= F.col("timestamp")) & (F.col("failed_at") >= F.col("timestamp") - F.expr(f"interval {int(window_seconds)} seconds"))
+    met = won.join(lost, near).groupBy("timestamp", "event_id", "user", "src_ip").agg(F.count("*").alias("failures"), F.collect_list(F.struct("failed_at", "failure_id")).alias("found"))
+    ids = F.transform(F.slice(F.array_sort("found"), -last, last), lambda x: x["failure_id"])
+    return met.where(F.col("failures") >= least).select("event_id", "user", "src_ip", "timestamp", "failures", ids.alias("failure_ids"))
 
 
 def read_stream(spark: SparkSession, path: str) -> DataFrame:

@@ -185,3 +185,178 @@ def test_indicators_in_parts(spark):
     iocs = spark.createDataFrame([("evil.example", "domain", "a"), ("/tmp/x", "path", "b"), ("mallory", "literal", "c"), ("10.0.0.9", "ip", "d"), ("absent", "literal", "e")], "value string, kind string, label string")
     got = sorted((r["event_id"], r["value"]) for r in correlate.match_iocs(events, iocs, most=1).collect())
     assert got == [(1, "evil.example"), (2, "/tmp/x"), (2, "mallory"), (3, "10.0.0.9")]
+
+
+def test_automaton_is_flat_in_the_list(spark):
+    """Ten thousand indicators in one pass: no comparison per indicator in the plan, and the rows of brute force."""
+    import random
+
+    rng = random.Random(7)
+    letters = "ab./:x"
+    rows = [(k, "".join(rng.choice(letters) for _ in range(60))) for k in range(60)] + [(97, None), (98, "")]
+    listed = [("".join(rng.choice(letters) for _ in range(rng.randint(1, 5))), rng.choice(["ip", "literal", "domain", "path", "odd", None])) for _ in range(10_000)]
+    tl = events(spark, rows, "event_id long, raw string").select(*(F.col(c) for c in ("event_id", "raw")), *(F.lit(None).cast("string").alias(c) for c in correlate.SEARCHED if c != "raw"))
+    found = correlate.match_iocs(tl, spark.createDataFrame([(v, k, "l") for v, k in listed], "value string, kind string, label string"))
+    assert "NestedLoop" not in found._jdf.queryExecution().executedPlan().toString()
+    word = set("abcdefghijklmnopqrstuvwxyz0123456789_.:-")
+    stands = lambda t, v: any(t.startswith(v, i) and (i == 0 or t[i - 1] not in word) and (i + len(v) == len(t) or t[i + len(v)] not in word) for i in range(len(t)))
+    want = {(str(i), v, k or "") for i, t in rows if t for v, k in set(listed) if (v in t if k in ("domain", "path") else stands(t, v))}
+    assert {(r["event_id"], r["value"], r["kind"] or "") for r in found.collect()} == want
+
+
+def test_ranges_and_halo(spark):
+    from pyspark.sql import Window
+
+    from emberlog.operators import ranges
+
+    df = spark.range(57).select((F.col("id") * 37 % 57).alias("k"), (F.col("id") % 3).alias("w"))
+    for parts in (1, 4, 40):
+        own = ranges.ordered_ranges(df, ("k",), parts)
+        assert sorted((r["k"], r["position"]) for r in ranges.positions(own).collect()) == [(k, k + 1) for k in range(57)]
+        weights = {r["k"]: r["w"] for r in df.collect()}
+        assert all(r["sum"] == sum(weights[k] for k in range(r["k"] + 1)) for r in ranges.positions(own, "w", "sum").collect())
+        frames = ranges.with_halo(own, 9).select("k", "halo", F.collect_list("k").over(ranges.next_rows(10)).alias("l")).where("not halo").collect()
+        assert {r["k"]: r["l"] for r in frames} == {k: list(range(k, min(57, k + 10))) for k in range(57)}
+    assert Window and ranges.with_halo(ranges.ordered_ranges(df.limit(0), ("k",)), 3).count() == 0
+
+
+def test_compressed_files_in_splits(spark, tmp_path):
+    import bz2
+    import gzip
+    import lzma
+    import random
+    import struct
+    import zlib
+
+    from emberlog.sources import files
+
+    rng = random.Random(1)
+    lines = [f"{k} " + "".join(rng.choice("abcdefgh é") for _ in range(rng.randint(0, 90))) for k in range(20_000)]
+    data = "\n".join(lines).encode()
+
+    def sized(part):
+        machine = zlib.compressobj(6, zlib.DEFLATED, -15)
+        body = machine.compress(part) + machine.flush()
+        return b"\x1f\x8b\x08\x04\0\0\0\0\0\xff\x06\0BC\x02\0" + struct.pack("<H", len(body) + 25) + body + struct.pack("<II", zlib.crc32(part), len(part))
+
+    cut = lambda n: [data[a : a + n] for a in range(0, len(data), n)]
+    packed = {
+        "one.bz2": bz2.compress(data, 1), "many.bz2": b"".join(map(bz2.compress, cut(90_000))), "one.gz": gzip.compress(data), "many.gz": b"".join(map(gzip.compress, cut(300_000))), "sized.gz": b"".join(map(sized, [*cut(50_000), b""])),
+        "one.xz": lzma.compress(data), "many.xz": b"".join(map(lzma.compress, cut(100_000))),
+    }
+    for name, content in packed.items():
+        (tmp_path / name).write_bytes(content)
+    (tmp_path / "ends.bz2").write_bytes(bz2.compress(b"a\r\nb\rc\n\nd"))
+    (tmp_path / "none.bz2").write_bytes(bz2.compress(b""))
+    (tmp_path / "cut.gz").write_bytes(packed["one.gz"][:-5000])
+    (tmp_path / "cut.xz").write_bytes(packed["one.xz"][:-5000])
+    (tmp_path / "plain").write_bytes(b"plain")
+    size = 40_000
+    some = {n: len(files.splits(open(tmp_path / n, "rb"), len(c), size)) for n, c in packed.items()}
+    assert some["one.gz"] == some["many.gz"] == some["one.xz"] == 1 and min(some[n] for n in ("one.bz2", "many.bz2", "sized.gz", "many.xz")) > 5
+    got = {}
+    for r in files.compressed_lines(spark, str(tmp_path), size=size).orderBy("source_path", "line_no").collect():
+        got.setdefault(r["source_path"].rsplit("/", 1)[1], []).append((r["line_no"], r["raw"], r["problem"]))
+    for name in packed:
+        assert got[name] == [(k, line, None) for k, line in enumerate(lines, 1)], name
+    assert got["ends.bz2"] == [(1, "a", None), (2, "b", None), (3, "c", None), (4, "", None), (5, "d", None)] and "none.bz2" not in got
+    assert got["plain"] == [(0, None, "unsupported")] and got["cut.xz"] == [(0, None, "damaged")]
+    assert got["cut.gz"][0] == (0, None, "damaged") and [x[1] for x in got["cut.gz"][1:1001]] == lines[:1000]
+
+
+def test_inventory_reads_magic_and_streams(spark, tmp_path):
+    import hashlib
+
+    (tmp_path / "logs (1)" / "etc").mkdir(parents=True)
+    (tmp_path / "logs (1)" / "etc" / "passwd").write_text("root:x")
+    (tmp_path / "logs (1)" / "odd.bin").write_bytes(files_magic() + b"\0" * 3_000_000)
+    (tmp_path / "logs (1)" / "._auth.log").write_text("x")
+    got = {r["relative"]: r for r in readers.file_inventory(spark, str(tmp_path / "logs (1)")).collect()}
+    assert set(got) == {"etc/passwd", "odd.bin"} and got["odd.bin"]["source_types"] == ["sqlite_log"] and got["etc/passwd"]["source_types"] == ["passwd"]
+    assert got["odd.bin"]["sha256"] == hashlib.sha256(files_magic() + b"\0" * 3_000_000).hexdigest() and got["odd.bin"]["size"] == 3_000_016
+
+
+def files_magic():
+    return b"SQLite format 3\x00"
+
+
+def test_findings_name_what_they_found(spark):
+    at = lambda m: datetime(2024, 1, 1, 0, m)
+    rows = [(f"f{9 - k}", at(k), "ssh_login_failure", "u", "192.0.2.1", [], "", "auth_log") for k in range(7)] + [("s", at(20), "ssh_login_success", "u", "192.0.2.1", [], "", "auth_log")]
+    rows += [("b", at(30), "shell_command", "", None, ["outbound_file_transfer_command", "outbound_ssh_command"], "198.51.100.9", "shell_history"), ("a", at(31), "shell_command", "", None, ["outbound_ssh_command"], "198.51.100.10", "shell_history")]
+    rows += [("c", at(40), "user_created", "eve", None, [], "", "auth_log"), ("d", at(41), "user_created", "", None, [], "", "auth_log"), ("e", at(42), "account_locked", "eve", None, [], "", "auth_log"), ("g", None, "group_member_added", "eve", None, [], "", "account_diff")]
+    tl = events(spark, rows, "event_id string, timestamp timestamp, event_action string, user string, src_ip string, detection_names array<string>, dst_ip string, source_type string")
+    got = {r["title"]: r for r in behaviour.derive_findings(tl).collect()}
+    login = got["Successful SSH login after repeated failures"]
+    assert login["event_ids"] == ["s", "f7", "f6", "f5", "f4", "f3"] and login["summary"] == "u logged in from 192.0.2.1 after 7 failed attempts within 30 minutes."
+    moved = got["Outbound Lateral Movement Evidence"]
+    assert moved["event_ids"] == ["b", "a", "b"] and moved["tags"] == ["lateral_movement", "outbound"]
+    assert moved["summary"] == "Found 3 action indicator(s) of outbound lateral movement: 2 SSH commands, 1 file transfers, and 0 active SSH connections. Destinations: 198.51.100.10, 198.51.100.9"
+    accounts = got["Account Lifecycle Changes Detected"]
+    assert accounts["event_ids"] == ["c", "d", "e", "g"] and accounts["severity"] == "high"
+    assert accounts["summary"] == "Account changes detected via backup file diffing and log analysis: 1 unique account(s) observed as created (eve) across 2 supporting event(s); 1 group membership change(s)."
+    quiet = {r["title"]: r for r in behaviour.derive_findings(tl.where("event_id = 's'").withColumn("event_action", F.lit("known_host_observed"))).collect()}
+    assert quiet["Known SSH Destination Observed"]["summary"].startswith("Observed 1 SSH known-host entry.") and quiet["Known SSH Destination Observed"]["event_ids"] == ["s"]
+    assert quiet["Lateral Movement Assessment Has Coverage Gaps"]["summary"].endswith("Missing: SSH host history, command history, network state.") and "Account Lifecycle Changes Detected" not in quiet
+
+
+def test_no_credentials_no_storyline(spark):
+    tl = events(spark, [("a", datetime(2024, 1, 1), "password_changed", ""), ("b", datetime(2024, 1, 2), "password_changed", "u")], "event_id string, timestamp timestamp, event_action string, user string")
+    row = behaviour.credential_storyline(tl).first()
+    assert (row["users"], row["events"], row["title"], row["confidence"]) == (1, 2, "Credential modification activity", "medium")
+    assert behaviour.credential_storyline(tl.where("event_id = 'x'")).count() == 0
+
+
+def test_audit_groups_time_out_and_open_again(spark, tmp_path):
+    from emberlog.streaming import timelines
+
+    folder, schema = tmp_path / "in", "timestamp timestamp, node string, audit_id string, type string, body string"
+    stream = spark.readStream.schema(schema).parquet(str(folder) + "/*")
+    at = lambda s: datetime(2024, 1, 1) + timedelta(seconds=s)
+    (folder / "0").mkdir(parents=True)
+    query, batch = None, 0
+    batches = [
+        [(at(0), "n", "1:1", "SYSCALL", "a"), (at(1), "n", "1:2", "SYSCALL", "x")],
+        [(at(2), "n", "1:1", "PATH", "b")],
+        [(at(3), "n", "1:1", "EOE", "c"), (at(4), "n", "1:1", "CWD", "d")],
+        [(at(5), "n", "1:1", "SYSCALL", "late")],
+        [(at(500), "m", "9:9", "SYSCALL", "y")],
+        [(at(501), "m", "9:9", "SYSCALL", "z")],
+    ]
+    query = timelines.stream_audit_groups(stream).writeStream.format("memory").queryName("groups").outputMode("append").start()
+    seen = []
+    for batch, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(folder / f"b{batch}"))
+        query.processAllAvailable()
+        seen.append(sorted((r["audit_id"], tuple(r["bodies"])) for r in spark.table("groups").collect()))
+    query.stop()
+    assert seen[1] == [] and seen[2] == seen[3] == [("1:1", ("a", "b", "c", "d"))]
+    assert seen[5] == [("1:1", ("a", "b", "c", "d")), ("1:1", ("late",)), ("1:2", ("x",))]
+
+
+def test_auth_lines_are_cut_once(spark):
+    from emberlog.sources import parsers
+
+    lines = spark.createDataFrame([("f", 1, "Jan  2 03:04:05 h sshd[9]: Failed password for invalid user a from 192.0.2.1 port 22 ssh2", 2024), ("f", 2, "Jan  2 03:04:05 h su: pam_unix(su:session): session opened by x", 2024), ("f", 3, "Jan  2 03:04:05 user bob account unlocked", 2024), ("f", 4, "Jan  2 03:04:05 h useradd[1]: new user: name=eve, UID=1001, GID=7, home=/h", 2024)], "source_path string, line_no long, raw string, year int")
+    df = parsers.parse_auth(lines, 2024)
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("regexp_") < 40
+    got = {r["extra"].get("x", r["event_action"]): r for r in df.collect()}
+    assert (got["ssh_login_failure"]["user"], got["ssh_login_failure"]["src_ip"], got["ssh_login_failure"]["pid"], got["ssh_login_failure"]["host"]) == ("a", "192.0.2.1", "9", "h")
+    assert got["su_session_opened"]["user"] is None and got["su_session_opened"]["summary"] == "su session opened for unknown user"
+    assert got["account_unlocked"]["user"] == "bob" and got["account_unlocked"]["mitre"] == ["T1098"]
+    assert (got["user_created"]["uid"], got["user_created"]["gid"], got["user_created"]["extra"]) == ("1001", "7", {"home": "/h"})
+
+
+def test_rules_behind_the_prefilter(spark):
+    """The search for needed words leaves no hit out: texts made of pieces of the rules' own patterns."""
+    import random
+
+    rng = random.Random(3)
+    pieces = "curl wget | sh bash base64 --decode -d chmod +x x sudo su - -l usermod crontab /etc/cron.d/a cron.d systemctl enable foo.service history -c cat /dev/null > rm -rf auth.log tar /home /etc mysqldump redis-cli save dd if=/x vim-cmd ssh -r a@b /dev/tcp/1 bash -i pty.spawn mkfifo 169.254.169.254 scp telnet nc -z h 80 passwd bob /tmp/a /run/x docker.sock id_rsa .kube/config rclone socat xmr-stak nmap ctr word other xcurl Passw0rd! cat".split()
+    rows = [(f"e{k}", " ".join(rng.choices(pieces, k=rng.randint(1, 4))), rng.choice(["shell_history", "auth_log"]), rng.choice(["behavior", "state_observation"])) for k in range(3000)]
+    tl = events(spark, rows, "event_id string, command string, source_type string, evidence_role string")
+    texts = tl.withColumns({"text": rules.event_text(), "ran": rules.executed_text(), "hunt": rules.indicator_search()})
+    plain = rules.add_hits(texts, rules.builtin_hits()).select("event_id", "detection_names", "severity")
+    got = rules.apply_builtin_rules(tl).select("event_id", "detection_names", "severity")
+    assert got.exceptAll(plain).count() == 0 and plain.where("size(detection_names) > 0").count() > 1000
+    assert texts.where(~rules.may_hit()).count() > 50
