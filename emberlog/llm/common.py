@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -12,20 +11,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from emberlog.session import shared_folder
+
 #: Logarithms of the least and the most bits of a key bitmap: 32 KB and 16 MB.
 LEAST_BITS, MOST_BITS = 18, 27
 _FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as ``spark.checkpoint.dir`` names it; a temporary one only where none is set."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if path:
-        return path
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="emberlog-"))
-    return context.getCheckpointDir()
+    """The folder that driver and executors share, as ``spark.checkpoint.dir`` names it; a temporary one only where none is set and all is one process."""
+    return shared_folder(spark)
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:

@@ -30,9 +30,9 @@ class Model:
 
 
 def trigrams(text: str | None, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct hashed trigrams of the lower-cased letters of ``text`` and their counts."""
+    """Distinct hashed trigrams of the lower-cased letters of ``text`` and their counts; of a text without letters, such as number signs, there are none."""
     found = _LETTERS.findall((text or "").lower())
-    if not found:
+    if not any(c.isalpha() for run in found for c in run):
         return np.zeros(0, np.int64), np.zeros(0)
     b = np.frombuffer((" " + " ".join(found) + " ").encode("utf-8", "replace"), np.uint8).astype(np.uint32)
     code = (b[:-2] << np.uint32(16)) | (b[1:-1] << np.uint32(8)) | b[2:]

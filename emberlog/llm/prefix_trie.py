@@ -26,8 +26,8 @@ _ROOT = "0" * 32
 _LANES = [f"k{i}" for i in range(4)]
 
 
-def numbered_turns(rows: DataFrame, order: list[str]) -> DataFrame:
-    """``rows`` (``conv_id``, ...) with ``ordinal``, from 1 in the order of ``order`` within each conversation; a written table.
+def numbered_turns(rows: DataFrame, order: list[str], columns: list[str]) -> DataFrame:
+    """``columns`` of ``rows`` (``conv_id``, ...) with ``ordinal``, from 1 in the order of ``order`` within each conversation; a written table.
 
     Rows are sorted by range, so a long conversation is spread over tasks. The turns of a conversation
     before a task's first are one number a task.
@@ -54,7 +54,9 @@ def numbered_turns(rows: DataFrame, order: list[str]) -> DataFrame:
     before = counts.withColumn("before", F.sum("n").over(Window.partitionBy("conv_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)))
     # a task's first conversation alone can have turns before it
     carried = F.broadcast(before.where("before > 0").select("conv_id", "part", "before"))
-    return own.join(carried, ["conv_id", "part"], "left").select(*names, (F.col("local") + F.coalesce("before", F.lit(0))).alias("ordinal"))
+    out = materialise(own.join(carried, ["conv_id", "part"], "left").select(*columns, (F.col("local") + F.coalesce("before", F.lit(0))).alias("ordinal")), "placed")
+    discard(own)
+    return out
 
 
 def _lanes(text: Column) -> list[Column]:
@@ -194,7 +196,7 @@ def rebuilt(rows: DataFrame, every: int = 20, heads: int = 4) -> tuple[DataFrame
     digest = F.unhex(F.md5(F.concat(F.length(role).cast("string"), F.lit(":"), role, text).cast("binary")))
     words = F.size(F.regexp_extract_all(text, F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))).cast("long")
     own = rows.where("conv_id is not null").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), digest.alias("digest"), words.alias("words"))
-    placed = materialise(numbered_turns(own, ["turn", "digest"]).select("conv_id", "ordinal", "digest", "words"), "placed")
+    placed = numbered_turns(own, ["turn", "digest"], ["conv_id", "digest", "words"])
     head = (F.crc32(F.col("conv_id").cast("string").cast("binary")) % heads).alias("h")
     base = (F.col("conv_id") - F.col("conv_id") % every).alias("base")
     counts = placed.groupBy("conv_id").agg(F.count("*").alias("own"))
