@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 # Month names of log lines.
 MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
-_SYSLOG = r"^([A-Za-z]{3})\s+(\d{1,2})\s+(\d{2}):(\d{2}):(\d{2})"
+SYSLOG = r"^([A-Za-z]{3})\s+(\d{1,2})\s+(\d{2}):(\d{2}):(\d{2})"
 _APACHE = r"(\d{1,2})/([A-Za-z]{3})/(\d{4}):(\d{2}:\d{2}:\d{2})\s+([+-]\d{4})"
 
 
@@ -54,12 +54,16 @@ def parse_iso(text: Column) -> Column:
     return F.coalesce(iso, F.when(mail.rlike(shape), F.try_to_timestamp(mail, F.lit("d MMM yyyy HH:mm:ss Z"))))
 
 
-def parse_syslog(text: Column, year: Column | int, tz: str = "UTC") -> Column:
-    """``Mon d HH:MM:SS`` in a zone and year."""
-    part = [F.regexp_extract(text, _SYSLOG, k) for k in range(1, 6)]
+def from_syslog(part: list[Column], year: Column | int, tz: str = "UTC") -> Column:
+    """A time of its five parts as ``SYSLOG`` has them, in a zone and year."""
     year = F.lit(year) if isinstance(year, int) else year
     local = made(year, month(part[0]), number(part[1]), number(part[2]), number(part[3]), F.coalesce(number(part[4]), F.lit(0)))
-    return F.when(text.rlike(_SYSLOG), F.to_utc_timestamp(local, zone(tz)))
+    return F.to_utc_timestamp(local, zone(tz))
+
+
+def parse_syslog(text: Column, year: Column | int, tz: str = "UTC") -> Column:
+    """``Mon d HH:MM:SS`` in a zone and year."""
+    return F.when(text.rlike(SYSLOG), from_syslog([F.regexp_extract(text, SYSLOG, k) for k in range(1, 6)], year, tz))
 
 
 def parse_apache(text: Column) -> Column:

@@ -147,3 +147,12 @@ def written_manifest(spark, d):
     tl = timeline(spark, d)
     totals = sinks.write_timeline(tl, _folder(spark, "out"), csv=False)
     return sinks.run_manifest(tl, table(spark, d, "customer").select(F.lit("parsed").alias("parser_status")), {"mode": "full"}, totals=totals)
+
+
+@query(f"WITH {TL} SELECT count(*) + count(*) FILTER (event_type = 'view') AS lines, count(*) FILTER (event_type = 'view') AS malformed FROM tl")
+def timeline_problems(spark, d):
+    folder = _folder(spark, "timeline")
+    tl = timeline(spark, d)
+    tl.write.json(folder)
+    tl.where("event_action = 'http_request'").select(F.concat(F.lit("{broken "), "event_id")).write.mode("append").text(folder)
+    return readers.timeline_problems(spark, folder).agg(F.sum("lines").alias("lines"), F.sum("malformed").alias("malformed"))

@@ -90,6 +90,12 @@ def _with_year(lines: DataFrame, year: int) -> DataFrame:
     return lines if "year" in lines.columns else resolve_years(lines, year)
 
 
+def _dated(lines: DataFrame, year: int, tz: str) -> DataFrame:
+    """Lines that begin with a syslog time, with ``ts``; the time is searched for once."""
+    df = _once(_with_year(lines, year), clock=_groups(F.col("raw"), times.SYSLOG, 5)).where("size(clock) = 5")
+    return _once(df, ts=times.from_syslog([F.get("clock", k) for k in range(5)], F.col("year"), tz)).drop("clock").where("ts is not null")
+
+
 # Forms of the messages of logins, sudo, su and accounts.
 _AUTH = {
     "accepted": (r"Accepted \S+ for (\S+) from (\S+) port (\d+)", 3),
@@ -111,7 +117,7 @@ def parse_auth(lines: DataFrame, year: int, tz: str = "UTC") -> DataFrame:
 
     A line is taken apart once, then its kind is told, then the groups of that kind alone are cut.
     """
-    df = _with_year(lines, year).withColumn("ts", times.parse_syslog(F.col("raw"), F.col("year"), tz)).where("ts is not null")
+    df = _dated(lines, year, tz)
     head = _once(df, head=_groups(F.col("raw"), _PREFIX, 4))
     part = lambda k: F.when(F.size("head") == 4, F.nullif(F.get("head", k), F.lit("")))
     df = _once(head, h=part(0), proc=part(1), pid_=part(2), msg=F.coalesce(part(3), "raw")).drop("head")
@@ -163,7 +169,7 @@ def parse_auth(lines: DataFrame, year: int, tz: str = "UTC") -> DataFrame:
 
 def parse_syslog(lines: DataFrame, year: int, tz: str = "UTC") -> DataFrame:
     """Services started and stopped, sessions, cron runs; other lines go."""
-    df = _with_year(lines, year).withColumn("ts", times.parse_syslog(F.col("raw"), F.col("year"), tz)).where("ts is not null")
+    df = _dated(lines, year, tz)
     proc, msg = _x(F.col("raw"), _PREFIX, 2), F.coalesce(_x(F.col("raw"), _PREFIX, 4), "raw")
     action = F.when(msg.rlike("Started |Starting "), "service_started").when(msg.rlike("Stopped |Stopping "), "service_stopped").when(msg.contains("session opened"), "session_opened").when(F.col("raw").contains("CRON"), "cron_execution")
     df = df.withColumns({"action": action, "proc": proc, "msg": msg}).where("action is not null")
@@ -198,7 +204,7 @@ def parse_journal(lines: DataFrame, year: int, tz: str = "UTC") -> DataFrame:
 
 
 def parse_cron_log(lines: DataFrame, year: int, tz: str = "UTC") -> DataFrame:
-    df = _with_year(lines, year).withColumn("ts", times.parse_syslog(F.col("raw"), F.col("year"), tz)).where("ts is not null")
+    df = _dated(lines, year, tz)
     return to_timeline(df, {"timestamp": F.col("ts"), "timestamp_raw": F.substring("raw", 1, 15), "timezone": F.lit(tz), "timezone_confidence": F.lit("assumed_local"), "timestamp_type": F.lit("log_time"), "host": _host(df), "source_path": F.col("source_path"), "source_type": F.lit("cron"), "parser": F.lit("cron"), "event_category": F.lit("persistence"), "event_action": F.lit("cron_execution"), "mitre": _texts("T1053.003"), "severity": F.lit("low"), "tags": _texts("cron", "scheduled_task"), "summary": F.col("raw"), "raw": F.col("raw")})
 
 
@@ -273,9 +279,10 @@ def parse_auditd(lines: DataFrame) -> DataFrame:
     """One event for each audit id of a node: fields of its records merged, later ones over earlier, arguments put together, hex decoded."""
     head = r"type=(\w+)\s+msg=audit\((\d+\.\d+):(\d+)\):\s*(.*)"
     raw = F.col("raw")
-    df = lines.where(raw.rlike(head)).withColumns({n: F.regexp_extract(raw, head, k) for k, n in enumerate(("type", "epoch", "id", "body"), 1)}).withColumn("node", F.regexp_extract(raw, r"(?:^|\s)node=(\S+)", 1))
+    df = _once(lines.where(raw.contains("msg=audit(")), cut=_groups(raw, head, 4)).where("size(cut) = 4")
+    df = df.withColumns({n: F.get("cut", k) for k, n in enumerate(("type", "epoch", "id", "body"))}).withColumn("node", F.regexp_extract(raw, r"(?:^|\s)node=(\S+)", 1)).drop("cut")
     pairs = F.regexp_extract_all("body", F.lit(r"(\w+=(?:\"[^\"]*\"|\S+))"), 1)
-    fields = F.transform(pairs, lambda p: F.struct(F.regexp_extract(p, r"^(\w+)=", 1).alias("k"), F.trim(F.regexp_replace(p, r"^\w+=", ""), F.lit('"')).alias("v")))
+    fields = F.transform(pairs, lambda p: F.struct(F.substring_index(p, "=", 1).alias("k"), F.trim(p.substr(F.instr(p, "=") + 1, F.length(p)), F.lit('"')).alias("v")))
     df = df.withColumn("fields", fields)
     hosts = [F.first("host").alias("host")] if "host" in lines.columns else []
     groups = df.groupBy("source_path", "node", "epoch", "id").agg(F.array_sort(F.collect_list(F.struct("line_no", "type", "fields", "raw"))).alias("r"), *hosts)
@@ -287,14 +294,15 @@ def parse_auditd(lines: DataFrame) -> DataFrame:
         last = lambda k: F.element_at(F.filter(flat, lambda f: f["k"] == k), -1)["v"]
         return F.coalesce(F.map_from_arrays(keys, F.transform(keys, last)), none)
 
-    df = groups.withColumn("ts", times.parse_epoch(F.col("epoch"))).where("ts is not null").withColumns({"f": merged(F.col("r")), "types": F.array_distinct(F.transform("r", lambda r: r["type"])), "x": merged(F.filter("r", lambda r: r["type"] == "EXECVE"))})
+    df = groups.withColumn("ts", times.parse_epoch(F.col("epoch"))).where("ts is not null")
+    df = _once(df, f=merged(F.col("r")), types=F.array_distinct(F.transform("r", lambda r: r["type"])), x=merged(F.filter("r", lambda r: r["type"] == "EXECVE")))
     df = df.withColumn("t", F.coalesce(*(F.when(F.array_contains("types", n), F.lit(n)) for n in AUDIT_ORDER), F.get("types", 0)))
     f = lambda k: F.nullif(F.try_element_at("f", F.lit(k)), F.lit(""))
     argc = F.coalesce(F.try_element_at("x", F.lit("argc")).try_cast("int"), F.lit(0))
     args = F.filter(F.transform(F.sequence(F.lit(0), F.greatest(argc, F.lit(1)) - 1), lambda i: _decoded(F.try_element_at("x", F.concat(F.lit("a"), i.cast("string"))))), lambda a: a.isNotNull() & (a != ""))
     command = F.coalesce(F.when(argc > 0, F.nullif(F.array_join(args, " "), F.lit(""))), _decoded(f("proctitle")), f("cmd"))
     path = F.get(F.filter(F.flatten(F.transform(F.filter("r", lambda r: r["type"] == "PATH"), lambda r: F.filter(r["fields"], lambda p: p["k"] == "name"))), lambda p: p["v"] != ""), 0)["v"]
-    df = df.withColumns({"command_": command, "path_": path})
+    df = _once(df, command_=command, path_=path)
     t = F.col("t")
     account, anomaly = t.isin("USER_CHAUTHTOK", "USER_ACCT", "ADD_USER", "DEL_USER", "USER_MGMT"), t.isin("ANOM_ABEND", "ANOM_PROMISCUOUS", "ANOM_LOGIN_FAILURES")
     run, service, login = t.isin("EXECVE", "USER_CMD"), t.isin("SERVICE_START", "SERVICE_STOP"), t.isin("USER_LOGIN", "USER_AUTH")

@@ -8,6 +8,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 from pyspark.sql.window import Window
 
 from emberlog.functions import times
@@ -289,3 +290,12 @@ def read_timeline(spark: SparkSession, path: str, phases: tuple[DataFrame, DataF
     """A timeline written as JSON lines; lines that do not parse are left out. With tables of phases, events without phases or candidates are classified."""
     tl = spark.read.schema(TIMELINE_SCHEMA).option("mode", "DROPMALFORMED").json(path)
     return tl if phases is None else fill_attack_phases(tl, *phases)
+
+
+def timeline_problems(spark: SparkSession, path: str) -> DataFrame:
+    """(``source_path``, ``lines``, ``malformed``) of a timeline written as JSON lines: what ``read_timeline`` leaves out. Blank lines do not count."""
+    bad = "_malformed"
+    schema = StructType([*TIMELINE_SCHEMA.fields, StructField(bad, StringType())])
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("source_path"), "value").where(F.trim("value") != "")
+    broken = F.from_json("value", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": bad})[bad].isNotNull()
+    return lines.groupBy("source_path").agg(F.count("*").alias("lines"), F.count_if(broken).alias("malformed"))
