@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberlog.llm import exact_dedup, langid, minhash, packing, secrets
-from emberlog.llm.common import materialise, read_table
+from emberlog.llm.common import discard, discard_since, materialise, read_table, written_so_far
 from emberlog.llm.queries import PACK_TOKENIZER
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -72,5 +72,11 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = materialise(stage(spark, docs, sf_dir), name.replace(" ", "_"))
+        mark = written_so_far()
+        kept = materialise(stage(spark, docs, sf_dir), name.replace(" ", "_"))
+        # what a stage wrote on its way, and the result before it, serve nobody now
+        discard_since(spark, mark, kept)
+        if name != STAGES[0][0]:
+            discard(docs)
+        docs = kept
     return docs
