@@ -15,6 +15,8 @@ from emberlog.session import shared_folder
 
 #: Logarithms of the least and the most bits of a key bitmap: 32 KB and 16 MB.
 LEAST_BITS, MOST_BITS = 18, 27
+#: Folders of the tables that this driver has written and not removed by ``discard_since``.
+_FOLDERS: list[str] = []
 _FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -29,7 +31,9 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     The shuffle files of the write are of no use once it has ended, so Spark removes them then.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/emberlog-{uuid.uuid4().hex}/{name}"
+    folder = f"{shared_dir(spark)}/emberlog-{uuid.uuid4().hex}"
+    path = f"{folder}/{name}"
+    _FOLDERS.append(folder)
     before = spark.conf.get(_FREE_SHUFFLES, None)
     spark.conf.set(_FREE_SHUFFLES, "true")
     try:
@@ -39,6 +43,21 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def written_so_far() -> int:
+    """A mark for ``discard_since``."""
+    return len(_FOLDERS)
+
+
+def discard_since(spark: SparkSession, mark: int, *kept: DataFrame) -> None:
+    """Remove all tables written since a mark but ``kept``: nothing may read the others any more."""
+    used = {file for table in kept for file in table.inputFiles()[:1]}
+    for folder in _FOLDERS[mark:]:
+        if not any(folder.rsplit("/", 1)[1] in file for file in used):
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+            _FOLDERS.remove(folder)
+
+
 def discard(*tables: DataFrame) -> None:
     """Remove written tables that nothing reads any more."""
     for table in tables:
@@ -46,6 +65,7 @@ def discard(*tables: DataFrame) -> None:
         for file in table.inputFiles()[:1]:
             folder = spark._jvm.org.apache.hadoop.fs.Path(file).getParent().getParent()
             folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+            _FOLDERS[:] = [f for f in _FOLDERS if not f.endswith("/" + folder.getName())]
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

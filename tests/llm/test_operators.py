@@ -344,3 +344,52 @@ def test_word_hashes():
     assert offsets.tolist() == [0, 1, 4] and h[0] == h[2] == h[3] and len(set(h.tolist())) == 2
     keys = np.sort(np.random.default_rng(0).integers(0, 2**63, 1000, dtype=np.uint64))
     assert (kernels.unpack_keys(kernels.pack_keys(keys)) == keys).all()
+
+
+@pytest.mark.parametrize("reach,shuffles", [(2, 4), (5, 3)])
+def test_minhash_in_crowded_regions(spark, reach, shuffles):
+    """Texts that share most of their words, so that regions are crowded and few pairs are links: rare shingles, the last pass and block edges against brute force."""
+    rng = random.Random(11)
+    base = [f"w{k}" for k in range(60)]
+    rows = []
+    for k in range(150):
+        own = list(base)
+        for at in rng.sample(range(60), 3):
+            own[at] = f"x{k}a{at}"
+        rows.append((k, " ".join(own), "en"))
+        if k % 10 == 0:
+            own[rng.randrange(60)] = f"y{k}"
+            rows.append((500 + k, " ".join(own), "en"))
+    sets = {i: {tuple(t.split()[a : a + 5]) for a in range(56)} for i, t, _ in rows}
+    label = {i: i for i in sets}
+    links = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    assert links
+    for _ in range(len(sets)):
+        for a, b in links:
+            label[a] = label[b] = min(label[a], label[b])
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(shuffles))
+    try:
+        got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(table(spark, rows), reach=reach).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert got == label
+
+
+def test_search_on_two_levels(spark):
+    """Parts that are divided again, rows that are all alike, and fewer candidates than asked for."""
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((3000, 8))
+    x[:400] = x[0]
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    found = collections.defaultdict(list)
+    for r in ann.search(df, F.col("vec_id") % 100 == 0, part_rows=64).orderBy("query_id", "rank").collect():
+        found[r["query_id"]].append(r["vec_id"])
+    hits = 0
+    for q in range(0, 3000, 100):
+        d = ((x - x[q]) ** 2).sum(1)
+        d[q] = np.inf
+        hits += len(set(found[q]) & {int(k) for k in np.lexsort((np.arange(3000), d))[:10]})
+    assert hits >= 0.9 * 300 and found[100] == [k for k in range(11) if k != 100][:10]
+    few = {r["query_id"] for r in ann.search(df.limit(4), F.col("vec_id") == 0).collect()}
+    assert few == {0} and ann.search(df.limit(4), F.col("vec_id") == 0).count() == 3

@@ -18,7 +18,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from emberlog.llm import langid, lm, queries
+from emberlog.llm import common, langid, lm, queries
 from tests.llm.test_operators import SCHEMA, corpus, kept_bytes
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -381,12 +381,20 @@ def test_pipeline(spark, folder, stored):
             first[label[k]] = (at, k)
     rows = [rows[k] for _, k in sorted(first.values(), key=lambda x: x[1])]
     tokenizer = Tokenizer.from_file(queries.PACK_TOKENIZER)
-    got = collections.defaultdict(int)
+    got, bins, crcs, before = collections.defaultdict(int), collections.defaultdict(list), {}, common.written_so_far()
     for r in corpus_pipeline.run(spark, folder).collect():
         got[r["doc_id"]] += r["length"]
+        bins[r["sequence_id"]].append((r["offset"], r["length"]))
+        crcs[r["doc_id"], r["piece"]] = r["ids_crc32"]
+    assert common.written_so_far() == before + 1
+    for own in bins.values():
+        assert [a for a, _ in sorted(own)] == [0, *itertools.accumulate(n for _, n in sorted(own))][:-1] and sum(n for _, n in own) <= 4096
+    assert len(bins) <= math.ceil(sum(got.values()) / 4096) + 1
     assert set(got) == {i for i, _, _ in rows}
     clean = [(i, t) for i, t, _ in rows if not scan(t) and "PRIVATE" not in t and i is not None]
     assert len(clean) > 40 and all(got[i] == len(tokenizer.encode(t, add_special_tokens=False).ids) + 1 for i, t in clean)
+    ids = {i: [*tokenizer.encode(t, add_special_tokens=False).ids, 1][:4096] for i, t in clean}
+    assert all(crcs[i, 0] == zlib.crc32(np.array(x, "<u4").tobytes()) for i, x in ids.items())
 
 
 def test_no_rows(spark, tmp_path):
