@@ -400,6 +400,7 @@ def test_pipeline(spark, folder, stored):
 def test_no_rows(spark, tmp_path):
     spark.createDataFrame([], SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([], "vec_id long, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    spark.createDataFrame([], "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
     for name, query in queries.queries().items():
         assert query(spark, str(tmp_path)).count() == 0, name
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
