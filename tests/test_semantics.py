@@ -360,3 +360,32 @@ def test_rules_behind_the_prefilter(spark):
     got = rules.apply_builtin_rules(tl).select("event_id", "detection_names", "severity")
     assert got.exceptAll(plain).count() == 0 and plain.where("size(detection_names) > 0").count() > 1000
     assert texts.where(~rules.may_hit()).count() > 50
+
+
+def test_audit_groups_share_calls(spark, tmp_path, monkeypatch):
+    """Many groups are a few calls of Python, and those that close leave the others whole."""
+    from emberlog.streaming import timelines
+
+    folder, schema = tmp_path / "in", "timestamp timestamp, node string, audit_id string, type string, body string"
+    at = lambda s: datetime(2024, 1, 1) + timedelta(seconds=s)
+    updated = []
+    batches = [
+        [(at(k % 7), f"n{k % 3}", f"1:{k}", "SYSCALL", f"a{k}") for k in range(300)] + [(None, None, "1:1", "CWD", "no time or node")],
+        [(at(8), f"n{k % 3}", f"1:{k}", "EOE" if k % 4 == 0 else "PATH", f"b{k}") for k in range(300)],
+        [(at(9), f"n{k % 3}", f"1:{k}", "EOE" if k % 4 == 1 else "CWD", f"c{k}") for k in range(300)],
+        [(at(500), "m", "9:9", "SYSCALL", "y")],
+    ]
+    for batch, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(folder / f"b{batch}"))
+        stream = spark.readStream.schema(schema).parquet(str(folder) + "/*")
+        found = timelines.stream_audit_groups(stream, buckets=8)
+        query = found.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+        query.awaitTermination()
+        updated += [p["stateOperators"][0]["numRowsUpdated"] for p in query.recentProgress]
+    got = sorted((r["node"] or "", r["audit_id"], *r["bodies"]) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    want = [("", "1:1", "no time or node")]
+    for k in range(300):
+        name = (f"n{k % 3}", f"1:{k}")
+        want += [(*name, f"a{k}", f"b{k}"), (*name, f"c{k}")] if k % 4 == 0 else [(*name, f"a{k}", f"b{k}", f"c{k}")]
+    assert got == sorted(want)
+    assert 8 <= max(updated) < 50
