@@ -26,24 +26,29 @@ def normalise_path(path: Column) -> Column:
 def correlate_state_times(events: DataFrame, state_types: tuple[str, ...] = STATE_TYPES, order: tuple[str, ...] = TIME_ORDER) -> DataFrame:
     """Give undated state the best time that file or audit events have for its path: by kind, then the earliest.
 
-    An equi-join on normalised paths. Of dated events, only those of a wanted path are grouped, by
-    path first, so a path that many events share sends one row: the best time and all ids, which
-    become the related ids. Whole rows move for undated state alone; all other events pass by.
+    Equi-joins on normalised paths. Of dated events, only those of a wanted path are grouped, by
+    path first, so a path that many events share sends one row: the best time, and all ids, which
+    become the related ids. State is looked up by its distinct lists of paths. Ids are put together
+    once for each distinct set of paths that are found, and meet the state in the last join: no
+    shuffle repeats them for each row. Whole rows move for undated state alone; all other events pass by.
     """
     state = F.coalesce(F.col("timestamp").isNull() & F.col("source_type").isin(*state_types), F.lit(False))
     kind = F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, order)), F.col("timestamp_type")).cast("int"), F.lit(0)), F.lit(99))
     rooted = lambda c: F.when(~F.col(c).startswith("/"), F.concat(F.lit("/"), c))
-    paths = F.array_distinct(F.array_compact(F.array(*(normalise_path(p) for c in ("file_path", "source_path") for p in (F.col(c), rooted(c))))))
-    wanted = events.where(state).select("event_id", "collection_id", paths.alias("paths")).withColumn("path", F.explode("paths"))
+    paths = F.array_sort(F.array_distinct(F.array_compact(F.array(*(normalise_path(p) for c in ("file_path", "source_path") for p in (F.col(c), rooted(c)))))))
+    own = events.where(state).withColumn("wanted_paths", paths)
+    wanted = own.select("collection_id", "wanted_paths").distinct().withColumn("path", F.explode("wanted_paths"))
     dated = events.where(F.col("timestamp").isNotNull() & F.col("source_type").isin(*DATED_TYPES)).withColumns({"path": normalise_path(F.col("file_path")), "kind": kind})
     dated = dated.where("path is not null").join(wanted.select("collection_id", "path").distinct(), ["collection_id", "path"], "left_semi")
     best = F.min(F.struct("kind", "timestamp", F.col("event_id").alias("found_id"), "timestamp_type", "timestamp_raw", "timestamp_precision", "timezone"))
-    by_path = dated.groupBy("collection_id", "path").agg(best.alias("b"), F.collect_set("event_id").alias("ids"), F.count("*").alias("n"))
-    met = wanted.join(by_path, ["collection_id", "path"]).groupBy("event_id").agg(F.min("b").alias("b"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))).alias("found_ids"), F.sum("n").alias("found_n"), F.first("paths").alias("found_paths"))
-    own = events.where(state)
-    joined = own.join(met.withColumnRenamed("event_id", "state_id"), own["event_id"] == F.col("state_id"), "left")
+    by_path = dated.groupBy("collection_id", "path").agg(best.alias("b"), F.count("*").alias("n"))
+    lists = dated.groupBy("collection_id", "path").agg(F.collect_set("event_id").alias("ids"))
+    met = wanted.join(by_path, ["collection_id", "path"]).groupBy("collection_id", "wanted_paths").agg(F.min("b").alias("b"), F.sum("n").alias("found_n"), F.array_sort(F.collect_set("path")).alias("found_in"))
+    sets = met.select("collection_id", "found_in").distinct().withColumn("path", F.explode("found_in")).join(lists, ["collection_id", "path"])
+    related = sets.groupBy("collection_id", "found_in").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))).alias("found_ids"))
+    joined = own.join(met, ["collection_id", "wanted_paths"], "left").join(related, ["collection_id", "found_in"], "left")
     hit = F.col("b").isNotNull()
-    note = F.to_json(F.struct(F.lit("bodyfile_or_audit_path_match").alias("method"), F.array_sort("found_paths").alias("matched_paths"), F.col("found_n").alias("source_event_count"), F.col("b.timestamp_type").alias("source_timestamp_type")))
+    note = F.to_json(F.struct(F.lit("bodyfile_or_audit_path_match").alias("method"), F.col("wanted_paths").alias("matched_paths"), F.col("found_n").alias("source_event_count"), F.col("b.timestamp_type").alias("source_timestamp_type")))
     new = {
         "timestamp": F.col("b.timestamp"),
         "timestamp_raw": F.col("b.timestamp_raw"),

@@ -389,3 +389,22 @@ def test_audit_groups_share_calls(spark, tmp_path, monkeypatch):
         want += [(*name, f"a{k}", f"b{k}"), (*name, f"c{k}")] if k % 4 == 0 else [(*name, f"a{k}", f"b{k}", f"c{k}")]
     assert got == sorted(want)
     assert 8 <= max(updated) < 50
+
+
+def test_related_ids_are_not_shuffled_for_each_state(spark):
+    """A path that many files and many state rows share: ids are gathered once, and each row is matched by its own paths."""
+    dated = [(f"d{k:04d}", datetime(2024, 1, 1) + timedelta(seconds=k), "bodyfile", "mtime", "/etc/cron.d/x" if k < 600 else "/etc/cron.d/y", None) for k in range(700)]
+    state = [(f"s{k}" if k else None, None, "cron_file", None, "etc/cron.d/x", f"src/{k % 9}" if k % 50 else "./etc//cron.d/y") for k in range(3000)]
+    tl = events(spark, dated + state, "event_id string, timestamp timestamp, source_type string, timestamp_type string, file_path string, source_path string").withColumn("collection_id", F.lit("c")).localCheckpoint()
+    found = correlate.correlate_state_times(tl).where("timestamp_type = 'correlated_mtime'").select("event_id", "related_event_ids", F.get_json_object("extra.correlation", "$.source_event_count").alias("n"))
+
+    def written():
+        store, jvm = spark._jsc.sc().statusStore(), spark._jvm
+        stages = store.stageList(None, False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), None)
+        return sum(stages.apply(k).shuffleWriteBytes() for k in range(stages.size()))
+
+    before = written()
+    got = found.selectExpr("event_id", "n", "size(related_event_ids) as k", "md5(array_join(related_event_ids, ',')) as m").collect()
+    assert written() - before < 1_000_000
+    assert len(got) == 3000 and len({r["m"] for r in got}) == 2
+    assert {(r["event_id"], r["n"], r["k"]) for r in got if r["event_id"] in (None, "s1", "s50")} == {(None, "700", 700), ("s1", "600", 600), ("s50", "700", 700)}
