@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+from collections import Counter
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -176,15 +177,18 @@ RULE_SECTIONS = {"tool_tags": "tool", "ttp_tags": "ttp", "actor_similarity_profi
 
 
 def load_rules(spark: SparkSession, path: str) -> dict[str, dict]:
-    """The sections of a YAML rule pack, each a mapping of rules by id. A pack is a file written by hand, of a size that the driver can hold; a key that comes twice is an error."""
+    """The sections of a YAML rule pack, each a mapping of rules by id. A pack is a file written by hand, of a size that the driver can hold; a key that comes twice is an error.
+
+    The parser is libyaml's where PyYAML has it. Time grows with the number of rules.
+    """
     import yaml
 
-    class Loader(yaml.SafeLoader):
+    class Loader(getattr(yaml, "CSafeLoader", yaml.SafeLoader)):
         pass
 
     def mapping(loader: yaml.SafeLoader, node: yaml.MappingNode) -> dict:
         keys = [loader.construct_object(k, deep=True) for k, _ in node.value]
-        again = {k for k in keys if keys.count(k) > 1}
+        again = [k for k, n in Counter(keys).items() if n > 1]
         if again:
             raise ValueError(f"keys that come twice: {sorted(map(str, again))}")
         return {k: loader.construct_object(v, deep=True) for k, (_, v) in zip(keys, node.value, strict=True)}

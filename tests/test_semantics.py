@@ -408,3 +408,21 @@ def test_related_ids_are_not_shuffled_for_each_state(spark):
     assert written() - before < 1_000_000
     assert len(got) == 3000 and len({r["m"] for r in got}) == 2
     assert {(r["event_id"], r["n"], r["k"]) for r in got if r["event_id"] in (None, "s1", "s50")} == {(None, "700", 700), ("s1", "600", 600), ("s50", "700", 700)}
+
+
+def test_large_rule_packs_load_as_fast_as_they_parse(spark, tmp_path):
+    import time
+
+    import yaml
+
+    text = "tool_tags:\n" + "".join(f"  tool_{k}: {{namespace: tool}}\n" for k in range(12_000))
+    (tmp_path / "pack.yaml").write_text(text)
+    readers.load_rules(spark, str(tmp_path / "pack.yaml"))
+    start = time.process_time()
+    want = yaml.load(text, Loader=getattr(yaml, "CSafeLoader", yaml.SafeLoader))
+    middle = time.process_time()
+    assert readers.load_rules(spark, str(tmp_path / "pack.yaml")) == want
+    assert time.process_time() - middle < 3 * (middle - start) + 0.2
+    (tmp_path / "again.yaml").write_text("tool_tags:\n  a: {}\n  b: {}\n  a: {}\n")
+    with pytest.raises(ValueError, match=r"twice: \['a'\]"):
+        readers.load_rules(spark, str(tmp_path / "again.yaml"))
