@@ -281,21 +281,24 @@ def parse_auditd(lines: DataFrame) -> DataFrame:
     raw = F.col("raw")
     df = _once(lines.where(raw.contains("msg=audit(")), cut=_groups(raw, head, 4)).where("size(cut) = 4")
     df = df.withColumns({n: F.get("cut", k) for k, n in enumerate(("type", "epoch", "id", "body"))}).withColumn("node", F.regexp_extract(raw, r"(?:^|\s)node=(\S+)", 1)).drop("cut")
-    pairs = F.regexp_extract_all("body", F.lit(r"(\w+=(?:\"[^\"]*\"|\S+))"), 1)
-    fields = F.transform(pairs, lambda p: F.struct(F.substring_index(p, "=", 1).alias("k"), F.trim(p.substr(F.instr(p, "=") + 1, F.length(p)), F.lit('"')).alias("v")))
-    df = df.withColumn("fields", fields)
     hosts = [F.first("host").alias("host")] if "host" in lines.columns else []
-    groups = df.groupBy("source_path", "node", "epoch", "id").agg(F.array_sort(F.collect_list(F.struct("line_no", "type", "fields", "raw"))).alias("r"), *hosts)
-    none = F.create_map().cast("map<string,string>")
+    # lines move as they are; their fields are taken apart in the many tasks of the groups
+    groups = df.groupBy("source_path", "node", "epoch", "id").agg(F.array_sort(F.collect_list(F.struct("line_no", "type", "body", "raw"))).alias("r"), *hosts)
 
-    def merged(records: Column) -> Column:
-        flat = F.flatten(F.transform(records, lambda r: r["fields"]))
-        keys = F.array_distinct(F.transform(flat, lambda f: f["k"]))
-        last = lambda k: F.element_at(F.filter(flat, lambda f: f["k"] == k), -1)["v"]
-        return F.coalesce(F.map_from_arrays(keys, F.transform(keys, last)), none)
+    def taken_apart(body: Column) -> Column:
+        pairs = F.regexp_extract_all(body, F.lit(r"(\w+=(?:\"[^\"]*\"|\S+))"), 1)
+        return F.transform(pairs, lambda p: F.struct(F.substring_index(p, "=", 1).alias("k"), F.trim(p.substr(F.instr(p, "=") + 1, F.length(p)), F.lit('"')).alias("v")))
 
     df = groups.withColumn("ts", times.parse_epoch(F.col("epoch"))).where("ts is not null")
-    df = _once(df, f=merged(F.col("r")), types=F.array_distinct(F.transform("r", lambda r: r["type"])), x=merged(F.filter("r", lambda r: r["type"] == "EXECVE")))
+    df = _once(df, r=F.transform("r", lambda r: F.struct(r["type"].alias("type"), taken_apart(r["body"]).alias("fields"), r["raw"].alias("raw"))))
+    df = _once(df, types=F.array_distinct(F.col("r.type")), f=F.flatten(F.col("r.fields")), x=F.flatten(F.filter("r", lambda r: r["type"] == "EXECVE")["fields"]))
+    df = _once(df, **{c: F.struct(F.array_distinct(F.col(f"{c}.k")).alias("keys"), F.reverse(F.col(f"{c}.k")).alias("k"), F.reverse(F.col(f"{c}.v")).alias("v")) for c in ("f", "x")})
+
+    def merged(c: str) -> Column:
+        """The last value of each key: the first one of the fields in reverse."""
+        return F.map_from_arrays(F.col(f"{c}.keys"), F.transform(f"{c}.keys", lambda k: F.get(F.col(f"{c}.v"), (F.array_position(F.col(f"{c}.k"), k) - 1).cast("int"))))
+
+    df = _once(df, f=merged("f"), x=merged("x"))
     df = df.withColumn("t", F.coalesce(*(F.when(F.array_contains("types", n), F.lit(n)) for n in AUDIT_ORDER), F.get("types", 0)))
     f = lambda k: F.nullif(F.try_element_at("f", F.lit(k)), F.lit(""))
     argc = F.coalesce(F.try_element_at("x", F.lit("argc")).try_cast("int"), F.lit(0))

@@ -426,3 +426,14 @@ def test_large_rule_packs_load_as_fast_as_they_parse(spark, tmp_path):
     (tmp_path / "again.yaml").write_text("tool_tags:\n  a: {}\n  b: {}\n  a: {}\n")
     with pytest.raises(ValueError, match=r"twice: \['a'\]"):
         readers.load_rules(spark, str(tmp_path / "again.yaml"))
+
+
+def test_audit_fields_are_taken_apart_after_grouping(spark):
+    """Lines go through the shuffle once, as text; later fields win and keep the place of the first."""
+    raw = ['type=SYSCALL msg=audit(1700000000.1:7): uid=1 comm="a b" uid=2 key=(null)', "type=PATH msg=audit(1700000000.1:7): name=/x comm=c uid=3", "type=CWD msg=audit(1700000000.1:8): ...", 'type=EXECVE msg=audit(1700000000.1:7): argc=2 a0="x" a1="y" a1="z"']
+    df = parsers.parse_auditd(lines(spark, *raw))
+    got = {r["extra"]["audit_id"]: r for r in df.collect()}
+    assert got["7"]["extra"]["fields"] == '{"uid":"3","comm":"c","key":"(null)","name":"/x","argc":"2","a0":"x","a1":"z"}'
+    assert (got["7"]["command"], got["7"]["uid"], got["7"]["file_path"], got["8"]["extra"]["fields"], got["8"]["command"]) == ("x z", "3", "/x", "{}", None)
+    gathered = df._jdf.queryExecution().optimizedPlan().toString().split("Aggregate [source_path")[1]
+    assert r"(\w+=" not in gathered
