@@ -44,3 +44,17 @@ def test_null_and_repeated_ids(spark, tmp_path):
     assert seen[1] == alone | {(1, base), (None, base + " more"), (7, live)}
     assert seen[2] == alone | {(1, base), (7, live)}
     assert seen[3] == alone | {(1, base), (7, "here a [secret] of someone")}
+
+
+def test_stages_leave_their_rows_and_decisions_only(spark, tmp_path):
+    from emberlog.llm import common
+
+    text = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen"
+    rows = [(k, text + f" {k}" * (k % 3) + " password = Kq92LmPx0z" * (k % 2), "en", "a", 9) for k in range(12)]
+    docs = corpus_pipeline.materialise(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), "docs")
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        mark = common.written_so_far()
+        out = stage(spark, docs, str(tmp_path))
+        assert common.written_so_far() - mark <= 2, name
+        docs = corpus_pipeline.materialise(out, "stage")
+        assert docs.count() > 0
