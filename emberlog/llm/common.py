@@ -92,21 +92,33 @@ def _bit(key: Column, bits: int) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(1 << bits)) + 1
 
 
-def key_bitmap(keys: DataFrame, column: str) -> Bitmap:
-    """A bitmap of keys with 32 bits or more for each, but of ``MOST_BITS`` at most, so that it can always be broadcast."""
-    own = materialise(keys.select(F.col(column).alias("key")), "keys")
+def key_bitmap(keys: DataFrame, column: str, written: bool = False) -> Bitmap:
+    """A bitmap of keys with 32 bits or more for each, but of ``MOST_BITS`` at most, so that it can always be broadcast. ``written`` says that ``keys`` is a written table, which need not be written again."""
+    own = keys.select(F.col(column).alias("key"))
+    own = own if written else materialise(own, "keys")
     bits = min(MOST_BITS, max(LEAST_BITS, (32 * own.count()).bit_length()))
     bit = own.select(_bit(F.col("key"), bits).alias("bit"))
     return Bitmap(bit.groupBy(F.bitmap_bucket_number("bit").alias("bm_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bm")), bits)
 
 
-def may_contain(df: DataFrame, key: str, bitmap: Bitmap) -> DataFrame:
-    """Rows whose key may be among the bitmap's: every true one and a few others."""
-    out, bit = df.columns, _bit(F.col(key), bitmap.bits)
+def _probed(df: DataFrame, key: str, bitmap: Bitmap, how: str) -> tuple[DataFrame, Column]:
+    """``df`` joined with the bitmap's rows, and the bit of each key."""
+    bit = _bit(F.col(key), bitmap.bits)
     probed = df.withColumn("bm_bucket", F.bitmap_bucket_number(bit)).withColumn("bm_pos", F.bitmap_bit_position(bit))
     byte = F.conv(F.hex(F.expr("substring(bm, int(bm_pos div 8) + 1, 1)")), 16, 10).cast("int")
-    hit = probed.join(F.broadcast(bitmap.table), "bm_bucket").where(F.getbit(byte, F.pmod(F.col("bm_pos"), F.lit(8)).cast("int")) == 1)
-    return hit.select(*out)
+    return probed.join(F.broadcast(bitmap.table), "bm_bucket", how), F.getbit(byte, F.pmod(F.col("bm_pos"), F.lit(8)).cast("int"))
+
+
+def may_contain(df: DataFrame, key: str, bitmap: Bitmap) -> DataFrame:
+    """Rows whose key may be among the bitmap's: every true one and a few others."""
+    probed, bit = _probed(df, key, bitmap, "inner")
+    return probed.where(bit == 1).select(*df.columns)
+
+
+def parted(df: DataFrame, key: str, bitmap: Bitmap) -> tuple[DataFrame, DataFrame]:
+    """Rows whose key may be among the bitmap's, as ``may_contain`` gives them, and all the others. ``df`` is read for each; give a table."""
+    probed, bit = _probed(df, key, bitmap, "left")
+    return may_contain(df, key, bitmap), probed.where(F.coalesce(bit, F.lit(0)) == 0).select(*df.columns)
 
 
 def slices(batch: pa.RecordBatch, column: str, limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:

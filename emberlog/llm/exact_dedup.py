@@ -2,10 +2,31 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from emberlog.llm.common import ascii_lower, key_bitmap, materialise, may_contain
+from emberlog.llm.common import ascii_lower, key_bitmap, materialise, may_contain, parted
+
+
+def _hashed(docs: DataFrame, own: Column, text_col: str, hash_bytes: int) -> DataFrame:
+    """A column of ``docs`` with ``norm``, the normalised text, and ``h``, its hash."""
+    norm = ascii_lower(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    return docs.select(own, norm.alias("norm")).withColumn("h", F.expr(f"substring(unhex(md5(norm)), 1, {int(hash_bytes)})"))
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hash_bytes: int = 16) -> DataFrame:
+    """The rows of ``docs``, of each group of equal texts (as for ``exact_dedup``) the one with the largest id, null only if all are; of rows that repeat that id, the largest by the other columns in their order.
+
+    The hash is counted first. Rows whose hash occurs once (for certain, by a bitmap of fixed size)
+    are not moved; the others are grouped by hash and text, partial groups first. No row needs a
+    key, and ``docs`` is read three times; give a table.
+    """
+    names = docs.columns
+    texts = _hashed(docs, F.struct(F.col(id_col).alias("id"), F.struct(*names).alias("row")).alias("own"), text_col, hash_bytes)
+    again = texts.groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
+    several, single = parted(texts, "h", key_bitmap(again, "h"))
+    kept = several.groupBy("h", "norm").agg(F.max("own").alias("own"))
+    return single.select("own.row.*").unionByName(kept.select("own.row.*"))
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "max", hash_bytes: int = 16) -> DataFrame:
@@ -22,9 +43,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     columns are ignored, whatever their names.
     """
     best = {"max": F.max, "min": F.min}[keep]
-    norm = ascii_lower(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
-    digest = F.expr(f"substring(unhex(md5(norm)), 1, {int(hash_bytes)})")
-    texts = docs.select(F.col(id_col).alias("id"), norm.alias("norm")).withColumn("h", digest)
+    texts = _hashed(docs, F.col(id_col).alias("id"), text_col, hash_bytes)
     keyed = materialise(texts.select("id", "h", F.unhex(F.sha2("norm", 256)).alias("sha")), "keyed")
 
     again = keyed.groupBy("h").agg(F.count("*").alias("n")).where("n > 1")

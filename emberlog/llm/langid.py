@@ -105,12 +105,13 @@ def identify(text: str | None, model: Model, penalty: float = 3.0) -> tuple[str,
     return model.languages[chosen[top]], float(min(1.0, share[top])), [model.languages[chosen[i]] for i in rank], [float(share[i]) for i in rank]
 
 
-def language_id(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: id, ``lang_pred``, ``score`` (share of that language), ``langs`` and ``shares`` of the selected set.
+def language_id(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", also: tuple[str, ...] = ()) -> DataFrame:
+    """Per row: id, ``lang_pred``, ``score`` (share of that language), ``langs`` and ``shares`` of the selected set, and the columns ``also``.
 
     Null text and text without letters are ``und`` with score 0; so is everything when no language
     was learned. Rows are independent: repeated rows repeat their answer, an empty table gives no
-    rows, very long texts are read whole, and other columns are ignored.
+    rows, very long texts are read whole, and other columns are ignored but for those in ``also``,
+    which come back as they are, the text as a string; so whole rows can be filtered without a join.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -119,14 +120,15 @@ def language_id(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col:
         for batch in batches:
             got = [identify(t.as_py(), own) for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64()), pa.array([g[2] for g in got], pa.list_(pa.string())), pa.array([g[3] for g in got], pa.list_(pa.float64()))],
-                ["id", "lang_pred", "score", "langs", "shares"],
+                [batch.column("id"), *(batch.column(c) for c in carried), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64()), pa.array([g[2] for g in got], pa.list_(pa.string())), pa.array([g[3] for g in got], pa.list_(pa.float64()))],
+                ["id", *carried, "lang_pred", "score", "langs", "shares"],
             )
 
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    kind = rows.schema["id"].dataType.simpleString()
-    out = rows.mapInArrow(run, f"id {kind}, lang_pred string, score double, langs array<string>, shares array<double>")
-    return out.withColumnRenamed("id", id_col)
+    carried = ["text" if c == text_col else f"c{k}" for k, c in enumerate(also)]
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), *(F.col(f"`{c}`").alias(inner) for c, inner in zip(also, carried, strict=True) if c != text_col))
+    kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in ["id", *carried])
+    out = rows.mapInArrow(run, f"{kinds}, lang_pred string, score double, langs array<string>, shares array<double>")
+    return out.select(F.col("id").alias(id_col), *(F.col(inner).alias(c) for c, inner in zip(also, carried, strict=True)), "lang_pred", "score", "langs", "shares")
 
 
 def remainder(id_col: str, divisor: int) -> Column:

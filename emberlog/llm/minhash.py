@@ -18,6 +18,8 @@ TREES, DEPTH, LEAST = 20, 9, 4
 #: Trees of the first pass, which links most of what is very similar, so that the others have little left.
 FIRST_TREES = 5
 SKETCH = 256
+#: Rare shingles before each that are kept beside it.
+BACK = 16
 _RNG = np.random.Generator(np.random.PCG64(7))
 _MUL = (_RNG.integers(0, 2**31, SKETCH, dtype=np.uint32) * np.uint32(2) + np.uint32(1))[:, None]
 _ADD = _RNG.integers(0, 2**32, SKETCH, dtype=np.uint32)[:, None]
@@ -37,7 +39,7 @@ def sketches(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, "text"):
+            for batch in slices(whole, "text", 1 << 19):
                 hashes, offsets = kernels.words(*text_buffers(batch.column("text")))
                 n, a, b, labels, sketch = [], [], [], [], []
                 for i in range(batch.num_rows):
@@ -133,12 +135,18 @@ def neighbours(ordered: DataFrame, reach: int, least: float, each: int | None =
 
 
 def rare_pairs(crowded: DataFrame, docs: DataFrame, width: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """The pairs of ``rare_meetings``, each once."""
+    return rare_meetings(crowded, docs, width, percent, id_col, text_col).distinct()
+
+
+def rare_meetings(crowded: DataFrame, docs: DataFrame, width: int, percent: int, id_col: str, text_col: str) -> DataFrame:
     """All pairs (``a``, ``b``) of different components among ``crowded`` (``rep``, ``comp``) that can be similar enough: an exact prefix filter.
 
     Of sets of sizes m and n that are, the m - ceil(percent * m / 100) + 1 rarest shingles of one
     and those of the other share one, in any fixed order, and enough come after it. Of the rows with
     a shingle, those of the largest component there are not paired with each other, so a group of
-    copies makes no square.
+    copies makes no square. A pair that shares several such shingles meets at the first, and at
+    others only where none of those shared is among the ``BACK`` before, in both sets.
     """
     found = may_contain(docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).cast("string").alias("text")), "rep", key_bitmap(crowded, "rep"))
     texts = found.join(crowded, "rep")
@@ -155,14 +163,18 @@ def rare_pairs(crowded: DataFrame, docs: DataFrame, width: int, percent: int, id
     rows = materialise(texts.select("rep", "comp", "text").mapInArrow(run, "rep long, comp long, n long, h long"), "shingles")
     shared = rows.groupBy("h", "comp").agg(F.count("*").alias("k")).groupBy("h").agg(F.sum("k").alias("df"), F.max_by("comp", "k").alias("largest"), F.count("*").alias("comps"))
     ranked = rows.join(shared, "h").withColumn("i", F.row_number().over(Window.partitionBy("rep").orderBy("df", "h")))
-    prefix = materialise(ranked.where((F.col("i") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1) & (F.col("comps") > 1)), "prefixes")
-    a = prefix.where("comp <> largest").select("h", F.col("rep").alias("ra"), F.col("comp").alias("ca"), F.col("n").alias("na"), F.col("i").alias("ia"))
-    b = prefix.select("h", F.col("rep").alias("rb"), F.col("comp").alias("cb"), F.col("n").alias("nb"), F.col("i").alias("ib"))
-    need = F.col("ca") != F.col("cb")
+    prefix = ranked.where((F.col("i") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1) & (F.col("comps") > 1))
+    back = F.collect_list("h").over(Window.partitionBy("rep").orderBy("i").rowsBetween(-BACK, -1))
+    prefix = materialise(prefix.withColumn("back", back), "prefixes")
+    a = prefix.where("comp <> largest").select("h", "largest", F.col("rep").alias("ra"), F.col("comp").alias("ca"), F.col("n").alias("na"), F.col("i").alias("ia"), F.col("back").alias("ba"))
+    b = prefix.select("h", F.col("rep").alias("rb"), F.col("comp").alias("cb"), F.col("n").alias("nb"), F.col("i").alias("ib"), F.col("back").alias("bb"))
+    # of two rows outside the largest component, the smaller is on the left
+    need = (F.col("ca") != F.col("cb")) & ((F.col("cb") == F.col("largest")) | (F.col("ra") < F.col("rb")))
     need &= (F.col("na") * 100 >= F.col("nb") * percent) & (F.col("nb") * 100 >= F.col("na") * percent)
     need &= (1 + F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib"))) * (100 + percent) >= percent * (F.col("na") + F.col("nb"))
+    need &= ~F.arrays_overlap("ba", "bb")
     met = a.join(b, "h").where(need)
-    return met.select(F.greatest("ra", "rb").alias("a"), F.least("ra", "rb").alias("b")).distinct()
+    return met.select(F.greatest("ra", "rb").alias("a"), F.least("ra", "rb").alias("b"))
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int, id_col: str, text_col: str) -> DataFrame:

@@ -17,10 +17,14 @@ from emberlog.llm.common import materialise
 _MARKS = ".,;:!?"
 
 
+#: Bytes of each of the two stores of known parts in a worker.
+STORE_BYTES = 144 << 20
+
+
 @functools.cache
-def _ids(tokenizer_file: str) -> _Ids:
+def _ids(tokenizer_file: str, most_bytes: int) -> _Ids:
     """The parts that this worker knows, kept from one task to the next."""
-    return _Ids(tokenizer_file)
+    return _Ids(tokenizer_file, most_bytes)
 
 
 class _Ids(dict):
@@ -30,7 +34,7 @@ class _Ids(dict):
     are seen again come back, so that frequent parts are tokenised once.
     """
 
-    def __init__(self, tokenizer_file: str, most_bytes: int = 144 << 20) -> None:
+    def __init__(self, tokenizer_file: str, most_bytes: int = STORE_BYTES) -> None:
         from tokenizers import Tokenizer
 
         super().__init__({"": b""})
@@ -114,11 +118,12 @@ def _parts(text: str | None) -> list[str]:
     return (text or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
 
 
-def tokenise(docs: DataFrame, tokenizer_file: str, end_id: int = 1, length: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def tokenise(docs: DataFrame, tokenizer_file: str, end_id: int = 1, length: int = 4096, id_col: str = "doc_id", text_col: str = "text", store_bytes: int = STORE_BYTES, keep_store: bool = True) -> DataFrame:
     """Per piece: id, ``piece`` (from 0), ``start``, ``length``, ``ids`` (little-endian unsigned 32-bit ids) and ``total``, its document's ids.
 
     The tokenizer must treat white space as a boundary, as word-level BPE does, so that the parts
-    between are looked up once and kept; the store of parts is bounded. Null text is empty and gives
+    between are looked up once and kept; the store of parts is bounded by ``store_bytes`` and
+    stays with the worker for its later tasks, or goes with each task without ``keep_store``. Null text is empty and gives
     one piece with the end id alone. Texts are never cut before they are tokenised. Other columns
     are ignored; an empty table gives no rows; a repeated row gives its pieces again.
     """
@@ -126,7 +131,7 @@ def tokenise(docs: DataFrame, tokenizer_file: str, end_id: int = 1, length: int
         raise ValueError("length must be positive")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, end = _ids(tokenizer_file), np.asarray([end_id], dtype="<u4").tobytes()
+        known, end = (_ids if keep_store else _Ids)(tokenizer_file, store_bytes), np.asarray([end_id], dtype="<u4").tobytes()
         for batch in batches:
             ids_of, piece, start, size, ids, total, waiting = [], [], [], [], [], [], 0
             keys = batch.column("id")
@@ -276,8 +281,8 @@ def pack(pieces: DataFrame, capacity: int = 4096, id_col: str = "doc_id", bucket
     return packed.select(*(F.col(inner[c]).alias(c) for c in names), "sequence_id", "offset")
 
 
-def pack_documents(docs: DataFrame, tokenizer_file: str, length: int = 4096, end_id: int = 1) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer_file: str, length: int = 4096, end_id: int = 1, store_bytes: int = STORE_BYTES, keep_store: bool = True) -> DataFrame:
     """Tokenise, digest each piece's ids, write that small table, and pack it."""
-    pieces = tokenise(docs, tokenizer_file, end_id, length)
+    pieces = tokenise(docs, tokenizer_file, end_id, length, store_bytes=store_bytes, keep_store=keep_store)
     digests = pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
     return pack(materialise(digests, "pieces"), length)
