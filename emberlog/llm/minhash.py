@@ -161,9 +161,11 @@ def rare_meetings(crowded: DataFrame, docs: DataFrame, width: int, percent: int,
                 yield pa.RecordBatch.from_arrays([batch.column("rep").take(at), batch.column("comp").take(at), pa.array(np.repeat(n, n)), pa.array(np.concatenate(sets).view(np.int64))], ["rep", "comp", "n", "h"])
 
     rows = materialise(texts.select("rep", "comp", "text").mapInArrow(run, "rep long, comp long, n long, h long"), "shingles")
-    shared = rows.groupBy("h", "comp").agg(F.count("*").alias("k")).groupBy("h").agg(F.sum("k").alias("df"), F.max_by("comp", "k").alias("largest"), F.count("*").alias("comps"))
-    ranked = rows.join(shared, "h").withColumn("i", F.row_number().over(Window.partitionBy("rep").orderBy("df", "h")))
-    prefix = ranked.where((F.col("i") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1) & (F.col("comps") > 1))
+    shared = rows.groupBy("h", "comp").agg(F.count("*").alias("k")).groupBy("h").agg(F.sum("k").alias("df"), F.max_by("comp", "k").alias("largest"), F.count("*").alias("comps")).where("comps > 1")
+    # shingles of one component alone come first in the order; they only count
+    own = Window.partitionBy("rep")
+    ranked = rows.join(shared, "h").withColumn("i", F.col("n") - F.count("*").over(own) + F.row_number().over(own.orderBy("df", "h")))
+    prefix = ranked.where(F.col("i") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)
     back = F.collect_list("h").over(Window.partitionBy("rep").orderBy("i").rowsBetween(-BACK, -1))
     prefix = materialise(prefix.withColumn("back", back), "prefixes")
     a = prefix.where("comp <> largest").select("h", "largest", F.col("rep").alias("ra"), F.col("comp").alias("ca"), F.col("n").alias("na"), F.col("i").alias("ia"), F.col("back").alias("ba"))
