@@ -162,9 +162,12 @@ def rare_meetings(crowded: DataFrame, docs: DataFrame, width: int, percent: int,
 
     rows = materialise(texts.select("rep", "comp", "text").mapInArrow(run, "rep long, comp long, n long, h long"), "shingles")
     shared = rows.groupBy("h", "comp").agg(F.count("*").alias("k")).groupBy("h").agg(F.sum("k").alias("df"), F.max_by("comp", "k").alias("largest"), F.count("*").alias("comps")).where("comps > 1")
-    # shingles of one component alone come first in the order; they only count
+    shared = materialise(shared, "shared")
+    # shingles of one component alone come first in the order; they only count, and where they fill the prefix, the row meets nothing
     own = Window.partitionBy("rep")
-    ranked = rows.join(shared, "h").withColumn("i", F.col("n") - F.count("*").over(own) + F.row_number().over(own.orderBy("df", "h")))
+    some = may_contain(rows, "h", key_bitmap(shared, "h", written=True)).withColumn("m", F.count("*").over(own))
+    some = some.where(F.col("m") >= F.ceil(F.col("n") * percent / 100)).drop("m")
+    ranked = some.join(shared, "h").withColumn("i", F.col("n") - F.count("*").over(own) + F.row_number().over(own.orderBy("df", "h")))
     prefix = ranked.where(F.col("i") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)
     back = F.collect_list("h").over(Window.partitionBy("rep").orderBy("i").rowsBetween(-BACK, -1))
     prefix = materialise(prefix.withColumn("back", back), "prefixes")
