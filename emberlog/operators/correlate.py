@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -23,32 +25,46 @@ def normalise_path(path: Column) -> Column:
     return F.nullif(F.replace(rooted, F.lit("//"), F.lit("/")), F.lit(""))
 
 
-def correlate_state_times(events: DataFrame, state_types: tuple[str, ...] = STATE_TYPES, order: tuple[str, ...] = TIME_ORDER) -> DataFrame:
+def correlate_state_times(events: DataFrame, state_types: tuple[str, ...] = STATE_TYPES, order: tuple[str, ...] = TIME_ORDER, related: Callable[[Column], Column] = lambda ids: ids, most: int = 10**9) -> DataFrame:
     """Give undated state the best time that file or audit events have for its path: by kind, then the earliest.
 
-    Equi-joins on normalised paths. Of dated events, only those of a wanted path are grouped, by
-    path first, so a path that many events share sends one row: the best time, and all ids, which
-    become the related ids. State is looked up by its distinct lists of paths. Ids are put together
-    once for each distinct set of paths that are found, and meet the state in the last join: no
-    shuffle repeats them for each row. Whole rows move for undated state alone; all other events pass by.
+    Equi-joins on paths: they are normalised for each distinct pair that state names, and for dated events.
+    Of these, only those of a wanted path are grouped, by path first, so a path that many events share sends
+    one row: the best time, and all ids, which become the related ids. Ids are put together once for each
+    distinct set of paths that are found, in the form that ``related`` gives them (text, for one), and meet
+    the state in the last join: no shuffle repeats them for each row, and a row copies them and no more.
+    That join writes rows times ids: state of one set is dealt into parts of about ``most`` ids, and into
+    all shuffle partitions, since its bytes do not tell its work. Whole rows move for undated state alone;
+    all other events pass by.
     """
+    events = events.withColumn("related_event_ids", related(F.col("related_event_ids")))
     state = F.coalesce(F.col("timestamp").isNull() & F.col("source_type").isin(*state_types), F.lit(False))
     kind = F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, order)), F.col("timestamp_type")).cast("int"), F.lit(0)), F.lit(99))
     rooted = lambda c: F.when(~F.col(c).startswith("/"), F.concat(F.lit("/"), c))
-    paths = F.array_sort(F.array_distinct(F.array_compact(F.array(*(normalise_path(p) for c in ("file_path", "source_path") for p in (F.col(c), rooted(c)))))))
-    own = events.where(state).withColumn("wanted_paths", paths)
-    wanted = own.select("collection_id", "wanted_paths").distinct().withColumn("path", F.explode("wanted_paths"))
+    paths = F.array_sort(F.array_distinct(F.array_compact(F.array(*(normalise_path(p) for c in ("named_file", "named_source") for p in (F.col(c), rooted(c)))))))
+    own = events.where(state)
+    named = own.select("collection_id", F.col("file_path").alias("named_file"), F.col("source_path").alias("named_source")).groupBy("collection_id", "named_file", "named_source").agg(F.count("*").alias("rows"))
+    # With the outer form, Spark does not ask each row before the grouping whether it has paths.
+    wanted = named.withColumn("wanted_paths", paths).withColumn("path", F.explode_outer("wanted_paths"))
     dated = events.where(F.col("timestamp").isNotNull() & F.col("source_type").isin(*DATED_TYPES)).withColumns({"path": normalise_path(F.col("file_path")), "kind": kind})
     dated = dated.where("path is not null").join(wanted.select("collection_id", "path").distinct(), ["collection_id", "path"], "left_semi")
     best = F.min(F.struct("kind", "timestamp", F.col("event_id").alias("found_id"), "timestamp_type", "timestamp_raw", "timestamp_precision", "timezone"))
     by_path = dated.groupBy("collection_id", "path").agg(best.alias("b"), F.count("*").alias("n"))
     lists = dated.groupBy("collection_id", "path").agg(F.collect_set("event_id").alias("ids"))
-    met = wanted.join(by_path, ["collection_id", "path"]).groupBy("collection_id", "wanted_paths").agg(F.min("b").alias("b"), F.sum("n").alias("found_n"), F.array_sort(F.collect_set("path")).alias("found_in"))
-    sets = met.select("collection_id", "found_in").distinct().withColumn("path", F.explode("found_in")).join(lists, ["collection_id", "path"])
-    related = sets.groupBy("collection_id", "found_in").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))).alias("found_ids"))
-    joined = own.join(met, ["collection_id", "wanted_paths"], "left").join(related, ["collection_id", "found_in"], "left")
+    met = wanted.join(by_path, ["collection_id", "path"]).groupBy("collection_id", "named_file", "named_source", "wanted_paths", "rows").agg(F.min("b").alias("b"), F.sum("n").alias("n"), F.array_sort(F.collect_set("path")).alias("found_in"))
+    parts = F.least(F.ceil(F.sum("rows") * F.max("n").cast("double") / most), F.lit(1024))
+    sets = met.groupBy("collection_id", "found_in").agg(parts.alias("parts"))
+    note = F.to_json(F.struct(F.lit("bodyfile_or_audit_path_match").alias("method"), F.col("wanted_paths").alias("matched_paths"), F.col("n").alias("source_event_count"), F.col("b.timestamp_type").alias("source_timestamp_type")))
+    met = met.join(sets, ["collection_id", "found_in"]).select(F.col("collection_id").alias("named_collection"), "named_file", "named_source", "b", "found_in", "parts", note.alias("note"))
+    gathered = sets.withColumn("path", F.explode("found_in")).join(lists, ["collection_id", "path"]).groupBy("collection_id", "found_in", "parts").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))).alias("ids"))
+    found = gathered.select("collection_id", "found_in", "parts", related(F.col("ids")).alias("found_ids")).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).drop("parts")
+    same = (F.col("collection_id") == F.col("named_collection")) & F.col("file_path").eqNullSafe(F.col("named_file")) & F.col("source_path").eqNullSafe(F.col("named_source"))
+    # State without a match has no set of paths, and is dealt as well.
+    part = F.pmod(F.xxhash64("event_id"), F.coalesce("parts", F.lit(1024).cast("long")))
+    keys = ["collection_id", "found_in", "part"]
+    dealt = own.join(met, same, "left").withColumn("part", part).repartition(int(events.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+    joined = dealt.join(found, keys, "left")
     hit = F.col("b").isNotNull()
-    note = F.to_json(F.struct(F.lit("bodyfile_or_audit_path_match").alias("method"), F.col("wanted_paths").alias("matched_paths"), F.col("found_n").alias("source_event_count"), F.col("b.timestamp_type").alias("source_timestamp_type")))
     new = {
         "timestamp": F.col("b.timestamp"),
         "timestamp_raw": F.col("b.timestamp_raw"),
@@ -65,7 +81,7 @@ def correlate_state_times(events: DataFrame, state_types: tuple[str, ...] = STAT
         "detection_names": sorted_set(F.col("detection_names"), F.array(F.lit("state_time_correlated"))),
         "ttp_flags": sorted_set(F.col("ttp_flags"), F.array(F.lit("state_time_correlated"))),
         "related_event_ids": F.col("found_ids"),
-        "extra": F.map_concat(F.coalesce("extra", F.create_map().cast("map<string,string>")), F.create_map(F.lit("correlation"), note)),
+        "extra": F.map_concat(F.coalesce("extra", F.create_map().cast("map<string,string>")), F.create_map(F.lit("correlation"), F.col("note"))),
     }
     return joined.select(*(F.when(hit, new[c]).otherwise(F.col(c)).alias(c) if c in new else F.col(c) for c in events.columns)).unionByName(events.where(~state))
 

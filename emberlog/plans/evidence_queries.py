@@ -237,8 +237,8 @@ def correlate_state_times(spark, d):
     o = table(spark, d, "orders")
     key = F.col("o_orderkey")
     state = t.to_timeline(o, {"event_id": F.concat(F.lit("s"), key.cast("string")), "collection_id": F.lit("c"), "file_path": F.concat(F.lit("/p/"), (key % 700).cast("string")), "source_type": F.lit("cron_file"), "evidence_role": F.lit("state_observation"), "confidence": F.lit("high")})
-    found = k.correlate_state_times(files.unionByName(state)).where("timestamp_type like 'correlated%'")
-    return found.select("event_id", at("timestamp").alias("found_at"), "timestamp_type", "evidence_role", csv("related_event_ids").alias("related"), "timestamp_raw", "timestamp_precision", F.get_json_object("extra.correlation", "$.source_event_count").alias("matched"), "confidence")
+    found = k.correlate_state_times(files.unionByName(state), related=csv).where("timestamp_type like 'correlated%'")
+    return found.select("event_id", at("timestamp").alias("found_at"), "timestamp_type", "evidence_role", F.col("related_event_ids").alias("related"), "timestamp_raw", "timestamp_precision", F.get_json_object("extra.correlation", "$.source_event_count").alias("matched"), "confidence")
 
 
 @query("SELECT url, '/' || replace(url, '//', '/') AS path FROM pages")

@@ -1,5 +1,7 @@
 """Semantics that the driver tables do not show."""
 
+import json
+from collections import Counter
 from datetime import datetime, timedelta
 
 import pytest
@@ -7,6 +9,7 @@ from pyspark.sql import functions as F
 
 from emberlog.functions import times
 from emberlog.operators import behaviour, correlate, review, rules, timeline
+from emberlog.plans import registry
 from emberlog.sources import parsers, readers, sinks
 
 
@@ -437,3 +440,43 @@ def test_audit_fields_are_taken_apart_after_grouping(spark):
     assert (got["7"]["command"], got["7"]["uid"], got["7"]["file_path"], got["8"]["extra"]["fields"], got["8"]["command"]) == ("x z", "3", "/x", "{}", None)
     gathered = df._jdf.queryExecution().optimizedPlan().toString().split("Aggregate [source_path")[1]
     assert r"(\w+=" not in gathered
+
+
+def test_ids_take_their_form_once_for_each_set_of_paths(spark):
+    """The text of ids is made before the last join, and paths are normalised after state is grouped; state without a match stays as it was."""
+    dated = [(f"d{k}", datetime(2024, 1, 1) + timedelta(seconds=k), "auditd" if k % 2 else "bodyfile", "mtime", f"/etc//p{k % 3}", None, "c") for k in range(30)]
+    state = [("s0", None, "cron_file", None, " ./etc/p0", None, "c"), ("s1", None, "cron_file", None, "etc/p1", "/etc/p2", "c"), ("s2", None, "cron_file", None, "/etc/p9", "", "c"), ("s3", None, "cron_file", None, None, None, "c"), ("s4", None, "cron_file", None, "/etc/p0", None, None), ("s5", None, "passwd", None, "/etc/p0", None, "c"), (None, None, "cron_file", None, "", "var/x", "d")]
+    tl = events(spark, dated + state, "event_id string, timestamp timestamp, source_type string, timestamp_type string, file_path string, source_path string, collection_id string")
+    lists, texts = correlate.correlate_state_times(tl), correlate.correlate_state_times(tl, related=lambda ids: F.array_join(ids, ","))
+    ids = lambda *paths: sorted(r[0] for r in dated if r[4][-2:] in paths)
+    want = {"s0": ids("p0"), "s1": ids("p1", "p2")}
+    rows = {r["event_id"]: r for r in lists.where("timestamp_type is null or timestamp_type like 'correlated%'").collect()}
+    assert len(rows) == 7 and {k: r["related_event_ids"] for k, r in rows.items() if r["timestamp"]} == want
+    assert (rows["s0"]["timestamp"], rows["s1"]["timestamp"]) == (dated[0][1], dated[1][1])
+    assert json.loads(rows["s1"]["extra"]["correlation"]) == {"method": "bodyfile_or_audit_path_match", "matched_paths": ["/etc/p1", "/etc/p2"], "source_event_count": 20, "source_timestamp_type": "mtime"}
+    assert {k: (r["collection_id"], r["file_path"]) for k, r in rows.items() if not r["timestamp"]} == {"s2": ("c", "/etc/p9"), "s3": ("c", None), "s4": (None, "/etc/p0"), "s5": ("c", "/etc/p0"), None: ("d", "")}
+    assert {r["event_id"]: r["related_event_ids"] for r in texts.where("timestamp_type like 'correlated%'").collect()} == {k: ",".join(v) for k, v in want.items()}
+    assert lists.count() == texts.count() == 37
+    plan = registry.queries()["correlate_state_times"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_join" not in plan.split("Join LeftOuter")[0] and "array_join" in plan
+    scans = [line for line in plan.splitlines() if "o_orderkey" in line and "Relation" not in line]
+    assert scans and not any("RLIKE" in line for line in scans)
+
+
+def test_state_of_one_set_and_state_without_a_match_go_to_many_tasks(spark):
+    dated = [(f"d{k}", datetime(2024, 1, 1), "bodyfile", "mtime", "/etc/x") for k in range(10)]
+    state = [(f"s{k}", None, "cron_file", None, "/etc/x" if k < 2000 else f"/none/{k % 7}") for k in range(4000)]
+    tl = events(spark, dated + state, "event_id string, timestamp timestamp, source_type string, timestamp_type string, file_path string").withColumn("collection_id", F.lit("c")).localCheckpoint()
+    before = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        rows = correlate.correlate_state_times(tl, most=1000).where("event_id like 's%'").selectExpr("event_id", "timestamp is null as alone", "related_event_ids as ids", "spark_partition_id() as p").collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sorted(r["event_id"] for r in rows) == sorted(r[0] for r in state)
+    assert all(r["ids"] == ([] if r["alone"] else [d[0] for d in dated]) for r in rows)
+    for alone in (False, True):
+        tasks = Counter(r["p"] for r in rows if r["alone"] is alone)
+        assert sum(tasks.values()) == 2000 and len(tasks) == 4 and max(tasks.values()) < 1200
